@@ -8,10 +8,10 @@ is a difference cover, two equal windows at any two starts have an anchor at one
 never missed. Anchors that occur twice are then extended to the full windows around them, which are compared by
 128-bit hashes.
 
-At scale: both comparisons send one packed row for each (map chunk, hash bucket). A hash that recurs within a chunk is
-settled there and sent once, so a sequence that a third of all documents share costs one entry a chunk. Buckets grow
-in number with the input, so a bucket's size is bounded. The document shuffle is the same exchange in both joins, and
-Spark reuses it.
+At scale: both comparisons send one packed row for each (map chunk, hash bucket), and send back one for each (hash
+bucket, id bucket). A hash that recurs within a chunk is settled there and sent once, so a sequence that a third of all
+documents share costs one entry a chunk. Buckets grow in number with the input, so a bucket's size is bounded. The
+document shuffle is the same exchange in both joins, and Spark reuses it.
 
 Defined cases: a null or empty text has no words, nothing removed and an empty kept text; texts shorter than a window
 are kept whole; rows with a null id never match anything; rows that share an id count as one document at one place, so
@@ -34,6 +34,7 @@ from .common import by_size, byte_texts, parts, text_bytes
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 CHUNK_BYTES, FLUSH, BUCKET_BYTES = 2 << 20, 1 << 20, 32 << 20
 PAYLOAD = "bucket int, hashes binary, again binary, ids binary, starts binary, repeated binary, more_ids binary, more_starts binary"
+FOUND = "part int, ids binary, starts binary"
 PLACES = "id long, places array<int>"
 
 
@@ -95,15 +96,27 @@ def _split(bucket: np.ndarray, chosen: np.ndarray, bits: int) -> list[np.ndarray
     return np.split(order, np.searchsorted(bucket[order], np.arange(1, 1 << bits)))
 
 
-def _places(ids: np.ndarray, starts: np.ndarray) -> pa.Table:
+def _found(ids: np.ndarray, starts: np.ndarray, bits: int) -> pa.Table:
+    """Places dealt by their ids, packed."""
+    part = (kernel.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(ids), np.int32)
+    order = np.lexsort((starts, ids, part))
+    part, ids, starts = part[order], ids[order], starts[order]
+    numbers, begin = np.unique(part, return_index=True)
+    slices = [slice(a, b) for a, b in zip(begin, np.append(begin[1:], len(part)), strict=True)]
+    return pa.table({"part": pa.array(numbers, pa.int32()), "ids": pa.array([_pack(ids[x]) for x in slices], pa.binary()), "starts": pa.array([_pack(starts[x]) for x in slices], pa.binary())})
+
+
+def _places(part: pa.Table) -> pa.Table:
+    """A row for each id with all its places."""
+    ids, starts = (np.concatenate([_unpack(x, kind) for x in part.column(name).to_pylist()]) for name, kind in (("ids", np.int64), ("starts", np.int32)))
     order = np.lexsort((starts, ids))
     ids, starts = ids[order], starts[order]
-    begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     offsets = np.append(begin, len(ids)).astype(np.int32)
     return pa.table({"id": pa.array(ids[begin], pa.int64()), "places": pa.ListArray.from_arrays(pa.array(offsets), pa.array(starts, pa.int32()))})
 
 
-def _compared(later_only: bool):
+def _compared(later_only: bool, bits: int):
     """For a bucket: all places whose hash has two, or those of them that aren't the earliest."""
 
     def reduce(bucket: pa.Table) -> pa.Table:
@@ -126,7 +139,7 @@ def _compared(later_only: bool):
         else:
             out = np.union1d(order, np.flatnonzero(repeated))
         more = [(_unpack(r["more_ids"], np.int64), _unpack(r["more_starts"], np.int32)) for r in rows]
-        return _places(np.concatenate([ids[out], *(x[0] for x in more)]), np.concatenate([starts[out], *(x[1] for x in more)]))
+        return _found(np.concatenate([ids[out], *(x[0] for x in more)]), np.concatenate([starts[out], *(x[1] for x in more)]), bits)
 
     return reduce
 
@@ -214,11 +227,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     check_cover(period, cover)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bits = (parts(text_bytes(texts), BUCKET_BYTES) - 1).bit_length()
-    places = lambda found, later: (
-        found.groupBy("bucket").applyInArrow(_compared(later), PLACES).groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    )
-    anchors = places(texts.where("id IS NOT NULL").mapInArrow(_anchors(window, period, cover, bits), PAYLOAD), False)
-    near = texts.join(anchors, "id", "left").where("places IS NOT NULL").select("id", "text", "places")
+    known = texts.where("id IS NOT NULL")
+
+    def places(sent: DataFrame, later: bool) -> DataFrame:
+        found = sent.groupBy("bucket").applyInArrow(_compared(later, bits), FOUND)
+        return found.groupBy("part").applyInArrow(_places, PLACES)
+
+    anchors = places(known.mapInArrow(_anchors(window, period, cover, bits), PAYLOAD), False)
+    near = known.join(anchors, "id").select("id", "text", "places")
     removed = places(near.mapInArrow(_extended(window, period, bits), PAYLOAD), True)
-    out = texts.join(removed, "id", "left").select("id", "text", "places")
+    out = known.join(removed, "id", "left").select("id", "text", "places")
+    out = out.union(texts.where("id IS NULL").withColumn("places", F.lit(None).cast("array<int>")))
     return out.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
