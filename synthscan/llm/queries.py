@@ -22,6 +22,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
@@ -53,6 +59,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import ann, mixing
 
-    return {"op8_source_mixing": mixing.ORACLE}
+    return {"op3_nearest": ann.ORACLE, "op8_source_mixing": mixing.ORACLE}
