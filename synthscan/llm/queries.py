@@ -47,6 +47,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import cross_entropy_difference
+
+    return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, sized
 
@@ -54,6 +60,20 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses
+
+    joined = (F.array_join(x, ",").alias(x) for x in ("sentences", "licenses", "unmatched"))
+    return licenses(documents(spark, sf_dir)).select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), *joined)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -144,12 +144,24 @@ def _compared(later_only: bool, bits: int):
     return reduce
 
 
+def _flushed(steps: Iterable[tuple[np.ndarray, ...]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Payloads of (hashes, second hashes, ids, places) steps, gathered to chunks of bounded size."""
+    found, n = [], 0
+    for step in steps:
+        found.append(step)
+        n += len(step[0])
+        if n >= FLUSH:
+            yield from _payloads(found, bits)
+            found, n = [], 0
+    if n:
+        yield from _payloads(found, bits)
+
+
 def _anchors(window: int, period: int, cover: tuple[int, ...], bits: int):
     is_cover = np.isin(np.arange(period), cover)
     length = window - period + 1
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = [], 0
+    def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in by_size(batches, "text", CHUNK_BYTES):
             words = kernel.words(byte_texts(batch.column("text")))
             total = len(words.starts)
@@ -157,24 +169,16 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], bits: int):
             at = np.arange(len(hashes)) - np.repeat(words.first[:-1], np.diff(words.first))[: len(hashes)]
             long_enough = np.repeat(np.diff(words.first) >= window, np.diff(words.first))[: len(hashes)]
             chosen = np.flatnonzero(is_cover[at % period] & long_enough & kernel.inside(words.first, length, total))
-            if len(chosen):
-                ids = batch.column("id").to_numpy(zero_copy_only=False)[words.text_of[chosen]]
-                found.append((hashes[chosen], np.zeros(len(chosen), np.uint64), ids, at[chosen].astype(np.int32)))
-                n += len(chosen)
-            if n >= FLUSH:
-                yield from _payloads(found, bits)
-                found, n = [], 0
-        if found:
-            yield from _payloads(found, bits)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[words.text_of[chosen]]
+            yield hashes[chosen], np.zeros(len(chosen), np.uint64), ids, at[chosen].astype(np.int32)
 
-    return run
+    return lambda batches: _flushed(steps(batches), bits)
 
 
 def _extended(window: int, period: int, bits: int):
     """Hashes of all windows that hold an anchor which occurs twice."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = [], 0
+    def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in by_size(batches, "text", CHUNK_BYTES):
             words = kernel.words(byte_texts(batch.column("text")))
             total, places = len(words.starts), batch.column("places")
@@ -186,18 +190,11 @@ def _extended(window: int, period: int, bits: int):
             near = np.concatenate(([0], np.cumsum(anchors)))
             size = len(hashes)
             chosen = np.flatnonzero((near[np.minimum(np.arange(size) + period, total)] > near[:size]) & kernel.inside(words.first, window, total))
-            if len(chosen):
-                text = words.text_of[chosen]
-                ids = batch.column("id").to_numpy(zero_copy_only=False)[text]
-                found.append((hashes[chosen], kernel.windows(h, window, seed=1)[chosen], ids, (chosen - words.first[text]).astype(np.int32)))
-                n += len(chosen)
-            if n >= FLUSH:
-                yield from _payloads(found, bits)
-                found, n = [], 0
-        if found:
-            yield from _payloads(found, bits)
+            text = words.text_of[chosen]
+            ids = batch.column("id").to_numpy(zero_copy_only=False)[text]
+            yield hashes[chosen], kernel.windows(h, window, seed=1)[chosen], ids, (chosen - words.first[text]).astype(np.int32)
 
-    return run
+    return lambda batches: _flushed(steps(batches), bits)
 
 
 def _kept(window: int):
@@ -222,20 +219,32 @@ def _kept(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """One row per document: its id, n_words, n_removed, kept_text (the words left, joined by one space)."""
-    check_cover(period, cover)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bits = (parts(text_bytes(texts), BUCKET_BYTES) - 1).bit_length()
-    known = texts.where("id IS NOT NULL")
+def bucket_bits(texts: DataFrame) -> int:
+    return (parts(text_bytes(texts), BUCKET_BYTES) - 1).bit_length()
+
+
+def repeats(known: DataFrame, anchors, extended, bits: int) -> DataFrame:
+    """(id, places): the places of all windows that also start earlier, of texts (id, text).
+
+    anchors and extended map texts to payloads; extended gets the places of anchors that occur twice, too.
+    """
 
     def places(sent: DataFrame, later: bool) -> DataFrame:
         found = sent.groupBy("bucket").applyInArrow(_compared(later, bits), FOUND)
         return found.groupBy("part").applyInArrow(_places, PLACES)
 
-    anchors = places(known.mapInArrow(_anchors(window, period, cover, bits), PAYLOAD), False)
-    near = known.join(anchors, "id").select("id", "text", "places")
-    removed = places(near.mapInArrow(_extended(window, period, bits), PAYLOAD), True)
+    twice = places(known.mapInArrow(anchors, PAYLOAD), False)
+    near = known.join(twice, "id").select("id", "text", "places")
+    return places(near.mapInArrow(extended, PAYLOAD), True)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """One row per document: its id, n_words, n_removed, kept_text (the words left, joined by one space)."""
+    check_cover(period, cover)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bits = bucket_bits(texts)
+    known = texts.where("id IS NOT NULL")
+    removed = repeats(known, _anchors(window, period, cover, bits), _extended(window, period, bits), bits)
     out = known.join(removed, "id", "left").select("id", "text", "places")
     out = out.union(texts.where("id IS NULL").withColumn("places", F.lit(None).cast("array<int>")))
     return out.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
