@@ -1,8 +1,60 @@
-"""Placeholder of the corpus pipeline until its stages are in place."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing and packing of `documents`.
 
-STAGES: list = []
+Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents; n_chars, where a
+stage changes the text, is that of the new text. Rows with null ids pass the filtering stages unless a rule rejects them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from synthscan.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules
+from synthscan.llm.common import documents, stored
+
+
+def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
+    if "n_chars" in columns:
+        df = df.withColumn("n_chars", F.length("text").cast("long"))
+    return df.select(columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base or a learned rule go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rules = quality_rules.fit(quality_rules.with_statistics(docs.select("doc_id", "text")), labels)
+    return quality_rules.judged(quality_rules.with_statistics(docs), rules).where("kept").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go from the texts."""
+    return _measured(line_dedup.line_dedup(docs), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    gone = minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated or cut to their targets; a document may come twice, or in part."""
+    return _measured(mixing.mixed(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("source mixing", mix), ("packing", pack)]
+
+#: SQL can express neither the learned rules nor the tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
