@@ -64,8 +64,8 @@ def minima(h: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
 
 def _fingerprints(run: int, long: int, bits: int):
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in by_size(batches, "text", CHUNK_BYTES):
-            lines = Lines(byte_texts(batch.column("text")))
+        for batch in by_size(batches, "body", CHUNK_BYTES):
+            lines = Lines(byte_texts(batch.column("body")))
             at = np.flatnonzero(minima(lines.hashes, lines.first, run) | (lines.words >= long))
             text = lines.text_of[at]
             yield lines.hashes[at], np.zeros(len(at), np.uint64), batch.column("id").to_numpy(zero_copy_only=False)[text], (at - lines.first[text]).astype(np.int32)
@@ -77,8 +77,8 @@ def _runs(run: int, long: int, bits: int):
     """Runs near repeated fingerprints. The place of a stretch is twice its first line, that of a long line one more."""
 
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in by_size(batches, "text", CHUNK_BYTES):
-            lines, places = Lines(byte_texts(batch.column("text"))), batch.column("places")
+        for batch in by_size(batches, "body", CHUNK_BYTES):
+            lines, places = Lines(byte_texts(batch.column("body"))), batch.column("places")
             h, total = lines.hashes, len(lines.hashes)
             marked = np.zeros(total, bool)
             marked[np.repeat(lines.first[:-1], np.diff(places.offsets.to_numpy())) + places.flatten().to_numpy(zero_copy_only=False)] = True
@@ -129,10 +129,14 @@ def _kept(text_col: str, run: int):
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long: int = LONG) -> DataFrame:
     """docs with repeated runs taken out of the text, n_lines (counted, before) and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     bits = bucket_bits(texts)
     removed = repeats(texts.where("id IS NOT NULL"), _fingerprints(run, long, bits), _runs(run, long, bits), bits).withColumnsRenamed({"id": "_id", "places": "_places"})
-    known = docs.where(F.col(id_col).isNotNull())
-    out = known.join(removed, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    if len(docs.columns) == 2:  # then both joins share the exchange of the texts
+        known = texts.where("id IS NOT NULL").join(removed.withColumnRenamed("_id", "id"), "id", "left")
+        out = known.select(*(F.col("id").cast(docs.schema[id_col].dataType).alias(c) if c == id_col else F.col("body").alias(c) for c in docs.columns), "_places")
+    else:
+        known = docs.where(F.col(id_col).isNotNull())
+        out = known.join(removed, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     out = out.union(docs.where(F.col(id_col).isNull()).withColumn("_places", F.lit(None).cast("array<int>")))
     return out.mapInArrow(_kept(text_col, run), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))

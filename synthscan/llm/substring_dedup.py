@@ -162,8 +162,8 @@ def _anchors(window: int, period: int, cover: tuple[int, ...], bits: int):
     length = window - period + 1
 
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in by_size(batches, "text", CHUNK_BYTES):
-            words = kernel.words(byte_texts(batch.column("text")))
+        for batch in by_size(batches, "body", CHUNK_BYTES):
+            words = kernel.words(byte_texts(batch.column("body")))
             total = len(words.starts)
             hashes = kernel.windows(words.hashes(), length)
             at = np.arange(len(hashes)) - np.repeat(words.first[:-1], np.diff(words.first))[: len(hashes)]
@@ -179,8 +179,8 @@ def _extended(window: int, period: int, bits: int):
     """Hashes of all windows that hold an anchor which occurs twice."""
 
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in by_size(batches, "text", CHUNK_BYTES):
-            words = kernel.words(byte_texts(batch.column("text")))
+        for batch in by_size(batches, "body", CHUNK_BYTES):
+            words = kernel.words(byte_texts(batch.column("body")))
             total, places = len(words.starts), batch.column("places")
             anchors = np.zeros(total, bool)
             own = np.diff(places.offsets.to_numpy())
@@ -199,10 +199,10 @@ def _extended(window: int, period: int, bits: int):
 
 def _kept(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "text", CHUNK_BYTES):
+        for batch in by_size(batches, "body", CHUNK_BYTES):
             kept, n, removed = [], [], []
             places = batch.column("places")
-            for text, own in zip(byte_texts(batch.column("text")), places, strict=True):
+            for text, own in zip(byte_texts(batch.column("body")), places, strict=True):
                 words = text.split()
                 n.append(len(words))
                 if own.is_valid and len(own.values):
@@ -220,11 +220,11 @@ def _kept(window: int):
 
 
 def bucket_bits(texts: DataFrame) -> int:
-    return (parts(text_bytes(texts), BUCKET_BYTES) - 1).bit_length()
+    return (parts(text_bytes(texts, "body"), BUCKET_BYTES) - 1).bit_length()
 
 
 def repeats(known: DataFrame, anchors, extended, bits: int) -> DataFrame:
-    """(id, places): the places of all windows that also start earlier, of texts (id, text).
+    """(id, places): the places of all windows that also start earlier, of texts (id, body).
 
     anchors and extended map texts to payloads; extended gets the places of anchors that occur twice, too.
     """
@@ -234,17 +234,17 @@ def repeats(known: DataFrame, anchors, extended, bits: int) -> DataFrame:
         return found.groupBy("part").applyInArrow(_places, PLACES)
 
     twice = places(known.mapInArrow(anchors, PAYLOAD), False)
-    near = known.join(twice, "id").select("id", "text", "places")
+    near = known.join(twice, "id").select("id", "body", "places")
     return places(near.mapInArrow(extended, PAYLOAD), True)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """One row per document: its id, n_words, n_removed, kept_text (the words left, joined by one space)."""
     check_cover(period, cover)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     bits = bucket_bits(texts)
     known = texts.where("id IS NOT NULL")
     removed = repeats(known, _anchors(window, period, cover, bits), _extended(window, period, bits), bits)
-    out = known.join(removed, "id", "left").select("id", "text", "places")
+    out = known.join(removed, "id", "left").select("id", "body", "places")
     out = out.union(texts.where("id IS NULL").withColumn("places", F.lit(None).cast("array<int>")))
     return out.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
