@@ -5,8 +5,8 @@ over the same vocabulary, the words of both corpora with A-Z lower-cased, smooth
 
   p(w | v) = (c(v w) + prior q(w)) / (c(v) + prior), v a word or the beginning of a text,
 
-where q is the model's own distribution of words, told by the word's class: one of 2^20 by hash, so that below a million
-words a class is mostly a single word, and what all tasks get of q is of fixed size however the vocabulary grows.
+where q is the model's own distribution of words, told by the word's class: one of 2^16 by hash, which tells the frequent
+words apart, and what all tasks get of q is of fixed size however the vocabulary grows.
 
   q(w) = (c(class of w) + 1) / (words + classes) / (words a class has on average, 1 at least)
 
@@ -15,7 +15,7 @@ the lower, the more it is like the target. Words are told apart by 32-bit hashes
 
 At scale: counts are exact over all texts and no model of bigrams is held or broadcast. Bigrams go, packed by (map chunk, bucket),
 to the bucket of their first word, where both counts of it and of its bigrams meet, and the bucket sends back a partial
-loss for each document it has words of. First words so common that they would fill a bucket (`heavy`: at most 2^16 of
+loss for each document it has words of. First words so common that they would fill a bucket (`heavy`: at most 2^15 of
 them, whatever the input) are dealt by the whole bigram instead; only their counts are sent to all tasks. The number of
 buckets grows with the input, so a bucket's size is bounded.
 
@@ -37,7 +37,7 @@ from . import kernel
 from .common import by_size, byte_texts, parts, stored, text_bytes
 from .substring_dedup import _pack, _unpack
 
-PRIOR, CLASS_BITS, CHUNK_BYTES, FLUSH, BUCKET_BYTES, HEAVY_SHARE = 10.0, 20, 2 << 20, 1 << 20, 24 << 20, 1 << 16
+PRIOR, CLASS_BITS, CHUNK_BYTES, FLUSH, BUCKET_BYTES, HEAVY_SHARE = 10.0, 16, 2 << 20, 1 << 20, 24 << 20, 1 << 16
 BEGIN = np.uint64(1)
 
 
