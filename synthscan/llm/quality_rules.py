@@ -214,7 +214,10 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """Learn from stats (id and statistics) and labels (id, label: 0 is to be rejected); at most max_rows rows."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 0).alias("bad"))
     rows = stats.where(~base_failed()).select(F.col(id_col).alias("id"), *(feature(x).alias(x) for x in FEATURES)).join(known, "id")
-    seen = rows.orderBy(F.xxhash64("id"), "id", "bad", *FEATURES).limit(max_rows).select("bad", *FEATURES).toPandas()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    if (n := rows.count()) > max_rows:  # so that tasks send the driver little more than is kept
+        rows = rows.where(place < F.lit(int(1.1 * max_rows / n * (1 << 40))))
+    seen = rows.orderBy(place, "id", "bad", *FEATURES).limit(max_rows).select("bad", *FEATURES).toPandas()
     bad = seen["bad"].to_numpy(bool)
     return learn(seen[list(FEATURES)].to_numpy(float), bad, list(FEATURES)) if bad.any() and not bad.all() else DecisionList()
 
