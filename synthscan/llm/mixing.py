@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD_SEPARATORS, n_words, stored
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-LEAST_SLOTS_LOG2, BLOCK, BUCKET_ROWS, CELLS = 16, 4096, 4096, 1024
+LEAST_SLOTS_LOG2, BLOCK, BUCKET_ROWS, CELLS = 16, 4096, 512, 1024
 
 
 def running(df: DataFrame, group: str, bucket: Column, order: list[str], value: Column) -> DataFrame:
