@@ -213,7 +213,8 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 20_000) -> DecisionList:
     """Learn from stats (id and statistics) and labels (id, label: 0 is to be rejected); at most max_rows rows."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 0).alias("bad"))
-    rows = stats.where(~base_failed()).select(F.col(id_col).alias("id"), *(feature(x).alias(x) for x in FEATURES)).join(known, "id")
+    rows = stats.where(~base_failed()).select(F.col(id_col).alias("id"), *(feature(x).alias(x) for x in FEATURES))
+    rows = stored(rows.join(known, "id"), "labelled")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     if (n := rows.count()) > max_rows:  # so that tasks send the driver little more than is kept
         rows = rows.where(place < F.lit(int(1.1 * max_rows / n * (1 << 40))))
