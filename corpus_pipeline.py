@@ -19,16 +19,25 @@ def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(columns)
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns renamed that have the names an operator adds, and how to name them back."""
+    clash = {c: f"__aside_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(clash), {new: old for old, new in clash.items()}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base or a learned rule go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rules = quality_rules.fit(quality_rules.with_statistics(docs.select("doc_id", "text")), labels)
-    return quality_rules.judged(quality_rules.with_statistics(docs), rules).where("kept").select(docs.columns)
+    bare, back = _aside(docs, (*quality_rules.STATISTICS, "base_failed", "rule", "kept"))
+    kept = quality_rules.judged(quality_rules.with_statistics(bare), rules).where("kept")
+    return kept.select(bare.columns).withColumnsRenamed(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go from the texts."""
-    return _measured(line_dedup.line_dedup(docs), docs.columns)
+    bare, back = _aside(docs, ("n_lines", "n_removed"))
+    return _measured(line_dedup.line_dedup(bare), bare.columns).withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def _kept(text_col: str, run: int):
 
     def run_(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, text_col, CHUNK_BYTES):
-            places, column = batch.column("_places"), batch.column(text_col)
+            places, column = batch.column("__line_places"), batch.column(text_col)
             texts = byte_texts(column)
             lines = Lines(texts)
             removed = [0] * len(texts)
@@ -119,7 +119,7 @@ def _kept(text_col: str, run: int):
                     texts[i], removed[i] = one(texts[i], own.values.to_numpy(), lines, i)
             valid = column.is_valid().to_pylist()
             kept = pa.array([x if ok else None for x, ok in zip(texts, valid, strict=True)], pa.binary()).cast(pa.string())
-            names = [x for x in batch.schema.names if x != "_places"]
+            names = [x for x in batch.schema.names if x != "__line_places"]
             columns = [kept if x == text_col else batch.column(x) for x in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(lines.first), pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
@@ -131,12 +131,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("n_lines", "n_removed")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     bits = bucket_bits(texts)
-    removed = repeats(texts.where("id IS NOT NULL"), _fingerprints(run, long, bits), _runs(run, long, bits), bits).withColumnsRenamed({"id": "_id", "places": "_places"})
+    removed = repeats(texts.where("id IS NOT NULL"), _fingerprints(run, long, bits), _runs(run, long, bits), bits).withColumnsRenamed({"id": "__line_id", "places": "__line_places"})
     if len(docs.columns) == 2:  # then both joins share the exchange of the texts
-        known = texts.where("id IS NOT NULL").join(removed.withColumnRenamed("_id", "id"), "id", "left")
-        out = known.select(*(F.col("id").cast(docs.schema[id_col].dataType).alias(c) if c == id_col else F.col("body").alias(c) for c in docs.columns), "_places")
+        known = texts.where("id IS NOT NULL").join(removed.withColumnRenamed("__line_id", "id"), "id", "left")
+        out = known.select(*(F.col("id").cast(docs.schema[id_col].dataType).alias(c) if c == id_col else F.col("body").alias(c) for c in docs.columns), "__line_places")
     else:
         known = docs.where(F.col(id_col).isNotNull())
-        out = known.join(removed, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    out = out.union(docs.where(F.col(id_col).isNull()).withColumn("_places", F.lit(None).cast("array<int>")))
+        out = known.join(removed, F.col(id_col).cast("long") == F.col("__line_id"), "left").drop("__line_id")
+    out = out.union(docs.where(F.col(id_col).isNull()).withColumn("__line_places", F.lit(None).cast("array<int>")))
     return out.mapInArrow(_kept(text_col, run), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))

@@ -132,12 +132,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     space. Rows that share id and size are taken alike, as the first of them.
     """
     plan = mix(sized(docs, id_col, text_col, source_col), weights, share, cap)
-    plan = plan.where("taken > 0").groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_id"), F.col("size").alias("_size")).agg(F.min(F.struct("source", "passes"))["passes"].alias("_passes"))
+    plan = plan.where("taken > 0").groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.min(F.struct("source", "passes"))["passes"].alias("__mix_passes"))
     names = docs.columns
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_size", n_words(F.col(text_col)))
-    rows = rows.join(plan, ["_id", "_size"]).withColumn("_n", F.explode(F.filter("_passes", lambda x: x > 0)))
-    head = F.array_join(F.slice(F.filter(F.split(F.col(text_col), WORD_SEPARATORS), lambda x: x != ""), F.lit(1), F.col("_n").cast("int")), " ")
-    return rows.withColumn(text_col, F.when(F.col("_n") == F.col("_size"), F.col(text_col)).otherwise(head)).select(*names)
+    rows = docs.withColumn("__mix_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__mix_size", n_words(F.col(text_col)))
+    rows = rows.join(plan, ["__mix_id", "__mix_size"]).withColumn("__mix_n", F.explode(F.filter("__mix_passes", lambda x: x > 0)))
+    head = F.array_join(F.slice(F.filter(F.split(F.col(text_col), WORD_SEPARATORS), lambda x: x != ""), F.lit(1), F.col("__mix_n").cast("int")), " ")
+    return rows.withColumn(text_col, F.when(F.col("__mix_n") == F.col("__mix_size"), F.col(text_col)).otherwise(head)).select(*names)
 
 
 #: mix() for DuckDB. Slots of a source fill its blocks in order, so what they take is the head of the source, pass by pass.

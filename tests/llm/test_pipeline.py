@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from synthscan.llm import quality_rules
-from tests.llm.test_operators import check_packed, groups, kept_lines, pairs
+from tests.llm.test_operators import check_packed, empty, groups, kept_lines, odd, pairs  # noqa: F401
 
 
 def test_stages(spark, tmp_path):
@@ -53,3 +56,17 @@ def test_packing_check_itself(spark):
 
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     check_packed(packing.pack(df).collect(), pairs(df))
+
+
+@pytest.mark.parametrize("table", ["odd", "empty"])
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_rows(request, spark, table, number):
+    docs = request.getfixturevalue(table)
+    for name in ("n_lines", "kept", "rule", "_id", "_n", "u", "id", "n_chars"):  # names that operators use themselves
+        docs = docs.withColumn(name, F.lit(77).cast("long"))
+    out = P.STAGES[number][1](spark, docs, "/root/testdata/sf0.001")
+    rows = out.collect()
+    if number < 4:
+        assert out.columns == docs.columns
+        assert all(r.n_lines == r.kept == r._id == 77 for r in rows)
+    assert (len(rows) == 0) == (table == "empty")
