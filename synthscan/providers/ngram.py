@@ -7,17 +7,21 @@ reproduced; the formulas are.
 
 A token's rank is 1 plus the number of tokens more probable after v; ties share the best rank.
 
-At scale: a row's token pairs are counted before they meet the model, one row for each distinct pair; the model is one
+At scale: the model's tables are counted once and written to the shared folder; a row's token pairs are counted before they meet the model, one row for each distinct pair; the model is one
 table keyed by the pair, with the context's sums in it, so scoring is one equi-join and one aggregation. Common pairs are
 skewed keys that adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.overlap import tokens
+from ..plans.tables import stored
 from .base import Provider
 
 OBSERVER, PERFORMER, TOKENS, CROSS_TOKENS = 0.1, 0.5, 1024, 512
@@ -43,48 +47,50 @@ class NGramModel(Provider):
         self.k, self.q, self.max_tokens, self.cross_tokens = float(observer), float(performer), max_tokens, cross_tokens
         self.corpus = tokenised(corpus.select("row_id", "text"), max_tokens)
 
-    def _vocabulary(self) -> DataFrame:
-        return self.corpus.select(F.explode("t").alias("tok")).agg(F.count_distinct("tok").alias("V"))
+    @cached_property
+    def size(self) -> int:
+        """V, the number of distinct tokens."""
+        return self.corpus.select(F.explode("t").alias("tok")).agg(F.count_distinct("tok")).first()[0]
 
-    def _bigrams(self) -> DataFrame:
-        return pairs(self.corpus).groupBy("ctx", "tok").agg(F.sum("n").alias("c"))
+    @cached_property
+    def bigrams(self) -> DataFrame:
+        """(ctx, tok, c), counted once."""
+        return stored(pairs(self.corpus).groupBy("ctx", "tok").agg(F.sum("n").alias("c")), "bigrams")
 
+    @cached_property
     def contexts(self) -> DataFrame:
-        """(ctx, m, seen, V, mean_lp, var_lp, xent): counts, and the sums over the vocabulary."""
-        counts = self._bigrams().crossJoin(F.broadcast(self._vocabulary()))  # a table of one row
-        totals = Window.partitionBy("ctx")
-        counts = counts.withColumn("m", F.sum("c").over(totals))
-        k, q, V, c, m = F.lit(self.k), F.lit(self.q), F.col("V"), F.col("c"), F.col("m")
+        """(ctx, m, seen, mean_lp, var_lp, xent): counts, and the sums over the vocabulary."""
+        counts = self.bigrams.join(self.bigrams.groupBy("ctx").agg(F.sum("c").alias("m")), "ctx")
+        k, q, V, c, m = F.lit(self.k), F.lit(self.q), F.lit(self.size), F.col("c"), F.col("m")
         p, r = (c + k) / (m + k * V), (c + q) / (m + q * V)
         sums = counts.groupBy("ctx").agg(
-            F.first("m").alias("m"), F.first("V").alias("V"), F.count("*").alias("seen"),
+            F.first("m").alias("m"), F.count("*").alias("seen"),
             F.sum(p * F.ln(p)).alias("s1"), F.sum(p * F.ln(p) * F.ln(p)).alias("s2"), F.sum(p * F.ln(r)).alias("sx"),
         )
         rest, p0, r0 = V - F.col("seen"), k / (m + k * V), q / (m + q * V)
         sums = sums.withColumn("mean_lp", F.col("s1") + rest * p0 * F.ln(p0)).withColumn("e2", F.col("s2") + rest * p0 * F.ln(p0) * F.ln(p0))
-        return sums.select("ctx", "m", "seen", "V", "mean_lp", F.greatest(F.col("e2") - F.col("mean_lp") * F.col("mean_lp"), F.lit(0.0)).alias("var_lp"), (-(F.col("sx") + rest * p0 * F.ln(r0))).alias("xent"))
+        sums = sums.select("ctx", "m", "seen", "mean_lp", F.greatest(F.col("e2") - F.col("mean_lp") * F.col("mean_lp"), F.lit(0.0)).alias("var_lp"), (-(F.col("sx") + rest * p0 * F.ln(r0))).alias("xent"))
+        return stored(sums, "contexts")
 
     def model(self) -> DataFrame:
-        """(ctx, tok, c, rank) with the columns of contexts()."""
+        """(ctx, tok, c, rank) with the columns of contexts."""
         by_count = Window.partitionBy("ctx").orderBy(F.desc("c"))
-        return self._bigrams().withColumn("rank", F.rank().over(by_count)).join(self.contexts(), "ctx")
+        return self.bigrams.withColumn("rank", F.rank().over(by_count)).join(self.contexts, "ctx")
 
     def _scored(self, rows: DataFrame) -> DataFrame:
         """Pairs with c, rank and the context's columns; pairs the model hasn't seen get c 0 and the rank after the seen ones."""
-        own = pairs(rows)
-        model = self.model().select("ctx", "tok", "c", "rank", *(F.col(x).alias(f"_{x}") for x in ("m", "V", "mean_lp", "var_lp")))
-        joined = own.join(model, ["ctx", "tok"], "left")
-        lone = F.lit(1.0) / F.col("V")
-        default = self.contexts().select("ctx", F.col("m").alias("d_m"), F.col("seen").alias("d_seen"), F.col("mean_lp").alias("d_mean"), F.col("var_lp").alias("d_var"))
-        joined = joined.join(default, "ctx", "left").crossJoin(F.broadcast(self._vocabulary()))  # a table of one row
-        pick = lambda own_, other, last: F.coalesce(F.col(own_), F.col(other), last)
+        model = self.model().select("ctx", "tok", "c", "rank", *(F.col(x).alias(f"_{x}") for x in ("m", "mean_lp", "var_lp")))
+        joined = pairs(rows).join(model, ["ctx", "tok"], "left")
+        default = self.contexts.select("ctx", F.col("m").alias("d_m"), F.col("seen").alias("d_seen"), F.col("mean_lp").alias("d_mean"), F.col("var_lp").alias("d_var"))
+        joined = joined.join(default, "ctx", "left")
+        uniform = F.lit(-math.log(self.size)) if self.size else F.lit(None).cast("double")
         return joined.select(
             "row_id", "variant", "n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(F.col("rank"), F.col("d_seen") + 1, F.lit(1)).cast("long").alias("rank"),
-            pick("_m", "d_m", F.lit(0)).alias("m"), F.col("V"), pick("_mean_lp", "d_mean", F.ln(lone)).alias("mean_lp"), pick("_var_lp", "d_var", F.lit(0.0)).alias("var_lp"),
+            F.coalesce("_m", "d_m", F.lit(0)).alias("m"), F.coalesce("_mean_lp", "d_mean", uniform).alias("mean_lp"), F.coalesce("_var_lp", "d_var", F.lit(0.0)).alias("var_lp"),
         )
 
     def _logprob(self, k: float) -> Column:
-        return F.ln((F.col("c") + k) / (F.col("m") + k * F.col("V")))
+        return F.ln(F.try_divide(F.col("c") + k, F.col("m") + k * self.size))
 
     def token_scores(self, texts: DataFrame) -> DataFrame:
         scored = self._scored(tokenised(texts, self.max_tokens))
@@ -94,14 +100,14 @@ class NGramModel(Provider):
         rows = tokenised(texts, self.cross_tokens).where("variant = 0")
         performer = self._scored(rows).select("row_id", "n", self._logprob(self.q).alias("logprob"))
         each = rows.select("row_id", F.explode("t").alias("ctx")).groupBy("row_id", "ctx").agg(F.count("*").alias("n"))
-        known = each.join(self.contexts().select("ctx", "xent"), "ctx", "left").crossJoin(F.broadcast(self._vocabulary()))  # a table of one row
-        return performer, known.select("row_id", "n", F.coalesce("xent", F.ln("V")).alias("xent"))
+        known = each.join(self.contexts.select("ctx", "xent"), "ctx", "left")
+        return performer, known.select("row_id", "n", F.coalesce("xent", F.lit(math.log(max(1, self.size)))).alias("xent"))
 
     def sequence_scores(self, pairs_: DataFrame) -> DataFrame:
         """Target tokens under the model of observers, mixed half and half with the source's own token frequencies."""
         target = tokenised(pairs_.select("row_id", F.col("target").alias("text")), self.max_tokens)
         source = tokenised(pairs_.select("row_id", F.col("source").alias("text")), self.max_tokens)
         each = source.select("row_id", F.size("t").alias("size"), F.explode("t").alias("tok")).groupBy("row_id", "tok", "size").agg(F.count("*").alias("c"))
-        asked = target.select("row_id", F.explode("t").alias("tok")).crossJoin(F.broadcast(self._vocabulary()))  # a table of one row
+        asked = target.select("row_id", F.explode("t").alias("tok"))
         joined = asked.join(each, ["row_id", "tok"], "left")
-        return joined.select("row_id", F.ln(0.5 / F.col("V") + 0.5 * F.coalesce(F.col("c") / F.col("size"), F.lit(0.0))).alias("logprob"))
+        return joined.select("row_id", F.ln(F.lit(0.5 / max(1, self.size)) + 0.5 * F.coalesce(F.col("c") / F.col("size"), F.lit(0.0))).alias("logprob"))
