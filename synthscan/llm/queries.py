@@ -50,7 +50,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import cross_entropy_difference
 
-    return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), exact=True)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

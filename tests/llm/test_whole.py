@@ -1,8 +1,14 @@
 """What operators and stages find beyond the limits they once had."""
 
+import math
+from collections import Counter
+
+import pytest
+
+import __spark_entry__ as entry
 import corpus_pipeline as P
-from synthscan.llm import tokens
-from tests.llm.test_operators import groups, pairs
+from synthscan.llm import lm_score, tokens
+from tests.llm.test_operators import empty, groups, odd, pairs, words  # noqa: F401
 
 
 # --- pipeline: near-duplicates from 0.8 on
@@ -32,3 +38,52 @@ def test_stages_after_near_duplicates(spark, sf, tmp_path):
     assert abs(words(pairs(docs)) - 1.5 * words(before)) < 100
     packed = P.pack(spark, docs, sf).collect()
     assert sum(r.length for r in packed) == sum(len(tokens.encoder().encode(t or "")) + 1 for _, t in pairs(docs))
+
+
+# --- 7: language-model scoring by words, not by classes of words
+
+
+def losses(rows, wanted, prior=10):
+    """(words, target loss, background loss) of each document, from dictionaries of words."""
+    bigrams = lambda t: list(zip([None, *words((t or "").encode().lower().decode())], words((t or "").encode().lower().decode())))
+    models = []
+    for texts in (wanted, [t for _, t in rows]):
+        pair, first, word = Counter(), Counter(), Counter()
+        for t in texts:
+            for v, w in bigrams(t):
+                pair[v, w] += 1
+                first[v] += 1
+                word[w] += 1
+        models.append((pair, first, word))
+    size = len({w for m in models for w in m[2]})
+    loss = lambda t, m: -sum(math.log((m[0][v, w] + prior * (m[2][w] + 1) / (sum(m[2].values()) + size)) / (m[1][v] + prior)) for v, w in bigrams(t))
+    return {d: (len(words(t)), loss(t, models[0]), loss(t, models[1])) for d, t in rows}
+
+
+def test_op7_scores_by_words(spark, sf, tmp_path, monkeypatch):
+    rows, target = pairs(spark.read.parquet(f"{sf}/documents.parquet")), [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(d, t) for d, t in rows if len(words(t)) < 400]
+    want = losses(rows, target)
+    df, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    wanted.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for size in (lm_score.BUCKET_BYTES, 1 << 15):
+        monkeypatch.setattr(lm_score, "BUCKET_BYTES", size)
+        got = entry.queries()["op7_lm_score"](spark, str(tmp_path)).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert (r.n_words, pytest.approx(r.target_loss or 0, rel=1e-9), pytest.approx(r.background_loss or 0, rel=1e-9)) == want[r.doc_id]
+
+
+def test_scoring_by_words_of_heavy_and_odd_rows(spark, odd, empty, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 1 << 14)
+    rows = [(i, "a b " * (40 + i) + f"c{i} a") for i in range(30)]
+    target = ["a b a", "", "b b"]
+    want = losses(rows, target)
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), wanted, exact=True).collect():
+        assert (r.n_words, pytest.approx(r.target_loss, rel=1e-9), pytest.approx(r.background_loss, rel=1e-9)) == want[r.doc_id]
+    got = lm_score.cross_entropy_difference(odd, odd.limit(0), exact=True).collect()
+    assert len(got) == odd.count()
+    assert all((r.score is None) == (r.doc_id is None or r.n_words == 0) for r in got)
+    assert lm_score.cross_entropy_difference(empty, odd, exact=True).count() == 0
