@@ -35,9 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go from the texts."""
+    """Later repeats of runs of lines, of 3 lines or of 50 words, go from the texts."""
     bare, back = _aside(docs, ("n_lines", "n_removed"))
-    return _measured(line_dedup.line_dedup(bare), bare.columns).withColumnsRenamed(back)
+    return _measured(line_dedup.line_dedup(bare, short=True), bare.columns).withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Removal of repeated runs of lines, found by winnowing over line hashes.
 
 Lines are split at newlines; lines without a word are blank and not counted. A run is `run` consecutive counted lines of
-one document, or one counted line of `long` words or more. Every line of a run that also starts earlier (smaller
-document id, or the same document and an earlier line) goes, with the blank lines after it.
+one document, or one counted line of `long` words or more; with `short`, as op9 and the pipeline have it, also any
+fewer than `run` lines that have `long` words or more together, so no repeat of so many words stays. Every line of a run that also starts earlier (smaller
+document id, or the same document and an earlier line) goes, with the blank lines after it. Repeats of fewer lines and
+words than that stay.
 
-Fingerprints: in each stretch of `run` counted lines the line of the smallest hash (the rightmost of equals), and each
-long line. Equal stretches select equal lines, so runs that repeat always share a fingerprint. Fingerprints that occur
+Fingerprints: in each run, of `run` lines or fewer, the line of the smallest hash (the rightmost of equals). Equal
+stretches select equal lines, so runs that repeat always share a fingerprint. Fingerprints that occur
 twice are joined by hash and extended both ways: the runs around them are compared by 128-bit hashes, run by run.
 
 At scale this uses the packed exchange of substring_dedup: a line that a third of all documents share costs one entry a
@@ -52,9 +54,10 @@ class Lines:
         self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
 
-def minima(h: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
-    """Which lines are the smallest, the rightmost of equals, in some stretch of run lines of one text."""
-    ok = np.flatnonzero(kernel.inside(first, run, len(h)))
+def minima(h: np.ndarray, first: np.ndarray, run: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Which lines are the smallest, the rightmost of equals, in some stretch of run lines of one text; among: which stretches count."""
+    inside = kernel.inside(first, run, len(h))
+    ok = np.flatnonzero(inside if among is None else inside & among)
     out = np.zeros(len(h), bool)
     if len(ok):
         stretch = np.stack([h[ok + i] for i in range(run - 1, -1, -1)])
@@ -62,19 +65,30 @@ def minima(h: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def _fingerprints(run: int, long: int, bits: int):
+def _full(lines: Lines, n: int, run: int, long: int) -> np.ndarray | None:
+    """Which stretches of n lines are runs: all if n is run, those of long words or more if it is less."""
+    total = np.concatenate(([0], np.cumsum(lines.words)))
+    return None if n == run else total[n:] - total[:-n] >= long
+
+
+def _lengths(run: int, short: bool) -> list[int]:
+    """How many lines runs have."""
+    return [*range(1, run + 1)] if short else sorted({1, run})
+
+
+def _fingerprints(run: int, long: int, short: bool, bits: int):
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in by_size(batches, "body", CHUNK_BYTES):
             lines = Lines(byte_texts(batch.column("body")))
-            at = np.flatnonzero(minima(lines.hashes, lines.first, run) | (lines.words >= long))
+            at = np.flatnonzero(np.logical_or.reduce([minima(lines.hashes, lines.first, n, _full(lines, n, run, long)) for n in _lengths(run, short)]))
             text = lines.text_of[at]
             yield lines.hashes[at], np.zeros(len(at), np.uint64), batch.column("id").to_numpy(zero_copy_only=False)[text], (at - lines.first[text]).astype(np.int32)
 
     return lambda batches: _flushed(steps(batches), bits)
 
 
-def _runs(run: int, long: int, bits: int):
-    """Runs near repeated fingerprints. The place of a stretch is twice its first line, that of a long line one more."""
+def _runs(run: int, long: int, short: bool, bits: int):
+    """Runs near repeated fingerprints. The place of a stretch of n lines is run times its first line, and n if less than run."""
 
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in by_size(batches, "body", CHUNK_BYTES):
@@ -83,14 +97,13 @@ def _runs(run: int, long: int, bits: int):
             marked = np.zeros(total, bool)
             marked[np.repeat(lines.first[:-1], np.diff(places.offsets.to_numpy())) + places.flatten().to_numpy(zero_copy_only=False)] = True
             near = np.concatenate(([0], np.cumsum(marked)))
-            size = max(0, total - run + 1)
-            many = np.flatnonzero((near[np.arange(size) + run] > near[:size]) & kernel.inside(lines.first, run, total))
-            one = np.flatnonzero(marked & (lines.words >= long))
-            at = np.concatenate((many, one))
-            text = lines.text_of[at]
-            single = np.repeat([0, 1], [len(many), len(one)])
-            hashes = (np.concatenate((kernel.windows(h, run, seed)[many], kernel.windows(h, 1, seed)[one])) for seed in (2, 3))
-            yield *hashes, batch.column("id").to_numpy(zero_copy_only=False)[text], (2 * (at - lines.first[text]) + single).astype(np.int32)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for n in _lengths(run, short):
+                size, full = max(0, total - n + 1), _full(lines, n, run, long)
+                chosen = (near[np.arange(size) + n] > near[:size]) & kernel.inside(lines.first, n, total)
+                at = np.flatnonzero(chosen if full is None else chosen & full)
+                text = lines.text_of[at]
+                yield *(kernel.windows(h, n, seed)[at] for seed in (2, 3)), ids[text], (run * (at - lines.first[text]) + n % run).astype(np.int32)
 
     return lambda batches: _flushed(steps(batches), bits)
 
@@ -98,11 +111,11 @@ def _runs(run: int, long: int, bits: int):
 def _kept(text_col: str, run: int):
     def one(text: bytes, places: np.ndarray, lines: Lines, i: int) -> tuple[bytes, int]:
         n = int(lines.first[i + 1] - lines.first[i])
-        single = places % 2 == 1
-        marks = np.zeros(max(0, n - run + 1), bool)
-        marks[places[~single] // 2] = True
-        gone = kernel.covered(marks, run, n)
-        gone[places[single] // 2] = True
+        gone = np.zeros(n, bool)
+        for size in range(1, run + 1):
+            marks = np.zeros(max(0, n - size + 1), bool)
+            marks[places[places % run == size % run] // run] = True
+            gone |= kernel.covered(marks, size, n)
         counted = lines.counted[lines.all_first[i] : lines.all_first[i + 1]]
         before = np.cumsum(counted)  # counted lines up to each line; blank ones follow the last
         stays = ~np.concatenate(([False], gone))[before]
@@ -126,12 +139,12 @@ def _kept(text_col: str, run: int):
     return run_
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long: int = LONG) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long: int = LONG, short: bool = False) -> DataFrame:
     """docs with repeated runs taken out of the text, n_lines (counted, before) and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     bits = bucket_bits(texts)
-    removed = repeats(texts.where("id IS NOT NULL"), _fingerprints(run, long, bits), _runs(run, long, bits), bits).withColumnsRenamed({"id": "__line_id", "places": "__line_places"})
+    removed = repeats(texts.where("id IS NOT NULL"), _fingerprints(run, long, short, bits), _runs(run, long, short, bits), bits).withColumnsRenamed({"id": "__line_id", "places": "__line_places"})
     if len(docs.columns) == 2:  # then both joins share the exchange of the texts
         known = texts.where("id IS NOT NULL").join(removed.withColumnRenamed("__line_id", "id"), "id", "left")
         out = known.select(*(F.col("id").cast(docs.schema[id_col].dataType).alias(c) if c == id_col else F.col("body").alias(c) for c in docs.columns), "__line_places")

@@ -63,7 +63,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -1,13 +1,14 @@
 """What operators and stages find beyond the limits they once had."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from synthscan.llm import lm_score, tokens
+from synthscan.llm import line_dedup, lm_score, tokens
 from tests.llm.test_operators import empty, groups, odd, pairs, words  # noqa: F401
 
 
@@ -32,6 +33,8 @@ def test_stages_after_near_duplicates(spark, sf, tmp_path):
         before = pairs(docs)
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
+        if name == "line dedup":
+            assert sorted(pairs(docs)) == [(d, t) for d, _, t in without_repeats(before)]
         if name == "near-duplicates":
             assert sorted(x for x, _ in pairs(docs)) == sorted(x for x, (_, c) in groups(before, 80).items() if x == c)
     words = lambda rows: sum(len((t or "").split()) for _, t in rows)
@@ -87,3 +90,58 @@ def test_scoring_by_words_of_heavy_and_odd_rows(spark, odd, empty, monkeypatch):
     assert len(got) == odd.count()
     assert all((r.score is None) == (r.doc_id is None or r.n_words == 0) for r in got)
     assert lm_score.cross_entropy_difference(empty, odd, exact=True).count() == 0
+
+
+# --- 9: line dedup of every run that has 50 words, however few lines
+
+
+def without_repeats(rows, run=3, long=50):
+    """(id, removed, text): a line goes if it is in a run of `run` lines, or of fewer with `long` words, that starts earlier too."""
+    first, runs = {}, []
+    for d, t in rows:
+        lines = [x for x in t.split("\n") if words(x)]
+        for a in range(len(lines)):
+            for n in range(1, run + 1):
+                k = tuple(lines[a : a + n])
+                if len(k) == n and (n == run or sum(len(words(x)) for x in k) >= long):
+                    first[k] = min(first.get(k, (d, a)), (d, a))
+                    runs.append((d, a, k))
+    gone = {(d, j) for d, a, k in runs if first[k] != (d, a) for j in range(a, a + len(k))}
+    out = []
+    for d, t in rows:
+        kept, number, n = [], -1, 0
+        for x in t.split("\n"):
+            number += bool(words(x))
+            n += bool(words(x)) and (d, number) in gone
+            if (d, number) not in gone:
+                kept.append(x)
+        out.append((d, n, "\n".join(kept)))
+    return sorted(out)
+
+
+def test_line_dedup_of_short_runs(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    cases = [(43, 49), (49, 49), (25, 25), (25, 24), (1, 49), (60, 5), (5, 60), (49,), (50,)]
+    rows = []
+    for i, sizes in enumerate(cases):
+        shared = "\n\n".join(line(f"c{i}l{j}x", n) for j, n in enumerate(sizes))
+        rows += [(10 * i + j, f"{line(f'before{i}.{j}.', 4)}\n{shared}\n{line(f'after{i}.{j}.', 4)}") for j in range(3)]
+    rows.append((1000, f"{line('u', 30)}\n{line('v', 30)}\nbetween\n{line('u', 30)}\n{line('v', 30)}"))
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect())
+    assert got == without_repeats(rows)
+    assert [n for d, n, _ in got if d % 10 == 1] == [2, 2, 2, 0, 2, 2, 2, 0, 1] and got[-1][1] == 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_dedup_of_random_lines(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{i}w{j}" for j in range(rng.choice((3, 20, 28, 40, 55)))) for i in range(40)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else rng.choice(("", f"own {i}")) for _ in range(rng.randrange(1, 9)))) for i in range(150)]
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect())
+    assert got == without_repeats(rows)
+
+
+def test_op9_takes_short_runs(spark, tmp_path):
+    pair = "\n".join(" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate((43, 49)))
+    spark.createDataFrame([(1, f"{pair}\none"), (2, f"two\n{pair}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in entry.queries()["op9_line_dedup"](spark, str(tmp_path)).collect()} == {1: (3, 0), 2: (3, 2)}
