@@ -3,19 +3,19 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and non-overlapping for each
 kind. Valid ones are the seeds. A seed's two words before it, lower-cased, are its lexical pattern. Candidates are
 tokens with a digit or an @ that no base span overlaps, with their own patterns. Scoring runs on the graph of patterns
-and distinct values, `rounds` times or until nothing new is found:
+and distinct values until nothing new is found (or `rounds` times, if given):
 
   a pattern's confidence for a kind is the share of its distinct values that are known to be of that kind; it counts
-  from `support` known values on, else as 0;
+  from `support` known values on, seeds and those found in earlier rounds, else as 0;
   a candidate's score for a kind whose shape it has is 1 - the product of (1 - confidence) over its patterns; values
   that reach `accept` are known from then on.
 
-Every occurrence of a value found so is a span of its kind. Patterns with few seeds never fire, so texts whose contexts
+Every occurrence of a value found so is a span of its kind. Patterns with few known values never fire, so texts whose contexts
 say nothing gain nothing.
 
 At scale: texts are scanned once; spans and candidates go to the shared folder as small rows. The graph is aggregated to
-distinct (pattern, value) pairs before joins, and only patterns with enough seeds enter them, so a pattern that a third
-of all rows share is pre-aggregated; the joins are plain equi-joins that adaptive execution may split.
+distinct (pattern, value) pairs before joins, so a pattern that a third of all rows share is pre-aggregated; patterns
+with fewer than `support` values of all, which can never count, don't enter them. Rounds end as each but the last finds a value; the joins are plain equi-joins that adaptive execution may split.
 
 Regular expressions are written so that very long words and digit runs cost linear time: possessive, and anchored by
 look-behind where a leftmost match cannot begin later in a run (or, for e-mail addresses, at the end of the last match).
@@ -26,6 +26,8 @@ are scanned each by its own text; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,16 +124,17 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(placed.select("id", "row", "spans", shaped.alias("candidates")), "pii")
 
 
-def bootstrapped(found: DataFrame, support: int = 5, accept: float = 0.9, rounds: int = 3) -> DataFrame:
+def bootstrapped(found: DataFrame, support: int = 5, accept: float = 0.9, rounds: int | None = None) -> DataFrame:
     """(value, kind) of the values that contexts tell, from scanned rows."""
     seeds = found.select(F.explode("spans").alias("x")).select("x.pattern", "x.value", "x.kind").where("pattern <> ''").distinct()
-    told = seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")
-    tokens = found.select(F.explode("candidates").alias("x")).select("x.pattern", "x.value").where("pattern <> ''").distinct().join(told, "pattern")
+    tokens = found.select(F.explode("candidates").alias("x")).select("x.pattern", "x.value").where("pattern <> ''").distinct()
     shapes = F.array_compact(F.array(*(F.when(F.col("value").rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate(KINDS))))
-    edges = stored(seeds.join(told, "pattern").withColumn("seed", F.lit(True)).union(tokens.withColumn("kind", F.explode(shapes)).select("pattern", "value", "kind").withColumn("seed", F.lit(False))), "edges")
+    pairs = stored(seeds.withColumn("seed", F.lit(True)).union(tokens.withColumn("kind", F.explode(shapes)).select("pattern", "value", "kind").withColumn("seed", F.lit(False))), "pairs")
+    able = pairs.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= support).select("pattern")
+    edges = stored(pairs.join(able, "pattern"), "edges")
     totals = edges.groupBy("pattern").agg(F.count_distinct("value").alias("total"))
     known = stored(edges.where("NOT seed").limit(0).select("value", "kind"), "known")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         sure = edges.join(known.withColumn("new", F.lit(True)), ["value", "kind"], "left").where("seed OR new")
         trust = sure.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("n")).join(totals, "pattern")
         trust = trust.where(F.col("n") >= support).select("pattern", "kind", (F.col("n") / F.col("total")).alias("trust"))
@@ -149,7 +152,7 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, accept: float = 0.9, rounds: int = 3) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, accept: float = 0.9, rounds: int | None = None) -> DataFrame:
     """One row per document: id, base and found (arrays of kind number, start, end), their counts and written forms."""
     rows = scanned(docs, id_col, text_col)
     values = bootstrapped(rows, support, accept, rounds)

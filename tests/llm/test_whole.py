@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from synthscan.llm import line_dedup, lm_score, tokens
+from synthscan.llm import line_dedup, lm_score, pii, tokens
 from tests.llm.test_operators import empty, groups, odd, pairs, words  # noqa: F401
 
 
@@ -145,3 +145,20 @@ def test_op9_takes_short_runs(spark, tmp_path):
     pair = "\n".join(" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate((43, 49)))
     spark.createDataFrame([(1, f"{pair}\none"), (2, f"two\n{pair}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: (r.n_lines, r.n_removed) for r in entry.queries()["op9_line_dedup"](spark, str(tmp_path)).collect()} == {1: (3, 0), 2: (3, 2)}
+
+
+# --- 5: patterns told by what was found
+
+
+def test_bootstrapping_goes_on_from_what_it_finds(spark):
+    phone = lambda n: f"555-010-{7000 + n}"
+    rows = [f"please phone me: +1 555 010 {1000 + i} today" for i in range(200)] + [f"please phone me: {phone(i)} today" for i in range(10)]
+    rows += [f"do ring us: {phone(i)} now" for i in range(11)]  # 10 of 11 known after a round, and no seed
+    for step in range(4):  # each tells one more, from 10 known of 11 when the last step's is known
+        rows += [f"or step {"abcd"[step]}: {phone(i)} now" for i in [*range(9), 10 + step, 11 + step]]
+    rows += [f"my order id: {phone(100 + i)} shipped" for i in range(9)] + [f"see page: {phone(200)}", f"but page: {phone(14)}"]
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {r.doc_id: [rows[r.doc_id][x.start : x.end] for x in r.found] for r in got}
+    known = {phone(i) for i in range(15)}
+    for i, text in enumerate(rows):
+        assert found[i] == [x for x in known if x in text]
