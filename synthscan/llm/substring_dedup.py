@@ -9,9 +9,10 @@ never missed. Anchors that occur twice are then extended to the full windows aro
 128-bit hashes.
 
 At scale: both comparisons send one packed row for each (map chunk, hash bucket), and send back one for each (hash
-bucket, id bucket). A hash that recurs within a chunk is settled there and sent once, so a sequence that a third of all
-documents share costs one entry a chunk. Buckets grow in number with the input, so a bucket's size is bounded. The
-document shuffle is the same exchange in both joins, and Spark reuses it.
+bucket, id bucket). A hash that recurs within a chunk is settled there: only its first place goes to the hash's bucket,
+the others straight to the buckets of their ids. So a sequence that a third of all documents share costs its bucket one
+entry a chunk. Buckets grow in number with the input, so a bucket's size is bounded, and each is a partition of its own.
+The document shuffle is the same exchange in both joins, and Spark reuses it.
 
 Defined cases: a null or empty text has no words, nothing removed and an empty kept text; texts shorter than a window
 are kept whole; rows with a null id never match anything; rows that share an id count as one document at one place, so
@@ -32,8 +33,9 @@ from . import kernel
 from .common import by_size, byte_texts, parts, text_bytes
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
-CHUNK_BYTES, FLUSH, BUCKET_BYTES = 2 << 20, 1 << 20, 32 << 20
-PAYLOAD = "bucket int, hashes binary, again binary, ids binary, starts binary, repeated binary, more_ids binary, more_starts binary"
+CHUNK_BYTES, FLUSH, BUCKET_BYTES = 2 << 20, 1 << 20, 16 << 20
+#: Rows for hash buckets have all columns; rows for id buckets, which are numbered after those, have ids and starts alone.
+PAYLOAD = "bucket int, hashes binary, again binary, ids binary, starts binary, repeated binary"
 FOUND = "part int, ids binary, starts binary"
 PLACES = "id long, places array<int>"
 
@@ -65,7 +67,7 @@ def _groups(h: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _payloads(found: list[tuple[np.ndarray, ...]], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows for the buckets: the first place of each hash, and the places that follow it in this chunk."""
+    """The first place of each hash for the hash's bucket, and the places that follow it in this chunk for their ids' buckets."""
     h, again, ids, starts = (np.concatenate(x) for x in zip(*found, strict=True))
     by_place = np.lexsort((starts, ids))
     h, again, ids, starts = h[by_place], again[by_place], ids[by_place], starts[by_place]
@@ -80,29 +82,27 @@ def _payloads(found: list[tuple[np.ndarray, ...]], bits: int) -> Iterator[pa.Rec
     repeated = np.zeros(len(h), bool)
     repeated[lead] = sizes > 1
     bucket = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
-    rows = []
-    for part, (one, more) in enumerate(zip(_split(bucket, first, bits), _split(bucket, ~first & ~tied, bits), strict=True)):
-        if len(one):
-            rows.append((part, h[one].tobytes(), again[one].tobytes(), _pack(ids[one]), _pack(starts[one]), np.packbits(repeated[one]).tobytes(), _pack(ids[more]), _pack(starts[more])))
+    at = np.flatnonzero(first)
+    at = at[np.argsort(bucket[at], kind="stable")]
+    rows = [
+        (number, h[one].tobytes(), again[one].tobytes(), _pack(ids[one]), _pack(starts[one]), np.packbits(repeated[one]).tobytes())
+        for number, one in enumerate(np.split(at, np.searchsorted(bucket[at], np.arange(1, 1 << bits)))) if len(one)
+    ]
+    more = _found(ids[~first & ~tied], starts[~first & ~tied], bits)
+    rows += [(r["part"] + (1 << bits), None, None, r["ids"], r["starts"], None) for r in more.to_pylist()]
     names = [x.split()[0] for x in PAYLOAD.split(", ")]
-    kinds = [pa.int32()] + [pa.binary()] * 7
+    kinds = [pa.int32()] + [pa.binary()] * 5
     for row in rows:
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
 
-def _split(bucket: np.ndarray, chosen: np.ndarray, bits: int) -> list[np.ndarray]:
-    at = np.flatnonzero(chosen)
-    order = at[np.argsort(bucket[at], kind="stable")]
-    return np.split(order, np.searchsorted(bucket[order], np.arange(1, 1 << bits)))
-
-
 def _found(ids: np.ndarray, starts: np.ndarray, bits: int) -> pa.Table:
     """Places dealt by their ids, packed."""
     part = (kernel.mix(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(ids), np.int32)
     order = np.lexsort((starts, ids, part))
     part, ids, starts = part[order], ids[order], starts[order]
     numbers, begin = np.unique(part, return_index=True)
-    slices = [slice(a, b) for a, b in zip(begin, np.append(begin[1:], len(part)), strict=True)]
+    slices = [slice(a, b) for a, b in zip(begin, np.append(begin, len(part))[1:], strict=True)]
     return pa.table({"part": pa.array(numbers, pa.int32()), "ids": pa.array([_pack(ids[x]) for x in slices], pa.binary()), "starts": pa.array([_pack(starts[x]) for x in slices], pa.binary())})
 
 
@@ -117,33 +117,48 @@ def _places(part: pa.Table) -> pa.Table:
 
 
 def _compared(later_only: bool, bits: int):
-    """For a bucket: all places whose hash has two, or those of them that aren't the earliest."""
+    """Of a hash bucket: all places whose hash has two, or those of them that aren't the earliest; of an id bucket: all places."""
 
     def reduce(bucket: pa.Table) -> pa.Table:
-        rows = bucket.to_pylist()
-        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        again = np.concatenate([np.frombuffer(r["again"], np.uint64) for r in rows])
-        ids = np.concatenate([_unpack(r["ids"], np.int64) for r in rows])
-        starts = np.concatenate([_unpack(r["starts"], np.int32) for r in rows])
-        repeated = np.concatenate([np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=len(r["hashes"]) // 8) for r in rows]).astype(bool)
-        order, begins = _groups(h, again)
-        sizes = np.diff(np.append(np.flatnonzero(begins), len(order)))
-        several = np.repeat(sizes > 1, sizes)
-        group = np.cumsum(begins)[several]
-        order = order[several]
-        if later_only:
-            inner = np.lexsort((starts[order], ids[order], group))
-            order, group = order[inner], group[inner]
-            lead = order[np.searchsorted(group, group)]
-            out = order[(ids[order] != ids[lead]) | (starts[order] != starts[lead])]
-        else:
-            out = np.union1d(order, np.flatnonzero(repeated))
-        more = [(_unpack(r["more_ids"], np.int64), _unpack(r["more_starts"], np.int32)) for r in rows]
-        return _found(np.concatenate([ids[out], *(x[0] for x in more)]), np.concatenate([starts[out], *(x[1] for x in more)]), bits)
+        every = bucket.to_pylist()
+        rows, known = [r for r in every if r["hashes"] is not None], [r for r in every if r["hashes"] is None]
+        out_ids, out_starts = [_unpack(r["ids"], np.int64) for r in known], [_unpack(r["starts"], np.int32) for r in known]
+        if rows:
+            h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+            again = np.concatenate([np.frombuffer(r["again"], np.uint64) for r in rows])
+            ids = np.concatenate([_unpack(r["ids"], np.int64) for r in rows])
+            starts = np.concatenate([_unpack(r["starts"], np.int32) for r in rows])
+            repeated = np.concatenate([np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=len(r["hashes"]) // 8) for r in rows]).astype(bool)
+            order, begins = _groups(h, again)
+            sizes = np.diff(np.append(np.flatnonzero(begins), len(order)))
+            several = np.repeat(sizes > 1, sizes)
+            group = np.cumsum(begins)[several]
+            order = order[several]
+            if later_only:
+                inner = np.lexsort((starts[order], ids[order], group))
+                order, group = order[inner], group[inner]
+                lead = order[np.searchsorted(group, group)]
+                out = order[(ids[order] != ids[lead]) | (starts[order] != starts[lead])]
+            else:
+                out = np.union1d(order, np.flatnonzero(repeated))
+            out_ids.append(ids[out])
+            out_starts.append(starts[out])
+        return _found(np.concatenate(out_ids), np.concatenate(out_starts), bits)
 
     return reduce
 
 
+def in_partitions(sent: DataFrame, number: str, count: int, reduce, schema: str) -> DataFrame:
+    """reduce of the rows with each number, every number below count in a partition of its own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = [b for b in batches if b.num_rows]
+        if full:
+            yield from reduce(pa.Table.from_batches(full)).to_batches()
+
+    return sent.repartitionById(count, number).mapInArrow(run, schema)
+
+
 def _flushed(steps: Iterable[tuple[np.ndarray, ...]], bits: int) -> Iterator[pa.RecordBatch]:
     """Payloads of (hashes, second hashes, ids, places) steps, gathered to chunks of bounded size."""
     found, n = [], 0
@@ -230,8 +245,8 @@ def repeats(known: DataFrame, anchors, extended, bits: int) -> DataFrame:
     """
 
     def places(sent: DataFrame, later: bool) -> DataFrame:
-        found = sent.groupBy("bucket").applyInArrow(_compared(later, bits), FOUND)
-        return found.groupBy("part").applyInArrow(_places, PLACES)
+        found = in_partitions(sent, "bucket", 2 << bits, _compared(later, bits), FOUND)
+        return in_partitions(found, "part", 1 << bits, _places, PLACES)
 
     twice = places(known.mapInArrow(anchors, PAYLOAD), False)
     near = known.join(twice, "id").select("id", "body", "places")
