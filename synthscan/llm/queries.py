@@ -38,7 +38,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
     out = personal_data(documents(spark, sf_dir))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_found")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_found", (F.size("base") + F.size("found")).cast("long").alias("n_spans"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
