@@ -1,17 +1,21 @@
 """Byte-level BPE ids of many texts.
 
 The vocabulary is read as ranks by the faster of two public libraries, whose ids are the same; texts that hold the
-vocabulary's special token are encoded by the tokenizers library itself, which gives it its own id.
+vocabulary's special token are encoded by the tokenizers library itself, which gives it its own id, and so are those with
+a run of LONG_SPACE white-space characters or more, for which the faster one's pattern runs out of its stack.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache
 
 import numpy as np
 
 VOCABULARY, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "<|endoftext|>"
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 
 class Encoder:
@@ -28,7 +32,7 @@ class Encoder:
         self.slow = None
 
     def encode(self, text: str) -> np.ndarray:
-        if SPECIAL not in text:
+        if SPECIAL not in text and (len(text) < LONG_SPACE or not _LONG_SPACE.search(text)):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         if self.slow is None:
             from tokenizers import Tokenizer
