@@ -44,7 +44,8 @@ PROBES, SHARE = 256, 0.95
 PACKS, BLOCKS, CHUNKS, CHUNK = 256, 32, 8, 2048
 #: Query's class, candidate's class with the smallest of its ids, score.
 HITS = "q long, c long, least long, score double"
-PACKED = "ordering int, part int, begin long, n long, vec binary, least binary, asks binary, v binary"
+#: A block: its rows, and once more those that are queries.
+PACKED = "ordering int, part int, begin long, n long, vec binary, least binary, v binary, n_asks long, q binary, v_q binary"
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -214,8 +215,11 @@ def _packed(block: int):
 
         def pack(rows: pa.Table) -> pa.RecordBatch:
             vec, least, asks = (rows.column(x).combine_chunks().to_numpy(zero_copy_only=False) for x in ("vec", "least", "asks"))
-            row = (last, part, begin, rows.num_rows, vec.astype(np.int64).tobytes(), least.astype(np.int64).tobytes(), asks.astype(bool).tobytes(), b"".join(rows.column("v").to_pylist()))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4], strict=True)], [x.split()[0] for x in PACKED.split(", ")])
+            v = rows.column("v").to_pylist()
+            at = np.flatnonzero(asks)
+            row = (last, part, begin, rows.num_rows, vec.tobytes(), least.tobytes(), b"".join(v), len(at), vec[at].tobytes(), b"".join(v[i] for i in at))
+            kinds = [pa.binary() if x.endswith("binary") else pa.int32() if x.endswith("int") else pa.int64() for x in PACKED.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
         for b in batches:
             orderings = b.column("ordering").to_numpy()
@@ -239,24 +243,6 @@ def _packed(block: int):
     return run
 
 
-def _asking(pack: dict, d: int) -> tuple[np.ndarray, np.ndarray]:
-    asks = np.frombuffer(pack["asks"], bool)
-    return np.frombuffer(pack["vec"], np.int64)[asks], np.frombuffer(pack["v"], np.float64).reshape(-1, d)[asks]
-
-
-def _queries_of(d: int):
-    """The queries of packs, alone."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                q, v = _asking({x: row.column(x)[0].as_py() for x in ("asks", "vec", "v")}, d)
-                yield pa.RecordBatch.from_arrays([row.column("ordering"), row.column("begin"), row.column("n"), pa.array([q.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["ordering", "begin", "n", "q", "v_q"])
-
-    return run
-
-
 def _met(d: int, k: int):
     """Blocks and packs of queries that meet: the k best of each query."""
 
@@ -316,10 +302,10 @@ def _checks(packs: DataFrame, found: DataFrame, d: int, k: int, block: int) -> D
     def singly(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack in b.to_pylist():
-                q, v = _asking(pack, d)
+                q, v = np.frombuffer(pack["q"], np.int64), np.frombuffer(pack["v_q"], np.float64).reshape(-1, d)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), pack["home"] // each, np.int64)), pa.array([x.tobytes() for x in v], pa.binary())], ["q", "chunk", "v"])
 
-    asked = first.where("n_asks > 0").select("home", "vec", "asks", "v").mapInArrow(singly, "q long, chunk long, v binary").join(reached, "q", "left")
+    asked = first.where("n_asks > 0").select("home", "q", "v_q").mapInArrow(singly, "q long, chunk long, v binary").join(reached, "q", "left")
     asked = asked.select("q", "chunk", "v", F.when(F.col("n") >= k, F.col("least_score")).otherwise(-2.0).alias("floor"))
     chunks = stored(asked.groupBy("chunk").applyInArrow(_chunked(d), "chunk long, q binary, v_q binary, floor binary, least_floor double, center_q array<double>, radius_q double"), "chunks")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -346,9 +332,9 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     past = Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("ordering", "part", F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("base"))
     packs = packs.join(sizes, ["ordering", "part"]).withColumn("begin", F.col("base") + F.col("begin")).withColumn("home", F.expr(f"begin div {block}"))
-    packs = stored(packs.withColumn("n_asks", F.length(F.replace(F.hex("asks"), F.lit("00"), F.lit(""))) / 2).drop("base", "part"), "blocks")
+    packs = packs.drop("base", "part")
     # A block begins less than a block's rows before the rows it has; queries go to all that may have a row within reach.
-    asked = packs.where("n_asks > 0").select("ordering", "begin", "n", "vec", "asks", "v").mapInArrow(_queries_of(d), "ordering int, begin long, n long, q binary, v_q binary")
+    asked = packs.where("n_asks > 0").select("ordering", "begin", "n", "q", "v_q")
     low, high = F.greatest(F.expr(f"(begin - {wide + block}) div {block}"), F.lit(0)), F.expr(f"(begin + n + {wide}) div {block}")
     several = -(-(2 * wide + 3 * block) // block // PACKS) or 1
     asked = asked.select("ordering", "q", "v_q", F.pmod(F.expr(f"begin div {block}"), F.lit(several)).alias("several"), F.explode(F.sequence(low, high)).alias("home"))
