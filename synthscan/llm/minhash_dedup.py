@@ -6,9 +6,15 @@ P hash evaluations. Bands of signature values propose candidates: at the default
 of 0.85 is missed with probability 8e-6, more similar pairs more rarely.
 
 Candidates are confirmed in groups, not pairs. Documents with equal sets form a class with one representative.
-Representatives in a bucket are grouped under its smallest member; a group is dealt into tiles of bounded size, and any
-two members meet in a tile. In a tile all links are found exactly, without comparing all pairs (see `linked`), and each
-member reports one link to the smallest it is connected with. Components of those links are the near-duplicate groups.
+Representatives in a bucket are grouped under its smallest member; a group is dealt into tiles of bounded size, which all
+hold the same few `centres` of the group besides. In a tile all links are found exactly, without comparing all pairs (see
+`linked`), and each member reports one link to the smallest it is connected with. In a group of several tiles nearly all
+members are then connected by way of the centres. Two members whose link is still to be found cannot both be in the
+group's largest component, so only the members outside it go on: their tiles meet all tiles of the group. Components of
+all these links are the near-duplicate groups.
+
+At scale: a task holds a tile or two whatever the group's size. A giant group is read as often as the members that its
+centres don't reach fill tiles, which is seldom; the square of its tiles is needed only where nearly nothing is linked.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; rows with a null id are kept and
 linked with nothing (component null); rows that share an id are one node of the graph, each with its own row in the
@@ -21,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -29,7 +35,7 @@ from .common import by_size, byte_texts, stored
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
-CHUNK_BYTES, TILE_SHINGLES = 1 << 20, 400_000
+CHUNK_BYTES, TILE_SHINGLES, CENTRES = 1 << 20, 25_000, 8
 FEATURES = "id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -206,13 +212,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     members = keyed.join(buckets, "key").select("pivot", "rep", "n_shingles").distinct()
     tiles = members.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES)).alias("tiles"))
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    dealt = (
-        members.join(tiles, "pivot").select("pivot", "rep", own.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("y"))
-        .select("pivot", F.least("x", "y").alias("t"), F.greatest("x", "y").alias("u"), F.col("rep").alias("id"))
-    )
-    met = dealt.join(texts.where("text IS NOT NULL"), "id").repartition("pivot", "t", "u").sortWithinPartitions("pivot", "t", "u")
-    roots = components(met.mapInArrow(_links(k, least), "a long, b long"))
+    members = stored(members.join(tiles, "pivot").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("tiles"))), "members")
+    bodies = stored(members.select(F.col("rep").alias("id")).distinct().join(texts.where("text IS NOT NULL"), "id"), "bodies")
+
+    def confirmed(dealt: DataFrame) -> DataFrame:
+        met = dealt.distinct().join(bodies, "id").repartition("pivot", "t", "u").sortWithinPartitions("pivot", "t", "u")
+        return met.mapInArrow(_links(k, least), "a long, b long")
+
+    own = members.select("pivot", F.col("x").alias("t"), F.col("x").alias("u"), F.col("rep").alias("id"))
+    place = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("rep"), "rep"))
+    large = members.where("tiles > 1")
+    centres = large.withColumn("place", place).where(F.col("place") <= CENTRES)
+    centres = centres.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t"), F.col("rep").alias("id")).select("pivot", "t", F.col("t").alias("u"), "id")
+    links = stored(confirmed(own.union(centres)), "links")
+    roots = components(links)
+    if not large.isEmpty():
+        placed = large.join(roots, F.col("rep") == F.col("node"), "left").select("pivot", "rep", "n_shingles", "x", F.coalesce("component", "rep").alias("component"))
+        most = placed.groupBy("pivot", "component").count().groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        left = stored(placed.join(most, "pivot").where("component <> main").select("pivot", "rep", "n_shingles"), "left")
+        more = left.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / F.lit(TILE_SHINGLES)).alias("more"))
+        every = F.sequence(F.lit(0).cast("long"), F.col("more") - 1)
+        both = large.join(more, "pivot").select("pivot", F.explode(every).alias("t"), F.col("x").alias("u"), F.col("rep").alias("id"))
+        ours = left.join(more, "pivot").join(tiles, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("more")).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("u"), F.col("rep").alias("id"))
+        roots = components(roots.select("node", "component").toDF("a", "b").union(confirmed(both.union(ours))))
     reached = classes.select("h1", "h2", "n_shingles", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = features.select("id", "h1", "h2", "n_shingles").join(reached, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
