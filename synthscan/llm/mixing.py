@@ -25,15 +25,26 @@ from pyspark.sql import functions as F
 from .common import WORD_SEPARATORS, n_words, stored
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-LEAST_SLOTS_LOG2, BLOCK, BUCKET_ROWS, CELLS = 16, 4096, 512, 1024
+LEAST_SLOTS_LOG2, BLOCK, BUCKET_ROWS, CELLS, FAN = 16, 4096, 512, 1024, 4096
 
 
-def running(df: DataFrame, group: str, bucket: Column, order: list[str], value: Column) -> DataFrame:
-    """df with `before`: the sum of value over the rows of its group that come earlier by (bucket, order)."""
+def _bases(sums: DataFrame, group: str, buckets: int) -> DataFrame:
+    """(group, _bucket, _sum) with _base: the sum of the group's earlier buckets; no task gets more than FAN of them."""
+    past = lambda *by: Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda *by: F.coalesce(F.sum("_sum").over(past(*by)), F.lit(0))
+    if buckets <= FAN:
+        return sums.withColumn("_base", before(group))
+    sums = sums.withColumn("_up", F.expr(f"_bucket div {FAN}"))
+    above = _bases(sums.groupBy(group, F.col("_up").alias("_bucket")).agg(F.sum("_sum").alias("_sum")), group, -(-buckets // FAN))
+    above = above.select(F.col(group).alias("_group"), F.col("_bucket").alias("_above"), F.col("_base").alias("_start"))
+    joined = sums.join(above, (F.col(group) == F.col("_group")) & (F.col("_up") == F.col("_above")))
+    return joined.select(group, "_bucket", "_sum", (F.col("_start") + before(group, "_up")).alias("_base"))
+
+
+def running(df: DataFrame, group: str, bucket: Column, buckets: int, order: list[str], value: Column) -> DataFrame:
+    """df with `before`: the sum of value over the rows of its group that come earlier by (bucket, order); bucket is a long below buckets."""
     df = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    sums = df.groupBy(group, "_bucket").agg(F.sum("_value").alias("_base"))
-    past = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_base").over(past), F.lit(0)))
+    sums = _bases(df.groupBy(group, "_bucket").agg(F.sum("_value").alias("_sum")), group, buckets).drop("_sum")
     inner = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = df.join(sums, [group, "_bucket"]).withColumn("before", F.col("_base") + F.coalesce(F.sum("_value").over(inner), F.lit(0)))
     return out.drop("_bucket", "_value", "_base")
@@ -92,7 +103,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), reversed_bits.alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / width))
     drawn = points.join(own, "cell").where("point >= a AND point < b").select("slot", "number")
-    return running(drawn, "number", F.expr(f"slot div {BUCKET_ROWS}"), ["slot"], F.lit(1)).select("slot", "number", F.col("before").alias("rank"))
+    return running(drawn, "number", F.expr(f"slot div {BUCKET_ROWS}"), -(-slots // BUCKET_ROWS), ["slot"], F.lit(1)).select("slot", "number", F.col("before").alias("rank"))
 
 
 def _block_of(position: Column, block: float) -> Column:
@@ -101,8 +112,9 @@ def _block_of(position: Column, block: float) -> Column:
     return F.when(F.floor((near + 1) * F.lit(block)) <= position, near + 1).when(F.floor(near * F.lit(block)) > position, near - 1).otherwise(near)
 
 
-def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """For each row of sizes: id, source, size, source_size, target, taken, passes (words taken in each pass over the source)."""
+def _plan(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents of sizes in their places; their pieces (block, part: words of it, begin: in the document); and the
+    schedule's draws (number, block, slot, time: from 0)."""
     rows, words = sizes.agg(F.count("*"), F.sum("size")).first()
     slots, words = n_slots(words or 0, share), words or 0
     block = max(share * words / slots, 1.0)
@@ -110,32 +122,54 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     digits = 0
     while rows > BUCKET_ROWS * 16**digits:
         digits += 1
-    columns = ["id", "source", "size", "source_size", "target"]
+    bucket = F.conv(F.substring("key", 1, digits), 16, 10).cast("long") if digits else F.lit(0).cast("long")
     placed = sizes.join(sources.select(F.col("source").alias("_source"), "number", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = running(placed, "number", F.substring("key", 1, digits), ["key", "id", "size"], F.col("size"))
+    placed = running(placed, "number", bucket, 16**digits, ["key", "id", "size"], F.col("size"))
     end = F.col("before") + F.col("size")
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(_block_of(F.col("before"), block), _block_of(end - 1, block))))
-    part = F.least(end, F.floor((F.col("block") + 1) * block)) - F.greatest(F.col("before"), F.floor(F.col("block") * block))
+    begin = F.greatest(F.col("before"), F.floor(F.col("block") * block))
+    pieces = pieces.withColumn("part", F.least(end, F.floor((F.col("block") + 1) * block)) - begin).withColumn("begin", begin - F.col("before"))
     blocks = sources.where("source_size > 0").select("number", (_block_of(F.col("source_size") - 1, block) + 1).alias("blocks"))
-    times = schedule(sources, slots).join(blocks, "number").groupBy("number", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
-    taken = pieces.withColumn("part", part).join(times, ["number", "block"], "left")
-    passes = F.array(*(F.sum(F.when(F.col("times") >= i, F.col("part")).otherwise(0)).cast("long") for i in range(1, cap + 1)))
-    taken = taken.groupBy("number", "before", *columns).agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"), passes.alias("passes"))
-    none = placed.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), F.array(*[F.lit(0).cast("long")] * cap).alias("passes"))
-    return taken.select(*columns, "taken", "passes").union(none)
+    draws = schedule(sources, slots).join(blocks, "number").select("number", (F.col("rank") % F.col("blocks")).alias("block"), "slot", F.floor(F.col("rank") / F.col("blocks")).alias("time"))
+    return placed, pieces, draws.where(F.col("time") < cap)
+
+
+def drawn(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The mix as a schedule: slot, source, block, id, begin and words (of the document, the words from begin on). Rows of
+    a slot that takes no words are none."""
+    _, pieces, draws = _plan(sizes, weights, share, cap)
+    return pieces.join(draws, ["number", "block"]).select("slot", "source", "block", "id", "begin", F.col("part").alias("words"))
+
+
+def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """For each row of sizes: id, source, size, source_size, target, taken, passes (words taken in each pass over the
+    source) and slots (the first that takes words of it in each pass, or null)."""
+    columns = ["id", "source", "size", "source_size", "target"]
+    placed, pieces, draws = _plan(sizes, weights, share, cap)
+    at = lambda i: F.col("time") == i
+    times = draws.groupBy("number", "block").agg(*(F.min(F.when(at(i), F.col("slot"))).alias(f"slot_{i}") for i in range(cap)))
+    taken = pieces.join(times, ["number", "block"], "left").groupBy("number", "before", *columns).agg(
+        F.array(*(F.sum(F.when(F.col(f"slot_{i}").isNotNull(), F.col("part")).otherwise(0)).cast("long") for i in range(cap))).alias("passes"),
+        F.array(*(F.min(f"slot_{i}") for i in range(cap))).alias("slots"),
+    )
+    none = placed.where("size = 0").select(*columns, F.array(*[F.lit(0).cast("long")] * cap).alias("passes"), F.array(*[F.lit(None).cast("long")] * cap).alias("slots"))
+    total = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return taken.select(*columns, "passes", "slots").union(none).select(*columns, total.alias("taken"), "passes", "slots")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The mix itself: docs' columns, a row for each pass that takes words of a document.
+    """The mix itself: docs' columns, a row for each pass that takes words of a document, in the order of the schedule.
 
     A pass that takes all of a document keeps its text; one that takes its head only keeps those words, joined by one
     space. Rows that share id and size are taken alike, as the first of them.
     """
     plan = mix(sized(docs, id_col, text_col, source_col), weights, share, cap)
-    plan = plan.where("taken > 0").groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.min(F.struct("source", "passes"))["passes"].alias("__mix_passes"))
+    plan = plan.where("taken > 0").groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__mix_id"), F.col("size").alias("__mix_size")).agg(F.min(F.struct("source", F.arrays_zip(F.col("passes").alias("n"), F.col("slots").alias("slot")).alias("passes")))["passes"].alias("__mix_passes"))
     names = docs.columns
     rows = docs.withColumn("__mix_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__mix_size", n_words(F.col(text_col)))
-    rows = rows.join(plan, ["__mix_id", "__mix_size"]).withColumn("__mix_n", F.explode(F.filter("__mix_passes", lambda x: x > 0)))
+    rows = rows.join(plan, ["__mix_id", "__mix_size"]).withColumn("__mix_pass", F.explode(F.filter("__mix_passes", lambda x: x["n"] > 0)))
+    rows = rows.withColumn("__mix_n", F.col("__mix_pass")["n"]).withColumn("__mix_slot", F.col("__mix_pass")["slot"]).drop("__mix_pass", "__mix_passes")
+    rows = rows.repartitionByRange("__mix_slot", "__mix_id").sortWithinPartitions("__mix_slot", "__mix_id")
     head = F.array_join(F.slice(F.filter(F.split(F.col(text_col), WORD_SEPARATORS), lambda x: x != ""), F.lit(1), F.col("__mix_n").cast("int")), " ")
     return rows.withColumn(text_col, F.when(F.col("__mix_n") == F.col("__mix_size"), F.col(text_col)).otherwise(head)).select(*names)
 
