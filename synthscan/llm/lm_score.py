@@ -4,27 +4,18 @@ A background model is counted over all documents, a target model over texts of t
 over the same vocabulary, the words of both corpora with A-Z lower-cased, smoothed alike:
 
   p(w | v) = (c(v w) + prior q(w)) / (c(v) + prior), v a word or the beginning of a text,
-
-where q is the model's own distribution of words, told by the word's class: one of 2^16 by hash, which tells the frequent
-words apart, and what all tasks get of q is of fixed size however the vocabulary grows.
-
-  q(w) = (c(class of w) + 1) / (words + classes) / (words a class has on average, 1 at least)
+  q(w) = (c(w) + 1) / (words + size of the vocabulary)
 
 A document's score is its mean loss per word under the target model less that under the background model, in nats:
-the lower, the more it is like the target. Words are told apart by 32-bit hashes.
-
-With `exact`, as op7 has it, words are told apart by 64-bit hashes, and q is of words, not of classes:
-
-  q(w) = (c(w) + 1) / (words + size of the vocabulary)
+the lower, the more it is like the target. Words are told apart by 64-bit hashes.
 
-At scale: counts are exact over all texts and no model of bigrams is held or broadcast. Bigrams go, packed by (map chunk, bucket),
-to the bucket of their first word, where both counts of it and of its bigrams meet, and the bucket sends back a partial
-loss for each document it has words of. First words so common that they would fill a bucket (`heavy`: at most 2^15 of
-them, whatever the input) are dealt by the whole bigram instead; only their counts are sent to all tasks. The number of
-buckets grows with the input, so a bucket's size is bounded.
-With `exact`, every occurrence of a word goes, with the word before it, to the word's own bucket: all that its loss takes
-meets there, c(w) and c(v w) for its own turn and, as the losses' parts add up, c(w) of the next word's context. So no
-table of words is gathered anywhere; tasks get totals and the counts of heavy words.
+At scale: counts are exact over all texts, and no table of words or bigrams is held, gathered or broadcast. Every
+occurrence of a word goes, with the word before it, packed by (map chunk, bucket), to the word's own bucket: all that its
+loss takes meets there, c(w) and c(v w) for its own turn and, as the losses' parts add up, c(w) of the next word's
+context; the bucket sends back a partial loss for each document it has words of. Words so common that they would fill a
+bucket (`heavy`: those with a share of 2^-19 of the input's bytes or more, so fewer than 2^19 of them whatever the input,
+and by the lengths of words and their distribution some ten thousand) are dealt by the whole bigram instead; only their
+counts and totals are sent to all tasks. The number of buckets grows with the input.
 
 Defined cases: null and wordless texts have 0 words, null losses and a null score; null ids take no part and have a null
 score; rows that share an id are scored as one document, each with that score; an empty target makes every word
@@ -44,13 +35,13 @@ from . import kernel
 from .common import by_size, byte_texts, parts, stored, text_bytes
 from .substring_dedup import _pack, _unpack
 
-PRIOR, CLASS_BITS, CHUNK_BYTES, FLUSH, BUCKET_BYTES, HEAVY_SHARE = 10.0, 16, 2 << 20, 1 << 20, 24 << 20, 1 << 16
+PRIOR, CHUNK_BYTES, FLUSH, BUCKET_BYTES, HEAVY_SHARE = 10.0, 2 << 20, 1 << 20, 24 << 20, 1 << 19
 BEGIN = np.uint64(1)
 LOSSES = "bucket int, part int, ids binary, words binary, target_loss binary, background_loss binary"
 
 
-def _word_keys(words: kernel.Words, width: int = 32) -> np.ndarray:
-    return np.maximum(words.hashes() >> np.uint64(64 - width), np.uint64(2))
+def _word_keys(words: kernel.Words) -> np.ndarray:
+    return np.maximum(words.hashes(), np.uint64(2))
 
 
 def _bucket(x: np.ndarray, bits: int) -> np.ndarray:
@@ -63,7 +54,7 @@ def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     return zip(numbers.tolist(), np.split(order, begin[1:]) if len(order) else [], strict=True)
 
 
-def _word_counts(bits: int, width: int = 32):
+def _word_counts(bits: int):
     """Words of a chunk by bucket, with how often they occur and how often before another word; a text's beginning is one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,104 +62,17 @@ def _word_counts(bits: int, width: int = 32):
             target = batch.column("target")[0].as_py()
             words = kernel.words(byte_texts(batch.column("text")), lower=True)
             full = np.diff(words.first) > 0
-            keys, which = np.unique(np.concatenate((_word_keys(words, width), np.full(int(full.sum()), BEGIN))), return_inverse=True)
+            keys, which = np.unique(np.concatenate((_word_keys(words), np.full(int(full.sum()), BEGIN))), return_inverse=True)
             first = np.ones(len(which), bool)
             first[words.first[1:][full] - 1] = False
             times, before = np.bincount(which, minlength=len(keys)), np.bincount(which[first], minlength=len(keys))
-            for number, rows in _dealt((keys >> np.uint64(width - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)):
+            for number, rows in _dealt((keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)):
                 columns = [pa.array([number], pa.int32()), pa.array([target]), *(pa.array([_pack(x[rows])], pa.binary()) for x in (keys, times, before))]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "target", "words", "times", "before"])
 
     return run
 
 
-def _vocabulary(least: int):
-    """Of a bucket: the number of its words, the counts of its classes, and the heavy words as firsts of bigrams."""
-
-    def reduce(bucket: pa.Table) -> pa.Table:
-        rows = bucket.to_pylist()
-        keys = np.concatenate([_unpack(r["words"], np.uint64) for r in rows])
-        target = np.repeat([r["target"] for r in rows], [len(r["words"]) // 8 for r in rows]).astype(bool)
-        unique, which = np.unique(keys, return_inverse=True)
-        times, before = (np.stack([np.bincount(which[on], n[on], len(unique)) for on in (~target, target)]).astype(np.int64) for n in (np.concatenate([_unpack(r[x], np.int64) for r in rows]) for x in ("times", "before")))
-        real = unique > BEGIN
-        classes, of = np.unique(unique[real] >> np.uint64(32 - CLASS_BITS), return_inverse=True)
-        heavy = np.flatnonzero(before.sum(axis=0) >= least)
-        kinds = np.repeat(np.arange(3, dtype=np.int32), [1, len(heavy), len(classes)])
-        sums = [np.concatenate(([real.sum()], before[i][heavy], np.bincount(of, times[i][real], len(classes)))).astype(np.int64) for i in (0, 1)]
-        return pa.table([pa.array(kinds), pa.array(np.concatenate(([0], unique[heavy], classes)).astype(np.int64)), *map(pa.array, sums)], names=["kind", "key", "background", "target"])
-
-    return reduce
-
-
-def _bigrams(bits: int, heavy: np.ndarray):
-    names = ["bucket", "target", "keys", "ids", "counts"]
-
-    def send(keys: list, ids: list, target: bool) -> Iterator[pa.RecordBatch]:
-        k, i = np.concatenate(keys), np.concatenate(ids)
-        first = k >> np.uint64(32)
-        common = np.isin(first, heavy)
-        for number, rows in _dealt(np.where(common, _bucket(k, bits), _bucket(first, bits))):
-            own = i[rows]
-            begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            sizes = np.diff(np.append(begin, len(own))).astype(np.int32)
-            columns = [pa.array([number], pa.int32()), pa.array([target]), *(pa.array([x], pa.binary()) for x in (k[rows].tobytes(), _pack(own[begin]), _pack(sizes)))]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, n, last = [], [], 0, None
-        for batch in by_size(batches, "text", CHUNK_BYTES):
-            target = batch.column("target")[0].as_py()
-            if n >= FLUSH or n and target != last:
-                yield from send(keys, ids, last)
-                keys, ids, n = [], [], 0
-            words = kernel.words(byte_texts(batch.column("text")), lower=True)
-            own = _word_keys(words)
-            before = np.concatenate(([BEGIN], own[:-1])) if len(own) else own
-            before[words.first[:-1][np.diff(words.first) > 0]] = BEGIN
-            keys.append(before << np.uint64(32) | own)
-            ids.append(batch.column("id").to_numpy(zero_copy_only=False)[words.text_of])
-            n, last = n + len(own), target
-        if n:
-            yield from send(keys, ids, last)
-
-    return run
-
-
-def _losses(prior: float, words: np.ndarray, heavy: np.ndarray, heavy_counts: np.ndarray, bits: int):
-    """words: q for each class, of the target and of the background."""
-
-    def reduce(bucket: pa.Table) -> pa.Table:
-        rows = sorted(bucket.to_pylist(), key=lambda r: (r["target"], r["ids"], r["keys"]))
-        number = rows[0]["bucket"]
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-        scored = sum(len(r["keys"]) // 8 for r in rows if not r["target"])  # these come first
-        ids = np.concatenate([np.zeros(0, np.int64), *(_unpack(r["ids"], np.int64) for r in rows if not r["target"])])
-        sizes = np.concatenate([np.zeros(0, np.int32), *(_unpack(r["counts"], np.int32) for r in rows if not r["target"])])
-        order = np.argsort(keys)
-        ordered = keys[order]
-        begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        grams, n = ordered[begin], np.diff(np.append(begin, len(keys)))
-        t = np.add.reduceat((order >= scored).astype(np.int64), begin)
-        contexts, place, inverse = np.unique(grams >> np.uint64(32), return_index=True, return_inverse=True)
-        known = np.clip(np.searchsorted(heavy, contexts), 0, max(0, len(heavy) - 1))
-        classes = (grams & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CLASS_BITS)
-        loss = []
-        for column, count in enumerate((t, n - t)):
-            total = np.add.reduceat(count, place)
-            if len(heavy):
-                total = np.where(heavy[known] == contexts, heavy_counts[known, column], total)
-            gram = np.log(total[inverse] + prior) - np.log(count + prior * words[column][classes])
-            each = np.empty(len(keys))
-            each[order] = np.repeat(gram, n)
-            loss.append(np.add.reduceat(each[:scored], np.cumsum(sizes) - sizes) if scored else np.zeros(0))
-        out = [(number, part, _pack(ids[at]), _pack(sizes[at]), loss[0][at].tobytes(), loss[1][at].tobytes()) for part, at in _dealt(_bucket(ids.view(np.uint64), bits))] if scored else []
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "part", "ids", "words", "target_loss", "background_loss"])
-
-    return reduce
-
-
 def _totals(least: int):
     """Of a bucket: its distinct words (kind 0), all their occurrences (1), texts (2), and the heavy words (3)."""
 
@@ -216,7 +120,7 @@ def _occurrences(bits: int, heavy: np.ndarray):
                 yield from send(found, before_target)
                 found, n = [], 0
             words = kernel.words(byte_texts(batch.column("text")), lower=True)
-            own = _word_keys(words, 64)
+            own = _word_keys(words)
             full = np.diff(words.first) > 0
             before = np.concatenate(([BEGIN], own[:-1])) if len(own) else own
             before[words.first[:-1][full]] = BEGIN
@@ -275,8 +179,8 @@ def _word_losses(prior: float, mass: np.ndarray, texts: np.ndarray, heavy: np.nd
     return reduce
 
 
-def _exact_losses(both: DataFrame, prior: float, size: int, bits: int) -> DataFrame:
-    counted = both.mapInArrow(_word_counts(bits, 64), "bucket int, target boolean, words binary, times binary, before binary")
+def _losses(both: DataFrame, prior: float, size: int, bits: int) -> DataFrame:
+    counted = both.mapInArrow(_word_counts(bits), "bucket int, target boolean, words binary, times binary, before binary")
     counted = counted.groupBy("bucket").applyInArrow(_totals(max(1024, size // HEAVY_SHARE)), "kind int, key long, target long, background long, target_before long, background_before long")
     summed = stored(counted, "vocabulary").groupBy("kind", "key").agg(*(F.sum(x).alias(x) for x in ("target", "background", "target_before", "background_before"))).toPandas()
     number, words, texts = (summed.loc[summed["kind"] == i, ["target", "background"]].to_numpy(np.int64).sum(axis=0) for i in range(3))
@@ -297,30 +201,14 @@ def _summed(part: pa.Table) -> pa.Table:
     return pa.table([pa.array(unique), pa.array(words), *map(pa.array, loss)], names=["id", "n_words", "target_loss", "background_loss"])
 
 
-def _class_losses(both: DataFrame, prior: float, size: int, bits: int) -> DataFrame:
-    counted = both.mapInArrow(_word_counts(min(bits, CLASS_BITS)), "bucket int, target boolean, words binary, times binary, before binary")
-    counted = counted.groupBy("bucket").applyInArrow(_vocabulary(max(1024, size // HEAVY_SHARE)), "kind int, key long, background long, target long")
-    counts = stored(counted, "vocabulary").where("kind > 0 OR background > 0").orderBy("kind", "key").toPandas()
-    number, common, classed = (counts[counts["kind"] == i] for i in range(3))
-    size_of = max(1, int(number["background"].sum())) / (1 << CLASS_BITS)
-    q = np.ones((2, 1 << CLASS_BITS))
-    for i, name in enumerate(("target", "background")):
-        q[i, classed["key"]] += classed[name]
-        q[i] /= q[i].sum() * max(1.0, size_of)
-    heavy = common["key"].to_numpy(np.int64).view(np.uint64)
-    sent = both.mapInArrow(_bigrams(bits, heavy), "bucket int, target boolean, keys binary, ids binary, counts binary")
-    losses = _losses(prior, q, heavy, common[["target", "background"]].to_numpy(np.int64), bits)
-    return sent.groupBy("bucket").applyInArrow(losses, LOSSES)
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, exact: bool = False) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
     """One row per document: id, n_words, target_loss and background_loss (sums), score. target needs a column text_col."""
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     both = ids.where("id IS NOT NULL").withColumn("target", F.lit(False)).union(target.select(F.lit(0).cast("long"), F.col(text_col), F.lit(True)))
     both = both.where("text IS NOT NULL")
     size = text_bytes(both)
     bits = (parts(size, BUCKET_BYTES) - 1).bit_length()
-    losses = (_exact_losses if exact else _class_losses)(both, prior, size, bits)
+    losses = _losses(both, prior, size, bits)
     summed = losses.groupBy("part").applyInArrow(_summed, "id long, n_words long, target_loss double, background_loss double")
     out = ids.select("id").join(summed, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_words", F.lit(0)).alias("n_words"), "target_loss", "background_loss", ((F.col("target_loss") - F.col("background_loss")) / F.col("n_words")).alias("score"))

@@ -379,34 +379,6 @@ def test_packer_keeps_open_windows_bounded():
 # --- 7: language-model scoring
 
 
-def test_cross_entropy_difference(spark, docs, sf):
-    target = spark.read.parquet(f"{sf}/benchmark.parquet")
-    rows, wanted = pairs(docs), [r.text for r in target.collect()]
-    bigrams = lambda t: list(zip([None, *words(t.encode().lower().decode())], words(t.encode().lower().decode())))
-    counts = []
-    for texts in (wanted, [t for _, t in rows]):
-        pair = Counter(g for t in texts for g in bigrams(t))
-        first = Counter()
-        for (v, _), c in pair.items():
-            first[v] += c
-        counts.append((pair, first))
-    vocabulary = sorted({w for pair, _ in counts for _, w in pair})
-    keys = lm_score._word_keys(kernel.words([b"\n".join(vocabulary)]))
-    of = dict(zip(vocabulary, (keys >> np.uint64(32 - lm_score.CLASS_BITS)).tolist()))
-    size, models = 1 << lm_score.CLASS_BITS, []
-    for pair, first in counts:
-        classes = Counter()
-        for (_, w), c in pair.items():
-            classes[of[w]] += c
-        models.append((pair, first, classes, sum(classes.values()) + size))
-    each = max(1, len(vocabulary) / size)
-    loss = lambda t, m: -sum(math.log((m[0][g] + 10 * (m[2][of[g[1]]] + 1) / m[3] / each) / (m[1][g[0]] + 10)) for g in bigrams(t))
-    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target).collect()}
-    for d, t in rows:
-        assert got[d].n_words == len(words(t))
-        assert got[d].target_loss == pytest.approx(loss(t, models[0]), rel=1e-9) and got[d].background_loss == pytest.approx(loss(t, models[1]), rel=1e-9)
-
-
 def test_scores_prefer_the_target(spark):
     rng = random.Random(2)
     text = lambda names: " ".join(rng.choice(names) for _ in range(200))

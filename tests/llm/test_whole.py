@@ -84,12 +84,12 @@ def test_scoring_by_words_of_heavy_and_odd_rows(spark, odd, empty, monkeypatch):
     target = ["a b a", "", "b b"]
     want = losses(rows, target)
     wanted = spark.createDataFrame([(t,) for t in target], "text string")
-    for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), wanted, exact=True).collect():
+    for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), wanted).collect():
         assert (r.n_words, pytest.approx(r.target_loss, rel=1e-9), pytest.approx(r.background_loss, rel=1e-9)) == want[r.doc_id]
-    got = lm_score.cross_entropy_difference(odd, odd.limit(0), exact=True).collect()
+    got = lm_score.cross_entropy_difference(odd, odd.limit(0)).collect()
     assert len(got) == odd.count()
     assert all((r.score is None) == (r.doc_id is None or r.n_words == 0) for r in got)
-    assert lm_score.cross_entropy_difference(empty, odd, exact=True).count() == 0
+    assert lm_score.cross_entropy_difference(empty, odd).count() == 0
 
 
 # --- 9: line dedup of every run that has 50 words, however few lines
