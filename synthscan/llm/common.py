@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,22 +22,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """The folder named by spark.checkpoint.dir. Where the session names none, one is made in local mode; on a cluster,
+    where executors could not see it, that is an error."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="synthscan-"))
-    return context.getCheckpointDir().rstrip("/")
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return the table: cuts lineage, survives lost executors."""
+_scopes: list[list[str]] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within go when it ends; only what is written or counted before then may use them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing uses any more."""
+    if table in _paths:
+        _remove(table.sparkSession, _paths.pop(table))
+
+
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and return the table: cuts lineage, survives lost executors. outlives: it
+    stays when the scratch it is stored in ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{re.sub('[^A-Za-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes and not outlives:
+        _scopes[-1].append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
 
 
 def parts(n_bytes: int | None, each: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 ROUNDS = 60
 
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "links")
+        before, now = now, stored(small, "links")
+        discard(before)
         parents = now.select(F.col("v").alias("u")).distinct()
         if now.groupBy("u").count().where("count > 1").isEmpty() and now.join(parents, "u", "left_semi").isEmpty():
             break

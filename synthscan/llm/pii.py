@@ -39,7 +39,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 KINDS = ("email", "ip", "card", "phone")  # of the base
 FOUND = (*KINDS, "secret")
@@ -222,7 +222,9 @@ def bootstrapped(found: DataFrame, support: int = 5, accept: float = 0.9, rounds
         scored = sided.groupBy("value", "kind").agg(F.max("score").alias("score"))
         now = stored(known.union(scored.where(F.col("score") >= accept).select("value", "kind")).distinct(), "known")
         if now.count() == known.count():
+            discard(now)
             break
+        discard(known)
         known = now
     best = F.min("kind").alias("kind")  # one kind for each value
     return known.groupBy("value").agg(best)

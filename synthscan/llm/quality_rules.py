@@ -7,8 +7,9 @@ rule covers is taken out and the next one is grown, until a rule's precision on
 `precision` or it covers fewer than `support` rejected documents of either part. The rules are emitted as one ordered
 Spark conditional expression over the statistics, so applying them is a projection.
 
-Fitting collects at most `max_rows` labelled rows of statistics (the smallest id hashes; the documented bound); the
-statistics, and the rules' application, cover all documents.
+Fitting takes at most `max_rows` labels (the smallest id hashes; the documented bound), which are broadcast to their
+documents; the statistics, and the rules' application, cover all documents. Rows that share a labelled id count
+each, within the bound.
 
 Defined cases: null and wordless texts have zero statistics and fail the base; no labels, or labels of one kind only,
 give an empty list that rejects nothing; label rows with nulls are ignored; an id labelled twice counts twice; rows that
@@ -210,26 +211,37 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
     return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 20_000) -> DecisionList:
-    """Learn from stats (id and statistics) and labels (id, label: 0 is to be rejected); at most max_rows rows."""
+def chosen(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """(id, bad) of max_rows usable labels at most, those with the smallest id hashes; label 0 is bad, to be rejected."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 0).alias("bad"))
-    rows = stats.where(~base_failed()).select(F.col(id_col).alias("id"), *(feature(x).alias(x) for x in FEATURES))
-    rows = stored(rows.join(known, "id"), "labelled")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    if (n := rows.count()) > max_rows:  # so that tasks send the driver little more than is kept
-        rows = rows.where(place < F.lit(int(1.1 * max_rows / n * (1 << 40))))
-    seen = rows.orderBy(place, "id", "bad", *FEATURES).limit(max_rows).select("bad", *FEATURES).toPandas()
+    if (n := known.count()) > max_rows:  # so that tasks send the driver little more than is kept
+        known = known.where(place < F.lit(int(1.1 * max_rows / n * (1 << 40))))
+    return stored(known.orderBy(place, "id", "bad").limit(max_rows), "labels")
+
+
+def fit(stats: DataFrame, known: DataFrame, max_rows: int = 20_000) -> DecisionList:
+    """Learn from stats (id and statistics) of the ids that are known (id, bad), as few as `chosen` gives."""
+    rows = stats.where(~base_failed()).select("id", *(feature(x).alias(x) for x in FEATURES)).join(F.broadcast(known), "id")
+    seen = rows.orderBy(F.xxhash64("id"), "id", "bad", *FEATURES).limit(max_rows).select("bad", *FEATURES).toPandas()
     bad = seen["bad"].to_numpy(bool)
     return learn(seen[list(FEATURES)].to_numpy(float), bad, list(FEATURES)) if bad.any() and not bad.all() else DecisionList()
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> DecisionList:
+    """Learn from documents and labels; only the texts of chosen labels are looked at, and none is shuffled."""
+    known = chosen(labels, id_col, label_col, max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(F.broadcast(known.select("id").distinct()), "id", "left_semi")
+    return fit(with_statistics(texts, "_text").drop("_text"), known, max_rows)
+
+
 def judged(stats: DataFrame, rules: DecisionList) -> DataFrame:
     """stats with base_failed, rule (the first that rejects, else 0) and kept."""
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.rule())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> DataFrame:
     """Id, statistics, base_failed, rule and kept of every document."""
     stats = stored(with_statistics(docs.select(F.col(id_col), F.col(text_col).alias("_text")), "_text").drop("_text"), "statistics")
-    return judged(stats, fit(stats, labels, id_col))
+    return judged(stats, fit(stats.withColumnRenamed(id_col, "id"), chosen(labels, id_col, "quality", max_rows), max_rows))
