@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthscan.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules
-from synthscan.llm.common import documents, stored
+from synthscan.llm.common import discard, documents, scratch, stored
 
 
 def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,14 +28,14 @@ def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base or a learned rule go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rules = quality_rules.fit(quality_rules.with_statistics(docs.select("doc_id", "text")), labels)
+    rules = quality_rules.fitted(docs, labels)
     bare, back = _aside(docs, (*quality_rules.STATISTICS, "base_failed", "rule", "kept"))
     kept = quality_rules.judged(quality_rules.with_statistics(bare), rules).where("kept")
     return kept.select(bare.columns).withColumnsRenamed(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines, of 3 lines or of 50 words, go from the texts."""
+    """Later repeats of runs of lines, of 3 lines or of 50 words together, go from the texts."""
     bare, back = _aside(docs, ("n_lines", "n_removed"))
     return _measured(line_dedup.line_dedup(bare, short=True), bare.columns).withColumnsRenamed(back)
 
@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated or cut to their targets; a document may come twice, or in part."""
+    """Sources are repeated or cut to their targets, in the order of the schedule; a document may come twice, or in part."""
     return _measured(mixing.mixed(docs), docs.columns)
 
 
@@ -63,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. What a stage leaves in the shared folder goes when the next stage's documents are written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            kept = stored(stage(spark, docs, sf_dir), name, outlives=True)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
