@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import overlap as O
 from ..functions import text as X
-from ..functions.stopwords import ENGLISH
+from ..functions.stopwords import english
 from ..operators.statistics import sequence_score
+from ..plans.tables import stored
 from ..providers import base
 from ..providers.ngram import NGramModel
 from ..sources import cache
-from ..sources.sinks import output_dir
+from ..sources.sinks import cache_root
 from .registry import Detector, register
 
+log = logging.getLogger(__name__)
+
 
 def _filled(df: DataFrame, store: cache.Cache, key: str, prompt: str, generate, kind: str, least: int = 0) -> DataFrame:
     """df with the cache's values, after missing ones were generated and added."""
-    missing = store.misses(df, key, least)
-    if not missing.isEmpty():
+    missing = stored(store.misses(df, key, least).select(key, prompt), "missing")
+    n = missing.count()
+    if n:
         store.added(base.generated(missing, key, prompt, generate, store.value, kind), least)
+    log.info("%s: %d of %d keys generated, the others found; the cache has %d now", store.path, n, df.select(key).distinct().count(), store.size())
     return store.looked_up(df, key, least)
 
 
@@ -41,14 +48,13 @@ class DivergentNGrams(Detector):
         cut = df.select("row_id", X.truncated(F.col("text"), ratio).alias("x"), (F.col(prompt) if prompt and prompt in df.columns else F.lit(None)).alias("p"))
         cut = cut.select("row_id", X.with_prompt(F.col("p"), F.col("x.prefix")).alias("prefix"), F.col("x.remainder").alias("rest"))
         cut = cut.withColumn("hash", X.continuation_key(F.col("prefix"), ratio, k))
-        store = cache.continuations(df.sparkSession, o.get("cache_dir") or f"{output_dir()}/cache", name)
+        store = cache.continuations(df.sparkSession, o.get("cache_dir") or cache_root(df.sparkSession), name)
         rows = _filled(cut, store, "hash", "prefix", generate, "array<string>", k)
-        stop = o.get("stopwords", ENGLISH)
-        words = lambda c: O.stemmed(O.without(O.tokens(c), stop))
-        each = rows.select("row_id", words(F.col("rest")).alias("rest"), F.posexplode_outer("continuations").alias("i", "y"))
-        each = each.select("row_id", "rest", "i", words(F.coalesce("y", F.lit(""))).alias("y"))
-        grouped = each.groupBy("row_id").agg(F.first("rest").alias("rest"), F.transform(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "y")))), lambda x: x["y"]).alias("ys"))
-        return grouped.select("row_id", O.bscore_fast(o.get("n_min", O.N_MIN), o.get("n_max", O.N_MAX))("rest", "ys").alias("score"))
+        stop = o.get("stopwords") or english()
+        words = lambda c: O.without(O.tokens(c), stop)
+        each = F.transform(F.coalesce("continuations", F.array().cast("array<string>")), lambda y: words(F.coalesce(y, F.lit(""))))
+        found = rows.select("row_id", O.stemmed(words(F.col("rest"))).alias("rest"), O.stemmed_each(each).alias("ys"))
+        return found.select("row_id", O.bscore_fast(o.get("n_min", O.N_MIN), o.get("n_max", O.N_MAX))("rest", "ys").alias("score"))
 
 
 @register("revise-detect")
@@ -64,7 +70,7 @@ class ReviseDetect(Detector):
         name = model or ("custom" if o.get("generate") else base.model_id(backend, None, base.REVISERS, "reviser"))
         generate = o.get("generate") or base.reviser(backend, model, **o.get("backend_options", {}))
         keyed = df.select("row_id", "text", X.revision_key(F.col("text")).alias("hash"))
-        store = cache.revisions(df.sparkSession, o.get("cache_dir") or f"{output_dir()}/cache", name)
+        store = cache.revisions(df.sparkSession, o.get("cache_dir") or cache_root(df.sparkSession), name)
         rows = _filled(keyed, store, "hash", "text", generate, "string")
         pairs = rows.select("row_id", X.or_original(F.col("revised"), F.col("text")).alias("source"), F.col("text").alias("target"))
         found = sequence_score((o.get("provider") or NGramModel(df)).sequence_scores(pairs))

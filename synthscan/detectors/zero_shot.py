@@ -8,18 +8,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.perturb import perturbed, repeat_fill
+from ..functions.perturb import perturbed
 from ..operators import statistics as S
+from ..plans.tables import stored
+from ..providers.base import Provider, mask_filler
 from ..providers.ngram import NGramModel
 from .registry import Detector, register
 
 
 class _ZeroShot(Detector):
-    def provider(self, df: DataFrame):
-        return self.options.get("provider") or NGramModel(df)
+    def own(self, df: DataFrame, texts: DataFrame) -> tuple[Provider, DataFrame | None]:
+        """The provider and the texts to ask it for; a model that is counted on the texts themselves is asked for none."""
+        given = self.options.get("provider")
+        return (given, texts) if given else (NGramModel(df), None)
 
     def score(self, df: DataFrame) -> DataFrame:
-        found = S.zero_shot(self.provider(df).token_scores(df.select("row_id", F.lit(0).alias("variant"), "text")))
+        provider, texts = self.own(df, df.select("row_id", F.lit(0).alias("variant"), "text"))
+        found = S.zero_shot(provider.token_scores(texts))
         return df.select("row_id").join(found.select("row_id", F.col(f"`{self.name}`").alias("score")), "row_id", "left")
 
 
@@ -45,25 +50,40 @@ class SamplingDiscrepancy(_ZeroShot):
 
 @register("binoculars")
 class Binoculars(_ZeroShot):
-    """Perplexity by cross-perplexity of two models, negated. Option median: medians of the positions."""
+    """Perplexity by cross-perplexity of two models, negated.
+
+    Options: median (medians of the positions instead of means); sample, temperature and seed (cross-entropy from one
+    token drawn for each place instead of the whole vocabulary; for providers that can).
+    """
 
     def score(self, df: DataFrame) -> DataFrame:
-        performer, cross = self.provider(df).cross_scores(df.select("row_id", "text"))
+        provider, texts = self.own(df, df.select("row_id", "text"))
+        performer, cross = provider.cross_scores(texts)
+        if self.options.get("sample"):
+            cross = provider.sampled_cross_scores(texts, self.options.get("temperature", 1.0), self.options.get("seed", 0))
         found = S.perplexity_ratio(performer, cross, median=self.options.get("median", False))
         return df.select("row_id").join(found.withColumnRenamed("binoculars", "score"), "row_id", "left")
 
 
 @register("npr")
 class PerturbationRatio(_ZeroShot):
-    """Log-rank of perturbed texts by that of the text. Options n_perturbations, fill, seed, span, buffer, share, ceil."""
+    """Log-rank of perturbed texts by that of the text.
+
+    Options: fill (masked texts to raw fills; by default a neural model's, which needs its library), n_perturbations, seed,
+    span, buffer, share, ceil, fill_model, fill_backend.
+    """
 
     def score(self, df: DataFrame) -> DataFrame:
         own = {k: self.options[k] for k in ("seed", "span", "buffer", "share", "ceil") if k in self.options}
-        texts = perturbed(df, "row_id", "text", self.options.get("n_perturbations", 10), self.options.get("fill", repeat_fill), **own)
-        found = S.perturbation_ratio(self.provider(df).token_scores(texts))
+        fill = self.options.get("fill")
+        if fill is None:
+            fill = mask_filler(self.options.get("fill_model"), self.options.get("fill_backend", "hf"))
+        texts = stored(perturbed(df, "row_id", "text", self.options.get("n_perturbations", 10), fill, **own), "perturbed")
+        found = S.perturbation_ratio((self.options.get("provider") or NGramModel(df)).token_scores(texts))
         return df.select("row_id").join(found.withColumnRenamed("npr", "score"), "row_id", "left")
 
 
-def all_zero_shot(df: DataFrame, provider=None) -> DataFrame:
+def all_zero_shot(df: DataFrame, provider: Provider | None = None) -> DataFrame:
     """(row_id, rank, log-rank, lrr, fast-detect-gpt) from one pass over the token scores."""
-    return S.zero_shot((provider or NGramModel(df)).token_scores(df.select("row_id", F.lit(0).alias("variant"), "text")))
+    texts = df.select("row_id", F.lit(0).alias("variant"), "text") if provider else None
+    return S.zero_shot((provider or NGramModel(df)).token_scores(texts))

@@ -32,10 +32,20 @@ def without(words: Column, stopwords: Iterable[str]) -> Column:
     return F.filter(words, lambda x: ~F.array_contains(listed, x))
 
 
+def _stems(words: Iterable[str] | None) -> list[str] | None:
+    return None if words is None else [stem(w) if len(w) > 3 else w for w in words]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(words: pd.Series) -> pd.Series:
-    """Stems of the words longer than three characters."""
-    return words.map(lambda x: None if x is None else [stem(w) if len(w) > 3 else w for w in x])
+    """Stems of the words longer than three characters; each distinct word is stemmed once a worker."""
+    return words.map(_stems)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stemmed_each(texts: pd.Series) -> pd.Series:
+    """The same for an array of texts' words."""
+    return texts.map(lambda x: None if x is None else [_stems(y) for y in x])
 
 
 def ngrams(words: Column, n: int | Column) -> Column:

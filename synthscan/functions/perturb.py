@@ -61,7 +61,7 @@ def filled(text: str, pieces: list[str]) -> str:
 
 
 def repeat_fill(texts: list[str]) -> list[str]:
-    """A model-free filler for tests: each mask becomes the words that stand for its number."""
+    """A filler without a model, for tests and trials: each mask becomes the words that stand for its number."""
     return ["".join(f"{MASK.format(i)} word{i} " for i in range(n_masks(t))) + MASK.format(n_masks(t)) for t in texts]
 
 

@@ -1,4 +1,4 @@
-"""English function words. A smaller public list than some libraries ship; pass another where parity matters."""
+"""English function words."""
 
 # English function words.
 ENGLISH = frozenset("""
@@ -13,3 +13,12 @@ over own per perhaps put rather really same see seem she should show side since
 them then there these they this those through to too under until up upon us very was we well were what when where which
 while who whole whom whose why will with within would yet you your
 """.split())
+
+
+def english() -> frozenset[str]:
+    """The list of the spaCy library where it is installed, else the shorter one above; detectors take another as an option."""
+    try:
+        from spacy.lang.en.stop_words import STOP_WORDS
+    except ImportError:
+        return ENGLISH
+    return frozenset(STOP_WORDS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def nonblank(text: Column) -> Column:
     """Whether a text has a character that is no white space; null has none."""
     return F.coalesce(text.rlike(f"[^{SPACE}]"), F.lit(False))
@@ -29,12 +36,14 @@ def truncated(text: Column, ratio: float) -> Column:
     The cut is after ratio of the words, rounded down, but leaves a word on either side. A text of fewer than two words
     is its own prefix, unchanged.
     """
-    all_ = words(text)
-    n = F.size(all_)
-    cut = F.greatest(F.lit(1), F.least((F.lit(float(ratio)) * n).cast("int"), n - 1))
-    prefix = F.when(n < 2, text).otherwise(F.concat_ws(" ", F.slice(all_, F.lit(1), cut)))
-    rest = F.when(n < 2, F.lit("")).otherwise(F.concat_ws(" ", F.slice(all_, cut + 1, F.greatest(n - cut, F.lit(0)))))
-    return F.struct(prefix.alias("prefix"), rest.alias("remainder"))
+    def cut(all_: Column) -> Column:
+        n = F.size(all_)
+        at = F.greatest(F.lit(1), F.least((F.lit(float(ratio)) * n).cast("int"), n - 1))
+        prefix = F.when(n < 2, text).otherwise(F.concat_ws(" ", F.slice(all_, F.lit(1), at)))
+        rest = F.when(n < 2, F.lit("")).otherwise(F.concat_ws(" ", F.slice(all_, at + 1, F.greatest(n - at, F.lit(0)))))
+        return F.struct(prefix.alias("prefix"), rest.alias("remainder"))
+
+    return let(words(text), cut)
 
 
 def with_prompt(prompt: Column, prefix: Column) -> Column:

@@ -2,7 +2,7 @@
 
 token scores  (row_id, variant, n, logprob, rank, mean_lp, var_lp): n positions that share these values
 cross scores  (row_id, n, xent)
-sequence scores (row_id, logprob): one row for each target token
+sequence scores (row_id, logprob), and n where a row stands for several target tokens
 logits        an array column
 
 Each is a groupBy on the row with partial aggregation. Undefined values are null, never NaN.
@@ -71,8 +71,9 @@ def perturbation_ratio(scores: DataFrame, by: str = "row_id") -> DataFrame:
 
 
 def sequence_score(scores: DataFrame, by: str = "row_id") -> DataFrame:
-    """revise-detect: mean log-probability of the target's tokens given the source."""
-    return scores.groupBy(by).agg((F.sum("logprob") / F.greatest(F.count("logprob"), F.lit(1))).alias("revise-detect"))
+    """revise-detect: mean log-probability of the target's tokens given the source. A row counts n times, if there is n."""
+    n = F.col("n") if "n" in scores.columns else F.lit(1)
+    return scores.groupBy(by).agg((F.sum(F.col("logprob") * n) / F.greatest(F.sum(F.when(F.col("logprob").isNotNull(), n).otherwise(0)), F.lit(1))).alias("revise-detect"))
 
 
 def class_probability(logits: Column, index: int = 0) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..detectors import all_detectors, list_detectors
 from ..operators import evaluate
+from ..providers.base import Provider, provider
 from ..session import session
 from ..sources import readers, sinks
 from .scoring import score_dataset
@@ -32,6 +33,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--batch-size", type=int, default=128, help="texts a batch for model back ends")
     p.add_argument("--debug", action="store_true", help="the first 100 rows only")
     p.add_argument("--evaluate", action="store_true", help="metrics of saved scores")
+    p.add_argument("--provider", choices=["ngram", "hf", "onnx", "tables"], default="ngram", help="where model output comes from")
+    p.add_argument("--provider-path", help="folder of exported models (onnx) or of precomputed output (tables)")
+    p.add_argument("--mask-model", help="sequence model that fills masks for npr")
+    p.add_argument("--mask-backend", choices=["hf", "onnx"], default="hf")
+    p.add_argument("--perturbations", type=int, default=10)
     for name, default in (("reviser", "hf"), ("dna-gpt-regenerator", "hf")):
         p.add_argument(f"--{name}", choices=["hf", "vllm", "openai"], default=default)
         p.add_argument(f"--{name}-model")
@@ -46,16 +52,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def options(a: argparse.Namespace) -> dict[str, dict]:
-    """Options of the detectors that have any."""
+def options(a: argparse.Namespace, provider: Provider | None = None) -> dict[str, dict]:
+    """Options of the detectors."""
     def back(kind: str) -> dict:
         own = {"batch_size": a.batch_size}
         return own | ({"max_model_len": a.vllm_max_model_len, "gpu_memory_utilization": a.vllm_gpu_memory_utilization} if kind == "vllm" else {})
 
-    return {
+    own = {
+        "npr": {"fill_model": a.mask_model, "fill_backend": a.mask_backend, "n_perturbations": a.perturbations},
         "revise-detect": {"backend": a.reviser, "model": a.reviser_model, "backend_options": back(a.reviser)},
         "dna-gpt": {"backend": a.dna_gpt_regenerator, "model": a.dna_gpt_regenerator_model, "k": a.dna_gpt_k, "ratio": a.dna_gpt_truncate_ratio, "prompt": a.dna_gpt_prompt_field, "backend_options": back(a.dna_gpt_regenerator)},
     }
+    return {name: own.get(name, {}) | ({"provider": provider} if provider else {}) for name in list_detectors()}
 
 
 def evaluated(spark, a: argparse.Namespace) -> list[dict]:
@@ -66,7 +74,7 @@ def evaluated(spark, a: argparse.Namespace) -> list[dict]:
         if not readers.exists(spark, f"{path}/export"):
             log.error("No saved scores at %s", path)
             continue
-        df = spark.read.json(f"{path}/export")
+        df = sinks.read_export(spark, f"{path}/export")
         if a.label_field not in df.columns:
             log.error("%s has no column %r", source, a.label_field)
             continue
@@ -90,6 +98,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.evaluate:
         evaluated(spark, a)
         return 0
+    models = provider(a.provider, spark, a.provider_path)
     for source in a.dataset:
-        score_dataset(spark, source, a.output_dir, a.debug, a.text_field, a.split, a.row_id, detectors=[a.detector] if a.detector else None, force=a.force, options=options(a))
+        score_dataset(spark, source, a.output_dir, a.debug, a.text_field, a.split, a.row_id, detectors=[a.detector] if a.detector else None, force=a.force, options=options(a, models))
     return 0

@@ -10,11 +10,13 @@ from abc import ABC
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Public model identifiers that back ends use by default.
 REGENERATORS = {"hf": "Qwen/Qwen2.5-7B-Instruct", "vllm": "Qwen/Qwen2.5-7B-Instruct", "openai": "gpt-3.5-turbo-instruct"}
 REVISERS = {"hf": "Qwen/Qwen2.5-7B-Instruct", "vllm": "Qwen/Qwen2.5-7B-Instruct", "openai": "gpt-4o-mini"}
+CLASSIFIERS = ("TrustSafeAI/RADAR-Vicuna-7B", "hyunseoki/ReMoDetect-deberta", "yaful/MAGE")
+MASK_MODEL = "t5-base"
 REVISION_PROMPT = "Revise the following text: "
 
 
@@ -29,6 +31,10 @@ class Provider(ABC):
         """(row_id, n, logprob) of the performer, and (row_id, n, xent) of observer and performer."""
         raise NotImplementedError(f"{type(self).__name__} has no cross scores")
 
+    def sampled_cross_scores(self, texts: DataFrame, temperature: float = 1.0, seed: int = 0) -> DataFrame:
+        """(row_id, n, xent) from one target token drawn at each position."""
+        raise NotImplementedError(f"{type(self).__name__} draws no tokens")
+
     def sequence_scores(self, pairs: DataFrame) -> DataFrame:
         """(row_id, logprob) for each target token; pairs are (row_id, source, target)."""
         raise NotImplementedError(f"{type(self).__name__} has no sequence scores")
@@ -81,3 +87,37 @@ def reviser(backend: str, model: str | None = None, **options):
     """A function from texts to revised texts."""
     name = model_id(backend, model, REVISERS, "reviser")
     return _lazy("generate", "Reviser", backend, {"hf": "transformers"}.get(backend, backend))(backend, name, **options)
+
+
+def mask_filler(model: str | None = None, backend: str = "hf") -> Callable[[list[str]], list[str]]:
+    """A function from masked texts to a sequence model's fills. Its library has to be there."""
+    import importlib.util
+
+    if importlib.util.find_spec({"hf": "transformers", "onnx": "onnxruntime"}[backend]) is None:
+        raise ImportError("Filling masks needs a sequence model, and so the 'transformers' package; or give a function as the option fill.")
+    from .neural import MaskFiller
+
+    return MaskFiller(model, backend)
+
+
+def provider(kind: str, spark: SparkSession, path: str | None = None) -> Provider | None:
+    """The provider of a kind: ngram (none; detectors count their own), hf, onnx (path: a folder with folders scorer, observer,
+    performer, similarity and one for each classifier) or tables (path: a folder with tables of precomputed output)."""
+    if kind == "ngram":
+        return None
+    if kind == "hf":
+        from .neural import NeuralProvider
+
+        return NeuralProvider("hf")
+    if path is None:
+        raise ValueError(f"provider {kind!r} needs a path")
+    if kind == "onnx":
+        from .neural import NeuralProvider
+
+        names = {x: f"{path}/{x}" for x in ("scorer", "observer", "performer", "similarity")}
+        return NeuralProvider("onnx", classifiers={name: f"{path}/{name.rpartition('/')[2]}" for name in CLASSIFIERS}, **names)
+    if kind == "tables":
+        from .table import TableProvider
+
+        return TableProvider.read(spark, path)
+    raise ValueError(f"Unknown provider: {kind!r}. Expected 'ngram', 'hf', 'onnx' or 'tables'.")

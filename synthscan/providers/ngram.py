@@ -3,13 +3,17 @@
 Two models share their counts c and vocabulary of size V and differ in smoothing: p(t | v) = (c(v t) + k) / (c(v) + k V),
 k = `observer` or `performer`. Sums over the vocabulary are sums over the tokens seen after v plus a term for the others,
 so nothing of size V times anything is built. Scores of the neural models that detectors are known with are not
-reproduced; the formulas are.
+reproduced; the formulas are. Models are counted on whole texts and score whole texts; max_tokens and cross_tokens, where
+given, cut what is scored, as neural scorers do.
 
 A token's rank is 1 plus the number of tokens more probable after v; ties share the best rank.
 
-At scale: the model's tables are counted once and written to the shared folder; a row's token pairs are counted before they meet the model, one row for each distinct pair; the model is one
-table keyed by the pair, with the context's sums in it, so scoring is one equi-join and one aggregation. Common pairs are
-skewed keys that adaptive execution splits.
+At scale: texts are cut into tokens once, and tokens, counts and the model's table written to the shared folder. All that
+ranks and the context's sums need is how many tokens there are of each count after a context, a table with few rows for
+any context, however common: no window or group ever holds a context's tokens. The model is one table keyed by the pair,
+with the context's sums in it, so scoring the counted texts is one equi-join and one aggregation, and common pairs are
+skewed keys that adaptive execution splits. Texts other than the counted ones take a second join for the pairs that the
+model has not seen; the others are spread over keys of their own in it.
 """
 
 from __future__ import annotations
@@ -24,90 +28,148 @@ from ..functions.overlap import tokens
 from ..plans.tables import stored
 from .base import Provider
 
-OBSERVER, PERFORMER, TOKENS, CROSS_TOKENS = 0.1, 0.5, 1024, 512
+OBSERVER, PERFORMER, SPREAD, CELLS = 0.1, 0.5, 4096, 64
+SUMS = ("m", "mean_lp", "var_lp")
 
 
-def tokenised(texts: DataFrame, most: int) -> DataFrame:
-    """(row_id, variant, t): the first `most` tokens, the length neural scorers take."""
+def tokenised(texts: DataFrame, most: int | None = None) -> DataFrame:
+    """(row_id, variant, t): the tokens, or the first `most` of them."""
     variant = F.col("variant") if "variant" in texts.columns else F.lit(0)
-    return texts.select("row_id", variant.alias("variant"), F.slice(tokens(F.col("text")), 1, most).alias("t"))
+    t = tokens(F.col("text"))
+    return texts.select("row_id", variant.alias("variant"), (t if most is None else F.slice(t, 1, most)).alias("t"))
+
+
+def cut(rows: DataFrame, most: int | None) -> DataFrame:
+    return rows if most is None else rows.withColumn("t", F.slice("t", 1, most))
 
 
 def pairs(rows: DataFrame) -> DataFrame:
-    """(row_id, variant, ctx, tok, n): token pairs of each row with their counts."""
-    both = F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("ctx"), F.slice("t", F.lit(2), F.size("t") - 1).alias("tok")))
-    each = rows.where(F.size("t") > 1).select("row_id", "variant", both.alias("x")).select("row_id", "variant", "x.*")
-    return each.groupBy("row_id", "variant", "ctx", "tok").agg(F.count("*").alias("n"))
+    """(row_id, variant, ctx, tok): the token pairs of each row, one row for each place."""
+    both = F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("ctx"), F.slice("t", F.lit(2), F.size("t") - 1).alias("tok"))
+    return rows.where(F.size("t") > 1).select("row_id", "variant", F.inline(both))
 
 
 class NGramModel(Provider):
     """Counted on the texts of a DataFrame (row_id, text)."""
 
-    def __init__(self, corpus: DataFrame, observer: float = OBSERVER, performer: float = PERFORMER, max_tokens: int = TOKENS, cross_tokens: int = CROSS_TOKENS) -> None:
+    def __init__(self, corpus: DataFrame, observer: float = OBSERVER, performer: float = PERFORMER, max_tokens: int | None = None, cross_tokens: int | None = None) -> None:
         self.k, self.q, self.max_tokens, self.cross_tokens = float(observer), float(performer), max_tokens, cross_tokens
-        self.corpus = tokenised(corpus.select("row_id", "text"), max_tokens)
+        self._corpus = corpus.select("row_id", "text")
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """The counted texts' tokens, cut once."""
+        return stored(tokenised(self._corpus), "tokens")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """(tok, c): how often each token occurs."""
+        return stored(self.corpus.select(F.explode("t").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")), "words")
 
     @cached_property
     def size(self) -> int:
         """V, the number of distinct tokens."""
-        return self.corpus.select(F.explode("t").alias("tok")).agg(F.count_distinct("tok")).first()[0]
+        return self.words.count()
 
     @cached_property
     def bigrams(self) -> DataFrame:
         """(ctx, tok, c), counted once."""
-        return stored(pairs(self.corpus).groupBy("ctx", "tok").agg(F.sum("n").alias("c")), "bigrams")
+        return stored(pairs(self.corpus).groupBy("ctx", "tok").agg(F.count("*").alias("c")), "bigrams")
+
+    @cached_property
+    def by_count(self) -> DataFrame:
+        """(ctx, c, same): how many tokens come c times after a context."""
+        return stored(self.bigrams.groupBy("ctx", "c").agg(F.count("*").alias("same")), "by_count")
 
     @cached_property
     def contexts(self) -> DataFrame:
         """(ctx, m, seen, mean_lp, var_lp, xent): counts, and the sums over the vocabulary."""
-        counts = self.bigrams.join(self.bigrams.groupBy("ctx").agg(F.sum("c").alias("m")), "ctx")
-        k, q, V, c, m = F.lit(self.k), F.lit(self.q), F.lit(self.size), F.col("c"), F.col("m")
+        k, q, V = F.lit(self.k), F.lit(self.q), F.lit(self.size)
+        total = self.by_count.groupBy("ctx").agg(F.sum(F.col("c") * F.col("same")).alias("m"))
+        c, m, n = F.col("c"), F.col("m"), F.col("same")
         p, r = (c + k) / (m + k * V), (c + q) / (m + q * V)
-        sums = counts.groupBy("ctx").agg(
-            F.first("m").alias("m"), F.count("*").alias("seen"),
-            F.sum(p * F.ln(p)).alias("s1"), F.sum(p * F.ln(p) * F.ln(p)).alias("s2"), F.sum(p * F.ln(r)).alias("sx"),
+        sums = self.by_count.join(total, "ctx").groupBy("ctx", "m").agg(
+            F.sum("same").alias("seen"), F.sum(n * p * F.ln(p)).alias("s1"), F.sum(n * p * F.ln(p) * F.ln(p)).alias("s2"), F.sum(n * p * F.ln(r)).alias("sx"),
         )
         rest, p0, r0 = V - F.col("seen"), k / (m + k * V), q / (m + q * V)
         sums = sums.withColumn("mean_lp", F.col("s1") + rest * p0 * F.ln(p0)).withColumn("e2", F.col("s2") + rest * p0 * F.ln(p0) * F.ln(p0))
         sums = sums.select("ctx", "m", "seen", "mean_lp", F.greatest(F.col("e2") - F.col("mean_lp") * F.col("mean_lp"), F.lit(0.0)).alias("var_lp"), (-(F.col("sx") + rest * p0 * F.ln(r0))).alias("xent"))
         return stored(sums, "contexts")
 
+    @cached_property
     def model(self) -> DataFrame:
-        """(ctx, tok, c, rank) with the columns of contexts."""
-        by_count = Window.partitionBy("ctx").orderBy(F.desc("c"))
-        return self.bigrams.withColumn("rank", F.rank().over(by_count)).join(self.contexts, "ctx")
-
-    def _scored(self, rows: DataFrame) -> DataFrame:
-        """Pairs with c, rank and the context's columns; pairs the model hasn't seen get c 0 and the rank after the seen ones."""
-        model = self.model().select("ctx", "tok", "c", "rank", *(F.col(x).alias(f"_{x}") for x in ("m", "mean_lp", "var_lp")))
-        joined = pairs(rows).join(model, ["ctx", "tok"], "left")
-        default = self.contexts.select("ctx", F.col("m").alias("d_m"), F.col("seen").alias("d_seen"), F.col("mean_lp").alias("d_mean"), F.col("var_lp").alias("d_var"))
-        joined = joined.join(default, "ctx", "left")
+        """(ctx, tok, c, rank) with the sums of contexts."""
+        above = Window.partitionBy("ctx").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+        ranks = self.by_count.withColumn("rank", 1 + F.coalesce(F.sum("same").over(above), F.lit(0))).join(self.contexts.select("ctx", *SUMS), "ctx")
+        return stored(self.bigrams.join(ranks.drop("same"), ["ctx", "c"]).select("ctx", "tok", "c", "rank", *SUMS), "model")
+
+    def _scored(self, rows: DataFrame | None, most: int | None) -> DataFrame:
+        """Pairs with c, rank and the context's sums, of the counted texts if rows is None. Pairs the model hasn't seen get
+        c 0 and the rank after the seen ones."""
+        if rows is None:
+            found = pairs(cut(self.corpus, most)).join(self.model, ["ctx", "tok"])
+            return found.select("row_id", "variant", F.lit(1).alias("n"), "c", "rank", *SUMS)
+        joined = pairs(cut(rows, most)).join(self.model, ["ctx", "tok"], "left")
+        needed = F.when(F.col("c").isNull(), F.col("ctx")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64("row_id", "tok"), F.lit(SPREAD)).cast("string")))
+        default = self.contexts.select(F.col("ctx").alias("d_ctx"), (F.col("seen") + 1).alias("d_rank"), *(F.col(x).alias(f"d_{x}") for x in SUMS))
+        joined = joined.withColumn("needed", needed).join(default, F.col("needed") == F.col("d_ctx"), "left")
         uniform = F.lit(-math.log(self.size)) if self.size else F.lit(None).cast("double")
-        return joined.select(
-            "row_id", "variant", "n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(F.col("rank"), F.col("d_seen") + 1, F.lit(1)).cast("long").alias("rank"),
-            F.coalesce("_m", "d_m", F.lit(0)).alias("m"), F.coalesce("_mean_lp", "d_mean", uniform).alias("mean_lp"), F.coalesce("_var_lp", "d_var", F.lit(0.0)).alias("var_lp"),
-        )
+        other = {"m": F.lit(0), "mean_lp": uniform, "var_lp": F.lit(0.0)}
+        return joined.select("row_id", "variant", F.lit(1).alias("n"), F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("rank", "d_rank", F.lit(1)).cast("long").alias("rank"), *(F.coalesce(x, f"d_{x}", other[x]).alias(x) for x in SUMS))
 
     def _logprob(self, k: float) -> Column:
         return F.ln(F.try_divide(F.col("c") + k, F.col("m") + k * self.size))
 
-    def token_scores(self, texts: DataFrame) -> DataFrame:
-        scored = self._scored(tokenised(texts, self.max_tokens))
+    def token_scores(self, texts: DataFrame | None) -> DataFrame:
+        scored = self._scored(None if texts is None else tokenised(texts), self.max_tokens)
         return scored.select("row_id", "variant", "n", self._logprob(self.k).alias("logprob"), "rank", "mean_lp", "var_lp")
 
-    def cross_scores(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = tokenised(texts, self.cross_tokens).where("variant = 0")
-        performer = self._scored(rows).select("row_id", "n", self._logprob(self.q).alias("logprob"))
-        each = rows.select("row_id", F.explode("t").alias("ctx")).groupBy("row_id", "ctx").agg(F.count("*").alias("n"))
+    def cross_scores(self, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = None if texts is None else stored(tokenised(texts).where("variant = 0"), "tokens")
+        performer = self._scored(rows, self.cross_tokens).select("row_id", "n", self._logprob(self.q).alias("logprob"))
+        each = cut(self.corpus if rows is None else rows, self.cross_tokens).select("row_id", F.explode("t").alias("ctx")).groupBy("row_id", "ctx").agg(F.count("*").alias("n"))
         known = each.join(self.contexts.select("ctx", "xent"), "ctx", "left")
         return performer, known.select("row_id", "n", F.coalesce("xent", F.lit(math.log(max(1, self.size)))).alias("xent"))
 
+    def tempered(self, temperature: float) -> DataFrame:
+        """(ctx, seen, known, total, z): what drawing from the observer and scoring by the performer take at a temperature:
+        the weight of the seen tokens and of all under the one, the sum over the vocabulary of the other."""
+        k, q, V, power = F.lit(self.k), F.lit(self.q), F.lit(self.size), F.lit(1.0 / temperature)
+        sums = self.by_count.groupBy("ctx").agg(F.sum("same").alias("seen"), F.sum(F.col("same") * F.pow(F.col("c") + k, power)).alias("known"), F.sum(F.col("same") * F.pow(F.col("c") + q, power)).alias("z"))
+        rest = V - F.col("seen")
+        return sums.select("ctx", "seen", "known", (F.col("known") + rest * F.pow(k, power)).alias("total"), (F.col("z") + rest * F.pow(q, power)).alias("z"))
+
+    def sampled_cross_scores(self, texts: DataFrame | None, temperature: float = 1.0, seed: int = 0) -> DataFrame:
+        """(row_id, n, xent) from one target token for each context place, drawn from the observer; both models at a temperature.
+
+        A draw falls on one of the tokens of a count, or on any not seen. It hangs on row, place and seed alone, so reruns
+        agree. It is found among by_count's running sums, dealt by equal cells of the distribution, so that a common
+        context's draws are spread.
+        """
+        k, q, V, power = F.lit(self.k), F.lit(self.q), F.lit(self.size), F.lit(1.0 / temperature)
+        rows = cut(self.corpus if texts is None else tokenised(texts).where("variant = 0"), self.cross_tokens)
+        sums = stored(self.tempered(temperature), "tempered")
+        weight = F.col("same") * F.pow(F.col("c") + k, power)
+        upto = Window.partitionBy("ctx").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+        steps = self.by_count.withColumn("high", F.sum(weight).over(upto)).withColumn("low", F.col("high") - weight).join(sums.select("ctx", "total"), "ctx")
+        cell = lambda x: F.floor(x / F.col("total") * CELLS)
+        steps = steps.select(F.col("ctx").alias("_ctx"), "low", "high", "c", F.explode(F.sequence(cell(F.col("low")), F.least(cell(F.col("high")), F.lit(CELLS - 1)))).alias("_cell"))
+        u = F.pmod(F.xxhash64(F.col("row_id").cast("string"), "place", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+        places = rows.select("row_id", F.posexplode("t").alias("place", "ctx")).join(sums, "ctx", "left").withColumn("at", u * F.col("total"))
+        xent = lambda c: F.ln("z") - power * F.ln(c + q)
+        none = places.where("at IS NULL OR at >= known").select("row_id", F.coalesce(xent(F.lit(0)), F.ln(V)).alias("xent"))
+        drawn = places.where("at < known").withColumn("cell", cell(F.col("at")))
+        drawn = drawn.join(steps, (F.col("ctx") == F.col("_ctx")) & (F.col("cell") == F.col("_cell")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
+        return drawn.select("row_id", xent(F.col("c")).alias("xent")).union(none).select("row_id", F.lit(1).alias("n"), "xent")
+
     def sequence_scores(self, pairs_: DataFrame) -> DataFrame:
-        """Target tokens under the model of observers, mixed half and half with the source's own token frequencies."""
-        target = tokenised(pairs_.select("row_id", F.col("target").alias("text")), self.max_tokens)
-        source = tokenised(pairs_.select("row_id", F.col("source").alias("text")), self.max_tokens)
-        each = source.select("row_id", F.size("t").alias("size"), F.explode("t").alias("tok")).groupBy("row_id", "tok", "size").agg(F.count("*").alias("c"))
-        asked = target.select("row_id", F.explode("t").alias("tok"))
-        joined = asked.join(each, ["row_id", "tok"], "left")
-        return joined.select("row_id", F.ln(F.lit(0.5 / max(1, self.size)) + 0.5 * F.coalesce(F.col("c") / F.col("size"), F.lit(0.0))).alias("logprob"))
+        """Target tokens by the corpus's own token frequencies, (c + observer) / (words + observer V), mixed half and half
+        with those of the row's source."""
+        target = tokenised(pairs_.select("row_id", F.col("target").alias("text")))
+        source = tokenised(pairs_.select("row_id", F.col("source").alias("text")))
+        each = source.select("row_id", F.size("t").alias("size"), F.explode("t").alias("tok")).groupBy("row_id", "tok", "size").agg(F.count("*").alias("own"))
+        asked = target.select("row_id", F.explode("t").alias("tok")).groupBy("row_id", "tok").agg(F.count("*").alias("n"))
+        total = (self.words.agg(F.sum("c")).first()[0] or 0) + self.k * max(1, self.size)
+        joined = asked.join(each, ["row_id", "tok"], "left").join(self.words, "tok", "left")
+        p = 0.5 * (F.coalesce("c", F.lit(0)) + self.k) / F.lit(float(total)) + 0.5 * F.coalesce(F.col("own") / F.col("size"), F.lit(0.0))
+        return joined.select("row_id", "n", F.ln(p).alias("logprob"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from .base import Provider
+from ..sources.readers import exists
+from .base import CLASSIFIERS, Provider
 
 
 class TableProvider(Provider):
@@ -14,6 +15,13 @@ class TableProvider(Provider):
         self.tables = {"token_scores": token_scores, "performer": performer, "cross": cross, "sequence": sequence}
         self.by_model = logits or {}
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> TableProvider:
+        """From Parquet tables under a folder: token_scores, performer, cross, sequence, and logits/<model> (its name's last part)."""
+        table = lambda name: spark.read.parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else None
+        logits = {name: table(f"logits/{name.rpartition('/')[2]}") for name in CLASSIFIERS}
+        return cls(*(table(x) for x in ("token_scores", "performer", "cross", "sequence")), {k: v for k, v in logits.items() if v is not None})
+
     def _of(self, table: DataFrame | None, rows: DataFrame, what: str) -> DataFrame:
         if table is None:
             raise NotImplementedError(f"no table of {what} was given")

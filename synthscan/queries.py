@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,13 +102,13 @@ t AS (SELECT c.doc_id, list_filter(regexp_split_to_array(lower(remainder), '[^a-
 p AS (SELECT a.doc_id, a.rest, b.whole AS y, b.doc_id AS other FROM t a JOIN t b ON a.lang = b.lang AND b.place BETWEEN a.place + 1 AND a.place + 3),
 g AS (SELECT p.*, n, list_distinct(list_transform(range(1, len(rest) - n + 2), lambda i: array_to_string(rest[i:i + n - 1], ' '))) AS g0,
              list_distinct(list_transform(range(1, len(y) - n + 2), lambda i: array_to_string(y[i:i + n - 1], ' '))) AS g1
-      FROM p, range(2, 6) r(n) WHERE len(rest) >= n),
+      FROM p, range(2, 26) r(n) WHERE len(rest) >= n),
 s AS (SELECT doc_id, other, sum(CASE WHEN len(y) > 0 THEN n * ln(n) * len(list_intersect(g0, g1)) / (len(y) * len(g0)) ELSE 0 END) AS s FROM g GROUP BY doc_id, other)
 SELECT p.doc_id, round(coalesce(sum(s.s), 0) / count(*), 8) AS bscore FROM p LEFT JOIN s USING (doc_id, other) GROUP BY p.doc_id""")
 def ngram_bscore(spark: SparkSession, d: str) -> DataFrame:
-    """n-gram overlap for n up to 5, on Arrow batches."""
+    """n-gram overlap for n up to 25, on Arrow batches."""
     rows = _continued(spark, d).select("doc_id", overlap.tokens(F.col("rest")).alias("rest"), F.transform("continuations", overlap.tokens).alias("ys"))
-    return rows.select("doc_id", F.round(overlap.bscore_fast(1, 5)("rest", "ys"), 8).alias("bscore"))
+    return rows.select("doc_id", F.round(overlap.bscore_fast()("rest", "ys"), 8).alias("bscore"))
 
 
 @query()
@@ -116,16 +117,17 @@ def dna_gpt_stemmed(spark: SparkSession, d: str) -> DataFrame:
     from .plans.tables import stored
 
     texts = stored(_texts(spark, d), "texts")
-    detector = DivergentNGrams(generate=_second_half, k=2, cache_dir=_scratch(spark))
+    detector = DivergentNGrams(generate=_rotations, cache_dir=_scratch(spark))
     return detector.score(texts).select("row_id", F.round("score", 8).alias("score"))
 
 
-def _second_half(prefixes: list[str]) -> list[list[str]]:
-    """A stand-in generator: the prefix's own second half and its first, so results are the same on every run."""
+def _rotations(prefixes: list[str], k: int = 20) -> list[list[str]]:
+    """A stand-in generator: the prefix's words, turned by another part of them each time; the same on every run."""
     out = []
     for p in prefixes:
         w = (p or "").split()
-        out.append([" ".join(w[len(w) // 2 :]), " ".join(w[: len(w) // 2])])
+        at = [i * len(w) // k for i in range(k)]
+        out.append([" ".join(w[i:] + w[:i]) for i in at])
     return out
 
 
@@ -135,17 +137,23 @@ def _reversed(texts: list[str]) -> list[str]:
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
+    from .plans.tables import shared_dir
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="synthscan-")
-    return f"{root.rstrip('/')}/cache-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t,
+  list_filter(regexp_split_to_array(lower(CASE WHEN regexp_matches(r, '{NOT_WS}') THEN regexp_replace(r, '^{WS}+|{WS}+$', '', 'g') ELSE text END), '[^a-z0-9]+'), lambda x: x <> '') AS s
+  FROM (SELECT *, array_to_string(list_reverse(string_split(text, '. ')), '. ') AS r FROM documents WHERE regexp_matches(text, '{NOT_WS}'))),
+w AS (SELECT tok, count(*) AS c FROM (SELECT unnest(t) AS tok FROM t) GROUP BY tok),
+n AS (SELECT sum(c) + 0.1::DOUBLE * count(*) AS n FROM w),
+a AS (SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(t) AS tok FROM t) GROUP BY ALL),
+b AS (SELECT doc_id, tok, count(*) AS own FROM (SELECT doc_id, unnest(s) AS tok FROM t) GROUP BY ALL),
+x AS (SELECT a.doc_id, sum(a.n * ln(0.5 * (c + 0.1::DOUBLE) / (SELECT n FROM n) + 0.5 * coalesce(own / len(t.s), 0))) / sum(a.n) AS score FROM a JOIN t USING (doc_id) LEFT JOIN b USING (doc_id, tok) JOIN w USING (tok) GROUP BY a.doc_id)
+SELECT t.doc_id AS row_id, round(x.score, 6) AS score FROM t LEFT JOIN x USING (doc_id)""")
 def revise_detect(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
-    return ReviseDetect(generate=_reversed, cache_dir=_scratch(spark)).score(texts).select("row_id", F.round("score", 8).alias("score"))
+    return ReviseDetect(generate=_reversed, cache_dir=_scratch(spark)).score(texts).select("row_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CUT} SELECT doc_id, sha256(prefix || chr(0) || '0.5' || chr(0) || '20') AS continuation_key, sha256(text) AS revision_key FROM cut""")
@@ -153,17 +161,58 @@ def cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select(F.col("row_id").alias("doc_id"), X.continuation_key(X.truncated(F.col("text"), 0.5)["prefix"], 0.5, 20).alias("continuation_key"), X.revision_key(F.col("text")).alias("revision_key"))
 
 
+def _revised(spark: SparkSession, docs: DataFrame):
+    """A cache with the texts of docs behind a mark as revisions, and the cache's own way of adding them."""
+    from .sources.cache import revisions
+
+    store = revisions(spark, _scratch(spark), "some/model: one")
+    store.added(docs.select(X.revision_key(F.col("text")).alias("hash"), F.concat(F.lit("> "), "text").alias("revised")))
+    return store
+
+
 @query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE lang <> 'en' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def cache_miss_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    keyed = _table(spark, d, "documents").select(X.revision_key(F.col("text")).alias("hash"), "lang")
-    return keyed.where("lang <> 'en'").select("hash").join(keyed.where("lang = 'en'"), "hash", "left_anti").distinct()
+    docs = _table(spark, d, "documents")
+    asked = docs.where("lang <> 'en'").select(X.revision_key(F.col("text")).alias("hash"))
+    return _revised(spark, docs.where("lang = 'en'")).misses(asked, "hash")
 
 
-@query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY text")
+@query("SELECT DISTINCT sha256(text) AS hash, CASE WHEN lang = 'en' THEN '> ' || text ELSE text END AS revised FROM documents WHERE text NOT IN (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT lang = 'en') > 1)")
 def cache_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
-    """The first of equal keys is kept."""
-    keyed = _table(spark, d, "documents").select(X.revision_key(F.col("text")).alias("hash"), "doc_id")
-    return keyed.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    """What is there stays: keys of the English texts keep their first value, the others get the one added later."""
+    docs = _table(spark, d, "documents")
+    store = _revised(spark, docs.where("lang = 'en'"))
+    store.added(docs.select(X.revision_key(F.col("text")).alias("hash"), F.col("text").alias("revised")))
+    mixed = docs.groupBy("text").agg(F.count_distinct(F.col("lang") == "en").alias("n")).where("n > 1").select(X.revision_key(F.col("text")).alias("hash"))
+    return store.table().join(mixed, "hash", "left_anti")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' OR text IN (SELECT text FROM documents WHERE lang = 'en') THEN '> ' || text END AS revised FROM documents")
+def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    keyed = docs.select("doc_id", X.revision_key(F.col("text")).alias("hash"))
+    return _revised(spark, docs.where("lang = 'en'")).looked_up(keyed, "hash").select("doc_id", "revised")
+
+
+@query("""SELECT count(DISTINCT text) AS n_keys, count(DISTINCT CASE WHEN e THEN text END) AS n_hits, count(DISTINCT CASE WHEN NOT e THEN text END) AS n_misses,
+count(DISTINCT CASE WHEN e THEN text END) AS n_cached FROM (SELECT text, text IN (SELECT text FROM documents WHERE lang = 'en') AS e FROM documents)""")
+def cache_statistics(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return _revised(spark, docs.where("lang = 'en'")).statistics(docs.select(X.revision_key(F.col("text")).alias("hash")), "hash")
+
+
+@query("""WITH p AS (SELECT DISTINCT source, list_transform(range(0, 3 + length(source) % 3), lambda i: source || '#' || i) AS c FROM documents WHERE source IS NOT NULL)
+SELECT sha256(source) AS hash, CASE WHEN len(c) >= 4 THEN array_to_string(c[1:4], ' ') END AS continuations FROM p""")
+def continuation_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with fewer continuations than asked for are misses, others are cut to the first ones."""
+    from .sources.cache import continuations
+
+    store = continuations(spark, _scratch(spark), "m")
+    names = _table(spark, d, "documents").where("source IS NOT NULL").select("source").distinct()
+    own = F.transform(F.sequence(F.lit(0), F.lit(2) + F.length("source") % 3), lambda i: F.concat("source", F.lit("#"), i.cast("string")))
+    store.added(names.select(X.revision_key(F.col("source")).alias("hash"), F.slice(own, 1, 2).alias("continuations")))
+    store.added(names.select(X.revision_key(F.col("source")).alias("hash"), own.alias("continuations")), 3)
+    return store.looked_up(names.select(X.revision_key(F.col("source")).alias("hash")), "hash", 4).select("hash", F.array_join("continuations", " ").alias("continuations"))
 
 
 @query(r"SELECT DISTINCT regexp_replace(source, '[^A-Za-z0-9._-]+', '_', 'g') AS shard FROM documents")
@@ -198,9 +247,9 @@ def mage_punctuation_by_language(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", each.alias("text"))
 
 
-#: The n-gram model's tables for DuckDB: pairs of each document's first 1024 tokens, counts, ranks and context sums.
+#: The n-gram model's tables for DuckDB: pairs of each document's tokens, counts, ranks and context sums.
 LM = f"""
-t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:1024] AS t FROM documents WHERE regexp_matches(text, '{NOT_WS}')),
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents WHERE regexp_matches(text, '{NOT_WS}')),
 pr AS (SELECT doc_id, x.a AS ctx, x.b AS tok, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS x FROM t WHERE len(t) > 1) GROUP BY ALL),
 v AS (SELECT count(DISTINCT x) AS V FROM (SELECT unnest(t) AS x FROM t)),
 bg AS (SELECT ctx, tok, sum(n) AS c, sum(sum(n)) OVER (PARTITION BY ctx) AS m, rank() OVER (PARTITION BY ctx ORDER BY sum(n) DESC) AS rank FROM pr GROUP BY ctx, tok),
@@ -212,10 +261,10 @@ sc AS (SELECT pr.doc_id, pr.n, bg.rank, ln((c + 0.1::DOUBLE) / (cx.m + 0.1::DOUB
        FROM pr JOIN bg USING (ctx, tok) JOIN cx USING (ctx))"""
 
 
-@query(f"WITH {LM} SELECT ctx, tok, c::BIGINT AS c, rank::INT AS rank FROM bg")
+@query(f"WITH {LM} SELECT ctx, tok, c::BIGINT AS c, rank::BIGINT AS rank FROM bg")
 def token_rank(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of tokens after their contexts, in the model of the documents."""
-    return NGramModel(_texts(spark, d)).model().select("ctx", "tok", "c", "rank")
+    return NGramModel(_texts(spark, d)).model.select("ctx", "tok", "c", "rank")
 
 
 @query(f"""WITH {LM} SELECT t.doc_id AS row_id, round(sum(n * rank) / sum(n), 5) AS mean_rank, round(sum(n * ln(rank)) / sum(n), 6) AS log_rank,
@@ -248,7 +297,7 @@ _one_detector("fast-detect-gpt", "round((sum(n * lp) - sum(n * mu)) / sqrt(sum(n
 
 
 @query(f"""WITH {LM},
-u AS (SELECT doc_id, t[1:512] AS t FROM t),
+u AS (SELECT doc_id, t FROM t),
 up AS (SELECT doc_id, x.a AS ctx, x.b AS tok FROM (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS x FROM u WHERE len(t) > 1)),
 pp AS (SELECT doc_id, avg(-ln((c + 0.5::DOUBLE) / (cx.m + 0.5::DOUBLE * V))) AS p FROM up JOIN bg USING (ctx, tok) JOIN cx USING (ctx) GROUP BY doc_id),
 xx AS (SELECT doc_id, avg(coalesce(xent, ln((SELECT V FROM v)))) AS x FROM (SELECT doc_id, unnest(t) AS ctx FROM u) LEFT JOIN cx USING (ctx) GROUP BY doc_id)
@@ -259,17 +308,37 @@ def detector_binoculars(spark: SparkSession, d: str) -> DataFrame:
     return get_detector("binoculars")().score(_texts(spark, d)).select("row_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {LM},
+up AS (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS x FROM t WHERE len(t) > 1),
+pp AS (SELECT doc_id, median(-ln((c + 0.5::DOUBLE) / (cx.m + 0.5::DOUBLE * V))) AS p FROM (SELECT doc_id, x.a AS ctx, x.b AS tok FROM up) JOIN bg USING (ctx, tok) JOIN cx USING (ctx) GROUP BY doc_id),
+xx AS (SELECT doc_id, median(coalesce(xent, ln((SELECT V FROM v)))) AS x FROM (SELECT doc_id, unnest(t) AS ctx FROM t) LEFT JOIN cx USING (ctx) GROUP BY doc_id)
+SELECT t.doc_id AS row_id, round(-p / x, 6) AS score FROM t LEFT JOIN pp USING (doc_id) LEFT JOIN xx USING (doc_id)""")
+def binoculars_median(spark: SparkSession, d: str) -> DataFrame:
+    """The same with medians of the positions."""
+    from .detectors import get_detector
+
+    return get_detector("binoculars")(median=True).score(_texts(spark, d)).select("row_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def binoculars_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-entropy from one drawn token for each place, at a temperature."""
+    from .detectors import get_detector
+
+    return get_detector("binoculars")(sample=True, temperature=0.8, seed=3).score(_texts(spark, d)).select("row_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def detector_npr(spark: SparkSession, d: str) -> DataFrame:
-    """Two seeded perturbations a document, filled without a model."""
+    """Ten seeded perturbations a document, filled without a model."""
     from .detectors import get_detector
 
-    return get_detector("npr")(n_perturbations=2, seed=1).score(_texts(spark, d)).select("row_id", F.round("score", 6).alias("score"))
+    return get_detector("npr")(fill=perturb.repeat_fill, seed=1).score(_texts(spark, d)).select("row_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def perturbations(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.perturbed(_texts(spark, d), "row_id", "text", 2, seed=1)
+    return perturb.perturbed(_texts(spark, d), "row_id", "text", 2, perturb.repeat_fill, seed=1)
 
 
 @query("""SELECT vec_id, round(exp(e[1] - list_max(e)) / list_sum(list_transform(e, lambda x: exp(x - list_max(e)))), 10) AS probability, e[1] AS logit
@@ -350,9 +419,112 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return E.metrics(E.long_scores(rows, ["log-rank"], E.is_machine(F.col("quality"), 0)))
 
 
-@query("SELECT d.doc_id, quality::DOUBLE AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 0")
+@query("SELECT d.doc_id, quality::DOUBLE AS first, CASE WHEN lang = 'en' THEN quality::DOUBLE END AS second FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 0")
 def resume_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Saved scores meet their rows by id and text; rows without any get null."""
-    docs = _table(spark, d, "documents")
-    saved = docs.select("doc_id", F.sha2("text", 256).alias("hash")).join(_table(spark, d, "labels").where("toxic = 0"), "doc_id").select("doc_id", "hash", F.col("quality").cast("double").alias("score"))
-    return docs.withColumn("hash", F.sha2("text", 256)).join(saved, ["doc_id", "hash"], "left").select("doc_id", "score")
+    """Saved scores meet their rows by id and text; rows without any, or whose text has changed, get null."""
+    from .sources import sinks
+
+    path = f"{_scratch(spark)}/documents_scores"
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", "lang")
+    saved = docs.join(_table(spark, d, "labels").where("toxic = 0").withColumnRenamed("doc_id", "row_id"), "row_id").select("row_id", "text", "lang", F.col("quality").cast("double").alias("score"))
+    sinks.write_scores(saved.select("row_id", F.sha2("text", 256).alias("text_hash"), "score"), path, "first")
+    other = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("text", F.lit("!")))
+    sinks.write_scores(saved.select("row_id", F.sha2(other, 256).alias("text_hash"), "score"), path, "second")
+    out = sinks.attach(docs, spark, path, sinks.scored_detectors(spark, path), "row_id", "text")
+    return out.select(F.col("row_id").alias("doc_id"), "first", "second")
+
+
+def _reread(spark: SparkSession, df: DataFrame, suffix: str) -> DataFrame:
+    """Rows written in a format and loaded as a dataset of it."""
+    from .sources import readers
+
+    path = f"{_scratch(spark)}/set.{suffix}"
+    if suffix == "csv":
+        df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    elif suffix == "json":  # an array of objects in one file
+        one = df.select(F.to_json(F.struct(*df.columns)).alias("x")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("x")), ",\n"), F.lit("]")))
+        one.coalesce(1).write.text(path)
+    elif suffix in ("parquet", "orc"):
+        df.write.format(suffix).save(path)
+    else:
+        df.write.json(path)
+    return readers.load(spark, path, "text").select(df.columns)
+
+
+_SMALL = "SELECT item_id, text FROM benchmark"
+
+
+@query(_SMALL)
+def read_csv(spark: SparkSession, d: str) -> DataFrame:
+    return _reread(spark, _table(spark, d, "benchmark").select("item_id", "text"), "csv").withColumn("item_id", F.col("item_id").cast("long"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def read_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    return _reread(spark, _table(spark, d, "documents").select("doc_id", "text"), "jsonl")
+
+
+@query(_SMALL)
+def read_json_array(spark: SparkSession, d: str) -> DataFrame:
+    return _reread(spark, _table(spark, d, "benchmark").select("item_id", "text"), "json")
+
+
+@query("SELECT doc_id, text FROM documents")
+def read_sniffed_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines under a name that doesn't say so."""
+    return _reread(spark, _table(spark, d, "documents").select("doc_id", "text"), "data")
+
+
+@query("SELECT doc_id, text FROM documents")
+def read_orc(spark: SparkSession, d: str) -> DataFrame:
+    return _reread(spark, _table(spark, d, "documents").select("doc_id", "text"), "orc")
+
+
+@query("SELECT 'documents' AS dataset, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
+def read_several(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets under one another."""
+    from .sources import readers
+
+    both = readers.load_all(spark, [f"{d}/{x}.parquet" for x in ("documents", "benchmark")])
+    return both.select(F.element_at(F.split(F.element_at(F.split("dataset", "/"), -1), "[.]"), 1).alias("dataset"), F.coalesce("doc_id", "item_id").alias("id"), "text")
+
+
+@query("SELECT count(*) AS n, min(i) AS low, max(i) AS high, count(DISTINCT i) AS ids FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem)")
+def row_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers from 0 without gaps."""
+    from .sources.readers import with_row_id
+
+    return with_row_id(_table(spark, d, "lineitem").select("l_quantity")).agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("row_id").alias("ids"))
+
+
+@query("SELECT doc_id, round(n_chars / 7, 10) AS score, CASE WHEN n_chars % 2 = 0 THEN 'x' END AS note FROM documents")
+def export_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A widened table as JSON lines, read back; nulls are written."""
+    from .sources import sinks
+
+    path = f"{_scratch(spark)}/export"
+    sinks.export_jsonl(_table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 7).alias("score"), F.when(F.col("n_chars") % 2 == 0, F.lit("x")).alias("note")), path)
+    return spark.read.json(path).select("doc_id", "score", "note")
+
+
+@query("SELECT doc_id, greatest(1, least(2 * n_chars, 1024)) AS budget, greatest(1, least(least(2 * n_chars, 1024), greatest(1, 4096 - n_chars))) AS in_context FROM documents")
+def token_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens to generate for a revision, from the length of its prompt."""
+    return _table(spark, d, "documents").select("doc_id", X.token_budget(F.col("n_chars")).cast("long").alias("budget"), X.token_budget(F.col("n_chars"), context=4096).cast("long").alias("in_context"))
+
+
+@query(f"SELECT page_id, regexp_replace(html, '^{WS}+|{WS}+$', '', 'g') AS html FROM pages")
+def stripped(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", X.strip(F.col("html")).alias("html"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 2 = 0 THEN text ELSE 'kept ' || turn END AS source FROM conversations")
+def empty_output_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Blank revisions are replaced by the text."""
+    revised = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 0), F.when(F.col("conv_id") % 2 == 0, F.lit(" \n")).otherwise(F.lit(None).cast("string"))).otherwise(F.concat(F.lit(" kept "), F.col("turn"), F.lit("\t")))
+    return _table(spark, d, "conversations").select("conv_id", "turn", X.or_original(revised, F.col("text")).alias("source"))
+
+
+@query(r"SELECT page_id, len(list_filter(regexp_split_to_array(html, '\s+'), lambda x: starts_with(x, '<extra_id_'))) + 1 AS masks FROM pages")
+def mask_count(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "pages").select("page_id", perturb.mask_count(F.concat(F.lit("<extra_id_0> "), F.col("html"))).cast("long").alias("masks"))

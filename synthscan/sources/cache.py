@@ -27,6 +27,16 @@ class Cache:
         last = Window.partitionBy("hash").orderBy(F.desc("seq"))
         return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("hash", self.value)
 
+    def size(self) -> int:
+        """How many keys it has."""
+        return self.table().count()
+
+    def statistics(self, df: DataFrame, key: str, least: int = 0) -> DataFrame:
+        """(n_keys, n_hits, n_misses, n_cached): distinct keys of df that have a value and those that don't, and all that are kept."""
+        asked = self.looked_up(df.select(key).distinct(), key, least).agg(F.count("*").alias("keys"), F.count(self.value).alias("hits"), F.lit(0).cast("long").alias("cached"))
+        kept = self.table().agg(F.lit(0).cast("long"), F.lit(0).cast("long"), F.count("*"))
+        return asked.union(kept).agg(F.sum("keys").alias("n_keys"), F.sum("hits").alias("n_hits"), F.sum(F.col("keys") - F.col("hits")).alias("n_misses"), F.sum("cached").alias("n_cached"))
+
     def looked_up(self, df: DataFrame, key: str, least: int = 0) -> DataFrame:
         """df with the value of its key, null where there is none (or, for arrays, fewer than `least`)."""
         hits = self.table()

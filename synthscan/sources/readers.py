@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nonblank
+from ..plans.tables import stored
 
 # Cells that data frames by convention read as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+_SHUFFLES = re.compile(r"\b(Join|Aggregate|Sort|Repartition\w*|Window|Distinct|Deduplicate|GlobalLimit|Union|Generate|Sample)\b")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,11 +79,26 @@ def load_all(spark: SparkSession, sources: list[str], **options) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Numbers from 0 in the order of the rows' partitions, without gaps, and without gathering rows in one place."""
+    """Numbers from 0 in the order of the rows' partitions, without gaps; rows are neither gathered nor sent to Python.
+
+    Partitions are counted first; their counts, one for each partition, are all that reaches the driver. That takes the
+    same partitions again when rows are numbered, as files have; what shuffles is written to the shared folder before.
+    """
     if row_id in df.columns:
         return df
-    fields = [*df.schema.fields, T.StructField(row_id, T.LongType(), False)]
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), T.StructType(fields))
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        df = stored(df, "numbered")
+    number, part = F.monotonically_increasing_id(), F.shiftrightunsigned(F.monotonically_increasing_id(), 33)
+    counts = df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    total, bases = 0, []
+    for r in counts:
+        bases.append((r["part"], total))
+        total += r["n"]
+    names = df.columns
+    bases = df.sparkSession.createDataFrame(bases, "_part long, _base long")
+    numbered = df.withColumn("_number", number)
+    numbered = numbered.withColumn("_part", F.shiftrightunsigned("_number", 33)).join(F.broadcast(bases), "_part")
+    return numbered.select(*(F.col(f"`{x}`") for x in names), (F.col("_base") + F.col("_number").bitwiseAND((1 << 33) - 1)).alias(row_id))
 
 
 def head(df: DataFrame, row_id: str, n: int = 100) -> DataFrame:

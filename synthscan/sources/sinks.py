@@ -5,11 +5,13 @@ Writing a detector's scores doesn't touch the others, and a table that is being
 
 from __future__ import annotations
 
+import json
 import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .readers import exists
 
@@ -21,6 +23,21 @@ def output_dir(flag: str | None = None) -> str:
     return (flag or os.environ.get(ENVIRONMENT) or os.path.expanduser("~/.synthscan")).rstrip("/")
 
 
+def shared(spark: SparkSession, path: str) -> str:
+    """The path, if executors can write to it too: on a cluster it needs a file system's scheme other than file."""
+    scheme = path.partition("://")[0] if "://" in path else spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").partition(":")[0]
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root or not path.startswith(root):
+            raise ValueError(f"{path} is a folder of one machine; name one that all executors share")
+    return path
+
+
+def cache_root(spark: SparkSession) -> str:
+    """Where generated texts are kept by default."""
+    return shared(spark, f"{output_dir()}/cache")
+
+
 def dataset_key(spark: SparkSession, source: str) -> str:
     """The file's stem, or for what is no path its name with slashes as underscores."""
     if exists(spark, source):
@@ -44,7 +61,7 @@ def scored_detectors(spark: SparkSession, path: str) -> list[str]:
         return []
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    return sorted(x.getPath().getName() for x in found if x.isDirectory() and exists(spark, f"{x.getPath().toString()}/_SUCCESS") and x.getPath().getName() != "export")
+    return sorted(x.getPath().getName() for x in found if x.isDirectory() and exists(spark, f"{x.getPath().toString()}/_SUCCESS") and x.getPath().getName() not in ("export", "export.schema"))
 
 
 def attach(df: DataFrame, spark: SparkSession, path: str, detectors: list[str], row_id: str, text_field: str) -> DataFrame:
@@ -60,6 +77,14 @@ def export_jsonl(df: DataFrame, path: str) -> None:
     """The widened table as JSON lines, nulls written; ten decimals, as data frames write by default."""
     doubles = {f.name: F.round(F.col(f"`{f.name}`"), 10) for f in df.schema.fields if f.dataType.typeName() == "double"}
     df.withColumns(doubles).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    spark = df.sparkSession
+    spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.schema")
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """An exported table, with the schema it was written with."""
+    found = spark.read.text(f"{path}.schema", wholetext=True).first() if exists(spark, f"{path}.schema") else None
+    return (spark.read.schema(T.StructType.fromJson(json.loads(found[0]))) if found else spark.read).json(path)
 
 
 def markdown(rows: list[dict]) -> str:
