@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_dir
+
 #: The word class of all contracts: maximal runs free of space and of U+0009..U+000D.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -21,19 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where the session names none, one is made in local mode; on a cluster,
-    where executors could not see it, that is an error."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="synthscan-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
 _scopes: list[list[str]] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 

@@ -39,6 +39,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import discard, stored
 
 KINDS = ("email", "ip", "card", "phone")  # of the base
@@ -101,11 +102,6 @@ def _keeps(kind: str):
     return lambda x: valid(kind, x["value"])
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def scan(values: Column, join: Callable[[Column, Column], Column], zero: int) -> Column:
     """Running results of an associative join of ints: in blocks of BLOCK, then over the blocks' ends."""
 
