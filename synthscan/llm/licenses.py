@@ -3,8 +3,8 @@
 A text is cut into segments at line ends and sentence ends and becomes one stream of normalised words: lower case, only
 letters and digits. A known licence sentence is a pattern of words; it matches where it begins at a segment's beginning
 and ends at a segment's end, over as many segments as it takes: how a text is wrapped, indented or marked as a comment
-makes no difference, and no statement is too long. Words that a sentence leaves open stay within a paragraph, and within
-a segment where they end the sentence. Matches give the sentence's identifier; a document's identifiers in
+makes no difference, and no statement is too long. Words that a sentence leaves open stay within a paragraph, don't run over
+the beginning of another sentence, and stay within a segment where they end the sentence. Matches give the sentence's identifier; a document's identifiers in
 order are matched against the rules, in the rules' order. A rule takes the first run of identifiers that equals it, again
 and again; what no rule takes is reported as unmatched. SPDX tags name their licence themselves. The method follows
 sentence-based licence identification (German et al., 2010).
@@ -206,8 +206,8 @@ def normalised(text: str) -> str:
 
 
 class Stream:
-    """Normalised segments, a line each; where paragraphs (runs of lines with words) end; and for each end pattern where it
-    occurs, found when first asked."""
+    """Normalised segments, a line each; where paragraphs (runs of lines with words) end; which segments may begin a known
+    sentence; and for each end pattern where it occurs, found when first asked."""
 
     def __init__(self, text: str) -> None:
         self.places, self.starts, self.paragraphs, parts, size = [], [], [], [], 0
@@ -227,16 +227,21 @@ class Stream:
             at = end.end() if end else at
         self.paragraphs.append(size)
         self.words = "\n".join(parts)
+        self.heads = [x for x in self.starts if _BEGINS.match(self.words, x)]
         self.found: dict[re.Pattern, tuple[list[int], list[int]]] = {}
 
     def next(self, pattern: re.Pattern, at: int) -> int | None:
-        """Where the first occurrence of the pattern behind a word from `at` on ends, if it begins in the same paragraph."""
+        """Where the first occurrence of the pattern behind a word from `at` on ends, if it begins in the same paragraph and
+        no later than the next segment that may begin a sentence."""
         if pattern not in self.found:
             all_ = [(m.start(), m.end()) for m in pattern.finditer(self.words)]
             self.found[pattern] = [a for a, _ in all_], [b for _, b in all_]
         begins, ends = self.found[pattern]
         i = bisect_right(begins, at)
-        return ends[i] if i < len(begins) and begins[i] <= self.paragraphs[bisect_left(self.paragraphs, at)] else None
+        if i == len(begins) or begins[i] > self.paragraphs[bisect_left(self.paragraphs, at)]:
+            return None
+        j = bisect_left(self.heads, at)
+        return ends[i] if j == len(self.heads) or begins[i] <= self.heads[j] else None
 
     def match(self, sentence: Sentence, at: int) -> int | None:
         """Where the sentence that begins at `at` ends."""
@@ -251,12 +256,13 @@ class Stream:
 def identifiers(text: str) -> list[str]:
     """Identifiers of the known sentences in a text, in order."""
     stream, out, i = Stream(text), [], 0
+    heads = set(stream.heads)
     tags = {bisect_right(stream.places, m.start()) - 1: SPDX + m[1].strip() for m in _SPDX.finditer(text)}
     while i < len(stream.starts):
         at = stream.starts[i]
         if i in tags:
             out.append(tags[i])
-        elif _BEGINS.match(stream.words, at):
+        elif at in heads:
             for sentence in KNOWN:
                 to = stream.match(sentence, at)
                 if to is not None:

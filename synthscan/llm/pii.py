@@ -117,8 +117,9 @@ def scan(values: Column, join: Callable[[Column, Column], Column], zero: int) ->
 
 
 def _patterns(found: Column, gaps: Column, i: Column) -> Column:
-    """The lexical patterns of match i. A match is a word or more, so the words next to it lie within two matches of it."""
-    two = rf"^{_SPACE}*+(?:{_WORD}++{_SPACE}*+){{0,2}}+"  # and all of a shorter piece
+    """The lexical patterns of match i. Words have a letter or digit, punctuation before it aside. A match is a word or
+    more, so the words next to it lie within two matches of it."""
+    two = rf"^(?:[^\p{{L}}\p{{N}}]*+{_WORD}++){{0,2}}+{_SPACE}*+"  # and all of a shorter piece
     none = F.lit("")
 
     def tail(j: Column) -> Column:
@@ -130,7 +131,7 @@ def _patterns(found: Column, gaps: Column, i: Column) -> Column:
         return F.when(j < F.size(found), F.regexp_extract(piece, two, 0)).otherwise(none)
 
     def words(x: Column) -> Column:
-        return F.filter(F.split(F.lower(x), rf"{_SPACE}+"), lambda w: w != "")
+        return F.regexp_extract_all(F.lower(x), F.lit(rf"[\p{{L}}\p{{N}}]{_WORD}*+"), F.lit(0))
 
     def pick(a: Column, b: Column) -> Column:  # a backwards
         return F.array_compact(F.array(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from synthscan.llm import quality_rules
-from tests.llm.test_operators import check_packed, empty, groups, kept_lines, odd, pairs  # noqa: F401
+from tests.llm.test_operators import check_packed, empty, groups, odd, pairs  # noqa: F401
+from tests.llm.test_whole import without_repeats
 
 
 def test_stages(spark, tmp_path):
@@ -22,15 +23,17 @@ def test_stages(spark, tmp_path):
         if name != "packing":
             assert out.columns == columns
         if name == "quality rules":
+            rules = quality_rules.fitted(docs, spark.read.parquet(f"{d}/labels.parquet"))
+            assert {x for x, _ in after} == {r.doc_id for r in quality_rules.judged(quality_rules.with_statistics(docs), rules).where("kept").collect()}
             failed = {r.doc_id for r in quality_rules.with_statistics(docs).where(quality_rules.base_failed()).collect()}
             bad = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").collect()}
             gone = {x for x, _ in before} - {x for x, _ in after}
             assert failed <= gone and not (gone - failed) & bad
         elif name == "line dedup":
-            assert sorted(after) == sorted((x[0], x[3]) for x in kept_lines(before))
+            assert sorted(after) == [(d, t) for d, _, t in without_repeats(before)]
             assert all(r.n_chars == len(r.text) for r in out.collect())
         elif name == "near-duplicates":
-            assert sorted(x for x, _ in after) == sorted(x for x, (_, c) in groups(before).items() if x == c)
+            assert sorted(x for x, _ in after) == sorted(x for x, (_, c) in groups(before, 80).items() if x == c)
         elif name == "source mixing":
             words = lambda rows: sum(len((t or "").split()) for _, t in rows)
             assert abs(words(after) - 1.5 * words(before)) < 100 and max(Counter(x for x, _ in after).values()) <= 2
