@@ -1,11 +1,13 @@
 """Text normalisation for the long-text classifier: line breaks, special tokens, punctuation, cleaning, allowed characters.
 
-Each step is one expression of regexp_replace calls. Cleaning approximates a third-party library that is not available:
-characters are decomposed and those beyond ASCII dropped; links, addresses and phone numbers are removed.
+Each step is one expression of replacements. Cleaning approximates a third-party library that is not available: text
+read in the wrong encoding is mended, letters are transliterated or decomposed and what is left beyond ASCII dropped;
+links, addresses and phone numbers are removed.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -60,22 +62,79 @@ def moses_rules(lang: str = "en", penn: bool = True, quote_commas: bool = True,
     return rules
 
 
+def _literal(pattern: str) -> str | None:
+    """The text that a pattern stands for, if it is one without any operator."""
+    bare = re.sub(r"\\([^A-Za-z0-9])", "", pattern)
+    return None if re.search(r"[][\\()*+?.^$|{}]", bare) else re.sub(r"\\(.)", r"\1", pattern)
+
+
+def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Literal (old, new) pairs in order; neighbours of one character each, none of which makes another, are one pass."""
+    i = 0
+    while i < len(rules):
+        j = i
+        while j < len(rules) and len(rules[j][0]) == len(rules[j][1]) == 1 and not any(new == rules[j][0] or old == rules[j][0] for old, new in rules[i:j]):
+            j += 1
+        if j - i > 1:
+            text = F.translate(text, "".join(x for x, _ in rules[i:j]), "".join(x for _, x in rules[i:j]))
+            i = j
+        else:
+            text = F.replace(text, F.lit(rules[i][0]), F.lit(rules[i][1]))
+            i += 1
+    return text
+
+
 def punctuation(text: Column, lang: str = "en", penn: bool = True, quote_commas: bool = True, numbers: bool = True) -> Column:
+    """The rules in order: literal ones as plain replacements, the others as regular expressions."""
+    waiting: list[tuple[str, str]] = []
     for pattern, replacement in moses_rules(lang, penn, quote_commas, numbers):
-        text = F.regexp_replace(text, pattern, replacement)
-    return strip(text)
+        plain = None if "$" in replacement else _literal({"\\r": "\r"}.get(pattern, pattern))
+        if plain is not None:
+            waiting.append((plain, replacement))
+            continue
+        text, waiting = F.regexp_replace(replaced(text, waiting), pattern, replacement), []
+    return strip(replaced(text, waiting))
 
 
 def detokenised(text: Column) -> Column:
-    for old, new in DETOKENISED:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return strip(text)
+    return strip(replaced(text, DETOKENISED))
+
+
+# Letters that no decomposition makes ASCII, as they are commonly written in it.
+LETTERS = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ŋ": "ng", "ħ": "h", "ŧ": "t", "ĸ": "k",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r",
+    "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "–": "-", "—": "-", "‐": "-", "‑": "-", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "«": "<<", "»": ">>", "…": "...", "•": "*", "€": "EUR", "£": "PS", "¥": "Y=",
+    "©": "(c)", "®": "(r)", "°": "deg", "±": "+-", "×": "x", "÷": "/", "¿": "?", "¡": "!", "¦": "|", "§": "SS", "¶": "P", "·": "*", "´": "'", "¨": '"', "¬": "!", "¯": "-",
+}
+_TABLE = {ord(k): v for k, v in LETTERS.items()} | {ord(k.upper()): v.capitalize() for k, v in LETTERS.items() if len(k.upper()) == 1 and k.upper() != k}
+_BROKEN = re.compile("[ÃÂâ][\u0080-\u00bf\u20ac\u201a-\u2122\u0152-\u0192\u02c6\u02dc]")
+
+
+def mended(text: str) -> str:
+    """Text that was read in a one-byte encoding though it is UTF-8, read anew; any other as it is."""
+    if _BROKEN.search(text):
+        for encoding in ("cp1252", "latin-1"):
+            try:
+                return text.encode(encoding).decode()
+            except UnicodeError:
+                continue
+    return text
+
+
+def transliterated(text: str) -> str:
+    """In ASCII: mended, letters as LETTERS has them, others decomposed; what is left beyond ASCII goes."""
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFKD", mended(text).translate(_TABLE)).encode("ascii", "ignore").decode()
 
 
 @F.pandas_udf(T.StringType())
 def ascii_only(text: pd.Series) -> pd.Series:
-    """Characters decomposed, what is not ASCII then dropped."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x.replace("ß", "ss")).encode("ascii", "ignore").decode())
+    return text.map(lambda x: None if x is None else transliterated(x))
 
 
 def cleaned(text: Column) -> Column:
@@ -87,7 +146,7 @@ def cleaned(text: Column) -> Column:
 
 def allowed(text: Column) -> Column:
     """Only allowed characters, no runs of brackets, quotes and dashes, single spaces."""
-    text = F.regexp_replace(F.regexp_replace(text, FORBIDDEN, ""), RUNS, "")
+    text = F.regexp_replace(F.regexp_replace(text, f"{FORBIDDEN}+", ""), RUNS, "")
     return strip(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: The code points that Unicode calls white space, and the separators U+001C..U+001F.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+#: The same, one by one.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once however often it is used."""
@@ -22,7 +25,7 @@ def nonblank(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:

@@ -240,7 +240,16 @@ def mage_full(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", mage.normalised(F.col("text")).alias("text"))
 
 
-@query()
+def _punctuation_sql(lang: str, penn: bool) -> str:
+    """The rules as nested calls."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    text = "text"
+    for pattern, new in mage.moses_rules(lang, penn):
+        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(new.replace('$', chr(92)))}, 'g')"
+    return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, CASE {' '.join(f"WHEN lang = '{x}' THEN {_punctuation_sql(x, False)}" for x in ('de', 'es', 'fr'))} ELSE {_punctuation_sql('en', True)} END AS text FROM documents")
 def mage_punctuation_by_language(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     each = F.coalesce(*(F.when(F.col("lang") == x, mage.punctuation(text, x, penn=False)) for x in ("de", "es", "fr")), mage.punctuation(text))
