@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,11 +88,46 @@ def bscore_of(rest: list[str], continuations: list[list[str]], n_min: int = N_MI
     return total / len(continuations)
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def bscore_by_hash(rest: list[str], continuations: list[list[str]], n_min: int = N_MIN, n_max: int = N_MAX) -> float:
+    """The same with n-grams told by 64-bit hashes, all continuations at a time."""
+    lengths = np.array([len(y) for y in continuations], np.int64)
+    if not len(rest) or not len(lengths):
+        return 0.0
+    number: dict[str, int] = {}
+    ids = lambda words: np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64)
+    own, other = _scrambled(ids(rest) + np.uint64(1)), _scrambled(ids(chain.from_iterable(continuations)) + np.uint64(1))
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(other))  # words from here to the continuation's end
+    x, y, total = own.copy(), other.copy(), 0.0
+    for n in range(1, min(n_max, len(rest)) + 1):
+        if n > 1:  # one word more
+            x = _scrambled(x[:-1] * _FACTOR + own[n - 1 :])
+            y = _scrambled(y[:-1] * _FACTOR + other[n - 1 :]) if len(y) else y
+        if n < max(2, n_min):
+            continue
+        grams = np.unique(x)
+        at = np.searchsorted(grams, y)
+        hit = np.flatnonzero((grams[np.minimum(at, len(grams) - 1)] == y) & (room[: len(y)] >= n))
+        if not len(hit):
+            break  # longer ones would hold shared ones of this length
+        shared = np.bincount(np.unique(of[hit] * len(grams) + at[hit]) // len(grams), minlength=len(lengths))
+        total += n * math.log(n) / len(grams) * float((shared / np.maximum(lengths, 1)).sum())
+    return total / len(lengths)
+
+
 def bscore_fast(n_min: int = N_MIN, n_max: int = N_MAX):
     """A function of (rest, continuations) columns that computes BScore on Arrow batches."""
 
     @F.pandas_udf(T.DoubleType())
     def score(rest: pd.Series, continuations: pd.Series) -> pd.Series:
-        return pd.Series([bscore_of(list(a), [list(y) for y in b], n_min, n_max) for a, b in zip(rest, continuations, strict=True)], dtype="float64")
+        return pd.Series([bscore_by_hash(list(a), [list(y) for y in b], n_min, n_max) for a, b in zip(rest, continuations, strict=True)], dtype="float64")
 
     return score

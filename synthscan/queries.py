@@ -537,3 +537,69 @@ def empty_output_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query(r"SELECT page_id, len(list_filter(regexp_split_to_array(html, '\s+'), lambda x: starts_with(x, '<extra_id_'))) + 1 AS masks FROM pages")
 def mask_count(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", perturb.mask_count(F.concat(F.lit("<extra_id_0> "), F.col("html"))).cast("long").alias("masks"))
+
+
+@query("SELECT unnest(['binoculars', 'dna-gpt', 'fast-detect-gpt', 'log-rank', 'lrr', 'mage', 'npr', 'radar', 'rank', 'remodetect', 'revise-detect']) AS name, unnest(range(11)) AS place")
+def detector_names(spark: SparkSession, d: str) -> DataFrame:
+    """The registry's names in order."""
+    from .detectors import list_detectors
+
+    return spark.createDataFrame([(name, i) for i, name in enumerate(list_detectors())], "name string, place long")
+
+
+@query("SELECT DISTINCT sha256(text) AS hash, 'Revise the following text: ' || text AS prompt FROM conversations WHERE role = 'user'")
+def revision_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a reviser is asked, by key, through the batches that generating back ends get."""
+    from .providers.base import generated
+
+    asked = _table(spark, d, "conversations").where("role = 'user'").select(X.revision_key(F.col("text")).alias("hash"), "text").dropDuplicates(["hash"])
+    return generated(asked, "hash", "text", _asked, "prompt", "string")
+
+
+def _asked(texts: list[str]) -> list[str]:
+    from .providers.generate import Reviser
+
+    chat = Reviser("hf", "none").chat
+    return [chat(t) for t in texts]
+
+
+@query(f"""WITH {CURVE} SELECT dataset AS "Dataset", upper(detector) AS "Detector", printf('%.4f', roc_auc) AS "ROC AUC",
+{", ".join(f"printf('%.4f', a{i}) AS \"AUROC({q * 100})\"" for i, q in enumerate((0.001, 0.01, 0.1)))},
+{", ".join(f"printf('%5.1f%%', t{i}) AS \"TPR(FPR={q * 100}%)\"" for i, q in enumerate((0.001, 0.01, 0.1)))} FROM r JOIN z ON r.dataset = z.d""")
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The console's table: labels of metrics and formatted values."""
+    rows = E.displayed(E.metrics(_tied(spark, d)))
+    return spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"`{x}` string" for x in rows[0]))
+
+
+@query("""SELECT item_id, 'out/set_' || item_id || '_scores' AS path, 'out/set_' || item_id || '_scores.debug' AS trial FROM benchmark""")
+def scores_paths(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import sinks
+
+    items = [r.item_id for r in _table(spark, d, "benchmark").select("item_id").collect()]
+    keys = [sinks.dataset_key(spark, f"set/{i}") for i in items]  # no paths, so names with slashes
+    return spark.createDataFrame([(i, sinks.scores_path("out", k), sinks.scores_path("out", k, True)) for i, k in zip(items, keys)], "item_id long, path string, trial string")
+
+
+@query(f"SELECT doc_id, {_punctuation_sql('en', True)} AS text FROM documents")
+def mage_punctuation(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", mage.punctuation(F.col("text")).alias("text"))
+
+
+def _detokenised_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    text = "text"
+    for old, new in mage.DETOKENISED:
+        text = f"replace({text}, {quoted(old)}, {quoted(new)})"
+    return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_detokenised_sql()} AS text FROM documents")
+def mage_detokenised(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", mage.detokenised(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains(['a', 'and', 'from', 'of', 'that', 'the', 'to'], x)), ' ') AS tokens FROM documents")
+def without_stop_words(spark: SparkSession, d: str) -> DataFrame:
+    some = ["a", "and", "from", "of", "that", "the", "to"]
+    return _table(spark, d, "documents").select("doc_id", F.concat_ws(" ", overlap.without(overlap.tokens(F.col("text")), some)).alias("tokens"))
