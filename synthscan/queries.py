@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .detectors.generating import DivergentNGrams, ReviseDetect
@@ -14,7 +14,7 @@ from .functions import text as X
 from .operators import evaluate as E
 from .operators import statistics as S
 from .providers.ngram import NGramModel
-from .sources.readers import head, scorable
+from .sources.readers import head, scorable, with_row_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,8 +87,7 @@ def _continued(spark: SparkSession, d: str) -> DataFrame:
     """Each document's remainder, and the next three documents' texts of its language as stand-in continuations."""
     docs = _texts(spark, d).withColumnRenamed("row_id", "doc_id").join(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     own = docs.select("doc_id", X.truncated(F.col("text"), 0.5)["remainder"].alias("rest"))
-    order = Window.partitionBy("lang").orderBy("doc_id")
-    numbered = docs.select("lang", "doc_id").withColumn("place", F.row_number().over(order))
+    numbered = with_row_id(docs.select("lang", "doc_id").orderBy("lang", "doc_id"), "place")  # neighbours of a language are numbered in a row
     asked = numbered.select("lang", "doc_id", F.explode(F.array(*(F.col("place") + i for i in (1, 2, 3)))).alias("place"))
     pairs = asked.join(numbered.select("lang", "place", F.col("doc_id").alias("other")), ["lang", "place"]).select("doc_id", "other", "place")
     with_text = pairs.join(docs.select(F.col("doc_id").alias("other"), F.col("text").alias("continuation")), "other")
@@ -501,8 +500,6 @@ def read_several(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n, min(i) AS low, max(i) AS high, count(DISTINCT i) AS ids FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem)")
 def row_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers from 0 without gaps."""
-    from .sources.readers import with_row_id
-
     return with_row_id(_table(spark, d, "lineitem").select("l_quantity")).agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("row_id").alias("ids"))
 
 

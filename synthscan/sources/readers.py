@@ -86,18 +86,16 @@ def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """
     if row_id in df.columns:
         return df
-    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
-        df = stored(df, "numbered")
-    number, part = F.monotonically_increasing_id(), F.shiftrightunsigned(F.monotonically_increasing_id(), 33)
-    counts = df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    names, shuffled = df.columns, _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString())
+    df = df.withColumn("_number", F.monotonically_increasing_id())
+    df = (stored(df, "numbered") if shuffled else df).withColumn("_part", F.shiftrightunsigned("_number", 33))
+    counts = df.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
     total, bases = 0, []
     for r in counts:
-        bases.append((r["part"], total))
+        bases.append((r["_part"], total))
         total += r["n"]
-    names = df.columns
     bases = df.sparkSession.createDataFrame(bases, "_part long, _base long")
-    numbered = df.withColumn("_number", number)
-    numbered = numbered.withColumn("_part", F.shiftrightunsigned("_number", 33)).join(F.broadcast(bases), "_part")
+    numbered = df.join(F.broadcast(bases), "_part")
     return numbered.select(*(F.col(f"`{x}`") for x in names), (F.col("_base") + F.col("_number").bitwiseAND((1 << 33) - 1)).alias(row_id))
 
 

@@ -324,3 +324,10 @@ def test_row_numbers_of_shuffled_and_filtered_tables(spark):
     for df in (spark.range(1000, numPartitions=7).where("id % 3 = 0"), spark.range(1000).repartition(5), spark.range(90).groupBy("id").count(), spark.range(0)):
         n = df.count()
         assert sorted(r.row_id for r in with_row_id(df).select("row_id").collect()) == list(range(n))
+
+
+def test_row_numbers_keep_an_order(spark):
+    from synthscan.sources.readers import with_row_id
+
+    df = with_row_id(spark.range(1000, numPartitions=9).selectExpr("(id * 7919) % 1000 AS x").orderBy("x"))
+    assert all(r.x == r.row_id for r in df.collect())
