@@ -20,7 +20,7 @@ class _ZeroShot(Detector):
     def own(self, df: DataFrame, texts: DataFrame) -> tuple[Provider, DataFrame | None]:
         """The provider and the texts to ask it for; a model that is counted on the texts themselves is asked for none."""
         given = self.options.get("provider")
-        return (given, texts) if given else (NGramModel(df), None)
+        return (given.of(self.name), texts) if given else (NGramModel(df), None)
 
     def score(self, df: DataFrame) -> DataFrame:
         provider, texts = self.own(df, df.select("row_id", F.lit(0).alias("variant"), "text"))

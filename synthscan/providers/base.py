@@ -23,6 +23,10 @@ REVISION_PROMPT = "Revise the following text: "
 class Provider(ABC):
     """Texts come as (row_id, variant, text)."""
 
+    def of(self, detector: str) -> Provider:
+        """The provider for a detector, where detectors have models of their own."""
+        return self
+
     def token_scores(self, texts: DataFrame) -> DataFrame:
         """(row_id, variant, n, logprob, rank, mean_lp, var_lp)"""
         raise NotImplementedError(f"{type(self).__name__} has no token scores")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,7 @@ from .base import MASK_MODEL, Provider
 
 # Public model identifiers that detectors use by default.
 SCORER, OBSERVER, PERFORMER, SIMILARITY = "gpt2-xl", "tiiuae/falcon-7b", "tiiuae/falcon-7b-instruct", "facebook/bart-large-cnn"
+OTHERS = {"fast-detect-gpt": "EleutherAI/gpt-neo-2.7B"}
 CAUSAL, SEQUENCE, CLASSIFIER = "causal", "sequence", "classifier"
 
 
@@ -134,6 +136,13 @@ class NeuralProvider(Provider):
         self.backend, self.scorer, self.observer, self.performer, self.similarity = backend, scorer, observer, performer, similarity
         self.classifiers, self.max_tokens, self.cross_tokens, self.class_tokens = classifiers or {}, max_tokens, cross_tokens, class_tokens
 
+    def of(self, detector: str) -> NeuralProvider:
+        if self.backend != "hf" or self.scorer != SCORER or detector not in OTHERS:
+            return self
+        other = copy(self)
+        other.scorer = OTHERS[detector]
+        return other
+
     def token_scores(self, texts: DataFrame) -> DataFrame:
         backend, path, most = self.backend, self.scorer, self.max_tokens
 

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 def session(app: str = "synthscan", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; on a cluster leave master and partitions to its own settings."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")  # joins hash a side whose partitions are all that small
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

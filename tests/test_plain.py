@@ -306,6 +306,7 @@ def test_providers_by_name(spark, tmp_path):
     from synthscan.providers.base import provider
 
     assert provider("ngram", spark) is None
+    assert neural.NeuralProvider().of("rank").scorer == "gpt2-xl" and neural.NeuralProvider().of("fast-detect-gpt").scorer == "EleutherAI/gpt-neo-2.7B"
     for kind in ("onnx", "tables", "other"):
         with pytest.raises(ValueError):
             provider(kind, spark)
