@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 ORDERINGS, AXES, BITS, WINDOW, BLOCK = 16, 8, 7, 64, 1024
 PROBES, SHARE = 256, 0.95
@@ -172,7 +172,7 @@ def reach(classes: DataFrame, d: int, k: int, orderings: int = ORDERINGS, probes
         for b in batches:
             yield _best(q, b.column("vec").to_numpy(), b.column("least").to_numpy(), _matrix(b.column("v"), d), v_q, k + 1)
 
-    true = _top(classes.mapInArrow(truth, HITS), k + 1).where("q <> c").select("q", "c").join(classes.select(F.col("vec").alias("c"), "v"), "c").toPandas()
+    true = _top(classes.mapInArrow(tidy(truth), HITS), k + 1).where("q <> c").select("q", "c").join(classes.select(F.col("vec").alias("c"), "v"), "c").toPandas()
     if not len(true):
         return 0
     own = np.searchsorted(np.sort(q), true["q"])
@@ -190,7 +190,7 @@ def reach(classes: DataFrame, d: int, k: int, orderings: int = ORDERINGS, probes
         at = np.indices(total.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(total.ravel())], ["ordering", "pair", "n"])
 
-    far = classes.select("v").mapInArrow(between, "ordering long, pair long, n long").groupBy("ordering", "pair").agg(F.sum("n").alias("n")).groupBy("pair").agg(F.min("n").alias("n"))
+    far = classes.select("v").mapInArrow(tidy(between), "ordering long, pair long, n long").groupBy("ordering", "pair").agg(F.sum("n").alias("n")).groupBy("pair").agg(F.min("n").alias("n"))
     return 1 + int(np.quantile(far.toPandas()["n"].to_numpy(), share, method="higher"))
 
 
@@ -326,8 +326,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     classes = classed(rows, k)
     wide = max(window, reach(classes, d, k, orderings, probes, share))
     sort = ("ordering", "key", "vec")
-    along = classes.select("vec", "least", "asks", "v").mapInArrow(_keyed(d, orderings), "ordering int, key long, vec long, least long, asks boolean, v binary")
-    packs = stored(along.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(_packed(block), PACKED), "packs")
+    along = classes.select("vec", "least", "asks", "v").mapInArrow(tidy(_keyed(d, orderings)), "ordering int, key long, vec long, least long, asks boolean, v binary")
+    packs = stored(along.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(tidy(_packed(block)), PACKED), "packs")
     sizes = packs.groupBy("ordering", "part").agg(F.sum("n").alias("rows"))
     past = Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("ordering", "part", F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("base"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import by_size, byte_texts
+from .common import by_size, byte_texts, tidy
 from .substring_dedup import CHUNK_BYTES, _flushed, bucket_bits, repeats
 
 RUN, LONG = 3, 50
@@ -152,4 +152,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = docs.where(F.col(id_col).isNotNull())
         out = known.join(removed, F.col(id_col).cast("long") == F.col("__line_id"), "left").drop("__line_id")
     out = out.union(docs.where(F.col(id_col).isNull()).withColumn("__line_places", F.lit(None).cast("array<int>")))
-    return out.mapInArrow(_kept(text_col, run), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return out.mapInArrow(tidy(_kept(text_col, run)), T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))

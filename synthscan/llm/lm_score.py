@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import by_size, byte_texts, parts, stored, text_bytes
+from .common import by_size, byte_texts, parts, stored, text_bytes, tidy
 from .substring_dedup import _pack, _unpack
 
-PRIOR, CHUNK_BYTES, FLUSH, BUCKET_BYTES, HEAVY_SHARE = 10.0, 2 << 20, 1 << 20, 24 << 20, 1 << 19
+PRIOR, CHUNK_BYTES, FLUSH, BUCKET_BYTES, HEAVY_SHARE = 10.0, 2 << 20, 1 << 20, 16 << 20, 1 << 19
 BEGIN = np.uint64(1)
 LOSSES = "bucket int, part int, ids binary, words binary, target_loss binary, background_loss binary"
 
@@ -180,7 +180,7 @@ def _word_losses(prior: float, mass: np.ndarray, texts: np.ndarray, heavy: np.nd
 
 
 def _losses(both: DataFrame, prior: float, size: int, bits: int) -> DataFrame:
-    counted = both.mapInArrow(_word_counts(bits), "bucket int, target boolean, words binary, times binary, before binary")
+    counted = both.mapInArrow(tidy(_word_counts(bits)), "bucket int, target boolean, words binary, times binary, before binary")
     counted = counted.groupBy("bucket").applyInArrow(_totals(max(1024, size // HEAVY_SHARE)), "kind int, key long, target long, background long, target_before long, background_before long")
     summed = stored(counted, "vocabulary").groupBy("kind", "key").agg(*(F.sum(x).alias(x) for x in ("target", "background", "target_before", "background_before"))).toPandas()
     number, words, texts = (summed.loc[summed["kind"] == i, ["target", "background"]].to_numpy(np.int64).sum(axis=0) for i in range(3))
@@ -188,7 +188,7 @@ def _losses(both: DataFrame, prior: float, size: int, bits: int) -> DataFrame:
     heavy = common["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(heavy)
     heavy, counts = heavy[order], common[["target", "background", "target_before", "background_before"]].to_numpy(np.int64)[order]
-    sent = both.mapInArrow(_occurrences(bits, heavy), "bucket int, target boolean, words binary, which binary, before binary, last binary, ids binary, counts binary")
+    sent = both.mapInArrow(tidy(_occurrences(bits, heavy)), "bucket int, target boolean, words binary, which binary, before binary, last binary, ids binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(_word_losses(prior, words + np.maximum(1, number), texts, heavy, counts, bits), LOSSES)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import by_size, byte_texts, stored
+from .common import by_size, byte_texts, stored, tidy
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
@@ -205,7 +205,7 @@ def _links(k: int, least: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, least: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable), kept (its own id is that)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = stored(texts.mapInArrow(_features(k, bands, rows), FEATURES), "features")
+    features = stored(texts.mapInArrow(tidy(_features(k, bands, rows)), FEATURES), "features")
     able = features.where("id IS NOT NULL AND n_shingles > 0")
     classes = stored(able.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"), F.min("bands").alias("bands")), "classes")
     keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(dealt: DataFrame) -> DataFrame:
         met = dealt.distinct().join(bodies, "id").repartition("pivot", "t", "u").sortWithinPartitions("pivot", "t", "u")
-        return met.mapInArrow(_links(k, least), "a long, b long")
+        return met.mapInArrow(tidy(_links(k, least)), "a long, b long")
 
     own = members.select("pivot", F.col("x").alias("t"), F.col("x").alias("u"), F.col("rep").alias("id"))
     place = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("rep"), "rep"))

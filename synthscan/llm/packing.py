@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, stored
+from .common import by_size, stored, tidy
 from .tokens import encoder
 
 LENGTH, END_ID, OPEN_WINDOWS, MERGED = 2048, 1, 32, 256
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long, place long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 TYPES = [pa.binary() if x.endswith("binary") else pa.int64() for x in PIECE.split(", ")]
@@ -183,7 +183,7 @@ def _merge(length: int, with_ids: bool):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, open_windows: int = OPEN_WINDOWS, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, as little-endian unsigned 32-bit)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packed = stored(texts.mapInArrow(_pack(length, end_id, open_windows, vocabulary, with_ids), PIECE), "pieces")
+    packed = stored(texts.mapInArrow(tidy(_pack(length, end_id, open_windows, vocabulary, with_ids)), PIECE), "pieces")
     left = packed.where("part IS NOT NULL").withColumn("group", F.expr(f"part div {MERGED}"))
     merged = left.groupBy("group").applyInArrow(_merge(length, with_ids), PIECE)
     columns = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import by_size, byte_texts, stored
+from .common import by_size, byte_texts, stored, tidy
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 CHUNK_BYTES, WINDOW = 1 << 20, 8
@@ -107,7 +107,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [*batch.columns, *(pa.array(found[x], pa.int64()) for x in STATISTICS)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *STATISTICS])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(x, T.LongType()) for x in STATISTICS)]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, *(T.StructField(x, T.LongType()) for x in STATISTICS)]))
 
 
 #: What rules may test: name -> (statistic, statistic it is divided by).

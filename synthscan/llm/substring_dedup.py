@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import by_size, byte_texts, parts, text_bytes
+from .common import by_size, byte_texts, parts, text_bytes, tidy
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
-CHUNK_BYTES, FLUSH, BUCKET_BYTES = 2 << 20, 1 << 20, 16 << 20
+CHUNK_BYTES, FLUSH, BUCKET_BYTES = 2 << 20, 1 << 19, 16 << 20
 #: Rows for hash buckets have all columns; rows for id buckets, which are numbered after those, have ids and starts alone.
 PAYLOAD = "bucket int, hashes binary, again binary, ids binary, starts binary, repeated binary"
 FOUND = "part int, ids binary, starts binary"
@@ -156,7 +156,7 @@ def in_partitions(sent: DataFrame, number: str, count: int, reduce, schema: str)
         if full:
             yield from reduce(pa.Table.from_batches(full)).to_batches()
 
-    return sent.repartitionById(count, number).mapInArrow(run, schema)
+    return sent.repartitionById(count, number).mapInArrow(tidy(run), schema)
 
 
 def _flushed(steps: Iterable[tuple[np.ndarray, ...]], bits: int) -> Iterator[pa.RecordBatch]:
@@ -248,9 +248,9 @@ def repeats(known: DataFrame, anchors, extended, bits: int) -> DataFrame:
         found = in_partitions(sent, "bucket", 2 << bits, _compared(later, bits), FOUND)
         return in_partitions(found, "part", 1 << bits, _places, PLACES)
 
-    twice = places(known.mapInArrow(anchors, PAYLOAD), False)
+    twice = places(known.mapInArrow(tidy(anchors), PAYLOAD), False)
     near = known.join(twice, "id").select("id", "body", "places")
-    return places(near.mapInArrow(extended, PAYLOAD), True)
+    return places(near.mapInArrow(tidy(extended), PAYLOAD), True)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
@@ -262,4 +262,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed = repeats(known, _anchors(window, period, cover, bits), _extended(window, period, bits), bits)
     out = known.join(removed, "id", "left").select("id", "body", "places")
     out = out.union(texts.where("id IS NULL").withColumn("places", F.lit(None).cast("array<int>")))
-    return out.mapInArrow(_kept(window), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(_kept(window)), "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
