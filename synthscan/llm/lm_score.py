@@ -15,7 +15,7 @@ loss takes meets there, c(w) and c(v w) for its own turn and, as the losses' par
 context; the bucket sends back a partial loss for each document it has words of. Words so common that they would fill a
 bucket (`heavy`: those with a share of 2^-19 of the input's bytes or more, so fewer than 2^19 of them whatever the input,
 and by the lengths of words and their distribution some ten thousand) are dealt by the whole bigram instead; only their
-counts and totals are sent to all tasks. The number of buckets grows with the input.
+counts and totals are sent to all tasks. The number of buckets grows with the input, and each is a partition of its own.
 
 Defined cases: null and wordless texts have 0 words, null losses and a null score; null ids take no part and have a null
 score; rows that share an id are scored as one document, each with that score; an empty target makes every word
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .common import by_size, byte_texts, parts, stored, text_bytes, tidy
-from .substring_dedup import _pack, _unpack
+from .substring_dedup import _pack, _unpack, in_partitions
 
 PRIOR, CHUNK_BYTES, FLUSH, BUCKET_BYTES, HEAVY_SHARE = 10.0, 2 << 20, 1 << 20, 16 << 20, 1 << 19
 BEGIN = np.uint64(1)
@@ -181,7 +181,7 @@ def _word_losses(prior: float, mass: np.ndarray, texts: np.ndarray, heavy: np.nd
 
 def _losses(both: DataFrame, prior: float, size: int, bits: int) -> DataFrame:
     counted = both.mapInArrow(tidy(_word_counts(bits)), "bucket int, target boolean, words binary, times binary, before binary")
-    counted = counted.groupBy("bucket").applyInArrow(_totals(max(1024, size // HEAVY_SHARE)), "kind int, key long, target long, background long, target_before long, background_before long")
+    counted = in_partitions(counted, "bucket", 1 << bits, _totals(max(1024, size // HEAVY_SHARE)), "kind int, key long, target long, background long, target_before long, background_before long")
     summed = stored(counted, "vocabulary").groupBy("kind", "key").agg(*(F.sum(x).alias(x) for x in ("target", "background", "target_before", "background_before"))).toPandas()
     number, words, texts = (summed.loc[summed["kind"] == i, ["target", "background"]].to_numpy(np.int64).sum(axis=0) for i in range(3))
     common = summed[summed["kind"] == 3]
@@ -189,7 +189,7 @@ def _losses(both: DataFrame, prior: float, size: int, bits: int) -> DataFrame:
     order = np.argsort(heavy)
     heavy, counts = heavy[order], common[["target", "background", "target_before", "background_before"]].to_numpy(np.int64)[order]
     sent = both.mapInArrow(tidy(_occurrences(bits, heavy)), "bucket int, target boolean, words binary, which binary, before binary, last binary, ids binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(_word_losses(prior, words + np.maximum(1, number), texts, heavy, counts, bits), LOSSES)
+    return in_partitions(sent, "bucket", 1 << bits, _word_losses(prior, words + np.maximum(1, number), texts, heavy, counts, bits), LOSSES)
 
 
 def _summed(part: pa.Table) -> pa.Table:
@@ -209,6 +209,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     size = text_bytes(both)
     bits = (parts(size, BUCKET_BYTES) - 1).bit_length()
     losses = _losses(both, prior, size, bits)
-    summed = losses.groupBy("part").applyInArrow(_summed, "id long, n_words long, target_loss double, background_loss double")
+    summed = in_partitions(losses, "part", 1 << bits, _summed, "id long, n_words long, target_loss double, background_loss double")
     out = ids.select("id").join(summed, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_words", F.lit(0)).alias("n_words"), "target_loss", "background_loss", ((F.col("target_loss") - F.col("background_loss")) / F.col("n_words")).alias("score"))
