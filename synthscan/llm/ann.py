@@ -36,10 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
+from .common import parts, stored, tidy
 
 ORDERINGS, AXES, BITS, WINDOW, BLOCK = 16, 8, 7, 64, 1024
 PROBES, SHARE = 256, 0.95
+PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 50_000
 #: What may meet in one task: packs of queries with a block, blocks with chunks of about CHUNK queries.
 PACKS, BLOCKS, CHUNKS, CHUNK = 256, 32, 8, 2048
 #: Query's class, candidate's class with the smallest of its ids, score.
@@ -327,7 +328,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     wide = max(window, reach(classes, d, k, orderings, probes, share))
     sort = ("ordering", "key", "vec")
     along = classes.select("vec", "least", "asks", "v").mapInArrow(tidy(_keyed(d, orderings)), "ordering int, key long, vec long, least long, asks boolean, v binary")
-    packs = stored(along.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(tidy(_packed(block)), PACKED), "packs")
+    pieces = min(MOST_PARTITIONS, parts(classes.count() * orderings * (8 * d + 64), PARTITION_BYTES))
+    packs = stored(along.repartitionByRange(pieces, *sort).sortWithinPartitions(*sort).mapInArrow(tidy(_packed(block)), PACKED), "packs")
     sizes = packs.groupBy("ordering", "part").agg(F.sum("n").alias("rows"))
     past = Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("ordering", "part", F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("base"))
