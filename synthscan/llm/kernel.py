@@ -1,7 +1,8 @@
 """Array kernels over words: tokenise and hash many texts at once, without a Python step per word.
 
 A word is a maximal run of bytes other than space and 0x09..0x0D; UTF-8 keeps those bytes for these characters
-alone, so byte words and character words agree. Hashes are 64 bits wide, the same in every process.
+alone, so byte words and character words agree. Hashes are 64 bits wide, the same in every process; those of different
+seeds are independent, and two of them tell spans apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -13,23 +14,11 @@ from functools import cache
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        full = np.full(max(n, 1 << 16), base, U)
-        full[0] = 1
-        have = np.cumprod(full, dtype=U)
-        if n <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+#: Blocks that are hashed at once, which bounds the memory of very long spans.
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,13 +41,37 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        raw = np.frombuffer(self.data, np.uint8)
-        n = len(raw)
-        total = np.zeros(n + 1, U)
-        np.cumsum((raw.astype(U) + U(1)) * powers(_BASE, n), out=total[1:])
-        own = (total[self.ends] - total[self.starts]) * powers(_INVERSE, n)[self.starts]
-        return mix(own + (self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return spans(self.data, self.starts, self.ends, seed)
+
+
+def spans(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each span of bytes: its blocks of 8, each scrambled under its own number, summed and scrambled again.
+
+    The scramble is not linear, so unlike a polynomial's its sums have no words built to agree.
+    """
+    blocks = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+    sizes = (ends - starts).astype(np.int64)
+    n = np.maximum(1, (sizes + 7) >> 3)
+    begin = np.concatenate(([0], np.cumsum(n)))
+    salt = mix(np.arange(1, int(n.max(initial=1)) + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(2 * seed + 1))
+    out = np.zeros(len(starts), U)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + SLICE, side="right")) - 1)
+        if high == low + 1 and n[low] > SLICE:  # one long span, block by block
+            for first in range(0, int(n[low]), SLICE):
+                number = np.arange(first, min(first + SLICE, int(n[low])))
+                left = np.clip(sizes[low] - 8 * number, 0, 8)
+                out[low:high] += mix((blocks[np.minimum(starts[low] + 8 * number, len(data) - 1)] & _HEAD[left]) ^ salt[number]).sum(dtype=U)
+        else:
+            own = n[low:high]
+            number = np.arange(begin[high] - begin[low]) - np.repeat(begin[low:high] - begin[low], own)
+            left = np.clip(np.repeat(sizes[low:high], own) - 8 * number, 0, 8)
+            at = np.minimum(np.repeat(starts[low:high], own) + 8 * number, len(data) - 1)
+            out[low:high] = np.add.reduceat(mix((blocks[at] & _HEAD[left]) ^ salt[number]), begin[low:high] - begin[low])
+        low = high
+    return mix(out + sizes.astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def words(texts: list[bytes], lower: bool = False) -> Words:

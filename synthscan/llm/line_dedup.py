@@ -49,7 +49,8 @@ class Lines:
         self.counted = n > 0  # of all lines
         self.all_first = np.searchsorted(starts, begin)
         starts, ends, self.words = starts[self.counted], ends[self.counted], n[self.counted]
-        self.hashes = kernel.Words(words.data, starts, ends, begin).hashes()
+        self.lines = kernel.Words(words.data, starts, ends, begin)
+        self.hashes = self.lines.hashes()
         self.first = np.searchsorted(starts, begin)
         self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
@@ -93,7 +94,7 @@ def _runs(run: int, long: int, short: bool, bits: int):
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in by_size(batches, "body", CHUNK_BYTES):
             lines, places = Lines(byte_texts(batch.column("body"))), batch.column("places")
-            h, total = lines.hashes, len(lines.hashes)
+            h, again, total = lines.hashes, lines.lines.hashes(1), len(lines.hashes)
             marked = np.zeros(total, bool)
             marked[np.repeat(lines.first[:-1], np.diff(places.offsets.to_numpy())) + places.flatten().to_numpy(zero_copy_only=False)] = True
             near = np.concatenate(([0], np.cumsum(marked)))
@@ -103,7 +104,7 @@ def _runs(run: int, long: int, short: bool, bits: int):
                 chosen = (near[np.arange(size) + n] > near[:size]) & kernel.inside(lines.first, n, total)
                 at = np.flatnonzero(chosen if full is None else chosen & full)
                 text = lines.text_of[at]
-                yield *(kernel.windows(h, n, seed)[at] for seed in (2, 3)), ids[text], (run * (at - lines.first[text]) + n % run).astype(np.int32)
+                yield kernel.windows(h, n, 2)[at], kernel.windows(again, n, 3)[at], ids[text], (run * (at - lines.first[text]) + n % run).astype(np.int32)
 
     return lambda batches: _flushed(steps(batches), bits)
 

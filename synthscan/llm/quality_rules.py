@@ -71,13 +71,10 @@ def statistics(texts: list[bytes]) -> dict[str, np.ndarray]:
     inside = np.cumsum(in_words[:-1], dtype=np.int8).astype(bool)
     ends = np.flatnonzero(raw == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * kernel.powers(kernel._BASE, len(raw)), out=total[1:])
-    lines = (total[ends] - total[starts]) * kernel.powers(kernel._INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64)
     count = np.concatenate(([0], np.cumsum(inside)))
     full = count[ends] > count[starts]
     of = np.searchsorted(begin, starts, side="right") - 1
-    _, later = _equal(kernel.mix(lines[full]), of[full])
+    _, later = _equal(kernel.spans(words.data, starts[full], ends[full]), of[full])
     h = words.hashes()
     ok = kernel.inside(words.first, WINDOW, len(h))
     at = np.flatnonzero(ok)

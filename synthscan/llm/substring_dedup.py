@@ -200,14 +200,13 @@ def _extended(window: int, period: int, bits: int):
             anchors = np.zeros(total, bool)
             own = np.diff(places.offsets.to_numpy())
             anchors[np.repeat(words.first[:-1], own) + places.flatten().to_numpy(zero_copy_only=False)] = True
-            h = words.hashes()
-            hashes = kernel.windows(h, window)
+            hashes = kernel.windows(words.hashes(), window)
             near = np.concatenate(([0], np.cumsum(anchors)))
             size = len(hashes)
             chosen = np.flatnonzero((near[np.minimum(np.arange(size) + period, total)] > near[:size]) & kernel.inside(words.first, window, total))
             text = words.text_of[chosen]
             ids = batch.column("id").to_numpy(zero_copy_only=False)[text]
-            yield hashes[chosen], kernel.windows(h, window, seed=1)[chosen], ids, (chosen - words.first[text]).astype(np.int32)
+            yield hashes[chosen], kernel.windows(words.hashes(1), window, seed=1)[chosen], ids, (chosen - words.first[text]).astype(np.int32)
 
     return lambda batches: _flushed(steps(batches), bits)
 

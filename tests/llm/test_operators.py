@@ -517,3 +517,40 @@ def test_license_sentences_over_lines_and_rules_in_order():
     assert licenses.matched(licenses.identifiers(f"x\n{mit}\nend")) == (["MIT"], [])
     assert licenses.matched(["MitNotice", "ApacheUse", "ApacheComply", "GplSee"]) == (["Apache-2.0"], ["MitNotice", "GplSee"])
     assert licenses.identifiers("We are not licensed under the MIT License at all.") == []
+
+
+# --- words that a polynomial hash modulo 2^64 can't tell apart
+
+
+def test_words_of_one_polynomial_value(spark):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - x for x in bits]
+    one, other = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    w = kernel.words([one.encode(), other.encode(), one.encode()])
+    for seed in (0, 1):
+        h = w.hashes(seed)
+        assert h[0] != h[1] and h[0] == h[2]
+    body = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"{body} {one}"), (2, f"{body} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs.withColumn("text", F.expr("replace(text, 'w7 ', '')"))).orderBy("doc_id").collect()] == [0, 0]
+    assert [r.n_removed for r in substring_dedup.substring_dedup(docs).orderBy("doc_id").collect()] == [0, 20]
+    short = docs.withColumn("text", F.expr("substring_index(text, ' ', -4)"))
+    assert [r.component_id for r in minhash_dedup.near_duplicates(short).orderBy("doc_id").collect()] == [1, 2]
+    lines = spark.createDataFrame([(i, "\n".join((f"x{i}", body, "same", f"{body} {t}"))) for i, t in enumerate((one, other))], "doc_id long, text string")
+    got = line_dedup.line_dedup(lines, short=True)
+    assert [r.n_removed for r in got.orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_spans_in_slices(monkeypatch):
+    rng = random.Random(3)
+    data = bytes(rng.choices(b"ab", k=5000))
+    starts = np.array([rng.randrange(5000) for _ in range(200)] + [0, 0, 5000])
+    ends = np.array([min(5000, a + rng.choice((0, 1, 7, 8, 9, 40))) for a in starts[:200]] + [5000, 4999, 5000])
+    want = {seed: kernel.spans(data, starts, ends, seed) for seed in (0, 1)}
+    by = defaultdict(set)
+    for a, b, h in zip(starts, ends, want[0]):
+        by[data[a:b]].add(h)
+    assert all(len(x) == 1 for x in by.values()) and len(set().union(*by.values())) == len(by)
+    monkeypatch.setattr(kernel, "SLICE", 4)
+    assert all((kernel.spans(data, starts, ends, seed) == want[seed]).all() for seed in (0, 1)) and (want[0] != want[1]).all()
