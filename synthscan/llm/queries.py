@@ -74,11 +74,17 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(documents(spark, sf_dir)).select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), *joined)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import ann, mixing
+    from . import ann, mixing, vector_codes
 
-    return {"op3_nearest": ann.ORACLE, "op8_source_mixing": mixing.ORACLE}
+    return {"op3_nearest": ann.ORACLE, "op8_source_mixing": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
