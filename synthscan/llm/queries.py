@@ -80,6 +80,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_align import align
+
+    return align(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

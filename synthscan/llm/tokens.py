@@ -29,7 +29,7 @@ class Encoder:
         with open(ranks or public_tokenizers.path(RANKS), "rb") as file:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.slow = None
+        self.slow = self.plain = None
 
     def encode(self, text: str) -> np.ndarray:
         if SPECIAL not in text and (len(text) < LONG_SPACE or not _LONG_SPACE.search(text)):
@@ -40,6 +40,17 @@ class Encoder:
             self.slow = Tokenizer.from_file(self.vocabulary)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids with the special token's string read as any other text."""
+        if len(text) < LONG_SPACE or not _LONG_SPACE.search(text):
+            return self.fast.encode_ordinary(text)
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.vocabulary)
+            self.plain.encode_special_tokens = True
+        return self.plain.encode(text, add_special_tokens=False).ids
+
 
 @cache
 def encoder(vocabulary: str | None = None, ranks: str | None = None) -> Encoder:
