@@ -80,6 +80,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_dedup import byte_dedup
+
+    out = byte_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_align import align
 
