@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import overlap as O
 from ..functions import text as X
 from ..functions.stopwords import english
-from ..operators.statistics import sequence_score
+from ..operators.statistics import packed, sequence_score
 from ..plans.tables import stored
 from ..providers import base
 from ..providers.ngram import NGramModel
@@ -73,5 +73,8 @@ class ReviseDetect(Detector):
         store = cache.revisions(df.sparkSession, o.get("cache_dir") or cache_root(df.sparkSession), name)
         rows = _filled(keyed, store, "hash", "text", generate, "string")
         pairs = rows.select("row_id", X.or_original(F.col("revised"), F.col("text")).alias("source"), F.col("text").alias("target"))
-        found = sequence_score((o.get("provider") or NGramModel(df)).sequence_scores(pairs))
+        provider = o.get("provider") or o.get("counted") or NGramModel(df)
+        if provider.packs:
+            return provider.packed_sequence_scores(pairs).select("row_id", packed("revise-detect").alias("score"))
+        found = sequence_score(provider.sequence_scores(pairs))
         return df.select("row_id").join(found.withColumnRenamed("revise-detect", "score"), "row_id", "left")

@@ -15,6 +15,8 @@ class Detector(ABC):
     """Scores texts: score() takes (row_id, text, ...) and returns (row_id, score), lazily; null where undefined."""
 
     name: str
+    #: The kind of model output that the score is made of, tokens or cross, where others may share it.
+    needs: str | None = None
 
     def __init__(self, **options) -> None:
         self.options = options

@@ -12,6 +12,7 @@ from .registry import Detector, register
 
 class _Supervised(Detector):
     model: str
+    max_tokens = 512
 
     def preprocessed(self, text: Column) -> Column:
         return text
@@ -24,7 +25,9 @@ class _Supervised(Detector):
         if provider is None:
             raise ValueError(f"{self.name} needs a provider of classifier logits")
         texts = df.select("row_id", self.preprocessed(F.col("text")).alias("text"))
-        found = provider.logits(texts, self.options.get("model", self.model))
+        found = provider.logits(texts, self.options.get("model", self.model), self.options.get("max_tokens", self.max_tokens))
+        if provider.packs:
+            return found.select("row_id", self.value(F.col("logits")).alias("score"))
         return df.select("row_id").join(found.select("row_id", self.value(F.col("logits")).alias("score")), "row_id", "left")
 
 
@@ -47,9 +50,10 @@ class ReModetect(_Supervised):
 
 @register("mage")
 class Mage(_Supervised):
-    """Logit of class 0, of normalised texts."""
+    """Logit of class 0, of normalised texts; its model takes long ones."""
 
     model = "yaful/MAGE"
+    max_tokens = 4096
 
     def preprocessed(self, text: Column) -> Column:
         return normalised(text)

@@ -17,13 +17,17 @@ from .registry import Detector, register
 
 
 class _ZeroShot(Detector):
+    needs = "tokens"
+
     def own(self, df: DataFrame, texts: DataFrame) -> tuple[Provider, DataFrame | None]:
         """The provider and the texts to ask it for; a model that is counted on the texts themselves is asked for none."""
         given = self.options.get("provider")
-        return (given.of(self.name), texts) if given else (NGramModel(df), None)
+        return (given.of(self.name), texts) if given else (self.options.get("counted") or NGramModel(df), None)
 
     def score(self, df: DataFrame) -> DataFrame:
         provider, texts = self.own(df, df.select("row_id", F.lit(0).alias("variant"), "text"))
+        if provider.packs:
+            return provider.packed_scores(texts).select("row_id", S.packed(self.name).alias("score"))
         found = S.zero_shot(provider.token_scores(texts))
         return df.select("row_id").join(found.select("row_id", F.col(f"`{self.name}`").alias("score")), "row_id", "left")
 
@@ -56,8 +60,13 @@ class Binoculars(_ZeroShot):
     token drawn for each place instead of the whole vocabulary; for providers that can).
     """
 
+    needs = "cross"
+
     def score(self, df: DataFrame) -> DataFrame:
         provider, texts = self.own(df, df.select("row_id", "text"))
+        if provider.packs:
+            drawn = (self.options.get("temperature", 1.0), self.options.get("seed", 0)) if self.options.get("sample") else ()
+            return provider.packed_cross_scores(texts, *drawn).select("row_id", S.packed("binoculars", self.options.get("median", False)).alias("score"))
         performer, cross = provider.cross_scores(texts)
         if self.options.get("sample"):
             cross = provider.sampled_cross_scores(texts, self.options.get("temperature", 1.0), self.options.get("seed", 0))
@@ -70,16 +79,23 @@ class PerturbationRatio(_ZeroShot):
     """Log-rank of perturbed texts by that of the text.
 
     Options: fill (masked texts to raw fills; by default a neural model's, which needs its library), n_perturbations, seed,
-    span, buffer, share, ceil, fill_model, fill_backend.
+    span, buffer, share, ceil, fill_model, fill_backend, and fill_options: top_p, most, batch_size and gpus of the filling model.
     """
 
-    def score(self, df: DataFrame) -> DataFrame:
+    def variants(self, df: DataFrame) -> DataFrame:
+        """(row_id, variant, text): the texts as variant 0 and their perturbations, filled once."""
         own = {k: self.options[k] for k in ("seed", "span", "buffer", "share", "ceil") if k in self.options}
         fill = self.options.get("fill")
         if fill is None:
-            fill = mask_filler(self.options.get("fill_model"), self.options.get("fill_backend", "hf"))
-        texts = stored(perturbed(df, "row_id", "text", self.options.get("n_perturbations", 10), fill, **own), "perturbed")
-        found = S.perturbation_ratio((self.options.get("provider") or NGramModel(df)).token_scores(texts))
+            fill = mask_filler(self.options.get("fill_model"), self.options.get("fill_backend", "hf"), **self.options.get("fill_options", {}))
+        return stored(perturbed(df, "row_id", "text", self.options.get("n_perturbations", 10), fill, **own), "perturbed")
+
+    def score(self, df: DataFrame) -> DataFrame:
+        provider, texts = self.options.get("provider") or self.options.get("counted") or NGramModel(df), self.variants(df)
+        if provider.packs:
+            each = provider.packed_scores(texts).select("row_id", "variant", S.packed("log-rank").alias("lr"))
+            return each.groupBy("row_id").agg(S.npr_of_log_ranks("lr").alias("score"))
+        found = S.perturbation_ratio(provider.token_scores(texts))
         return df.select("row_id").join(found.withColumnRenamed("npr", "score"), "row_id", "left")
 
 

@@ -5,7 +5,8 @@ cross scores  (row_id, n, xent)
 sequence scores (row_id, logprob), and n where a row stands for several target tokens
 logits        an array column
 
-Each is a groupBy on the row with partial aggregation. Undefined values are null, never NaN.
+Each is a groupBy on the row with partial aggregation. Packed scores, a row for each text with arrays of the same names, are
+aggregated in the row: see `packed`. Undefined values are null, never NaN.
 """
 
 from __future__ import annotations
@@ -63,11 +64,37 @@ def perplexity_ratio(performer: DataFrame, cross: DataFrame, by: str = "row_id",
     return perplexity.join(middle(cross, F.col("xent"), "_x"), by).select(by, (-F.try_divide("_p", "_x")).alias("binoculars"))
 
 
+def npr_of_log_ranks(name: str) -> Column:
+    """Of the variants' mean log-ranks: the mean of the perturbations that have one, by that of the text."""
+    lr, variant = F.col(name), F.col("variant")
+    return F.try_divide(F.avg(F.when(variant > 0, lr)), F.max(F.when(variant == 0, lr)))
+
+
 def perturbation_ratio(scores: DataFrame, by: str = "row_id") -> DataFrame:
     """npr: mean log-rank of the perturbations that have one, by the log-rank of the text."""
     each = scores.groupBy(by, "variant").agg(mean_log_rank().alias("lr"))
-    mean, own = F.avg(F.when(F.col("variant") > 0, F.col("lr"))), F.max(F.when(F.col("variant") == 0, F.col("lr")))
-    return each.groupBy(by).agg(F.try_divide(mean, own).alias("npr"))
+    return each.groupBy(by).agg(npr_of_log_ranks("lr").alias("npr"))
+
+
+def sums(scores: DataFrame, by: str = "row_id") -> DataFrame:
+    """What all statistics of token scores take, a row for each variant of a text."""
+    n = F.col("n")
+    each = {"ranks": F.col("rank") * n, "log_ranks": F.ln("rank") * n, **{x: F.col(x) * n for x in ("logprob", "mean_lp", "var_lp")}}
+    return scores.groupBy(by, "variant").agg(F.sum(n).alias("n"), *(F.sum(x).alias(name) for name, x in each.items()))
+
+
+def from_sums(df: DataFrame, by: str = "row_id") -> DataFrame:
+    """rank, log-rank, lrr and fast-detect-gpt of sums."""
+    part = lambda x: F.try_divide(F.col(x), F.col("n"))
+    deviation = F.sqrt(F.greatest(F.col("var_lp"), F.lit(0.0)))
+    return df.select(
+        by, part("ranks").alias("rank"), part("log_ranks").alias("log-rank"), F.try_divide(part("logprob"), part("log_ranks")).alias("lrr"),
+        F.try_divide(F.col("logprob") - F.col("mean_lp"), deviation).alias("fast-detect-gpt"),
+    )
+
+
+def npr_of_sums(df: DataFrame, by: str = "row_id") -> DataFrame:
+    return df.withColumn("_lr", F.try_divide("log_ranks", "n")).groupBy(by).agg(npr_of_log_ranks("_lr").alias("npr"))
 
 
 def sequence_score(scores: DataFrame, by: str = "row_id") -> DataFrame:
@@ -85,3 +112,35 @@ def class_probability(logits: Column, index: int = 0) -> Column:
 
 def class_logit(logits: Column, index: int = 0) -> Column:
     return F.get(logits, F.lit(index)).cast("double")
+
+
+def total(values: Column) -> Column:
+    """Sum of an array's values."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def middle(values: Column) -> Column:
+    """Median of an array's values."""
+    ordered, n = F.array_sort(values), F.size(values)
+    return (F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2
+
+
+def packed(name: str, median: bool = False) -> Column:
+    """A detector's statistic of packed scores, without an aggregation over rows."""
+    rank, logprob = F.col("rank"), F.col("logprob")
+    n = F.size(logprob)
+    log_rank = F.try_divide(total(F.transform(rank, lambda x: F.ln(x))), n)
+    if name == "rank":
+        return F.try_divide(total(F.transform(rank, lambda x: x.cast("double"))), n)
+    if name == "log-rank":
+        return log_rank
+    if name == "lrr":
+        return F.try_divide(F.try_divide(total(logprob), n), log_rank)
+    if name == "fast-detect-gpt":
+        return F.try_divide(total(logprob) - total(F.col("mean_lp")), F.sqrt(F.greatest(total(F.col("var_lp")), F.lit(0.0))))
+    if name == "binoculars":
+        mean = middle if median else lambda x: F.try_divide(total(x), F.size(x))
+        return F.try_divide(mean(logprob), mean(F.col("xent")))
+    if name == "revise-detect":
+        return F.try_divide(total(logprob), F.greatest(n, F.lit(1)))
+    raise KeyError(name)

@@ -30,13 +30,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--row-id", help="column with unique row numbers; numbered in order by default")
     p.add_argument("--split", help="of a hub dataset; test by default")
     p.add_argument("--output-dir")
-    p.add_argument("--batch-size", type=int, default=128, help="texts a batch for model back ends")
+    p.add_argument("--batch-size", type=int, default=128, help="texts a batch for model back ends, at most")
+    p.add_argument("--gpus", type=int, default=0, help="GPUs for each task that runs a model; binoculars takes two if there are")
     p.add_argument("--debug", action="store_true", help="the first 100 rows only")
     p.add_argument("--evaluate", action="store_true", help="metrics of saved scores")
     p.add_argument("--provider", choices=["ngram", "hf", "onnx", "tables"], default="ngram", help="where model output comes from")
     p.add_argument("--provider-path", help="folder of exported models (onnx) or of precomputed output (tables)")
     p.add_argument("--mask-model", help="sequence model that fills masks for npr")
     p.add_argument("--mask-backend", choices=["hf", "onnx"], default="hf")
+    p.add_argument("--mask-top-p", type=float, default=1.0, help="share of the probability that fills are drawn from")
     p.add_argument("--perturbations", type=int, default=10)
     for name, default in (("reviser", "hf"), ("dna-gpt-regenerator", "hf")):
         p.add_argument(f"--{name}", choices=["hf", "vllm", "openai"], default=default)
@@ -59,7 +61,7 @@ def options(a: argparse.Namespace, provider: Provider | None = None) -> dict[str
         return own | ({"max_model_len": a.vllm_max_model_len, "gpu_memory_utilization": a.vllm_gpu_memory_utilization} if kind == "vllm" else {})
 
     own = {
-        "npr": {"fill_model": a.mask_model, "fill_backend": a.mask_backend, "n_perturbations": a.perturbations},
+        "npr": {"fill_model": a.mask_model, "fill_backend": a.mask_backend, "n_perturbations": a.perturbations, "fill_options": {"top_p": a.mask_top_p, "batch_size": a.batch_size, "gpus": a.gpus}},
         "revise-detect": {"backend": a.reviser, "model": a.reviser_model, "backend_options": back(a.reviser)},
         "dna-gpt": {"backend": a.dna_gpt_regenerator, "model": a.dna_gpt_regenerator_model, "k": a.dna_gpt_k, "ratio": a.dna_gpt_truncate_ratio, "prompt": a.dna_gpt_prompt_field, "backend_options": back(a.dna_gpt_regenerator)},
     }
@@ -98,7 +100,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.evaluate:
         evaluated(spark, a)
         return 0
-    models = provider(a.provider, spark, a.provider_path)
+    own = {"batch_size": a.batch_size, "gpus": a.gpus} if a.provider in ("hf", "onnx") else {}
+    models = provider(a.provider, spark, a.provider_path, **own)
     for source in a.dataset:
         score_dataset(spark, source, a.output_dir, a.debug, a.text_field, a.split, a.row_id, detectors=[a.detector] if a.detector else None, force=a.force, options=options(a, models))
     return 0

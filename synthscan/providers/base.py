@@ -21,12 +21,32 @@ REVISION_PROMPT = "Revise the following text: "
 
 
 class Provider(ABC):
-    """Texts come as (row_id, variant, text)."""
+    """Texts come as (row_id, variant, text).
+
+    A provider that packs gives a row for each text, with arrays, from one run of its models: packed_scores, (row_id, variant
+    and arrays logprob, rank, mean_lp, var_lp); packed_cross_scores, (row_id and arrays logprob, xent), of drawn tokens if a
+    temperature is given; packed_sequence_scores, (row_id and array logprob). Arrays are null where nothing can be scored.
+    """
+
+    packs = False
 
     def of(self, detector: str) -> Provider:
         """The provider for a detector, where detectors have models of their own."""
         return self
 
+    def key(self, kind: str) -> tuple:
+        """What a kind of output, tokens or cross, comes from; detectors with equal keys share a run."""
+        return (id(self),)
+
+    def packed_scores(self, texts: DataFrame) -> DataFrame:
+        raise NotImplementedError(f"{type(self).__name__} packs no token scores")
+
+    def packed_cross_scores(self, texts: DataFrame, temperature: float | None = None, seed: int = 0) -> DataFrame:
+        raise NotImplementedError(f"{type(self).__name__} packs no cross scores")
+
+    def packed_sequence_scores(self, pairs: DataFrame) -> DataFrame:
+        raise NotImplementedError(f"{type(self).__name__} packs no sequence scores")
+
     def token_scores(self, texts: DataFrame) -> DataFrame:
         """(row_id, variant, n, logprob, rank, mean_lp, var_lp)"""
         raise NotImplementedError(f"{type(self).__name__} has no token scores")
@@ -43,8 +63,8 @@ class Provider(ABC):
         """(row_id, logprob) for each target token; pairs are (row_id, source, target)."""
         raise NotImplementedError(f"{type(self).__name__} has no sequence scores")
 
-    def logits(self, texts: DataFrame, model: str) -> DataFrame:
-        """(row_id, logits)"""
+    def logits(self, texts: DataFrame, model: str, most: int | None = None) -> DataFrame:
+        """(row_id, logits), of the first `most` tokens if that is given"""
         raise NotImplementedError(f"{type(self).__name__} has no classifier")
 
 
@@ -93,7 +113,7 @@ def reviser(backend: str, model: str | None = None, **options):
     return _lazy("generate", "Reviser", backend, {"hf": "transformers"}.get(backend, backend))(backend, name, **options)
 
 
-def mask_filler(model: str | None = None, backend: str = "hf") -> Callable[[list[str]], list[str]]:
+def mask_filler(model: str | None = None, backend: str = "hf", **options) -> Callable[[list[str]], list[str]]:
     """A function from masked texts to a sequence model's fills. Its library has to be there."""
     import importlib.util
 
@@ -101,25 +121,26 @@ def mask_filler(model: str | None = None, backend: str = "hf") -> Callable[[list
         raise ImportError("Filling masks needs a sequence model, and so the 'transformers' package; or give a function as the option fill.")
     from .neural import MaskFiller
 
-    return MaskFiller(model, backend)
+    return MaskFiller(model, backend, **options)
 
 
-def provider(kind: str, spark: SparkSession, path: str | None = None) -> Provider | None:
+def provider(kind: str, spark: SparkSession, path: str | None = None, **options) -> Provider | None:
     """The provider of a kind: ngram (none; detectors count their own), hf, onnx (path: a folder with folders scorer, observer,
-    performer, similarity and one for each classifier) or tables (path: a folder with tables of precomputed output)."""
+    performer, similarity and one for each classifier) or tables (path: a folder with tables of precomputed output). options:
+    a neural provider's own."""
     if kind == "ngram":
         return None
     if kind == "hf":
         from .neural import NeuralProvider
 
-        return NeuralProvider("hf")
+        return NeuralProvider("hf", **options)
     if path is None:
         raise ValueError(f"provider {kind!r} needs a path")
     if kind == "onnx":
         from .neural import NeuralProvider
 
         names = {x: f"{path}/{x}" for x in ("scorer", "observer", "performer", "similarity")}
-        return NeuralProvider("onnx", classifiers={name: f"{path}/{name.rpartition('/')[2]}" for name in CLASSIFIERS}, **names)
+        return NeuralProvider("onnx", classifiers={name: f"{path}/{name.rpartition('/')[2]}" for name in CLASSIFIERS}, **names, **options)
     if kind == "tables":
         from .table import TableProvider
 

@@ -13,10 +13,12 @@ from .base import REVISION_PROMPT
 
 
 def device() -> str:
-    """cuda where there is one, else cpu."""
+    """The first GPU that Spark gave the task, else cuda where there is one, else cpu."""
     import torch
 
-    return "cuda" if torch.cuda.is_available() else "cpu"
+    from .neural import devices
+
+    return devices(1)[0] or ("cuda" if torch.cuda.is_available() else "cpu")
 
 
 class _Generator:
@@ -100,7 +102,7 @@ class _Generator:
 
 
 class Regenerator(_Generator):
-    """Prefixes to k continuations each."""
+    """Prefixes to k continuations each. A chat model's message is the bare prefix, without any preamble."""
 
     def __init__(self, backend: str, model: str, k: int = 20, max_new_tokens: int = 300, temperature: float = 0.7, **options) -> None:
         super().__init__(backend, model, max_new_tokens, temperature, k, **options)
@@ -108,9 +110,6 @@ class Regenerator(_Generator):
     def __call__(self, prefixes: list[str]) -> list[list[str]]:
         return self.generated(prefixes)
 
-    def chat(self, text: str) -> str:
-        return f"Continue the following text. Give only the continuation.\n\n{text}"
-
     async def asked(self, client, text: str) -> list[str]:
         answer = await client.completions.create(model=self.id, prompt=text, n=self.n, max_tokens=self.max_new_tokens, temperature=self.temperature)
         return [c.text for c in answer.choices]

@@ -36,5 +36,5 @@ class TableProvider(Provider):
     def sequence_scores(self, pairs: DataFrame) -> DataFrame:
         return self._of(self.tables["sequence"], pairs, "sequence scores")
 
-    def logits(self, texts: DataFrame, model: str) -> DataFrame:
+    def logits(self, texts: DataFrame, model: str, most: int | None = None) -> DataFrame:
         return self._of(self.by_model.get(model), texts, f"logits of {model}")

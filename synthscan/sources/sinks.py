@@ -1,12 +1,18 @@
-"""Where scores go: one narrow Parquet table for each detector, joined on reading, and an exported JSON-lines file.
+"""Where scores go: immutable versions of narrow Parquet tables named by a manifest, and an exported JSON-lines file.
 
-Writing a detector's scores doesn't touch the others, and a table that is being read is never overwritten.
+A run writes the scores of detectors that were computed together as one new version, (row_id, text_hash, a column for each),
+and then a new manifest, which says in which version each detector's scores are. Manifests are numbered and never
+overwritten: whoever reads the last one sees whole versions only, tables that are being read stay as they are, and of two
+writers at once the second one takes the next number with the first one's detectors in it. `expire` deletes versions that
+no recent manifest names. All detectors' scores are joined to a dataset at once.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,27 +56,101 @@ def scores_path(out: str, key: str, debug: bool = False) -> str:
     return f"{out}/{key}_scores{'.debug' if debug else ''}"
 
 
-def write_scores(scores: DataFrame, path: str, detector: str) -> None:
-    """scores: (row_id, text_hash, score). NaN becomes null."""
-    scores.withColumn("score", F.nanvl("score", F.lit(None).cast("double"))).write.mode("overwrite").parquet(f"{path}/{detector}")
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    fs, where = _files(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def _read_manifest(spark: SparkSession, path: str, name: str) -> dict[str, str]:
+    fs, where = _files(spark, f"{path}/manifests/{name}")
+    stream = fs.open(where)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    return [x for x in _listed(spark, f"{path}/manifests") if x.endswith(".json")]
+
+
+def manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    """Detector -> version of its scores, as the last manifest under the path has it."""
+    names = _manifests(spark, path)
+    return _read_manifest(spark, path, names[-1]) if names else {}
+
+
+def _publish(spark: SparkSession, path: str, change: dict[str, str]) -> None:
+    """A manifest with the change. Its file is written under another name and renamed, which fails where one is there."""
+    for _ in range(100):
+        names = _manifests(spark, path)
+        now = (_read_manifest(spark, path, names[-1]) if names else {}) | change
+        number = int(names[-1].partition(".")[0]) + 1 if names else 0
+        fs, draft = _files(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(now).encode()))
+        stream.close()
+        _, target = _files(spark, f"{path}/manifests/{number:012d}.json")
+        if not fs.exists(target) and fs.rename(draft, target):
+            return
+        fs.delete(draft, False)
+    raise RuntimeError(f"no manifest could be written under {path}")
+
+
+def write_scores(scores: DataFrame, path: str, *detectors: str) -> None:
+    """scores: (row_id, text_hash, a column for each detector, or `score` for a single one). NaN becomes null."""
+    spark = scores.sparkSession
+    single = len(detectors) == 1 and detectors[0] not in scores.columns
+    columns = {x: F.col("score" if single else f"`{x}`") for x in detectors}
+    clean = [F.when(~F.isnan(c), c).cast("double").alias(x) for x, c in columns.items()]
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    scores.select("row_id", "text_hash", *clean).write.parquet(f"{path}/versions/{version}")
+    _publish(spark, path, dict.fromkeys(detectors, version))
 
 
 def scored_detectors(spark: SparkSession, path: str) -> list[str]:
     """Detectors with scores under the path."""
-    if not exists(spark, path):
-        return []
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    return sorted(x.getPath().getName() for x in found if x.isDirectory() and exists(spark, f"{x.getPath().toString()}/_SUCCESS") and x.getPath().getName() not in ("export", "export.schema"))
+    return sorted(manifest(spark, path))
+
+
+def expire(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete manifests but the last `keep`, and versions that none of those names; the versions' names."""
+    names = _manifests(spark, path)
+    named = {v for x in names[-keep:] for v in _read_manifest(spark, path, x).values()}
+    newest = max(named, default="")
+    gone = [x for x in _listed(spark, f"{path}/versions") if x not in named and x < newest]  # later ones may be about to be named
+    for name in [f"manifests/{x}" for x in names[:-keep]] + [f"versions/{x}" for x in gone]:
+        fs, where = _files(spark, f"{path}/{name}")
+        fs.delete(where, True)
+    return gone
+
+
+def read_scores(spark: SparkSession, path: str, detectors: list[str]) -> DataFrame:
+    """(row_id, text_hash, a column for each detector): each version is read once, and one aggregation pivots them all."""
+    versions: dict[str, list[str]] = {}
+    for name, version in manifest(spark, path).items():
+        if name in detectors:
+            versions.setdefault(version, []).append(name)
+    if not versions:
+        raise ValueError(f"no scores of {detectors} under {path}")
+    empty = F.lit(None).cast("double")
+    parts = [spark.read.parquet(f"{path}/versions/{v}").select("row_id", "text_hash", *((F.col(f"`{x}`") if x in own else empty).alias(x) for x in detectors)) for v, own in versions.items()]
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(lambda a, b: a.union(b), parts).groupBy("row_id", "text_hash").agg(*(F.max(f"`{x}`").alias(x) for x in detectors))
 
 
 def attach(df: DataFrame, spark: SparkSession, path: str, detectors: list[str], row_id: str, text_field: str) -> DataFrame:
-    """df with a score column for each detector, joined on row and text; rows whose text has changed get null."""
-    def one(out: DataFrame, name: str) -> DataFrame:
-        scores = spark.read.parquet(f"{path}/{name}").select(F.col("row_id").alias("_row"), F.col("text_hash").alias("_hash"), F.col("score").alias(name))
-        return out.join(scores, (F.col(row_id) == F.col("_row")) & (F.sha2(F.col(text_field), 256) == F.col("_hash")), "left").drop("_row", "_hash")
-
-    return reduce(one, detectors, df)
+    """df with a score column for each detector, joined once on row and text; rows whose text has changed get null."""
+    if not detectors:
+        return df
+    scores = read_scores(spark, path, detectors).withColumnsRenamed({"row_id": "_row", "text_hash": "_hash"})
+    return df.join(scores, (F.col(row_id) == F.col("_row")) & (F.sha2(F.col(text_field), 256) == F.col("_hash")), "left").drop("_row", "_hash")
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:
