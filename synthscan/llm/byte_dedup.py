@@ -14,8 +14,8 @@ repeated anchors are sent with their bytes. Equal segments of a map chunk are se
 bucket, the others are later repeats of it. So a passage that a third of all documents share costs its bucket an entry a
 chunk. Where many different segments have one anchor, as at the ends of such a passage, the anchor is `hot`: its windows go
 each to a bucket of its own hash instead, so no group of segments that must be indexed together is large. Hot anchors are
-those with a share of 2^-20 of all places of anchors or more, hence fewer than 2^20 of them, and 1,000 places at least;
-their hashes are sent to all tasks. Buckets grow in number with the input.
+those with a share of 2^-20 of all segments or more, hence fewer than 2^20 of them, and 1,000 segments at least, where equal
+ones of a chunk count once; their hashes are sent to all tasks. Buckets grow in number with the input.
 
 Defined cases: a null or empty text has no bytes and an empty kept text; texts shorter than a window are kept whole; rows
 with a null id never match anything; rows that share an id count as one document at one place, so equal rows don't remove
@@ -38,27 +38,25 @@ from .run_index import RunIndex, classes
 from .substring_dedup import FOUND, PAYLOAD, PLACES, _compared, _flushed, _pack, _places, _unpack, bucket_bits, in_partitions
 
 WINDOW, ANCHOR = 100, 32
-CHUNK_BYTES, SEND_BYTES, GROUP_BYTES, HOT_LEAST, HOT_SHARE = 1 << 20, 8 << 20, 1 << 19, 1000, 1 << 20
+CHUNK_BYTES, SEND_BYTES, GROUP_BYTES, HOT_LEAST, HOT_SHARE = 1 << 20, 24 << 20, 1 << 19, 1000, 1 << 20
 SEGMENTS = "bucket int, keys binary, ids binary, starts binary, sizes binary, body binary"
 RUNS = "part int, ids binary, starts binary, sizes binary"
 U = np.uint64
 
 
 def _minima(h: np.ndarray, n: int) -> np.ndarray:
-    """For each stretch of n hashes, how far in its smallest is, the leftmost of equals."""
-    value, off, have = h, np.zeros(len(h), np.uint8 if n <= 256 else np.int32), 1
-    while have < n:
+    """For each stretch of n hashes, how far in its smallest is, the leftmost of equals; by the hashes' upper bits."""
+    bits = int(n).bit_length()
+    keys, have = (h >> U(32)).astype(np.uint32) >> np.uint32(bits) << np.uint32(bits), 1
+    while have < n:  # the lower bits say how far in; ever longer stretches
         step = min(have, n - have)
-        right = value[step:]
-        later = right < value[: len(right)]
-        value = np.where(later, right, value[: len(right)])
-        off = np.where(later, off[step:] + off.dtype.type(step), off[: len(right)])
+        keys = np.minimum(keys[: len(keys) - step], keys[step:] + np.uint32(step))
         have += step
-    return off
+    return keys & np.uint32((1 << bits) - 1)
 
 
 class Segments:
-    """Segments of several texts: windows first[i]..last[i] (offsets in data) of text of[i] share the anchor at anchors[i]."""
+    """Segments of several texts: windows first[i]..last[i] (offsets in data) of text of[i] share an anchor, of hash keys[i]."""
 
     def __init__(self, texts: list[bytes], window: int, anchor: int) -> None:
         self.data = b"\n".join(texts) + b"\n"
@@ -66,23 +64,26 @@ class Segments:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.concatenate(([0], np.cumsum(sizes + 1)))
         count = np.maximum(0, sizes - window + 1)
-        self.first = self.last = self.of = self.anchors = np.zeros(0, np.int64)
-        self.keys = np.zeros(0, U)
+        self.first = self.last = self.of = np.zeros(0, np.int64)
+        self.keys = self.digests = np.zeros(0, U)
         if not count.any():
             return
-        blocks = np.ndarray((n - 7,), "<u8", self.data, strides=(1,))
-        span = n - anchor + 1
+        blocks, span = np.ndarray((n - 7,), "<u8", self.data, strides=(1,)), n - anchor + 1
         h = np.zeros(span, U)
         for i, at in enumerate([*range(0, anchor - 7, 8), *([anchor - 8] if anchor % 8 else [])]):
             h += blocks[at : at + span] * U(kernel._factors(64, 5)[i])
-        h = kernel.mix(h)
         off = _minima(h, window - anchor + 1)
-        at = np.repeat(self.begin[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-        chosen, of = at + off[at], np.repeat(np.arange(len(texts)), count)
-        new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (of[1:] != of[:-1]))))
-        self.first, self.last = at[new], at[np.append(new[1:], len(at)) - 1]
-        self.of, self.anchors = of[new], chosen[new]
-        self.keys = h[self.anchors]
+        chosen = np.arange(len(off), dtype=np.int64 if n >> 31 else np.int32) + off.astype(np.int32)
+        edges = np.concatenate((np.flatnonzero(chosen[1:] != chosen[:-1]) + 1, self.begin[:-1], self.begin[:-1] + count))
+        edges = kernel.distinct(edges)
+        of = np.searchsorted(self.begin, edges, side="right") - 1
+        real = np.flatnonzero((of < len(texts)) & (edges < (self.begin[:-1] + count)[np.minimum(of, len(texts) - 1)]))
+        self.first, self.last, self.of = edges[real], edges[real + 1] - 1, of[real]
+        self.keys = kernel.mix(h[chosen[self.first]] + U(1))  # minima are small: buckets go by a hash of them
+        digests, end = (self.last - self.first).astype(U), self.last + window - anchor
+        for at in range(0, 2 * window - anchor, anchor):  # hashes of anchor bytes each that cover the segment
+            digests = kernel.mix(digests * U(0x9E3779B97F4A7C15) + h[np.minimum(self.first + at, end)])
+        self.digests = digests
 
     def starts(self) -> np.ndarray:
         return (self.first - self.begin[self.of]).astype(np.int32)
@@ -94,13 +95,18 @@ def _anchors(window: int, anchor: int, bits: int):
     def steps(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in by_size(batches, "body", CHUNK_BYTES):
             s = Segments(byte_texts(batch.column("body")), window, anchor)
-            yield s.keys, np.zeros(len(s.keys), U), batch.column("id").to_numpy(zero_copy_only=False)[s.of], s.starts()
+            yield s.keys, s.digests, batch.column("id").to_numpy(zero_copy_only=False)[s.of], s.starts()
 
-    return lambda batches: _flushed(steps(batches), bits)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _flushed(steps(batches), bits):  # a row for each different segment of a chunk; what differs is not asked later
+            at = row.schema.get_field_index("again")
+            yield row.set_column(at, "again", pa.array([x and bytes(len(x)) for x in row.column(at).to_pylist()], pa.binary()))
+
+    return run
 
 
 def _heavy(least: int):
-    """Anchors of a bucket with so many places, as far as chunks' first ones tell."""
+    """Anchors of a bucket with so many segments, equal ones of a chunk counted once."""
 
     def reduce(bucket: pa.Table) -> pa.Table:
         rows = [x for x in bucket.column("hashes").to_pylist() if x is not None]
@@ -115,7 +121,7 @@ def _marked(s: Segments, places: pa.Array) -> np.ndarray:
     own = np.diff(places.offsets.to_numpy())
     width = np.int64(1 << 32)
     listed = np.repeat(np.arange(len(own)), own) * width + places.flatten().to_numpy(zero_copy_only=False)
-    return np.isin(s.of * width + s.starts(), listed)
+    return kernel.among(s.of * width + s.starts(), np.sort(listed))
 
 
 def _candidates(window: int, anchor: int, hot: np.ndarray, bits: int):
@@ -145,7 +151,7 @@ def _candidates(window: int, anchor: int, hot: np.ndarray, bits: int):
             s = Segments(byte_texts(batch.column("body")), window, anchor)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             keep = _marked(s, batch.column("places"))
-            burning = keep & np.isin(s.keys, hot)
+            burning = keep & kernel.among(s.keys, hot)
             plain = np.flatnonzero(keep & ~burning)
             first, last, of, keys = s.first[plain], s.last[plain], s.of[plain], s.keys[plain]
             at = np.flatnonzero(burning)
@@ -279,7 +285,7 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = stored(known.mapInArrow(tidy(_anchors(window, anchor, bits)), PAYLOAD), "anchors")
     total = sent.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
     heavy = in_partitions(sent.where("hashes IS NOT NULL"), "bucket", 1 << bits, _heavy(max(HOT_LEAST, int(total // HOT_SHARE))), "key long, n long")
-    hot = np.array([r.key for r in heavy.select("key").collect()], np.int64).view(U)  # fewer than HOT_SHARE
+    hot = np.sort(np.array([r.key for r in heavy.select("key").collect()], np.int64).view(U))  # fewer than HOT_SHARE
     found = in_partitions(sent, "bucket", 2 << bits, _compared(False, bits), FOUND)
     near = known.join(in_partitions(found, "part", 1 << bits, _places, PLACES), "id").select("id", "body", "places")
     segments = near.mapInArrow(tidy(_candidates(window, anchor, hot, bits)), SEGMENTS).repartitionById(2 << bits, "bucket")

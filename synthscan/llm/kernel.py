@@ -85,6 +85,19 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, begin))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values in order, each once. By sorting: numpy's own way for whole numbers is a hash table that regular values fill unevenly."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 @cache
 def _factors(n: int, seed: int) -> list[int]:
     rng = np.random.default_rng(1000 * seed + n)

@@ -101,7 +101,7 @@ def _occurrences(bits: int, heavy: np.ndarray):
         own, before, last, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         words, which = np.unique(own, return_inverse=True)
         bucket = _bucket(words, bits)[which]
-        common = np.flatnonzero(np.isin(words, heavy)[which])
+        common = np.flatnonzero(kernel.among(words, heavy)[which])
         bucket[common] = _bucket(own[common] ^ kernel.mix(before[common]), bits)
         for number, rows in _dealt(bucket):
             local, index = np.unique(which[rows], return_inverse=True)
@@ -145,7 +145,7 @@ def _word_losses(prior: float, mass: np.ndarray, texts: np.ndarray, heavy: np.nd
         ids = np.concatenate([np.zeros(0, np.int64), *(_unpack(r["ids"], np.int64) for r in rows if not r["target"])])
         sizes = np.concatenate([np.zeros(0, np.int32), *(_unpack(r["counts"], np.int32) for r in rows if not r["target"])])
         own = [_unpack(r["words"], np.uint64) for r in rows]
-        names = np.unique(np.concatenate(own))
+        names = kernel.distinct(np.concatenate(own))
         index = (np.frombuffer(r["which"], np.uint16 if len(r["which"]) == 2 * n else np.uint32) for n, r in zip(lengths, rows, strict=True))
         word = np.concatenate([np.searchsorted(names, x).astype(np.int32)[i] for x, i in zip(own, index, strict=True)])
         last = np.concatenate([np.unpackbits(np.frombuffer(r["last"], np.uint8), count=n) for n, r in zip(lengths, rows, strict=True)]).astype(bool)

@@ -20,27 +20,35 @@ MARK = 256
 
 
 def _suffixes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Text positions in the order of their suffixes; left: the bytes from each position to its segment's end, 0 at its mark."""
+    """Text positions in the order of their suffixes; left: the bytes from each position to its segment's end, 0 at its mark.
+
+    Prefix doubling from four bytes on. Each round sorts whole numbers that hold both halves' ranks and the position.
+    """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).tobytes()
-    blocks = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
-    have = np.minimum(left, 7).astype(np.uint64)
-    keep = ~((np.uint64(1) << (np.uint64(8) * (np.uint64(7) - have) + np.uint64(8))) - np.uint64(1))
-    first = (blocks & np.where(have > 0, keep, np.uint64(0))) | have  # seven bytes and how many of them are there
-    order = np.argsort(first, kind="stable")
+    bits = int(n).bit_length()
+    place = np.arange(n, dtype=np.uint64)
+    blocks = np.ndarray((n,), ">u4", np.concatenate((text, np.zeros(4, np.uint8))).tobytes(), strides=(1,)).astype(np.uint64)
+    have = np.minimum(left, 4)
+    masks = np.array([0, 0xFF000000, 0xFFFF0000, 0xFFFFFF00, 0xFFFFFFFF], np.uint64)
+    first = (blocks & masks[have]) << np.uint64(3) | have.astype(np.uint64)  # four bytes and how many of them are there
     rank = np.empty(n, np.int64)
 
-    def ranked(keys: np.ndarray) -> None:
+    def sorted_by(keys: np.ndarray, width: int) -> np.ndarray:
+        """The order of keys of so many bits, and by place within equal ones; rank becomes theirs."""
+        if width + bits <= 64:
+            both = np.sort(keys << np.uint64(bits) | place)
+            order, keys = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
         rank[order] = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return order
 
-    ranked(first[order])
-    width, longest = 7, int(left.max(initial=0))
-    while width < longest:
-        ahead = np.minimum(np.arange(n) + width, n - 1)
-        keys = rank * np.int64(n + 1) + np.where(left >= width, rank[ahead], 0)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        ranked(keys)
+    order = sorted_by(first, 35)
+    width, longest = 4, int(left.max(initial=0))
+    while width < longest and rank.max() < n:
+        ahead = np.where(left >= width, rank[np.minimum(np.arange(n) + width, n - 1)], 0)
+        order = sorted_by((rank << bits | ahead).view(np.uint64), 2 * bits)
         width *= 2
     return order
 
@@ -105,8 +113,8 @@ def classes(index: RunIndex, window: int) -> tuple[np.ndarray, np.ndarray]:
         if (above == parent).all():
             break
         parent = above
-    top = np.unique(parent[long])
-    several = np.union1d(long, top)
-    first = np.full(index.n, index.n)
+    listed = np.zeros(index.n, bool)
+    listed[long] = listed[parent[long]] = True
+    several, first = np.flatnonzero(listed), np.full(index.n, index.n)
     np.minimum.at(first, parent[several], several)
     return several, first[parent[several]]

@@ -140,7 +140,7 @@ def _compared(later_only: bool, bits: int):
                 lead = order[np.searchsorted(group, group)]
                 out = order[(ids[order] != ids[lead]) | (starts[order] != starts[lead])]
             else:
-                out = np.union1d(order, np.flatnonzero(repeated))
+                out = kernel.distinct(np.concatenate((order, np.flatnonzero(repeated))))
             out_ids.append(ids[out])
             out_starts.append(starts[out])
         return _found(np.concatenate(out_ids), np.concatenate(out_starts), bits)

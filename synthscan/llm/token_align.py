@@ -182,7 +182,7 @@ def _chunk(t: Tokenizers, number: int, ids: list, texts: list[str | None]) -> pa
     rank[order] = np.arange(len(order))
     which = rank[which]
     links = found.n_links[unit]
-    held = np.unique(np.repeat(doc, links) * max(1, len(pairs)) + which[_spread(found.first[:-1][unit], links)]) % max(1, len(pairs))
+    held = kernel.distinct(np.repeat(doc, links) * max(1, len(pairs)) + which[_spread(found.first[:-1][unit], links)]) % max(1, len(pairs))
     docs = np.bincount(held, minlength=len(pairs))
     begin = np.searchsorted(bucket, np.arange(BUCKETS + 1))
     # every bucket is asked, so that answers stay aligned; those without pairs are left out of the rows and of the answers
