@@ -6,6 +6,9 @@ stage changes the text, is that of the new text. Rows with null ids pass the fil
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,47 +16,57 @@ from synthscan.llm import line_dedup, minhash_dedup, mixing, packing, quality_ru
 from synthscan.llm.common import discard, documents, scratch, stored
 
 
-def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(columns)
+#: Columns that stages use by name. All others are set aside under plain names while an operator works.
+USED = ("doc_id", "text", "source", "n_chars")
+
+
+def _whole(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage from a function of documents whose other columns have names that no operator uses, whatever they are called:
+    names that differ from an operator's in case alone, with dots, spaces or quotes come out as they went in."""
+
+    @wraps(operator)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in USED else f"__other_{i}" for i, c in enumerate(docs.columns)]
+        out = operator(docs.toDF(*names), spark, sf_dir)
+        return out.select(*names).toDF(*docs.columns)
+
+    return stage
 
 
-def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
-    """docs with columns renamed that have the names an operator adds, and how to name them back."""
-    clash = {c: f"__aside_{c}" for c in docs.columns if c in names}
-    return docs.withColumnsRenamed(clash), {new: old for old, new in clash.items()}
+def _measured(df: DataFrame) -> DataFrame:
+    """n_chars, where there is one, of the text as it is now."""
+    return df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_whole
+def quality(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that fail the base or a learned rule go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rules = quality_rules.fitted(docs, labels)
-    bare, back = _aside(docs, (*quality_rules.STATISTICS, "base_failed", "rule", "kept"))
-    kept = quality_rules.judged(quality_rules.with_statistics(bare), rules).where("kept")
-    return kept.select(bare.columns).withColumnsRenamed(back)
+    rules = quality_rules.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judged(quality_rules.with_statistics(docs), rules).where("kept")
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_whole
+def lines(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines, of 3 lines or of 50 words together, go from the texts."""
-    bare, back = _aside(docs, ("n_lines", "n_removed"))
-    return _measured(line_dedup.line_dedup(bare, short=True), bare.columns).withColumnsRenamed(back)
+    return _measured(line_dedup.line_dedup(docs, short=True))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_whole
+def near_duplicates(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; links are at 0.8, missed with p = 3e-6 there."""
     gone = minhash_dedup.near_duplicates(docs, least=80, bands=24).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti")
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_whole
+def mix(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources are repeated or cut to their targets, in the order of the schedule; a document may come twice, or in part."""
-    return _measured(mixing.mixed(docs), docs.columns)
+    return _measured(mixing.mixed(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row for each piece."""
-    return packing.pack(docs)
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("source mixing", mix), ("packing", pack)]
