@@ -73,3 +73,17 @@ def test_stages_on_odd_rows(request, spark, table, number):
         assert out.columns == docs.columns
         assert all(r.n_lines == r.kept == r._id == 77 for r in rows)
     assert (len(rows) == 0) == (table == "empty")
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_columns_of_any_name(spark, odd, number):  # noqa: F811
+    names = ["N_Words", "Kept", "n_REMOVED", "a.b", "with space", "back`tick", "__other_0", "Rule", "Base_Failed", "IDS", "Body.Text"]
+    docs = odd.drop("n_words", "body")
+    docs = docs.select("*", *(F.lit(f"own {i}").alias(x) for i, x in enumerate(names)))
+    out = P.STAGES[number][1](spark, docs, "/root/testdata/sf0.001")
+    rows = out.collect()
+    assert rows
+    if number < 4:
+        assert out.columns == docs.columns
+        at = out.columns.index("N_Words")
+        assert all(list(r)[at : at + len(names)] == [f"own {i}" for i in range(len(names))] for r in rows)
