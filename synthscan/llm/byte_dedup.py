@@ -38,7 +38,7 @@ from .run_index import RunIndex, classes
 from .substring_dedup import FOUND, PAYLOAD, PLACES, _compared, _flushed, _pack, _places, _unpack, bucket_bits, in_partitions
 
 WINDOW, ANCHOR = 100, 32
-CHUNK_BYTES, SEND_BYTES, GROUP_BYTES, HOT_LEAST, HOT_SHARE = 1 << 20, 24 << 20, 1 << 19, 1000, 1 << 20
+CHUNK_BYTES, SEND_BYTES, GROUP_BYTES, HOT_LEAST, HOT_SHARE = 1 << 20, 24 << 20, 48 << 10, 1000, 1 << 20
 SEGMENTS = "bucket int, keys binary, ids binary, starts binary, sizes binary, body binary"
 RUNS = "part int, ids binary, starts binary, sizes binary"
 U = np.uint64

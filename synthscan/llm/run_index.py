@@ -22,7 +22,8 @@ MARK = 256
 def _suffixes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Text positions in the order of their suffixes; left: the bytes from each position to its segment's end, 0 at its mark.
 
-    Prefix doubling from four bytes on. Each round sorts whole numbers that hold both halves' ranks and the position.
+    From four bytes on, each round makes known prefixes as often as long as fits: it sorts whole numbers that hold the ranks of
+    three parts and the position (texts of less than 2^16 bytes, whose arrays stay in a core's cache, too), or of two parts.
     """
     n = len(text)
     bits = int(n).bit_length()
@@ -45,11 +46,15 @@ def _suffixes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
         return order
 
     order = sorted_by(first, 35)
-    width, longest = 4, int(left.max(initial=0))
+    width, longest, parts = 4, int(left.max(initial=0)), 3 if 4 * bits <= 64 else 2
     while width < longest and rank.max() < n:
-        ahead = np.where(left >= width, rank[np.minimum(np.arange(n) + width, n - 1)], 0)
-        order = sorted_by((rank << bits | ahead).view(np.uint64), 2 * bits)
-        width *= 2
+        keys = rank.copy()
+        for part in range(1, parts):  # what lies behind a segment's end sorts first
+            far, most = part * width, max(0, n - part * width)
+            keys <<= bits
+            keys[:most] |= np.where(left[:most] >= far, rank[far:], 0)
+        order = sorted_by(keys.view(np.uint64), parts * bits)
+        width *= parts
     return order
 
 

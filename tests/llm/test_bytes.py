@@ -100,7 +100,7 @@ def planted(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,hot,chunk,group", [(0, 1000, 1 << 20, 1 << 19), (1, 3, 2000, 1500), (2, 2, 1 << 20, 100), (3, 5, 500, 1 << 19)])
+@pytest.mark.parametrize("seed,hot,chunk,group", [(0, 1000, 1 << 20, 1 << 19), (1, 3, 2000, 1500), (2, 2, 1 << 20, 100), (3, 5, 500, 48 << 10)])
 def test_byte_dedup(spark, monkeypatch, seed, hot, chunk, group):
     for name, value in (("HOT_LEAST", hot), ("CHUNK_BYTES", chunk), ("SEND_BYTES", 4 * chunk), ("GROUP_BYTES", group)):
         monkeypatch.setattr(byte_dedup, name, value)
