@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.perturb import perturbed
 from ..operators import statistics as S
-from ..plans.tables import stored
+from ..plans.tables import spread, stored
 from ..providers.base import Provider, mask_filler
 from ..providers.ngram import NGramModel
 from .registry import Detector, register
@@ -88,14 +88,23 @@ class PerturbationRatio(_ZeroShot):
         fill = self.options.get("fill")
         if fill is None:
             fill = mask_filler(self.options.get("fill_model"), self.options.get("fill_backend", "hf"), **self.options.get("fill_options", {}))
-        return stored(perturbed(df, "row_id", "text", self.options.get("n_perturbations", 10), fill, **own), "perturbed")
+        return stored(perturbed(spread(df), "row_id", "text", self.options.get("n_perturbations", 10), fill, **own), "perturbed")
+
+    def token_scores(self, provider: Provider, texts: DataFrame) -> DataFrame:
+        if isinstance(provider, NGramModel):
+            return provider.variant_scores(texts, self.options.get("n_perturbations", 10))
+        return provider.token_scores(texts)
 
     def score(self, df: DataFrame) -> DataFrame:
         provider, texts = self.options.get("provider") or self.options.get("counted") or NGramModel(df), self.variants(df)
         if provider.packs:
             each = provider.packed_scores(texts).select("row_id", "variant", S.packed("log-rank").alias("lr"))
             return each.groupBy("row_id").agg(S.npr_of_log_ranks("lr").alias("score"))
-        found = S.perturbation_ratio(provider.token_scores(texts))
+        if isinstance(provider, NGramModel):
+            n = self.options.get("n_perturbations", 10)
+            found = S.npr_of_counts(provider.variant_counts(texts, n), n)
+        else:
+            found = S.perturbation_ratio(provider.token_scores(texts))
         return df.select("row_id").join(found.withColumnRenamed("npr", "score"), "row_id", "left")
 
 

@@ -113,12 +113,12 @@ def bscore_by_hash(rest: list[str], continuations: list[list[str]], n_min: int =
             y = _scrambled(y[:-1] * _FACTOR + other[n - 1 :]) if len(y) else y
         if n < max(2, n_min):
             continue
-        grams = np.unique(x)
+        grams = np.unique(x, return_index=True)[0]  # sorts; without the index numpy hashes
         at = np.searchsorted(grams, y)
         hit = np.flatnonzero((grams[np.minimum(at, len(grams) - 1)] == y) & (room[: len(y)] >= n))
         if not len(hit):
             break  # longer ones would hold shared ones of this length
-        shared = np.bincount(np.unique(of[hit] * len(grams) + at[hit]) // len(grams), minlength=len(lengths))
+        shared = np.bincount(np.unique(of[hit] * len(grams) + at[hit], return_index=True)[0] // len(grams), minlength=len(lengths))
         total += n * math.log(n) / len(grams) * float((shared / np.maximum(lengths, 1)).sum())
     return total / len(lengths)
 

@@ -93,6 +93,16 @@ def from_sums(df: DataFrame, by: str = "row_id") -> DataFrame:
     )
 
 
+def npr_of_counts(df: DataFrame, variants: int, by: str = "row_id") -> DataFrame:
+    """npr of (row, ns, rank): pairs with how often each of the variants 0 .. variants has them. One aggregation by row."""
+    at = lambda i: F.col("ns")[i]
+    totals = [F.try_divide(F.sum(at(i) * F.ln("rank")), F.sum(at(i))) for i in range(variants + 1)]
+    others = F.filter("_lrs", lambda x: x.isNotNull())
+    mean = F.try_divide(total(others), F.size(others))
+    rows = df.groupBy(by).agg(totals[0].alias("_own"), F.array(*totals[1:]).cast("array<double>").alias("_lrs"))
+    return rows.select(by, F.try_divide(mean, "_own").alias("npr"))
+
+
 def npr_of_sums(df: DataFrame, by: str = "row_id") -> DataFrame:
     return df.withColumn("_lr", F.try_divide("log_ranks", "n")).groupBy(by).agg(npr_of_log_ranks("_lr").alias("npr"))
 

@@ -86,7 +86,7 @@ def _tokens(df: DataFrame, group: Group) -> DataFrame:
     if not npr:
         # a model that is counted on the texts themselves is asked for none
         return S.zero_shot(provider.token_scores(None if isinstance(provider, NGramModel) else texts))
-    sums = stored(S.sums(provider.token_scores(texts)), "sums")
+    sums = stored(S.sums(npr.token_scores(provider, texts)), "sums")
     found = S.from_sums(sums.where("variant = 0")).select("row_id", *(F.col(f"`{x}`") for x in plain)) if plain else None
     ratio = S.npr_of_sums(sums)
     return ratio if found is None else ratio.join(found, "row_id", "left")

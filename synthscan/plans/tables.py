@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Operators behind which a table's partitions aren't those of its files.
+SHUFFLES = re.compile(r"\b(Join|Aggregate|Sort|Repartition\w*|Window|Distinct|Deduplicate|GlobalLimit|Union|Generate|Sample)\b")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least. Files that Spark can't split, of one row group, are read by few
+    tasks, and whatever is done with each row stays in them; larger tables have partitions enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if SHUFFLES.search(plan.optimizedPlan().toString()) or df.isStreaming:
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet under spark.checkpoint.dir and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -11,9 +11,12 @@ A token's rank is 1 plus the number of tokens more probable after v; ties share
 At scale: texts are cut into tokens once, and tokens, counts and the model's table written to the shared folder. All that
 ranks and the context's sums need is how many tokens there are of each count after a context, a table with few rows for
 any context, however common: no window or group ever holds a context's tokens. The model is one table keyed by the pair,
-with the context's sums in it, so scoring the counted texts is one equi-join and one aggregation, and common pairs are
-skewed keys that adaptive execution splits. Texts other than the counted ones take a second join for the pairs that the
-model has not seen; the others are spread over keys of their own in it.
+with the context's sums in it. Heavy pairs, those with a share of 2^-12 of all places or more and so 4,096 at most, are found
+first and sent to all tasks: their places are scored where the texts are, by a hash join without a shuffle, and only those
+of other pairs are sent to the model's partitions. So no key of the shuffled join has more than a small share of the rows.
+Texts other than the counted ones take a second join for the pairs that the model has not seen; there heavy contexts, of
+the same share, are found in the same way. Perturbed texts share most of their pairs with the text they come from: their
+places are summed by (row, pair) first, with a count for each variant, so a pair is looked up once for all variants.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.overlap import tokens
-from ..plans.tables import stored
+from ..plans.tables import spread, stored
 from .base import Provider
 
-OBSERVER, PERFORMER, SPREAD, CELLS = 0.1, 0.5, 4096, 64
+OBSERVER, PERFORMER, CELLS, HEAVY = 0.1, 0.5, 64, 1 << 12
 SUMS = ("m", "mean_lp", "var_lp")
 
 
@@ -59,7 +62,7 @@ class NGramModel(Provider):
     @cached_property
     def corpus(self) -> DataFrame:
         """The counted texts' tokens, cut once."""
-        return stored(tokenised(self._corpus), "tokens")
+        return stored(tokenised(spread(self._corpus)), "tokens")
 
     @cached_property
     def words(self) -> DataFrame:
@@ -103,19 +106,54 @@ class NGramModel(Provider):
         ranks = self.by_count.withColumn("rank", 1 + F.coalesce(F.sum("same").over(above), F.lit(0))).join(self.contexts.select("ctx", *SUMS), "ctx")
         return stored(self.bigrams.join(ranks.drop("same"), ["ctx", "c"]).select("ctx", "tok", "c", "rank", *SUMS), "model")
 
+    @cached_property
+    def heavy(self) -> DataFrame:
+        """Rows of the model for its most common pairs, HEAVY at most."""
+        places = self.by_count.agg(F.sum(F.col("c") * F.col("same"))).first()[0] or 0
+        return stored(self.model.where(F.col("c") >= max(2, -(-places // HEAVY))), "heavy")
+
+    @cached_property
+    def heavy_contexts(self) -> DataFrame:
+        """Rows of contexts for the most common ones, HEAVY at most."""
+        places = self.by_count.agg(F.sum(F.col("c") * F.col("same"))).first()[0] or 0
+        return stored(self.contexts.where(F.col("m") >= max(2, -(-places // HEAVY))), "heavy_contexts")
+
+    @staticmethod
+    def _split(rows: DataFrame, small: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """rows joined, where they are, with a bounded part of a table; and the rows whose keys it hasn't."""
+        return rows.join(F.broadcast(small), keys), rows.join(F.broadcast(small.select(keys)), keys, "left_anti")
+
+    def _looked_up(self, places: DataFrame) -> DataFrame:
+        """Places (ctx, tok, ...) of any texts with c, rank and the context's sums. Pairs that the model hasn't seen get c 0 and
+        the rank after the seen ones."""
+        near, away = self._split(places, self.heavy, ["ctx", "tok"])
+        far = stored(away.join(self.model, ["ctx", "tok"], "left"), "far")
+        near_contexts, away = self._split(far.where("c IS NULL").drop("c", "rank", *SUMS), self.heavy_contexts.drop("xent"), ["ctx"])
+        other = near_contexts.unionByName(away.join(self.contexts.drop("xent"), "ctx", "left").select(near_contexts.columns))
+        uniform = F.lit(-math.log(self.size)) if self.size else F.lit(None).cast("double")
+        values = {"c": F.lit(0).cast("long"), "rank": F.coalesce(F.col("seen") + 1, F.lit(1)).cast("long"), "m": F.coalesce("m", F.lit(0)), "mean_lp": F.coalesce("mean_lp", uniform), "var_lp": F.coalesce("var_lp", F.lit(0.0))}
+        seen = far.where("c IS NOT NULL").select(near.columns)
+        return near.unionByName(seen).unionByName(other.withColumns(values).select(near.columns))
+
     def _scored(self, rows: DataFrame | None, most: int | None) -> DataFrame:
-        """Pairs with c, rank and the context's sums, of the counted texts if rows is None. Pairs the model hasn't seen get
-        c 0 and the rank after the seen ones."""
+        """Pairs with c, rank and the context's sums, of the counted texts if rows is None."""
         if rows is None:
-            found = pairs(cut(self.corpus, most)).join(self.model, ["ctx", "tok"])
-            return found.select("row_id", "variant", F.lit(1).alias("n"), "c", "rank", *SUMS)
-        joined = pairs(cut(rows, most)).join(self.model, ["ctx", "tok"], "left")
-        needed = F.when(F.col("c").isNull(), F.col("ctx")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64("row_id", "tok"), F.lit(SPREAD)).cast("string")))
-        default = self.contexts.select(F.col("ctx").alias("d_ctx"), (F.col("seen") + 1).alias("d_rank"), *(F.col(x).alias(f"d_{x}") for x in SUMS))
-        joined = joined.withColumn("needed", needed).join(default, F.col("needed") == F.col("d_ctx"), "left")
-        uniform = F.lit(-math.log(self.size)) if self.size else F.lit(None).cast("double")
-        other = {"m": F.lit(0), "mean_lp": uniform, "var_lp": F.lit(0.0)}
-        return joined.select("row_id", "variant", F.lit(1).alias("n"), F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("rank", "d_rank", F.lit(1)).cast("long").alias("rank"), *(F.coalesce(x, f"d_{x}", other[x]).alias(x) for x in SUMS))
+            near, away = self._split(pairs(cut(self.corpus, most)), self.heavy, ["ctx", "tok"])
+            found = near.unionByName(away.join(self.model, ["ctx", "tok"]).select(near.columns))
+        else:
+            found = self._looked_up(stored(pairs(cut(rows, most)), "pairs"))
+        return found.select("row_id", "variant", F.lit(1).alias("n"), "c", F.col("rank").cast("long").alias("rank"), *SUMS)
+
+    def variant_counts(self, texts: DataFrame, variants: int) -> DataFrame:
+        """(row_id, ns, c, rank, ...): pairs of texts whose variants 0 .. variants share most of theirs, and how often each has them."""
+        counts = [F.count(F.when(F.col("variant") == i, 1)) for i in range(variants + 1)]
+        by_pair = pairs(cut(tokenised(spread(texts)), self.max_tokens)).groupBy("row_id", "ctx", "tok").agg(F.array(*counts).alias("ns"))
+        return self._looked_up(stored(by_pair, "pairs"))
+
+    def variant_scores(self, texts: DataFrame, variants: int) -> DataFrame:
+        """Token scores of such texts."""
+        each = self.variant_counts(texts, variants).select("row_id", F.posexplode("ns").alias("variant", "n"), "c", "rank", *SUMS).where("n > 0")
+        return each.select("row_id", "variant", "n", self._logprob(self.k).alias("logprob"), F.col("rank").cast("long").alias("rank"), "mean_lp", "var_lp")
 
     def _logprob(self, k: float) -> Column:
         return F.ln(F.try_divide(F.col("c") + k, F.col("m") + k * self.size))

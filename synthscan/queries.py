@@ -98,12 +98,13 @@ def _continued(spark: SparkSession, d: str) -> DataFrame:
 t AS (SELECT c.doc_id, list_filter(regexp_split_to_array(lower(remainder), '[^a-z0-9]+'), lambda x: x <> '') AS rest,
              list_filter(regexp_split_to_array(lower(c.text), '[^a-z0-9]+'), lambda x: x <> '') AS whole,
              row_number() OVER (PARTITION BY lang ORDER BY c.doc_id) AS place, lang FROM cut c JOIN documents d USING (doc_id)),
-p AS (SELECT a.doc_id, a.rest, b.whole AS y, b.doc_id AS other FROM t a JOIN t b ON a.lang = b.lang AND b.place BETWEEN a.place + 1 AND a.place + 3),
-g AS (SELECT p.*, n, list_distinct(list_transform(range(1, len(rest) - n + 2), lambda i: array_to_string(rest[i:i + n - 1], ' '))) AS g0,
-             list_distinct(list_transform(range(1, len(y) - n + 2), lambda i: array_to_string(y[i:i + n - 1], ' '))) AS g1
-      FROM p, range(2, 26) r(n) WHERE len(rest) >= n),
-s AS (SELECT doc_id, other, sum(CASE WHEN len(y) > 0 THEN n * ln(n) * len(list_intersect(g0, g1)) / (len(y) * len(g0)) ELSE 0 END) AS s FROM g GROUP BY doc_id, other)
-SELECT p.doc_id, round(coalesce(sum(s.s), 0) / count(*), 8) AS bscore FROM p LEFT JOIN s USING (doc_id, other) GROUP BY p.doc_id""")
+p AS (SELECT a.doc_id, b.doc_id AS other, len(b.whole) AS size_y FROM t a JOIN t b ON a.lang = b.lang AND b.place BETWEEN a.place + 1 AND a.place + 3),
+g0 AS (SELECT DISTINCT doc_id, n, hash(rest[i:i + n - 1]) AS h FROM t, range(2, 26) r(n), unnest(range(1, len(rest) - n + 2)) u(i)),
+g1 AS (SELECT DISTINCT doc_id AS other, n, hash(whole[i:i + n - 1]) AS h FROM t, range(2, 26) r(n), unnest(range(1, len(whole) - n + 2)) u(i)),
+z AS (SELECT doc_id, n, count(*) AS size FROM g0 GROUP BY doc_id, n),
+m AS (SELECT p.doc_id, p.other, size_y, g0.n, count(*) AS shared FROM p JOIN g0 USING (doc_id) JOIN g1 ON g1.other = p.other AND g1.n = g0.n AND g1.h = g0.h GROUP BY ALL),
+s AS (SELECT doc_id, sum(n * ln(n) * shared / (size_y * size)) AS s FROM m JOIN z USING (doc_id, n) GROUP BY doc_id)
+SELECT p.doc_id, round(coalesce(any_value(s.s), 0) / count(*), 8) AS bscore FROM p LEFT JOIN s USING (doc_id) GROUP BY p.doc_id""")
 def ngram_bscore(spark: SparkSession, d: str) -> DataFrame:
     """n-gram overlap for n up to 25, on Arrow batches."""
     rows = _continued(spark, d).select("doc_id", overlap.tokens(F.col("rest")).alias("rest"), F.transform("continuations", overlap.tokens).alias("ys"))
@@ -287,6 +288,50 @@ def zero_shot_scores(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row_id", F.round("rank", 5).alias("mean_rank"), F.round("log-rank", 6).alias("log_rank"), F.round("lrr", 6).alias("lrr"), F.round("fast-detect-gpt", 5).alias("fast_detect_gpt"))
 
 
+@query(f"""WITH {LM} SELECT t.doc_id AS row_id, round(sum(n * rank) / sum(n), 5) AS mean_rank, round(sum(n * ln(rank)) / sum(n), 6) AS log_rank,
+round(CASE WHEN sum(n * ln(rank)) <> 0 THEN sum(n * lp) / sum(n * ln(rank)) END, 6) AS lrr, round((sum(n * lp) - sum(n * mu)) / sqrt(sum(n * var)), 5) AS fast_detect_gpt
+FROM t LEFT JOIN sc USING (doc_id) GROUP BY t.doc_id""")
+def packed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same of packed scores: a row a text, statistics as array expressions in the row."""
+    texts = _texts(spark, d)
+    long = NGramModel(texts).token_scores(None)
+    packed = long.groupBy("row_id").agg(*(F.collect_list(x).alias(x) for x in ("logprob", "rank", "mean_lp", "var_lp")))
+    found = texts.select("row_id").join(packed, "row_id", "left")
+    return found.select("row_id", F.round(S.packed("rank"), 5).alias("mean_rank"), *(F.round(S.packed(x), n).alias(x.replace("-", "_")) for x, n in (("log-rank", 6), ("lrr", 6), ("fast-detect-gpt", 5))))
+
+
+@query(f"""WITH {LM},
+u AS (SELECT doc_id, t FROM t),
+up AS (SELECT doc_id, x.a AS ctx, x.b AS tok FROM (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS x FROM u WHERE len(t) > 1)),
+pp AS (SELECT doc_id, avg(-ln((c + 0.5::DOUBLE) / (cx.m + 0.5::DOUBLE * V))) AS p FROM up JOIN bg USING (ctx, tok) JOIN cx USING (ctx) GROUP BY doc_id),
+xx AS (SELECT doc_id, avg(coalesce(xent, ln((SELECT V FROM v)))) AS x FROM (SELECT doc_id, unnest(t) AS ctx FROM u) LEFT JOIN cx USING (ctx) GROUP BY doc_id),
+o AS (SELECT t.doc_id, sum(n * rank) / sum(n) AS r, sum(n * ln(rank)) / sum(n) AS l FROM t LEFT JOIN sc USING (doc_id) GROUP BY t.doc_id)
+SELECT o.doc_id AS row_id, round(r, 5) AS rank, round(l, 6) AS log_rank, round(-p / x, 6) AS binoculars FROM o LEFT JOIN pp USING (doc_id) LEFT JOIN xx USING (doc_id)""")
+def shared_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run of three detectors over one counted model: what they share is computed once, written as versions and joined once."""
+    from .plans.scoring import scored
+
+    texts = _texts(spark, d)
+    found = scored(spark, texts, f"{_scratch(spark)}/shared_scores", ["rank", "log-rank", "binoculars"])
+    return found.select("row_id", F.round("rank", 5).alias("rank"), F.round("log-rank", 6).alias("log_rank"), F.round("binoculars", 6).alias("binoculars"))
+
+
+@query("SELECT d.doc_id, 2 * n_chars::DOUBLE AS first, quality::DOUBLE AS second FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def score_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Scores that were forced anew: the last version counts, older ones stay until they expire."""
+    from .sources import sinks
+
+    path = f"{_scratch(spark)}/versions"
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", "n_chars")
+    hashes = docs.select("row_id", F.sha2("text", 256).alias("text_hash"), F.col("n_chars").cast("double").alias("score"))
+    sinks.write_scores(hashes, path, "first")
+    labels = _table(spark, d, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("double").alias("second"))
+    sinks.write_scores(hashes.drop("score").join(labels, "row_id"), path, "second")
+    sinks.write_scores(hashes.withColumn("score", F.col("score") * 2), path, "first")
+    sinks.expire(spark, path, 1)
+    return sinks.attach(docs, spark, path, ["first", "second"], "row_id", "text").select(F.col("row_id").alias("doc_id"), "first", "second")
+
+
 def _one_detector(name: str, oracle: str):
     @query(f"WITH {LM} SELECT t.doc_id AS row_id, {oracle} AS score FROM t LEFT JOIN sc USING (doc_id) GROUP BY t.doc_id")
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -536,12 +581,14 @@ def mask_count(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", perturb.mask_count(F.concat(F.lit("<extra_id_0> "), F.col("html"))).cast("long").alias("masks"))
 
 
-@query("SELECT unnest(['binoculars', 'dna-gpt', 'fast-detect-gpt', 'log-rank', 'lrr', 'mage', 'npr', 'radar', 'rank', 'remodetect', 'revise-detect']) AS name, unnest(range(11)) AS place")
+@query("""SELECT doc_id, ['binoculars', 'dna-gpt', 'fast-detect-gpt', 'log-rank', 'lrr', 'mage', 'npr', 'radar', 'rank', 'remodetect', 'revise-detect'][doc_id % 11 + 1] AS name
+FROM labels""")
 def detector_names(spark: SparkSession, d: str) -> DataFrame:
-    """The registry's names in order."""
+    """Each labelled document with the detector of its number, in the registry's order."""
     from .detectors import list_detectors
 
-    return spark.createDataFrame([(name, i) for i, name in enumerate(list_detectors())], "name string, place long")
+    names = F.array(*map(F.lit, list_detectors()))
+    return _table(spark, d, "labels").select("doc_id", names[(F.col("doc_id") % F.size(names)).cast("int")].alias("name"))
 
 
 @query("SELECT DISTINCT sha256(text) AS hash, 'Revise the following text: ' || text AS prompt FROM conversations WHERE role = 'user'")
@@ -571,11 +618,11 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT item_id, 'out/set_' || item_id || '_scores' AS path, 'out/set_' || item_id || '_scores.debug' AS trial FROM benchmark""")
 def scores_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Where scores of datasets that are no paths go, as expressions over their names."""
     from .sources import sinks
 
-    items = [r.item_id for r in _table(spark, d, "benchmark").select("item_id").collect()]
-    keys = [sinks.dataset_key(spark, f"set/{i}") for i in items]  # no paths, so names with slashes
-    return spark.createDataFrame([(i, sinks.scores_path("out", k), sinks.scores_path("out", k, True)) for i, k in zip(items, keys)], "item_id long, path string, trial string")
+    key = sinks.name_key(F.concat(F.lit("set/"), F.col("item_id")))
+    return _table(spark, d, "benchmark").select("item_id", sinks.scores_path("out", key).alias("path"), sinks.scores_path("out", key, True).alias("trial"))
 
 
 @query(f"SELECT doc_id, {_punctuation_sql('en', True)} AS text FROM documents")

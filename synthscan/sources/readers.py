@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nonblank
-from ..plans.tables import stored
+from ..plans.tables import SHUFFLES, stored
 
 # Cells that data frames by convention read as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-_SHUFFLES = re.compile(r"\b(Join|Aggregate|Sort|Repartition\w*|Window|Distinct|Deduplicate|GlobalLimit|Union|Generate|Sample)\b")
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,7 +82,7 @@ def with_row_id(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """
     if row_id in df.columns:
         return df
-    names, shuffled = df.columns, _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString())
+    names, shuffled = df.columns, SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString())
     df = df.withColumn("_number", F.monotonically_increasing_id())
     df = (stored(df, "numbered") if shuffled else df).withColumn("_part", F.shiftrightunsigned("_number", 33))
     counts = df.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()

@@ -15,7 +15,7 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +52,15 @@ def dataset_key(spark: SparkSession, source: str) -> str:
     return source.replace("/", "_")
 
 
-def scores_path(out: str, key: str, debug: bool = False) -> str:
-    return f"{out}/{key}_scores{'.debug' if debug else ''}"
+def name_key(name: Column) -> Column:
+    """The key of a dataset that is no path, as an expression over its name."""
+    return F.translate(name, "/", "_")
+
+
+def scores_path(out: str, key: str | Column, debug: bool = False) -> str | Column:
+    """Where a dataset's scores go; an expression, if the key is one."""
+    after = "_scores.debug" if debug else "_scores"
+    return F.concat(F.lit(f"{out}/"), key, F.lit(after)) if isinstance(key, Column) else f"{out}/{key}{after}"
 
 
 def _files(spark: SparkSession, path: str):
