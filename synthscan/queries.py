@@ -94,19 +94,22 @@ def _continued(spark: SparkSession, d: str) -> DataFrame:
     return with_text.join(own, "doc_id").groupBy("doc_id").agg(F.first("rest").alias("rest"), F.transform(F.array_sort(F.collect_list(F.struct("place", "continuation"))), lambda x: x["continuation"]).alias("continuations"))
 
 
-@query(f"""WITH {CUT},
+@query(f"""WITH RECURSIVE {CUT},
 t AS (SELECT c.doc_id, list_filter(regexp_split_to_array(lower(remainder), '[^a-z0-9]+'), lambda x: x <> '') AS rest,
              list_filter(regexp_split_to_array(lower(c.text), '[^a-z0-9]+'), lambda x: x <> '') AS whole,
              row_number() OVER (PARTITION BY lang ORDER BY c.doc_id) AS place, lang FROM cut c JOIN documents d USING (doc_id)),
 p AS (SELECT a.doc_id, b.doc_id AS other, len(b.whole) AS size_y FROM t a JOIN t b ON a.lang = b.lang AND b.place BETWEEN a.place + 1 AND a.place + 3),
-g0 AS (SELECT DISTINCT doc_id, n, hash(rest[i:i + n - 1]) AS h FROM t, range(2, 26) r(n), unnest(range(1, len(rest) - n + 2)) u(i)),
-g1 AS (SELECT DISTINCT doc_id AS other, n, hash(whole[i:i + n - 1]) AS h FROM t, range(2, 26) r(n), unnest(range(1, len(whole) - n + 2)) u(i)),
+tw AS (SELECT 0 AS kind, doc_id, generate_subscripts(rest, 1) AS i, unnest(rest) AS tok FROM t UNION ALL SELECT 1, doc_id, generate_subscripts(whole, 1), unnest(whole) FROM t),
+e AS (SELECT kind, doc_id, i, 1 AS n, hash(tok) AS h FROM tw UNION ALL
+      SELECT e.kind, e.doc_id, e.i, n + 1, hash(h, tok) FROM e JOIN tw ON tw.kind = e.kind AND tw.doc_id = e.doc_id AND tw.i = e.i + n WHERE n < 25),
+g1 AS (SELECT DISTINCT doc_id AS other, n, h FROM e WHERE kind = 1 AND n > 1),
+g0 AS (SELECT DISTINCT doc_id, n, h FROM e WHERE kind = 0 AND n > 1),
 z AS (SELECT doc_id, n, count(*) AS size FROM g0 GROUP BY doc_id, n),
 m AS (SELECT p.doc_id, p.other, size_y, g0.n, count(*) AS shared FROM p JOIN g0 USING (doc_id) JOIN g1 ON g1.other = p.other AND g1.n = g0.n AND g1.h = g0.h GROUP BY ALL),
 s AS (SELECT doc_id, sum(n * ln(n) * shared / (size_y * size)) AS s FROM m JOIN z USING (doc_id, n) GROUP BY doc_id)
 SELECT p.doc_id, round(coalesce(any_value(s.s), 0) / count(*), 8) AS bscore FROM p LEFT JOIN s USING (doc_id) GROUP BY p.doc_id""")
 def ngram_bscore(spark: SparkSession, d: str) -> DataFrame:
-    """n-gram overlap for n up to 25, on Arrow batches."""
+    """n-gram overlap for n up to 25, on Arrow batches. The SQL makes n-grams' hashes by one word more at a time."""
     rows = _continued(spark, d).select("doc_id", overlap.tokens(F.col("rest")).alias("rest"), F.transform("continuations", overlap.tokens).alias("ys"))
     return rows.select("doc_id", F.round(overlap.bscore_fast()("rest", "ys"), 8).alias("bscore"))
 
