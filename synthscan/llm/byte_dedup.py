@@ -284,7 +284,7 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = texts.where("id IS NOT NULL")
     sent = stored(known.mapInArrow(tidy(_anchors(window, anchor, bits)), PAYLOAD), "anchors")
     total = sent.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
-    heavy = in_partitions(sent.where("hashes IS NOT NULL"), "bucket", 1 << bits, _heavy(max(HOT_LEAST, int(total // HOT_SHARE))), "key long, n long")
+    heavy = in_partitions(sent.where("hashes IS NOT NULL").select("bucket", "hashes"), "bucket", 1 << bits, _heavy(max(HOT_LEAST, int(total // HOT_SHARE))), "key long, n long")
     hot = np.sort(np.array([r.key for r in heavy.select("key").collect()], np.int64).view(U))  # fewer than HOT_SHARE
     found = in_partitions(sent, "bucket", 2 << bits, _compared(False, bits), FOUND)
     near = known.join(in_partitions(found, "part", 1 << bits, _places, PLACES), "id").select("id", "body", "places")
