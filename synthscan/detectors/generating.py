@@ -21,13 +21,21 @@ from .registry import Detector, register
 log = logging.getLogger(__name__)
 
 
-def _filled(df: DataFrame, store: cache.Cache, key: str, prompt: str, generate, kind: str, least: int = 0) -> DataFrame:
-    """df with the cache's values, after missing ones were generated and added."""
+def _filled(df: DataFrame, store: cache.Cache, key: str, prompt: str, generate, kind: str, least: int = 0, commit: int = 10_000, requests: int = 256) -> DataFrame:
+    """df with the cache's values, after missing ones were generated and added.
+
+    Keys are generated in slices of about `commit`, each added to the cache when it is done, so a run that is stopped asks
+    again for no more than the slice it was in. requests: how many may be under way at once over all tasks, for generators
+    that limit their own (`in_flight`).
+    """
     missing = stored(store.misses(df, key, least).select(key, prompt), "missing")
     n = missing.count()
-    if n:
-        store.added(base.generated(missing, key, prompt, generate, store.value, kind), least)
-    log.info("%s: %d of %d keys generated, the others found; the cache has %d now", store.path, n, df.select(key).distinct().count(), store.size())
+    slices, own = -(-n // commit), getattr(generate, "in_flight", None)
+    tasks = max(1, requests // own) if own and getattr(generate, "backend", None) == "openai" else None
+    for i in range(slices):
+        part = missing.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
+        store.appended(base.generated(part, key, prompt, generate, store.value, kind, tasks))
+        log.info("%s: slice %d of %d, %d keys generated in all", store.path, i + 1, slices, n)
     return store.looked_up(df, key, least)
 
 
@@ -36,7 +44,7 @@ class DivergentNGrams(Detector):
     """BScore of the text's second part against continuations of its first.
 
     Options: generate (prefixes to lists of continuations) or backend and model; k, ratio, prompt (a column), stopwords,
-    n_min, n_max, cache_dir, and those of the back end.
+    n_min, n_max, cache_dir, commit, requests, and those of the back end.
     """
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ class DivergentNGrams(Detector):
         cut = cut.select("row_id", X.with_prompt(F.col("p"), F.col("x.prefix")).alias("prefix"), F.col("x.remainder").alias("rest"))
         cut = cut.withColumn("hash", X.continuation_key(F.col("prefix"), ratio, k))
         store = cache.continuations(df.sparkSession, o.get("cache_dir") or cache_root(df.sparkSession), name)
-        rows = _filled(cut, store, "hash", "prefix", generate, "array<string>", k)
+        rows = _filled(cut, store, "hash", "prefix", generate, "array<string>", k, **{x: o[x] for x in ("commit", "requests") if x in o})
         stop = o.get("stopwords") or english()
         words = lambda c: O.without(O.tokens(c), stop)
         each = F.transform(F.coalesce("continuations", F.array().cast("array<string>")), lambda y: words(F.coalesce(y, F.lit(""))))
@@ -61,7 +69,7 @@ class DivergentNGrams(Detector):
 class ReviseDetect(Detector):
     """Mean log-probability of the text given its revision.
 
-    Options: generate (texts to revisions) or backend and model; provider of sequence scores; cache_dir.
+    Options: generate (texts to revisions) or backend and model; provider of sequence scores; cache_dir, commit, requests.
     """
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -71,7 +79,7 @@ class ReviseDetect(Detector):
         generate = o.get("generate") or base.reviser(backend, model, **o.get("backend_options", {}))
         keyed = df.select("row_id", "text", X.revision_key(F.col("text")).alias("hash"))
         store = cache.revisions(df.sparkSession, o.get("cache_dir") or cache_root(df.sparkSession), name)
-        rows = _filled(keyed, store, "hash", "text", generate, "string")
+        rows = _filled(keyed, store, "hash", "text", generate, "string", **{x: o[x] for x in ("commit", "requests") if x in o})
         pairs = rows.select("row_id", X.or_original(F.col("revised"), F.col("text")).alias("source"), F.col("text").alias("target"))
         provider = o.get("provider") or o.get("counted") or NGramModel(df)
         if provider.packs:

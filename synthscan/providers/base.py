@@ -77,8 +77,10 @@ def model_id(backend: str, model: str | None, defaults: dict[str, str], what: st
     return defaults[backend]
 
 
-def generated(df: DataFrame, key: str, prompt: str, generate: Callable[[list[str]], list], column: str, kind: str) -> DataFrame:
-    """(hash, column) from a generating function over batches of prompts; the function loads its model on first use."""
+def generated(df: DataFrame, key: str, prompt: str, generate: Callable[[list[str]], list], column: str, kind: str, tasks: int | None = None) -> DataFrame:
+    """(hash, column) from a generating function over batches of prompts; the function loads its model on first use. tasks: how
+    many run at once at most, over the whole cluster."""
+    df = df.repartition(tasks) if tasks else df
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:

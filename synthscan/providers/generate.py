@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import asyncio
 import os
+import random
 
 from .base import REVISION_PROMPT
 
@@ -22,9 +23,10 @@ def device() -> str:
 
 
 class _Generator:
-    def __init__(self, backend: str, model: str, max_new_tokens: int, temperature: float, n: int = 1, batch_size: int = 8, max_model_len: int = 4096, gpu_memory_utilization: float = 0.9, in_flight: int = 16) -> None:
+    def __init__(self, backend: str, model: str, max_new_tokens: int, temperature: float, n: int = 1, batch_size: int = 8, max_model_len: int = 4096, gpu_memory_utilization: float = 0.9, in_flight: int = 16, attempts: int = 6, pause: float = 1.0) -> None:
         self.backend, self.id, self.max_new_tokens, self.temperature, self.n = backend, model, max_new_tokens, temperature, n
         self.batch_size, self.max_model_len, self.gpu_memory_utilization, self.in_flight = batch_size, max_model_len, gpu_memory_utilization, in_flight
+        self.attempts, self.pause = attempts, pause
         self.engine = None
 
     def __getstate__(self) -> dict:
@@ -82,8 +84,15 @@ class _Generator:
             client, gate = AsyncOpenAI(), asyncio.Semaphore(self.in_flight)
 
             async def one(text: str) -> list[str]:
-                async with gate:
-                    return await self.asked(client, text)
+                for attempt in range(self.attempts):
+                    try:
+                        async with gate:
+                            return await self.asked(client, text)
+                    except Exception as error:
+                        if attempt + 1 == self.attempts or getattr(error, "status_code", 500) in (400, 401, 403, 404, 422):
+                            raise  # what asking again doesn't mend
+                    await asyncio.sleep(self.pause * 2**attempt * (0.5 + random.random()))
+                raise AssertionError
 
             return await asyncio.gather(*map(one, texts))
 
