@@ -1,4 +1,4 @@
-"""Datasets as DataFrames: CSV, JSON lines, JSON arrays, Parquet, ORC, and hub datasets where their library is installed."""
+"""Datasets as DataFrames: CSV, JSON lines, JSON arrays, Parquet, ORC, and hub datasets from a mirror or where their library is installed."""
 
 from __future__ import annotations
 
@@ -40,12 +40,15 @@ def read_json(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     return spark.read.option("mode", "FAILFAST").option("multiLine", not lines).json(path)
 
 
-def read_hub(spark: SparkSession, name: str, split: str | None) -> DataFrame:
-    try:
-        import datasets
-    except ImportError as error:
-        raise ImportError("Reading a hub dataset needs the 'datasets' package.") from error
-    return spark.createDataFrame(datasets.load_dataset(name, split=split or "test").to_pandas())
+def read_hub(spark: SparkSession, name: str, split: str | None, columns: str | None = None) -> DataFrame:
+    """A hub dataset's shards, read in tasks; columns: a schema of those wanted."""
+    from .hub import HubDataSource, available, mirror
+
+    if not available():
+        raise ImportError("Reading a hub dataset needs the 'huggingface_hub' package, or a mirror named by SYNTHSCAN_HUB.")
+    spark.dataSource.register(HubDataSource)
+    reader = spark.read.format("hub").option("dataset", name).option("split", split or "test").option("root", mirror())
+    return (reader.schema(columns) if columns else reader).load()
 
 
 def load(spark: SparkSession, source: str, text_field: str = "text", label_field: str = "label", split: str | None = None) -> DataFrame:
