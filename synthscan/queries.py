@@ -13,6 +13,7 @@ from .functions import mage, overlap, perturb
 from .functions import text as X
 from .operators import evaluate as E
 from .operators import statistics as S
+from .plans.tables import spread
 from .providers.ngram import NGramModel
 from .sources.readers import head, scorable, with_row_id
 
@@ -66,7 +67,7 @@ def class_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CUT} SELECT doc_id, prefix, remainder FROM cut")
 def truncate_words(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select(F.col("row_id").alias("doc_id"), X.truncated(F.col("text"), 0.5).alias("x")).select("doc_id", "x.prefix", "x.remainder")
+    return spread(_texts(spark, d)).select(F.col("row_id").alias("doc_id"), X.truncated(F.col("text"), 0.5).alias("x")).select("doc_id", "x.prefix", "x.remainder")
 
 
 @query("""SELECT a.conv_id, a.turn, CASE WHEN coalesce(u.text, '') <> '' THEN u.text || chr(10) || a.text ELSE a.text END AS prompted
@@ -240,7 +241,7 @@ def mage_whitelist(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mage_full(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", mage.normalised(F.col("text")).alias("text"))
+    return spread(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", mage.normalised(F.col("text")).alias("text"))
 
 
 def _punctuation_sql(lang: str, penn: bool) -> str:
