@@ -10,8 +10,9 @@ searchsorted the groups' labels, and a repeat-based expansion the links. Documen
 
 At scale: a chunk asks for the counts of its distinct pairs, in a row for each bucket of first ids. Counts are summed in two
 stages, first by bucket and salt, so that common pairs of a large corpus are spread, and then by bucket, where all pairs of
-a first id meet, so its highest count is known. The answers go back to the chunks, an array for each bucket. No row
-stands for a link, tokens are computed once, and no table of pairs is broadcast. Chunks are kept in the shared folder.
+a first id meet, so its highest count is known. The answers go back to the chunks, an array for each bucket, and each chunk with
+its answers is a group of its own. No row stands for a link, tokens are computed once, and no table of pairs is broadcast.
+Chunks are kept in the shared folder, in row groups ended by size, so a task holds few of them, however large its files.
 
 Defined cases: texts that are null or empty, or whose tokens' joined bytes are not space + text under either tokenizer
 (as with U+2581), have no tokens: zeros and an empty groups_sha256. Each row is a document of its own, also with a null or
@@ -257,20 +258,22 @@ def _answered(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> p
     return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "n": found[0], "best": found[1]})
 
 
-def _scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["ids", "n_a", "n_b", "n_groups", "n_links", "sha"]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {x: batch.column(x)[i].values for x in batch.schema.names if x not in ("chunk", "answers")}
-            answers = batch.column("answers")[i].values
-            n, best = (np.concatenate([answers.field(k)[j].values.to_numpy(zero_copy_only=False) for j in range(len(answers))]) if answers is not None and len(answers) else np.zeros(0, np.int64) for k in ("n", "best"))
-            unit_first, unit_pair, doc_first, unit, times = (row[x].to_numpy() for x in ("unit_first", "unit_pair", "doc_first", "doc_unit", "doc_n"))
-            sums = []
-            for each in (best.astype(np.int64), n):
-                by_unit = np.diff(np.concatenate(([0], np.cumsum(each[unit_pair])))[unit_first])
-                by_place = np.concatenate(([0], np.cumsum(by_unit[unit] * times)))
-                sums.append(pa.array(np.diff(by_place[doc_first]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([row["ids"], *(row[x] for x in names[1:5]), *sums, row["sha"]], ["id", *names[1:5], "n_best", "count_sum", "groups_sha256"])
+OUT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+
+
+def _scored(key: tuple[pa.Scalar, ...], chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of one chunk; its buckets' answers in order are those of its pairs."""
+    row = {x: chunk.column(x).combine_chunks()[0].values for x in chunk.column_names if x not in ("chunk", "asked")}
+    answers = answers.sort_by("bucket")
+    n, best = (_numpy(answers.column(x)) for x in ("n", "best"))
+    unit_first, unit_pair, doc_first, unit, times = (row[x].to_numpy() for x in ("unit_first", "unit_pair", "doc_first", "doc_unit", "doc_n"))
+    sums = []
+    for each in (best.astype(np.int64), n.astype(np.int64)):
+        by_unit = np.diff(np.concatenate(([0], np.cumsum(each[unit_pair])))[unit_first])
+        by_place = np.concatenate(([0], np.cumsum(by_unit[unit] * times)))
+        sums.append(pa.array(np.diff(by_place[doc_first]), pa.int64()))
+    names = ["n_a", "n_b", "n_groups", "n_links"]
+    return pa.table([row["ids"], *(row[x] for x in names), *sums, row["sha"]], names=["id", *names, "n_best", "count_sum", "groups_sha256"])
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pieces: str | None = None) -> DataFrame:
@@ -278,12 +281,12 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     files of the byte-level vocabulary and of the pieces; by default the public tokenizers'."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     salts = parts(text_bytes(texts), SALT_BYTES)
-    chunks = stored(texts.mapInArrow(tidy(_chunks(vocabulary, pieces)), CHUNK), "chunks")
+    chunks = stored(texts.mapInArrow(tidy(_chunks(vocabulary, pieces)), CHUNK), "chunks", wide=True)
     asked = chunks.select("chunk", F.explode("asked").alias("a")).select("chunk", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int").alias("salt"), "a.bucket", "a.pairs", "a.n")
     partial = asked.drop("chunk").groupBy("bucket", "salt").applyInArrow(_partial, "bucket int, pairs array<long>, n array<long>")
-    totals = stored(partial.groupBy("bucket").applyInArrow(_final, "bucket int, pairs array<long>, n array<long>, best array<boolean>"), "totals")
+    totals = stored(partial.groupBy("bucket").applyInArrow(_final, "bucket int, pairs array<long>, n array<long>, best array<boolean>"), "totals", wide=True)
     known = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     answers = asked.drop("n").groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInArrow(_answered, "chunk long, bucket int, n array<long>, best array<boolean>")
-    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "best"))).alias("answers"))  # one for each bucket
-    out = chunks.drop("asked").join(answers, "chunk", "left").mapInArrow(tidy(_scored), "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    # a chunk with its answers is a group, so no batch holds more than one
+    out = chunks.drop("asked").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, OUT)
     return out.withColumnRenamed("id", id_col)

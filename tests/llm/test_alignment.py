@@ -100,3 +100,16 @@ def test_long_white_space(spark):
     rows = [(1, "a" + " " * 120_000 + "b"), (2, "\n" * 120_000)]
     got = token_align.align(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == plain(rows)
+
+
+def test_tables_of_wide_rows_end_row_groups_by_size(spark):
+    """Few rows of megabytes each must not be held by a task until there are a hundred of them."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from synthscan.llm.common import stored
+
+    rows = spark.range(0, 12, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(400_000)), lambda i: F.xxhash64("id", i)).alias("x"))
+    table = stored(rows, "wide", wide=True)
+    groups = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in table.inputFiles()]
+    assert sum(g.num_rows for g in groups) == 12 and max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 7
