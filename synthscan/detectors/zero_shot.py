@@ -28,7 +28,7 @@ class _ZeroShot(Detector):
         provider, texts = self.own(df, df.select("row_id", F.lit(0).alias("variant"), "text"))
         if provider.packs:
             return provider.packed_scores(texts).select("row_id", S.packed(self.name).alias("score"))
-        found = S.zero_shot(provider.token_scores(texts))
+        found = provider.zero_shot() if texts is None else S.zero_shot(provider.token_scores(texts))
         return df.select("row_id").join(found.select("row_id", F.col(f"`{self.name}`").alias("score")), "row_id", "left")
 
 
@@ -67,10 +67,14 @@ class Binoculars(_ZeroShot):
         if provider.packs:
             drawn = (self.options.get("temperature", 1.0), self.options.get("seed", 0)) if self.options.get("sample") else ()
             return provider.packed_cross_scores(texts, *drawn).select("row_id", S.packed("binoculars", self.options.get("median", False)).alias("score"))
-        performer, cross = provider.cross_scores(texts)
-        if self.options.get("sample"):
-            cross = provider.sampled_cross_scores(texts, self.options.get("temperature", 1.0), self.options.get("seed", 0))
-        found = S.perplexity_ratio(performer, cross, median=self.options.get("median", False))
+        median = self.options.get("median", False)
+        if texts is None and not self.options.get("sample"):
+            found = provider.binoculars(median)
+        else:
+            performer, cross = provider.cross_scores(texts)
+            if self.options.get("sample"):
+                cross = provider.sampled_cross_scores(texts, self.options.get("temperature", 1.0), self.options.get("seed", 0))
+            found = S.perplexity_ratio(performer, cross, median=median)
         return df.select("row_id").join(found.withColumnRenamed("binoculars", "score"), "row_id", "left")
 
 
@@ -110,5 +114,6 @@ class PerturbationRatio(_ZeroShot):
 
 def all_zero_shot(df: DataFrame, provider: Provider | None = None) -> DataFrame:
     """(row_id, rank, log-rank, lrr, fast-detect-gpt) from one pass over the token scores."""
-    texts = df.select("row_id", F.lit(0).alias("variant"), "text") if provider else None
-    return S.zero_shot((provider or NGramModel(df)).token_scores(texts))
+    if provider is None:
+        return NGramModel(df).zero_shot()
+    return S.zero_shot(provider.token_scores(df.select("row_id", F.lit(0).alias("variant"), "text")))

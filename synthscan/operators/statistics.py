@@ -130,9 +130,9 @@ def total(values: Column) -> Column:
 
 
 def middle(values: Column) -> Column:
-    """Median of an array's values."""
+    """Median of an array's values; null for an empty one."""
     ordered, n = F.array_sort(values), F.size(values)
-    return (F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2
+    return (F.get(ordered, F.floor((n + 1) / 2).cast("int") - 1) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 
 
 def packed(name: str, median: bool = False) -> Column:

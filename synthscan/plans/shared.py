@@ -85,7 +85,7 @@ def _tokens(df: DataFrame, group: Group) -> DataFrame:
         return each.groupBy("row_id").agg(*own, S.npr_of_log_ranks("_lr").alias("npr"))
     if not npr:
         # a model that is counted on the texts themselves is asked for none
-        return S.zero_shot(provider.token_scores(None if isinstance(provider, NGramModel) else texts))
+        return provider.zero_shot() if isinstance(provider, NGramModel) else S.zero_shot(provider.token_scores(texts))
     sums = stored(S.sums(npr.token_scores(provider, texts)), "sums")
     found = S.from_sums(sums.where("variant = 0")).select("row_id", *(F.col(f"`{x}`") for x in plain)) if plain else None
     ratio = S.npr_of_sums(sums)

@@ -8,6 +8,9 @@ given, cut what is scored, as neural scorers do.
 
 A token's rank is 1 plus the number of tokens more probable after v; ties share the best rank.
 
+The counted texts themselves are scored by chunks (`chunked`), without a row for a place. What follows is about the tables
+of the model, and about other texts and cut ones, which are scored by joins.
+
 At scale: texts are cut into tokens once, and tokens, counts and the model's table written to the shared folder. All that
 ranks and the context's sums need is how many tokens there are of each count after a context, a table with few rows for
 any context, however common: no window or group ever holds a context's tokens. The model is one table keyed by the pair,
@@ -28,8 +31,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.overlap import tokens
+from ..operators import statistics as S
 from ..plans.tables import spread, stored
 from .base import Provider
+from .chunked import SUMS as TEXT_SUMS
+from .chunked import Chunks
 
 OBSERVER, PERFORMER, CELLS, HEAVY = 0.1, 0.5, 64, 1 << 12
 SUMS = ("m", "mean_lp", "var_lp")
@@ -64,6 +70,28 @@ class NGramModel(Provider):
         """The counted texts' tokens, cut once."""
         return stored(tokenised(spread(self._corpus)), "tokens")
 
+    @cached_property
+    def chunks(self) -> Chunks:
+        return Chunks(tokenised(spread(self._corpus)), self.k, self.q)
+
+    @cached_property
+    def text_sums(self) -> DataFrame:
+        """What all statistics of the counted texts take, a row for each row_id."""
+        return stored(self.chunks.texts().groupBy("row_id").agg(*(F.sum(x).alias(x) for x in TEXT_SUMS)), "sums")
+
+    def zero_shot(self) -> DataFrame:
+        """(row_id, rank, log-rank, lrr, fast-detect-gpt) of the counted texts."""
+        return S.from_sums(self.text_sums) if self.max_tokens is None else S.zero_shot(self.token_scores(None))
+
+    def binoculars(self, median: bool = False) -> DataFrame:
+        """(row_id, binoculars) of the counted texts."""
+        if self.cross_tokens is not None:
+            return S.perplexity_ratio(*self.cross_scores(None), median=median)
+        if median:
+            return self.chunks.texts("performer", "xent").withColumnRenamed("performer", "logprob").select("row_id", S.packed("binoculars", True).alias("binoculars"))
+        ratio = F.try_divide(F.try_divide("performer", "n"), F.try_divide("xent", "tokens"))
+        return self.text_sums.select("row_id", ratio.alias("binoculars"))
+
     @cached_property
     def words(self) -> DataFrame:
         """(tok, c): how often each token occurs."""
