@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 MASK = "<extra_id_{}>"
 _MASK = re.compile(r"<extra_id_\d+>")
 SPAN, BUFFER, SHARE, MOST_WORDS, ATTEMPTS = 2, 1, 0.3, 1024, 5
+SLICE = 4 << 20
 
 
 def masked(text: str, rng: np.random.Generator, span: int = SPAN, buffer: int = BUFFER, share: float = SHARE, ceil: bool = False) -> str:
@@ -68,23 +69,33 @@ def repeat_fill(texts: list[str]) -> list[str]:
 def perturbed(df: DataFrame, row_id: str, text: str, n: int, fill: Callable[[list[str]], list[str]] = repeat_fill, seed: int = 0, **options) -> DataFrame:
     """(row_id, variant, text): variant 0 is the text itself, 1..n its perturbations ('' if filling failed every time).
 
-    Failed fills are masked and filled anew, up to four times, as part of their batch.
+    Failed fills are masked and filled anew, up to four times, as part of their batch, of about SLICE characters.
     """
-    rows = df.select(row_id, text, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("variant"))
-    rows = rows.withColumn("_seed", F.xxhash64(F.col(row_id).cast("string"), "variant", F.lit(seed)))
+    seeds = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda v: F.xxhash64(F.col(row_id).cast("string"), v, F.lit(seed)))
+    rows = df.select(row_id, text, seeds.alias("_seeds"))
+
+    def some(batch: pd.DataFrame) -> pd.DataFrame:
+        texts = [x for x in batch[text] for _ in range(n + 1)]
+        own = np.concatenate([np.asarray(x, np.int64) for x in batch["_seeds"]])
+        out = ["" if i % (n + 1) else x for i, x in enumerate(texts)]
+        left = [i for i, x in enumerate(texts) if i % (n + 1) and x is not None]
+        for attempt in range(ATTEMPTS):
+            if not left:
+                break
+            tried = [masked(texts[i], np.random.default_rng([abs(int(own[i])), attempt]), **options) for i in left]
+            for i, one, raw in zip(left, tried, fill(tried), strict=True):
+                out[i] = filled(one, fills(raw))
+            left = [i for i in left if out[i] == ""]
+        return pd.DataFrame({row_id: batch[row_id].repeat(n + 1), "variant": np.tile(np.arange(n + 1, dtype=np.int32), len(batch)), text: out})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[text].where(batch["variant"] == 0, "").tolist()
-            left = [i for i, v in enumerate(batch["variant"]) if v > 0 and batch[text].iloc[i] is not None]
-            for attempt in range(ATTEMPTS):
-                if not left:
-                    break
-                texts = [masked(batch[text].iloc[i], np.random.default_rng([abs(int(batch["_seed"].iloc[i])), attempt]), **options) for i in left]
-                for i, one, raw in zip(left, texts, fill(texts), strict=True):
-                    out[i] = filled(one, fills(raw))
-                left = [i for i in left if out[i] == ""]
-            yield pd.DataFrame({row_id: batch[row_id], "variant": batch["variant"], text: out})
+            sizes = np.cumsum([(n + 1) * len(x or "") for x in batch[text]])
+            begin = 0
+            while begin < len(batch):  # a few megabytes of variants at a time, whatever the batch
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE, side="right")))
+                yield some(batch.iloc[begin:end])
+                begin = end
 
     kinds = dict(df.dtypes)
     return rows.mapInPandas(run, f"`{row_id}` {kinds[row_id]}, variant int, `{text}` string")
