@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import overlap as O
 from ..functions import text as X
 from ..functions.stopwords import english
 from ..operators.statistics import packed, sequence_score
-from ..plans.tables import stored
+from ..plans.tables import shared_dir, spread, stored
 from ..providers import base
 from ..providers.ngram import NGramModel
 from ..sources import cache
@@ -21,6 +22,21 @@ from .registry import Detector, register
 log = logging.getLogger(__name__)
 
 
+def _sliced(rows: DataFrame, key: str, commit: int) -> tuple[DataFrame, int]:
+    """rows in slices of about `commit` keys each, and their number. Slices follow the cache's folders and are folders of their
+    own, so each is read by itself and adds to its own folders only: neither reads nor files grow with slices times rows."""
+    rows = stored(rows, "missing")
+    n = rows.count()
+    slices, folders = max(1, -(-n // commit)), 16**cache.DIGITS
+    folder = F.conv(cache.folder(F.col(key)), 16, 10).cast("int")
+    each = -(-slices // folders)  # slices of one folder, where there are more slices than folders
+    number = F.floor(folder * F.lit(min(slices, folders)) / folders).cast("int") * each + F.pmod(F.xxhash64(key), F.lit(each)).cast("int")
+    path = f"{shared_dir(rows.sparkSession)}/slices-{uuid.uuid4().hex}"
+    numbered = rows.withColumn("slice", number)
+    numbered.repartition("slice").write.partitionBy("slice").parquet(path)
+    return rows.sparkSession.read.schema(numbered.schema).parquet(path), n
+
+
 def _filled(df: DataFrame, store: cache.Cache, key: str, prompt: str, generate, kind: str, least: int = 0, commit: int = 10_000, requests: int = 256) -> DataFrame:
     """df with the cache's values, after missing ones were generated and added.
 
@@ -28,14 +44,14 @@ def _filled(df: DataFrame, store: cache.Cache, key: str, prompt: str, generate,
     again for no more than the slice it was in. requests: how many may be under way at once over all tasks, for generators
     that limit their own (`in_flight`).
     """
-    missing = stored(store.misses(df, key, least).select(key, prompt), "missing")
-    n = missing.count()
-    slices, own = -(-n // commit), getattr(generate, "in_flight", None)
+    missing, n = _sliced(store.misses(df, key, least).select(key, prompt), key, commit)
+    own = getattr(generate, "in_flight", None)
     tasks = max(1, requests // own) if own and getattr(generate, "backend", None) == "openai" else None
-    for i in range(slices):
-        part = missing.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
-        store.appended(base.generated(part, key, prompt, generate, store.value, kind, tasks))
-        log.info("%s: slice %d of %d, %d keys generated in all", store.path, i + 1, slices, n)
+    numbers = sorted(r[0] for r in missing.select("slice").distinct().collect()) if n else []
+    for done, i in enumerate(numbers, 1):
+        part = missing.where(F.col("slice") == i).select(key, prompt)
+        store.appended(base.generated(part if tasks else spread(part), key, prompt, generate, store.value, kind, tasks))
+        log.info("%s: slice %d of %d, %d keys generated in all", store.path, done, len(numbers), n)
     return store.looked_up(df, key, least)
 
 
@@ -55,14 +71,11 @@ class DivergentNGrams(Detector):
         generate = o.get("generate") or base.regenerator(backend, model, k=k, **o.get("backend_options", {}))
         cut = df.select("row_id", X.truncated(F.col("text"), ratio).alias("x"), (F.col(prompt) if prompt and prompt in df.columns else F.lit(None)).alias("p"))
         cut = cut.select("row_id", X.with_prompt(F.col("p"), F.col("x.prefix")).alias("prefix"), F.col("x.remainder").alias("rest"))
-        cut = cut.withColumn("hash", X.continuation_key(F.col("prefix"), ratio, k))
+        cut = stored(spread(cut).withColumn("hash", X.continuation_key(F.col("prefix"), ratio, k)), "cut")
         store = cache.continuations(df.sparkSession, o.get("cache_dir") or cache_root(df.sparkSession), name)
         rows = _filled(cut, store, "hash", "prefix", generate, "array<string>", k, **{x: o[x] for x in ("commit", "requests") if x in o})
         stop = o.get("stopwords") or english()
-        words = lambda c: O.without(O.tokens(c), stop)
-        each = F.transform(F.coalesce("continuations", F.array().cast("array<string>")), lambda y: words(F.coalesce(y, F.lit(""))))
-        found = rows.select("row_id", O.stemmed(words(F.col("rest"))).alias("rest"), O.stemmed_each(each).alias("ys"))
-        return found.select("row_id", O.bscore_fast(o.get("n_min", O.N_MIN), o.get("n_max", O.N_MAX))("rest", "ys").alias("score"))
+        return rows.select("row_id", O.bscore_of_texts(o.get("n_min", O.N_MIN), o.get("n_max", O.N_MAX), stop, True)("rest", "continuations").alias("score"))
 
 
 @register("revise-detect")

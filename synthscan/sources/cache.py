@@ -41,7 +41,7 @@ class Cache:
             return self.spark.createDataFrame([], schema).select("hash", self.value)
         rows = self.spark.read.schema(schema).parquet(path)
         if of is not None:
-            asked = [r[0] for r in of.select(_folder(F.col(key))).distinct().limit(16**DIGITS + 1).collect()]  # a row a folder
+            asked = [r[0] for r in of.select(folder(F.col(key))).distinct().limit(16**DIGITS + 1).collect()]  # a row a folder
             if len(asked) < 16**DIGITS:
                 rows = rows.where(F.col("folder").isin([x for x in asked if x is not None]))
         return rows.groupBy("hash").agg(F.max_by(self.value, "seq").alias(self.value))
@@ -49,7 +49,7 @@ class Cache:
     def compact(self) -> None:
         """The next generation, with the last entry of each key. Not to be run beside writers, whose rows it might miss."""
         now = self._generation()
-        rows = self.table().withColumn("seq", F.lit(time.time_ns())).withColumn("folder", _folder(F.col("hash")))
+        rows = self.table().withColumn("seq", F.lit(time.time_ns())).withColumn("folder", folder(F.col("hash")))
         rows.repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/gen-{now + 1}")
 
     def size(self) -> int:
@@ -84,11 +84,11 @@ class Cache:
 
     def appended(self, new: DataFrame) -> None:
         """Append (hash, value) rows as they are, in one commit; the last entry of a key counts."""
-        rows = new.select("hash", self.value, F.lit(time.time_ns()).alias("seq"), _folder(F.col("hash")).alias("folder"))
+        rows = new.select("hash", self.value, F.lit(time.time_ns()).alias("seq"), folder(F.col("hash")).alias("folder"))
         rows.write.mode("append").partitionBy("folder").parquet(f"{self.path}/gen-{self._generation()}")
 
 
-def _folder(key: Column) -> Column:
+def folder(key: Column) -> Column:
     return F.substring(F.sha2(key, 256), 1, DIGITS)
 
 
