@@ -87,12 +87,12 @@ class PerturbationRatio(_ZeroShot):
     """
 
     def variants(self, df: DataFrame) -> DataFrame:
-        """(row_id, variant, text): the texts as variant 0 and their perturbations, filled once."""
+        """(row_id, variant, text): the texts as variant 0 and their perturbations; to be used once, or stored."""
         own = {k: self.options[k] for k in ("seed", "span", "buffer", "share", "ceil") if k in self.options}
         fill = self.options.get("fill")
         if fill is None:
             fill = mask_filler(self.options.get("fill_model"), self.options.get("fill_backend", "hf"), **self.options.get("fill_options", {}))
-        return stored(perturbed(spread(df), "row_id", "text", self.options.get("n_perturbations", 10), fill, **own), "perturbed")
+        return perturbed(spread(df), "row_id", "text", self.options.get("n_perturbations", 10), fill, **own)
 
     def token_scores(self, provider: Provider, texts: DataFrame) -> DataFrame:
         if isinstance(provider, NGramModel):
@@ -102,13 +102,12 @@ class PerturbationRatio(_ZeroShot):
     def score(self, df: DataFrame) -> DataFrame:
         provider, texts = self.options.get("provider") or self.options.get("counted") or NGramModel(df), self.variants(df)
         if provider.packs:
-            each = provider.packed_scores(texts).select("row_id", "variant", S.packed("log-rank").alias("lr"))
+            each = provider.packed_scores(stored(texts, "perturbed")).select("row_id", "variant", S.packed("log-rank").alias("lr"))
             return each.groupBy("row_id").agg(S.npr_of_log_ranks("lr").alias("score"))
         if isinstance(provider, NGramModel):
-            n = self.options.get("n_perturbations", 10)
-            found = S.npr_of_counts(provider.variant_counts(texts, n), n)
+            found = S.npr_of_sums(provider.variant_sums(texts))
         else:
-            found = S.perturbation_ratio(provider.token_scores(texts))
+            found = S.perturbation_ratio(provider.token_scores(stored(texts, "perturbed")))
         return df.select("row_id").join(found.withColumnRenamed("npr", "score"), "row_id", "left")
 
 

@@ -104,6 +104,7 @@ def npr_of_counts(df: DataFrame, variants: int, by: str = "row_id") -> DataFrame
 
 
 def npr_of_sums(df: DataFrame, by: str = "row_id") -> DataFrame:
+    """npr of sums, a row for each variant."""
     return df.withColumn("_lr", F.try_divide("log_ranks", "n")).groupBy(by).agg(npr_of_log_ranks("_lr").alias("npr"))
 
 

@@ -75,7 +75,7 @@ def _tokens(df: DataFrame, group: Group) -> DataFrame:
     provider, names = group.provider, list(group.detectors)
     npr = next((d for d in group.detectors.values() if isinstance(d, PerturbationRatio)), None)
     plain = [x for x in names if not isinstance(group.detectors[x], PerturbationRatio)]
-    texts = npr.variants(df) if npr else df.select("row_id", F.lit(0).alias("variant"), "text")
+    texts = stored(npr.variants(df), "perturbed") if npr else df.select("row_id", F.lit(0).alias("variant"), "text")
     if provider.packs:
         packed = provider.packed_scores(texts)
         if not npr:

@@ -157,8 +157,9 @@ class Pairs:
         self.bucket, self.ctx, self.size = run_bucket[order], np.concatenate((ctx[begin], alone))[order], np.concatenate((size, np.zeros(len(alone), np.int64)))[order]
 
 
-def _asked(buckets: int, heavy: Heavy, only: bool = False):
-    """A row for each bucket of a chunk; only: no other contexts than heavy ones."""
+def _asked(buckets: int, heavy: Heavy, only: bool = False, other: bool = False):
+    """A row for each bucket of a chunk; only: no other contexts than heavy ones; other: pairs that are asked for but not counted, of
+    chunks that get negative numbers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,6 +175,7 @@ def _asked(buckets: int, heavy: Heavy, only: bool = False):
                 runs = np.diff(np.append(first, len(bucket)))
                 pairs = np.add.reduceat(size, first) if len(first) else size
                 chunk = np.full(len(numbers), batch.column("chunk")[i].as_py(), np.int64)
+                chunk, n = (-1 - chunk, 0 * n) if other else (chunk, n)
                 columns = [pa.array(chunk), pa.array(numbers.astype(np.int32)), _lists(words[ctx], runs, LONGS), _lists(size, runs, INTS), _lists(words[tok], pairs, LONGS), _lists(n, pairs, INTS)]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "ctx", "size", "tok", "n"])
 
@@ -210,10 +212,13 @@ def _ranks(at: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(sums: Sums, heavy: Heavy):
+def _answers(sums: Sums, heavy: Heavy, other: bool = False):
+    """Of a bucket, a row for each chunk; other: for those with negative numbers alone."""
+
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         ctx, of_run, at, c, which = _counted(rows)
-        rank, found = _ranks(at, c), list(sums.of(at, c, np.ones(len(c), np.int64), len(ctx)))
+        known = c > 0  # pairs that only other texts have come after all that are seen
+        rank, found = _ranks(at, c), list(sums.of(at[known], c[known], np.ones(int(known.sum()), np.int64), len(ctx)))
         common = heavy.among(ctx)
         if common.any():
             number = np.searchsorted(heavy.ctx, ctx)
@@ -221,6 +226,11 @@ def _answers(sums: Sums, heavy: Heavy):
             rank[on] = heavy.rank[np.searchsorted(heavy.key, number[at[on]] << 40 | c[on])]
             for x, y in zip(found, heavy.sums, strict=True):
                 x[common] = y[number[common]]
+        if other:
+            mine = rows.column("chunk").to_numpy() < 0
+            sizes = [rows.column(x).combine_chunks().value_lengths().to_numpy() for x in ("ctx", "tok")]
+            of_run, which = of_run[np.repeat(mine, sizes[0])], which[np.repeat(mine, sizes[1])]
+            rows = rows.filter(pa.array(mine))
         runs, pairs = (rows.column(x).combine_chunks().value_lengths().to_numpy() for x in ("ctx", "tok"))
         return pa.table({
             "chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "c": _lists(c[which], pairs, INTS), "rank": _lists(rank[which], pairs, INTS), "m": _lists(found[0][of_run], runs, LONGS),
@@ -259,10 +269,14 @@ def _texts(sums: Sums, buckets: int, heavy: Heavy, arrays: tuple[str, ...]):
 class Chunks:
     """The texts of rows (row_id, t: array of tokens), counted and scored by the same model."""
 
+    @staticmethod
+    def _cut(rows: DataFrame) -> DataFrame:
+        hashed = rows.select("row_id", F.transform("t", lambda x: F.xxhash64(x)).alias("t"))
+        return stored(hashed.mapInArrow(_chunks, f"chunk long, ids array<{dict(rows.dtypes)['row_id']}>, sizes array<int>, words array<long>, at array<int>"), "chunks", wide=True)
+
     def __init__(self, rows: DataFrame, observer: float, performer: float) -> None:
         self.kind = dict(rows.dtypes)["row_id"]
-        hashed = rows.select("row_id", F.transform("t", lambda x: F.xxhash64(x)).alias("t"))
-        self.chunks = stored(hashed.mapInArrow(_chunks, f"chunk long, ids array<{self.kind}>, sizes array<int>, words array<long>, at array<int>"), "chunks", wide=True)
+        self.chunks = self._cut(rows)
         words = stored(self.chunks.mapInArrow(_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "vocabulary")
         size, places = words.agg(F.count("*"), F.sum("n")).first()
         self.sums, self.buckets = Sums(observer, performer, size), max(1, -(-(places or 0) // BUCKET))
@@ -275,13 +289,15 @@ class Chunks:
         asked = self.chunks.mapInArrow(_asked(self.buckets, self.heavy, True), ASKED)
         found = asked.groupBy("bucket").applyInArrow(_by_count, "ctx long, c long, same long").groupBy("ctx", "c").agg(F.sum("same").alias("same")).toPandas()
         at, c, same = np.searchsorted(self.heavy.ctx, found["ctx"].to_numpy(np.int64)), found["c"].to_numpy(np.int64), found["same"].to_numpy(np.int64)
+        every = np.arange(len(self.heavy.ctx))
+        at, c, same = (np.concatenate(x) for x in ((at, every), (c, 0 * every), (same, 0 * every)))  # and the rank of pairs not seen
         order = np.lexsort((-c, at))
         at, c, same = at[order], c[order], same[order]
         upto = np.cumsum(same) - same
         rank = 1 + upto - upto[np.searchsorted(at, at)]
         key = at.astype(np.int64) << 40 | c
         order = np.argsort(key)
-        self.heavy = Heavy(self.heavy.ctx, self.sums.of(at, c, same, len(self.heavy.ctx)), key[order], rank[order])
+        self.heavy = Heavy(self.heavy.ctx, self.sums.of(at, c, same, len(every)), key[order], rank[order])
 
     def texts(self, *arrays: str) -> DataFrame:
         """row_id and SUMS for each text, or some arrays of its places: logprob, rank, mean_lp, var_lp and performer of pairs, xent of tokens."""
@@ -289,3 +305,12 @@ class Chunks:
         answers = asked.groupBy("bucket").applyInArrow(_answers(self.sums, self.heavy), ANSWER)
         kinds = ", ".join(f"{x} {'array<double>' if arrays else 'double'}" for x in arrays or SUMS)
         return self.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_texts(self.sums, self.buckets, self.heavy, arrays), f"row_id {self.kind}, {kinds}")
+
+    def variants(self, rows: DataFrame) -> DataFrame:
+        """row_id, variant and SUMS for each of other texts (row_id, variant, t), under the model of the counted ones."""
+        chunks, buckets = self._cut(rows.select(F.struct("row_id", "variant").alias("row_id"), "t")), 4 * self.buckets
+        asked = self.chunks.mapInArrow(_asked(buckets, self.heavy), ASKED).unionByName(chunks.mapInArrow(_asked(buckets, self.heavy, other=True), ASKED))
+        answers = asked.groupBy("bucket").applyInArrow(_answers(self.sums, self.heavy, True), ANSWER).withColumn("chunk", -1 - F.col("chunk"))
+        kinds = f"row_id struct<row_id: {self.kind}, variant: int>, " + ", ".join(f"{x} double" for x in SUMS)
+        found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_texts(self.sums, buckets, self.heavy, ()), kinds)
+        return found.select("row_id.*", *SUMS)

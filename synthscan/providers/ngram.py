@@ -127,11 +127,20 @@ class NGramModel(Provider):
         sums = sums.select("ctx", "m", "seen", "mean_lp", F.greatest(F.col("e2") - F.col("mean_lp") * F.col("mean_lp"), F.lit(0.0)).alias("var_lp"), (-(F.col("sx") + rest * p0 * F.ln(r0))).alias("xent"))
         return stored(sums, "contexts")
 
+    @property
+    def _ranks(self) -> DataFrame:
+        """by_count with the rank of a count's tokens."""
+        above = Window.partitionBy("ctx").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+        return self.by_count.withColumn("rank", 1 + F.coalesce(F.sum("same").over(above), F.lit(0)))
+
+    def ranks(self) -> DataFrame:
+        """(ctx, tok, c, rank), without the sums of contexts."""
+        return self.bigrams.join(self._ranks.drop("same"), ["ctx", "c"]).select("ctx", "tok", "c", "rank")
+
     @cached_property
     def model(self) -> DataFrame:
         """(ctx, tok, c, rank) with the sums of contexts."""
-        above = Window.partitionBy("ctx").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = self.by_count.withColumn("rank", 1 + F.coalesce(F.sum("same").over(above), F.lit(0))).join(self.contexts.select("ctx", *SUMS), "ctx")
+        ranks = self._ranks.join(self.contexts.select("ctx", *SUMS), "ctx")
         return stored(self.bigrams.join(ranks.drop("same"), ["ctx", "c"]).select("ctx", "tok", "c", "rank", *SUMS), "model")
 
     @cached_property
@@ -183,6 +192,10 @@ class NGramModel(Provider):
         each = self.variant_counts(texts, variants).select("row_id", F.posexplode("ns").alias("variant", "n"), "c", "rank", *SUMS).where("n > 0")
         return each.select("row_id", "variant", "n", self._logprob(self.k).alias("logprob"), F.col("rank").cast("long").alias("rank"), "mean_lp", "var_lp")
 
+    def variant_sums(self, texts: DataFrame) -> DataFrame:
+        """What all statistics take, a row for each variant of such texts."""
+        return self.chunks.variants(cut(tokenised(texts), self.max_tokens).withColumn("variant", F.col("variant").cast("int"))).groupBy("row_id", "variant").agg(*(F.sum(x).alias(x) for x in TEXT_SUMS))
+
     def _logprob(self, k: float) -> Column:
         return F.ln(F.try_divide(F.col("c") + k, F.col("m") + k * self.size))
 

@@ -46,3 +46,30 @@ def test_no_row_stands_for_a_place(spark, texts):
 def test_medians_of_empty_arrays(spark):
     df = spark.createDataFrame([(1, []), (2, [3.0]), (3, [4.0, 1.0]), (4, None)], "i int, x array<double>")
     assert [r[0] for r in df.orderBy("i").select(S.middle(F.col("x"))).collect()] == [None, 3.0, 2.5, None]
+
+
+@pytest.mark.parametrize("bucket", [chunked.BUCKET, 64])
+def test_other_texts_by_chunks(spark, texts, monkeypatch, bucket):
+    """Perturbed texts are asked for by chunks and not counted; pairs and contexts that nothing has seen rank after all others."""
+    monkeypatch.setattr(chunked, "BUCKET", bucket)
+    model = NGramModel(texts.where("row_id < 200"))
+    more = texts.where("row_id < 30 OR row_id = 204").withColumn("variant", F.lit(0)).unionByName(texts.where("row_id < 30").select("row_id", F.concat(F.lit("new w1 new new "), "text", F.lit(" w2 w1 w3")).alias("text"), F.lit(1).alias("variant")))
+    rows = lambda df: {(r.row_id, r.variant): (r.n, r.ranks, r.log_ranks) for r in df.where("n > 0").collect()}
+    got, want = rows(model.variant_sums(more)), rows(S.sums(model.token_scores(more)))
+    assert set(got) == set(want) and len(got) > 55
+    for i, x in want.items():
+        assert got[i] == pytest.approx(x, rel=1e-9)
+
+
+def test_perturbation_holds_a_few_texts_at_a_time(spark):
+    """Fills get slices of a batch by size, with the same results."""
+    from synthscan.functions import perturb
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def fill(masked):
+        calls.add(1)
+        return perturb.repeat_fill(masked)
+
+    df = spark.range(0, 400, 1, 1).select(F.col("id").alias("row_id"), F.repeat(F.lit("some words here "), 500).alias("text"))
+    assert perturb.perturbed(df, "row_id", "text", 2, fill).count() == 1200 and calls.value >= 2
