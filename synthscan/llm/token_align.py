@@ -5,7 +5,7 @@ of the other are linked where their byte ranges overlap. A pair's count is the n
 
 Units: neither tokenizer has a token across a space that follows a character other than white space, so a text is the
 sequence of its units, which end before such spaces, and each unit ends in a common cut. A map chunk encodes and aligns
-each of its distinct units once, all of them as one text: cumulative byte lengths give ends, intersect1d the common cuts,
+each of its distinct units once, many of them joined as one text of bounded length: cumulative byte lengths give ends, intersect1d the common cuts,
 searchsorted the groups' labels, and a repeat-based expansion the links. Documents are then sums over their units.
 
 At scale: a chunk asks for the counts of its distinct pairs, in a row for each bucket of first ids. Counts are summed in two
@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from .tokens import encoder
 
 PIECES, SPACE = "piece_bpe_32k.model", "▁"
 CHUNK_BYTES, BUCKETS, SALT_BYTES = 4 << 20, 64, 1 << 30
+JOINED, LINKS = 1 << 17, 1 << 18  # characters of units aligned together, links of whole documents told apart together
 CHUNK = (
     "chunk long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
     "doc_first array<int>, doc_unit array<int>, doc_n array<int>, unit_first array<int>, unit_pair array<int>, "
@@ -124,6 +126,23 @@ class Aligned:
         self.pairs = pairs[np.argsort(unit, kind="stable")]
         self.texts = self._texts(t, n, order, unit_of, common, label_a, label_b)
 
+    @classmethod
+    def few_at_a_time(cls, t: Tokenizers, names: list[str]) -> Aligned:
+        """The same of runs of JOINED characters (or a longer unit): aligning takes memory of some hundred times their size."""
+        ends = np.cumsum(np.fromiter((len(x) + 1 for x in names), np.int64, len(names)))
+        each, begin = [], 0
+        while begin < len(names) or not each:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + JOINED, side="right")))
+            each.append(cls(t, names[begin:end]))
+            begin = end
+        out = cls.__new__(cls)
+        for x in ("bad", "n_a", "n_b", "n_groups", "n_links", "pairs"):
+            setattr(out, x, np.concatenate([getattr(y, x) for y in each]))
+        out.first = np.concatenate(([0], np.cumsum(out.n_links)))
+        out.texts = list(chain.from_iterable(y.texts for y in each))
+        return out
+
     def _texts(self, t: Tokenizers, n: int, order: np.ndarray, unit_of: np.ndarray, common: np.ndarray, label_a: np.ndarray, label_b: np.ndarray) -> list[bytes]:
         """Of each unit its groups as `a1,a2|b1;a3|b2,b3`."""
         out = [b""] * n
@@ -164,11 +183,26 @@ def bucket_of(first: np.ndarray) -> np.ndarray:
     return (kernel.mix(first.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
+def _documents(doc: np.ndarray, unit: np.ndarray, found: Aligned, which: np.ndarray, pairs: int) -> np.ndarray:
+    """In how many documents each pair is; a few documents at a time."""
+    docs, links, begin = np.zeros(pairs, np.int64), found.n_links[unit], 0
+    upto = np.cumsum(links)
+    while begin < len(doc):
+        end = int(np.searchsorted(upto, upto[begin] - links[begin] + LINKS, side="right"))
+        if end < len(doc):
+            end = max(int(np.searchsorted(doc, doc[end])), int(np.searchsorted(doc, doc[begin], side="right")))
+        some = slice(begin, end)
+        held = kernel.distinct(np.repeat(doc[some], links[some]) * pairs + which[_spread(found.first[:-1][unit[some]], links[some])])
+        docs += np.bincount(held % pairs, minlength=pairs)
+        begin = end
+    return docs
+
+
 def _chunk(t: Tokenizers, number: int, ids: list, texts: list[str | None]) -> pa.RecordBatch:
     index, of = _Index(), []
     for text in texts:
         of.append(np.array(list(map(index.__getitem__, units(text))) if text and SPACE not in text else [], np.int64))
-    found = Aligned(t, list(index))
+    found = Aligned.few_at_a_time(t, list(index))
     of = [np.zeros(0, np.int64) if found.bad[x].any() else x for x in of]
     sha = [hashlib.sha256(b";".join(map(found.texts.__getitem__, x.tolist()))).hexdigest() if len(x) else "" for x in of]
     many = max(1, len(index))
@@ -182,9 +216,7 @@ def _chunk(t: Tokenizers, number: int, ids: list, texts: list[str | None]) -> pa
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     which = rank[which]
-    links = found.n_links[unit]
-    held = kernel.distinct(np.repeat(doc, links) * max(1, len(pairs)) + which[_spread(found.first[:-1][unit], links)]) % max(1, len(pairs))
-    docs = np.bincount(held, minlength=len(pairs))
+    docs = _documents(doc, unit, found, which, len(pairs))
     begin = np.searchsorted(bucket, np.arange(BUCKETS + 1))
     # every bucket is asked, so that answers stay aligned; those without pairs are left out of the rows and of the answers
     asked = [{"bucket": k, "pairs": pairs[x:y], "n": docs[x:y].astype(np.int32)} for k, (x, y) in enumerate(zip(begin, begin[1:], strict=False)) if x < y]

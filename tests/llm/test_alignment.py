@@ -113,3 +113,19 @@ def test_tables_of_wide_rows_end_row_groups_by_size(spark):
     table = stored(rows, "wide", wide=True)
     groups = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in table.inputFiles()]
     assert sum(g.num_rows for g in groups) == 12 and max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 7
+
+
+def test_units_are_joined_and_told_apart_a_few_at_a_time(monkeypatch):
+    """What a worker holds besides its chunk is bounded by JOINED and LINKS; results are the same."""
+    texts = [" ".join(f"w{i * j % 977}x" for j in range(1, 400)) for i in range(1, 60)] + ["", None, "a" * 5000, " ", "\n  x"]
+    t, calls, held = tokenizers(), [], []
+    monkeypatch.setattr(token_align, "JOINED", 1 << 30)
+    monkeypatch.setattr(token_align, "LINKS", 1 << 30)
+    want = token_align._chunk(t, 1, list(range(len(texts))), texts)
+    encode, distinct = token_align.Tokenizers.encode, token_align.kernel.distinct
+    monkeypatch.setattr(token_align, "JOINED", 1000)
+    monkeypatch.setattr(token_align, "LINKS", 2000)
+    monkeypatch.setattr(token_align.Tokenizers, "encode", lambda self, text: calls.append(len(text)) or encode(self, text))
+    monkeypatch.setattr(token_align.kernel, "distinct", lambda x: held.append(len(x)) or distinct(x))
+    assert token_align._chunk(t, 1, list(range(len(texts))), texts).equals(want)
+    assert sorted(calls)[-2] < 1000 and max(calls) == 5000 and len(held) > 3 and max(held) < 4000
