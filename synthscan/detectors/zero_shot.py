@@ -64,16 +64,16 @@ class Binoculars(_ZeroShot):
 
     def score(self, df: DataFrame) -> DataFrame:
         provider, texts = self.own(df, df.select("row_id", "text"))
+        drawn = (self.options.get("temperature", 1.0), self.options.get("seed", 0)) if self.options.get("sample") else ()
         if provider.packs:
-            drawn = (self.options.get("temperature", 1.0), self.options.get("seed", 0)) if self.options.get("sample") else ()
             return provider.packed_cross_scores(texts, *drawn).select("row_id", S.packed("binoculars", self.options.get("median", False)).alias("score"))
         median = self.options.get("median", False)
-        if texts is None and not self.options.get("sample"):
-            found = provider.binoculars(median)
+        if texts is None:
+            found = provider.binoculars(median, drawn or None)
         else:
             performer, cross = provider.cross_scores(texts)
-            if self.options.get("sample"):
-                cross = provider.sampled_cross_scores(texts, self.options.get("temperature", 1.0), self.options.get("seed", 0))
+            if drawn:
+                cross = provider.sampled_cross_scores(texts, *drawn)
             found = S.perplexity_ratio(performer, cross, median=median)
         return df.select("row_id").join(found.withColumnRenamed("binoculars", "score"), "row_id", "left")
 

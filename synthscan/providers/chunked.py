@@ -9,6 +9,9 @@ arrays a text. So a text's places are never shuffled, and a common pair costs on
 Contexts with so many places that they would fill a bucket (`heavy`: a share of 2^-12 of all places at least, so 4,096 at
 most) are dealt by the whole pair instead. How many tokens follow each of them how often, a table with few rows a context, is
 counted first and sent to all tasks. The number of buckets grows with the input.
+
+Drawn tokens: each place's random number goes to its context's bucket with the chunk's pairs, and the count of the drawn token
+comes back. Every bucket knows the heavy contexts, so a chunk's numbers for those go to one bucket that the chunk's own number chooses.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import stored
@@ -27,6 +30,7 @@ CHUNK, BUCKET, HEAVY = 1 << 20, 1 << 21, 1 << 12
 LONGS, INTS, DOUBLES = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64())
 ASKED = "chunk long, bucket int, ctx array<long>, size array<int>, tok array<long>, n array<int>"
 ANSWER = "chunk long, bucket int, c array<int>, rank array<int>, m array<long>, mean_lp array<double>, var_lp array<double>, xent array<double>"
+PLACES, DRAWN = ", places array<int>, draws array<long>", ", drawn array<int>, z array<double>"
 SUMS = ("n", "ranks", "log_ranks", "logprob", "mean_lp", "var_lp", "performer", "tokens", "xent")
 
 
@@ -68,12 +72,14 @@ class Sums:
 
 @dataclass
 class Heavy:
-    """Contexts that are dealt by pairs, in order; their sums; and for (number of the context, count) the rank."""
+    """Contexts that are dealt by pairs, in order; their sums; for (number of the context, count) the rank; and by_count: number of
+    the context, count, and how many tokens have it."""
 
     ctx: np.ndarray
     sums: tuple[np.ndarray, ...] = ()
     key: np.ndarray | None = None
     rank: np.ndarray | None = None
+    by_count: tuple[np.ndarray, ...] = ()
 
     def among(self, ctx: np.ndarray) -> np.ndarray:
         if not len(self.ctx):
@@ -81,6 +87,42 @@ class Heavy:
         return self.ctx[np.minimum(np.searchsorted(self.ctx, ctx), len(self.ctx) - 1)] == ctx
 
 
+@dataclass
+class Draws:
+    """A token for each place, drawn after it from the observer and scored by the performer, both at a temperature."""
+
+    k: float
+    q: float
+    V: int
+    temperature: float = 1.0
+    seed: int = 0
+
+    def numbers(self) -> Column:
+        """Of a chunk: a whole number below 2^53 for each token, which hangs on row, place and seed alone."""
+        none = F.array().cast("array<int>")
+        of = lambda x: F.transform(F.when(x["sizes"] > 0, F.sequence(F.lit(0), x["sizes"] - 1)).otherwise(none), lambda i: F.pmod(F.xxhash64(x["ids"].cast("string"), i, F.lit(self.seed)), F.lit(1 << 53)))
+        return F.flatten(F.transform(F.arrays_zip("ids", "sizes"), of))
+
+    def drawn(self, at: np.ndarray, c: np.ndarray, same: np.ndarray, contexts: int, of: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each drawn token, 0 for those not seen; and of contexts the performer's sum over the vocabulary. of: the draws'
+        contexts; at, c and same as in Sums."""
+        order = np.lexsort((-c, at))
+        at, c, same = at[order], c[order], same[order]
+        power, total = 1.0 / self.temperature, lambda x: np.bincount(at, x, contexts)
+        weight, rest = same * (c + self.k) ** power, self.V - total(same)
+        known = total(weight)
+        place = numbers / float(1 << 53) * (known + rest * self.k**power)[of]
+        hit = np.flatnonzero(place < known[of])
+        first, upto, of = np.searchsorted(at, np.arange(contexts + 1)), np.concatenate(([0.0], np.cumsum(weight))), of[hit]
+        step = np.searchsorted(upto[1:], upto[first[of]] + place[hit], side="right")
+        out = np.zeros(len(place), np.int64)
+        out[hit] = c[np.clip(step, first[of], first[of + 1] - 1)]
+        return out, total(same * (c + self.q) ** power) + rest * self.q**power
+
+    def xent(self, z: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.log(z) - np.log(c + self.q) / self.temperature
+
+
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, ids, sizes, words, at): the texts' ids and numbers of tokens, the distinct words and each token's place among them."""
     from pyspark import TaskContext
@@ -134,9 +176,10 @@ def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Pairs:
-    """A chunk's distinct pairs in the order of buckets, contexts and second words, and the runs of equal contexts in them."""
+    """A chunk's distinct pairs in the order of buckets, contexts and second words, and the runs of equal contexts in them. With a
+    number of the chunk also the places' order by runs, for draws; heavy contexts have a run without pairs for theirs."""
 
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, at: np.ndarray, buckets: int, heavy: Heavy) -> None:
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, at: np.ndarray, buckets: int, heavy: Heavy, number: int | None = None) -> None:
         self.last = _last(sizes)
         before = np.flatnonzero(~self.last)
         key, which, n = np.unique(at[before].astype(np.int64) << 32 | at[before + 1], return_inverse=True, return_counts=True)
@@ -152,12 +195,21 @@ class Pairs:
         begin = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (bucket[1:] != bucket[:-1]))))[: len(ctx)]
         size = np.diff(np.append(begin, len(ctx)))
         alone = np.setdiff1d(np.arange(len(words)), ctx[begin])  # words that only end texts are asked for without pairs
-        run_bucket = np.concatenate((bucket[begin], own[alone]))
+        draw = np.flatnonzero(heavy.among(words)) if number is not None else alone[:0]
+        home = (_mix(np.array([number or 0], np.int64)) % np.uint64(buckets)).astype(np.int32)
+        run_bucket = np.concatenate((bucket[begin], own[alone], np.repeat(home, len(draw))))
         order = np.argsort(run_bucket, kind="stable")
-        self.bucket, self.ctx, self.size = run_bucket[order], np.concatenate((ctx[begin], alone))[order], np.concatenate((size, np.zeros(len(alone), np.int64)))[order]
+        run_ctx = np.concatenate((ctx[begin], alone, draw))
+        self.bucket, self.ctx, self.size = run_bucket[order], run_ctx[order], np.concatenate((size, np.zeros(len(alone) + len(draw), np.int64)))[order]
+        if number is not None:
+            run = np.empty(len(words), np.int64)
+            to = np.empty(len(order), np.int64)
+            to[order] = np.arange(len(order))
+            run[run_ctx] = to  # of a heavy word the last one, for draws
+            self.by_run, self.places = np.argsort(run[at], kind="stable"), np.bincount(run[at], minlength=len(order))
 
 
-def _asked(buckets: int, heavy: Heavy, only: bool = False, other: bool = False):
+def _asked(buckets: int, heavy: Heavy, only: bool = False, other: bool = False, draws: Draws | None = None):
     """A row for each bucket of a chunk; only: no other contexts than heavy ones; other: pairs that are asked for but not counted, of
     chunks that get negative numbers."""
 
@@ -165,7 +217,7 @@ def _asked(buckets: int, heavy: Heavy, only: bool = False, other: bool = False):
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes, words, at = _values(batch, i, "sizes", "words", "at")
-                p = Pairs(sizes, words, at, buckets, heavy)
+                p = Pairs(sizes, words, at, buckets, heavy, batch.column("chunk")[i].as_py() if draws else None)
                 bucket, ctx, size, tok, n = p.bucket, p.ctx, p.size, p.tok, p.n
                 if only:
                     on = heavy.among(words)[ctx] & (size > 0)
@@ -177,7 +229,12 @@ def _asked(buckets: int, heavy: Heavy, only: bool = False, other: bool = False):
                 chunk = np.full(len(numbers), batch.column("chunk")[i].as_py(), np.int64)
                 chunk, n = (-1 - chunk, 0 * n) if other else (chunk, n)
                 columns = [pa.array(chunk), pa.array(numbers.astype(np.int32)), _lists(words[ctx], runs, LONGS), _lists(size, runs, INTS), _lists(words[tok], pairs, LONGS), _lists(n, pairs, INTS)]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "ctx", "size", "tok", "n"])
+                names = ["chunk", "bucket", "ctx", "size", "tok", "n"]
+                if draws:
+                    each = np.add.reduceat(p.places, first) if len(first) else p.places
+                    columns += [_lists(p.places, runs, INTS), _lists(_values(batch, i, "draws")[0][p.by_run], each, LONGS)]
+                    names += ["places", "draws"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -212,7 +269,19 @@ def _ranks(at: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(sums: Sums, heavy: Heavy, other: bool = False):
+def _drawn(draws: Draws, heavy: Heavy, rows: pa.Table, ctx: np.ndarray, of_run: np.ndarray, at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Draws.drawn of a bucket, whose pairs have the given contexts and counts."""
+    same, common = np.ones(len(at), np.int64), heavy.among(ctx)
+    if common.any():  # the bucket has a part of their pairs
+        number, mine = np.flatnonzero(common), ~common[at]
+        table = heavy.by_count
+        on = np.isin(table[0], np.searchsorted(heavy.ctx, ctx[number])) & (table[2] > 0)
+        more = np.searchsorted(ctx, heavy.ctx[table[0][on]]), table[1][on], table[2][on]
+        at, c, same = (np.concatenate((x[mine], y)) for x, y in zip((at, c, same), more, strict=True))
+    return draws.drawn(at, c, same, len(ctx), np.repeat(of_run, _flat(rows.column("places"))), _flat(rows.column("draws")))
+
+
+def _answers(sums: Sums, heavy: Heavy, other: bool = False, draws: Draws | None = None):
     """Of a bucket, a row for each chunk; other: for those with negative numbers alone."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -232,35 +301,45 @@ def _answers(sums: Sums, heavy: Heavy, other: bool = False):
             of_run, which = of_run[np.repeat(mine, sizes[0])], which[np.repeat(mine, sizes[1])]
             rows = rows.filter(pa.array(mine))
         runs, pairs = (rows.column(x).combine_chunks().value_lengths().to_numpy() for x in ("ctx", "tok"))
+        more = {}
+        if draws:
+            drawn, z = _drawn(draws, heavy, rows, ctx, of_run, at, c)
+            more = {"drawn": _lists(drawn, rows.column("draws").combine_chunks().value_lengths().to_numpy(), INTS), "z": _lists(z[of_run], runs, DOUBLES)}
         return pa.table({
             "chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "c": _lists(c[which], pairs, INTS), "rank": _lists(rank[which], pairs, INTS), "m": _lists(found[0][of_run], runs, LONGS),
-            **{x: _lists(y[of_run], runs, DOUBLES) for x, y in zip(("mean_lp", "var_lp", "xent"), found[1:], strict=True)},
+            **{x: _lists(y[of_run], runs, DOUBLES) for x, y in zip(("mean_lp", "var_lp", "xent"), found[1:], strict=True)}, **more,
         })
 
     return run
 
 
-def _texts(sums: Sums, buckets: int, heavy: Heavy, arrays: tuple[str, ...]):
-    """Of a chunk and its answers: a row for each text, with SUMS or arrays."""
+def _texts(sums: Sums, buckets: int, heavy: Heavy, arrays: tuple[str, ...], draws: Draws | None = None):
+    """Of a chunk and its answers: a row for each text, with SUMS or arrays; xent is that of drawn tokens, if there are draws."""
 
     def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, answers: pa.Table) -> pa.Table:
         sizes, words, at = _values(chunk, 0, "sizes", "words", "at")
         answers = answers.sort_by("bucket")
-        p = Pairs(sizes, words, at, buckets, heavy)
+        p = Pairs(sizes, words, at, buckets, heavy, key[0].as_py() if draws else None)
         c, rank = (_flat(answers.column(x))[p.place].astype(np.float64) for x in ("c", "rank"))
         m, mean, var, xent = (np.empty(len(words)) for _ in range(4))
         for x, name in ((m, "m"), (mean, "mean_lp"), (var, "var_lp"), (xent, "xent")):
             x[p.ctx] = _flat(answers.column(name))
-        xent[m == 0] = np.log(max(1, sums.V))  # words that nothing ever follows
+        if draws:
+            z, drawn = np.empty(len(words)), np.empty(len(at))
+            z[p.ctx], drawn[p.by_run] = _flat(answers.column("z")), _flat(answers.column("drawn"))
+            each_xent = np.where(m[at] == 0, np.log(max(1, sums.V)), draws.xent(z[at], drawn))
+        else:
+            xent[m == 0] = np.log(max(1, sums.V))  # words that nothing ever follows
+            each_xent = xent[at]
         ctx = at[~p.last]
         logprob, performer = (np.log((c + k) / (m[ctx] + k * sums.V)) for k in (sums.k, sums.q))
         ids, n = chunk.column("ids").combine_chunks()[0].values, sizes - (sizes > 0)
         if arrays:
-            each = {"logprob": lambda: logprob, "rank": lambda: rank, "mean_lp": lambda: mean[ctx], "var_lp": lambda: var[ctx], "performer": lambda: performer, "xent": lambda: xent[at]}
+            each = {"logprob": lambda: logprob, "rank": lambda: rank, "mean_lp": lambda: mean[ctx], "var_lp": lambda: var[ctx], "performer": lambda: performer, "xent": lambda: each_xent}
             return pa.table({"row_id": ids, **{x: _lists(each[x](), sizes if x == "xent" else n, DOUBLES) for x in arrays}})
         of = np.repeat(np.arange(len(sizes)), n)
         total = lambda x: np.bincount(of, x, len(sizes))
-        found = (n.astype(np.float64), total(rank), total(np.log(rank)), total(logprob), total(mean[ctx]), total(var[ctx]), total(performer), sizes.astype(np.float64), np.bincount(np.repeat(np.arange(len(sizes)), sizes), xent[at], len(sizes)))
+        found = (n.astype(np.float64), total(rank), total(np.log(rank)), total(logprob), total(mean[ctx]), total(var[ctx]), total(performer), sizes.astype(np.float64), np.bincount(np.repeat(np.arange(len(sizes)), sizes), each_xent, len(sizes)))
         return pa.table({"row_id": ids, **dict(zip(SUMS, found, strict=True))})
 
     return run
@@ -293,18 +372,22 @@ class Chunks:
         at, c, same = (np.concatenate(x) for x in ((at, every), (c, 0 * every), (same, 0 * every)))  # and the rank of pairs not seen
         order = np.lexsort((-c, at))
         at, c, same = at[order], c[order], same[order]
+        by_count = at, c, same
         upto = np.cumsum(same) - same
         rank = 1 + upto - upto[np.searchsorted(at, at)]
         key = at.astype(np.int64) << 40 | c
         order = np.argsort(key)
-        self.heavy = Heavy(self.heavy.ctx, self.sums.of(at, c, same, len(every)), key[order], rank[order])
-
-    def texts(self, *arrays: str) -> DataFrame:
-        """row_id and SUMS for each text, or some arrays of its places: logprob, rank, mean_lp, var_lp and performer of pairs, xent of tokens."""
-        asked = self.chunks.mapInArrow(_asked(self.buckets, self.heavy), ASKED)
-        answers = asked.groupBy("bucket").applyInArrow(_answers(self.sums, self.heavy), ANSWER)
+        self.heavy = Heavy(self.heavy.ctx, self.sums.of(at, c, same, len(every)), key[order], rank[order], by_count)
+
+    def texts(self, *arrays: str, drawn: tuple[float, int] | None = None) -> DataFrame:
+        """row_id and SUMS for each text, or some arrays of its places: logprob, rank, mean_lp, var_lp and performer of pairs, xent of tokens.
+        drawn: temperature and seed; xent is then that of one drawn token for each place."""
+        draws = Draws(self.sums.k, self.sums.q, self.sums.V, *drawn) if drawn else None
+        chunks = self.chunks.withColumn("draws", draws.numbers()) if draws else self.chunks
+        asked = chunks.mapInArrow(_asked(self.buckets, self.heavy, draws=draws), ASKED + (PLACES if draws else ""))
+        answers = asked.groupBy("bucket").applyInArrow(_answers(self.sums, self.heavy, draws=draws), ANSWER + (DRAWN if draws else ""))
         kinds = ", ".join(f"{x} {'array<double>' if arrays else 'double'}" for x in arrays or SUMS)
-        return self.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_texts(self.sums, self.buckets, self.heavy, arrays), f"row_id {self.kind}, {kinds}")
+        return self.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_texts(self.sums, self.buckets, self.heavy, arrays, draws), f"row_id {self.kind}, {kinds}")
 
     def variants(self, rows: DataFrame) -> DataFrame:
         """row_id, variant and SUMS for each of other texts (row_id, variant, t), under the model of the counted ones."""

@@ -74,23 +74,27 @@ class NGramModel(Provider):
     def chunks(self) -> Chunks:
         return Chunks(tokenised(spread(self._corpus)), self.k, self.q)
 
+    def _text_sums(self, drawn: tuple[float, int] | None = None) -> DataFrame:
+        return self.chunks.texts(drawn=drawn).groupBy("row_id").agg(*(F.sum(x).alias(x) for x in TEXT_SUMS))
+
     @cached_property
     def text_sums(self) -> DataFrame:
         """What all statistics of the counted texts take, a row for each row_id."""
-        return stored(self.chunks.texts().groupBy("row_id").agg(*(F.sum(x).alias(x) for x in TEXT_SUMS)), "sums")
+        return stored(self._text_sums(), "sums")
 
     def zero_shot(self) -> DataFrame:
         """(row_id, rank, log-rank, lrr, fast-detect-gpt) of the counted texts."""
         return S.from_sums(self.text_sums) if self.max_tokens is None else S.zero_shot(self.token_scores(None))
 
-    def binoculars(self, median: bool = False) -> DataFrame:
-        """(row_id, binoculars) of the counted texts."""
+    def binoculars(self, median: bool = False, drawn: tuple[float, int] | None = None) -> DataFrame:
+        """(row_id, binoculars) of the counted texts. drawn: temperature and seed of one drawn token for each context place."""
         if self.cross_tokens is not None:
-            return S.perplexity_ratio(*self.cross_scores(None), median=median)
+            performer, cross = self.cross_scores(None)
+            return S.perplexity_ratio(performer, self.sampled_cross_scores(None, *drawn) if drawn else cross, median=median)
         if median:
-            return self.chunks.texts("performer", "xent").withColumnRenamed("performer", "logprob").select("row_id", S.packed("binoculars", True).alias("binoculars"))
+            return self.chunks.texts("performer", "xent", drawn=drawn).withColumnRenamed("performer", "logprob").select("row_id", S.packed("binoculars", True).alias("binoculars"))
         ratio = F.try_divide(F.try_divide("performer", "n"), F.try_divide("xent", "tokens"))
-        return self.text_sums.select("row_id", ratio.alias("binoculars"))
+        return (self._text_sums(drawn) if drawn else self.text_sums).select("row_id", ratio.alias("binoculars"))
 
     @cached_property
     def words(self) -> DataFrame:

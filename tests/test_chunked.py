@@ -73,3 +73,21 @@ def test_perturbation_holds_a_few_texts_at_a_time(spark):
 
     df = spark.range(0, 400, 1, 1).select(F.col("id").alias("row_id"), F.repeat(F.lit("some words here "), 500).alias("text"))
     assert perturb.perturbed(df, "row_id", "text", 2, fill).count() == 1200 and calls.value >= 2
+
+
+@pytest.mark.parametrize("bucket", [chunked.BUCKET, 64])
+def test_drawn_tokens_by_chunks(spark, texts, monkeypatch, bucket):
+    """The same draws as by joins; no row stands for a place, and heavy contexts' draws are known to every bucket."""
+    monkeypatch.setattr(chunked, "BUCKET", bucket)
+    model = NGramModel(texts)
+    rows = lambda df: {r.row_id: tuple(-99.0 if x is None else x for x in r[1:]) for r in df.collect()}
+    performer, _ = model.cross_scores(None)
+    cross = model.sampled_cross_scores(None, 0.8, 3)
+    for median in (False, True):
+        found = model.binoculars(median, (0.8, 3)).where("row_id <> 206")
+        got, want = rows(found), rows(S.perplexity_ratio(performer, cross, median=median))
+        assert set(want) - {206} <= set(got) and len(got) > 140
+        for i, x in got.items():
+            assert x == (pytest.approx(want[i], rel=1e-9) if i in want else (-99.0,))
+    plan = model.binoculars(drawn=(0.8, 3))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
