@@ -115,3 +115,12 @@ def test_patterns_are_tried_where_they_can_match(spark):
     assert [df.where(~x).count() for x in same] == [0] * 5
     plan = df.select(mage.punctuation(text))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN Contains(") == sum(x in mage.NEEDS for x, _ in mage.moses_rules()) == 9
+
+
+def test_longer_ngrams_are_looked_up_where_shorter_ones_are_shared(monkeypatch):
+    rest, other = [f"a{i}" for i in range(300)], [f"b{i}" for i in range(900)]
+    other[100:110] = rest[20:30]
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(overlap.np, "searchsorted", lambda a, v, *x, **y: looked.append(np.size(v)) or search(a, v, *x, **y))
+    assert overlap.bscore_by_hash(rest, [other]) == pytest.approx(overlap.bscore_of(rest, [other]), rel=1e-12)
+    assert looked[0] == 900 and looked[1:] == [10, 9, 8, 7, 6, 5, 4, 3, 2, 1][: len(looked) - 1] and len(looked) > 9
