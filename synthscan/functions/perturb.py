@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -17,26 +18,90 @@ from pyspark.sql import functions as F
 
 MASK = "<extra_id_{}>"
 _MASK = re.compile(r"<extra_id_\d+>")
-SPAN, BUFFER, SHARE, MOST_WORDS, ATTEMPTS = 2, 1, 0.3, 1024, 5
+#: Where a word begins like a mask, and where one is a mask; what is looked for first is written first, so that it is found fast.
+_BEGINS = re.compile(r"<extra_id_(?<!\S<extra_id_)")
+_WHOLE = re.compile(r"<extra_id_(?<![^ ]<extra_id_)\d+>(?![^ ])")
+SPAN, BUFFER, SHARE, ATTEMPTS = 2, 1, 0.3, 5
 SLICE = 4 << 20
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn(seeds: np.ndarray, attempt: int, begin: int, size: int) -> np.ndarray:
+    """Numbers begin .. begin + size of each seed's row for an attempt (splitmix64): a few operations for all of a text's variants."""
+    state = _mix(seeds.view(np.uint64) + np.uint64(attempt + 1) * np.uint64(0xD1342543DE82EF95))
+    return _mix(state[:, None] + np.arange(begin + 1, begin + size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _wanted(words: int, span: int, buffer: int, share: float, ceil: bool) -> tuple[int, int, int]:
+    """How many spans are wanted, in how many places they may begin, and how many places are tried at first."""
+    wanted = share * words / (span + 2 * buffer)
+    wanted = math.ceil(wanted) if ceil else int(wanted)
+    return wanted, max(1, words - span), wanted + wanted // 2 + 4
+
+
+def _placed(starts: list[int], more: Callable[[int], np.ndarray], wanted: int, room: int, reach: int) -> list[int]:
+    """Those of the starts that lie `reach` from all before, and more of what is left if they are too few."""
+    taken, near, out = bytearray(room + 2 * reach), b"\1" * (2 * reach - 1), []
+
+    def tried(starts: list[int]) -> None:
+        for start in starts:
+            if len(out) == wanted:
+                return
+            if not taken[start + reach]:
+                taken[start + 1 : start + 2 * reach] = near
+                out.append(start)
+
+    tried(starts)
+    if len(out) < wanted:
+        left = np.flatnonzero(np.frombuffer(bytes(taken), np.uint8)[reach : reach + room] == 0)
+        tried(left[np.argsort(more(len(left)), kind="stable")].tolist())
+    return sorted(out)
+
+
+def spans(words: int, rng: np.random.Generator, span: int = SPAN, buffer: int = BUFFER, share: float = SHARE, ceil: bool = False) -> list[int]:
+    """Where spans to be masked begin, in order. One after another is put at random where those before it leave room, `buffer`
+    words apart, as long as there is room; the work is in proportion to the words."""
+    wanted, room, size = _wanted(words, span, buffer, share, ceil)
+    return _placed(rng.integers(0, room, size=size).tolist(), lambda n: rng.integers(0, 1 << 62, size=n), wanted, room, span + buffer) if wanted > 0 else []
+
+
+def spans_of(words: int, seeds: np.ndarray, attempt: int, span: int = SPAN, buffer: int = BUFFER, share: float = SHARE, ceil: bool = False) -> list[list[int]]:
+    """The same for each of some seeds."""
+    wanted, room, size = _wanted(words, span, buffer, share, ceil)
+    if wanted <= 0:
+        return [[] for _ in seeds]
+    first = (drawn(seeds, attempt, 0, size) % np.uint64(room)).tolist()
+    return [_placed(x, lambda n, i=i: drawn(seeds[i : i + 1], attempt, size, n)[0], wanted, room, span + buffer) for i, x in enumerate(first)]
+
+
+def offsets(text: str) -> list[int]:
+    """Where words begin, and where one after the last would; words are split at single spaces."""
+    return [x + i for i, x in enumerate(accumulate(map(len, text.split(" ")), initial=0))]
+
+
+def with_masks(text: str, at: list[int], starts: list[int], span: int) -> str:
+    """text with numbered masks instead of the spans; at: its offsets."""
+    parts, done, last = [], 0, len(at) - 1
+    for i, start in enumerate(starts):
+        parts += text[done : at[start]], f"<extra_id_{i}>"
+        done = at[min(start + span, last)] - 1
+    parts.append(text[done:])
+    return "".join(parts)
+
+
 def masked(text: str, rng: np.random.Generator, span: int = SPAN, buffer: int = BUFFER, share: float = SHARE, ceil: bool = False) -> str:
-    """Spans of words replaced by numbered masks, kept `buffer` words apart; words are split at single spaces."""
-    words: list[str | None] = list(text.split(" ")[:MOST_WORDS])
-    wanted = share * len(words) / (span + 2 * buffer)
-    for _ in range(math.ceil(wanted) if ceil else int(wanted)):
-        for _ in range(10_000):
-            start = int(rng.integers(0, max(1, len(words) - span)))
-            if None not in words[max(0, start - buffer) : start + span + buffer]:
-                words[start : start + span] = [None]
-                break
-    numbers = iter(range(len(words)))
-    return " ".join(MASK.format(next(numbers)) if w is None else w for w in words)
+    """Spans of words of the whole text replaced by numbered masks, kept `buffer` words apart."""
+    at = offsets(text)
+    return with_masks(text, at, spans(len(at) - 1, rng, span, buffer, share, ceil), span)
 
 
 def n_masks(text: str) -> int:
-    return sum(w.startswith("<extra_id_") for w in text.split())
+    return len(_BEGINS.findall(text))
 
 
 def mask_count(text: Column) -> Column:
@@ -55,47 +120,76 @@ def filled(text: str, pieces: list[str]) -> str:
     if len(pieces) < n:
         return ""
     named = {MASK.format(i): piece for i, piece in enumerate(pieces[:n])}
-    out = []
-    for word in text.split(" "):
-        out.append(named.pop(word, word))
-    return " ".join(out)
+    return _WHOLE.sub(lambda x: named.pop(x.group(), x.group()), text)
 
 
 def repeat_fill(texts: list[str]) -> list[str]:
     """A filler without a model, for tests and trials: each mask becomes the words that stand for its number."""
-    return ["".join(f"{MASK.format(i)} word{i} " for i in range(n_masks(t))) + MASK.format(n_masks(t)) for t in texts]
+    return ["".join([f"<extra_id_{i}> word{i} " for i in range(n)]) + MASK.format(n) for n in map(n_masks, texts)]
+
+
+def tries(texts: list[str | None], seeds: list[np.ndarray], fill: Callable[[list[str]], list[str]], span: int = SPAN, **options) -> list[list[tuple[list[int], str, list[str]] | None]]:
+    """Of each text, for each of its seeds but the first: where spans began, the masked text and its masks' pieces; none if filling failed
+    every time. Failed ones are masked and filled anew, up to four times, as a part of the texts given."""
+    out: list[list] = [[None] * (len(x) - 1) for x in seeds]
+    left = [(i, np.arange(len(x))) for i, x in enumerate(out) if texts[i] is not None and x]
+    at = [[] if x is None else offsets(x) for x in texts]
+    own = [n_masks(x or "") for x in texts]  # words of a text itself that begin like masks
+    for attempt in range(ATTEMPTS):
+        if not left:
+            break
+        starts = [spans_of(len(at[i]) - 1, seeds[i][v + 1], attempt, span, **options) for i, v in left]
+        given = [with_masks(texts[i], at[i], x, span) for (i, _), xs in zip(left, starts, strict=True) for x in xs]
+        raw, k, again = fill(given), 0, []
+        for (i, vs), xs in zip(left, starts, strict=True):
+            failed = []
+            for v, x in zip(vs.tolist(), xs, strict=True):
+                one, pieces = given[k], fills(raw[k])
+                k += 1
+                if len(pieces) < (n_masks(one) if own[i] else len(x)) or not one or (one == "<extra_id_0>" and not pieces[0]):
+                    failed.append(v)
+                else:
+                    out[i][v] = x, one, pieces
+            if failed:
+                again.append((i, np.array(failed)))
+        left = again
+    return out
+
+
+def seeded(df: DataFrame, row_id: str, text: str, n: int, seed: int = 0) -> DataFrame:
+    """df's row_id and text with _seeds, a number for each of the variants 0..n."""
+    seeds = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda v: F.xxhash64(F.col(row_id).cast("string"), v, F.lit(seed)))
+    return df.select(row_id, text, seeds.alias("_seeds"))
+
+
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of rows with about SLICE characters, whatever the batch."""
+    upto, begin = np.cumsum(sizes), 0
+    while begin < len(upto):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SLICE, side="right")))
+        yield begin, end
+        begin = end
 
 
 def perturbed(df: DataFrame, row_id: str, text: str, n: int, fill: Callable[[list[str]], list[str]] = repeat_fill, seed: int = 0, **options) -> DataFrame:
     """(row_id, variant, text): variant 0 is the text itself, 1..n its perturbations ('' if filling failed every time).
 
-    Failed fills are masked and filled anew, up to four times, as part of their batch, of about SLICE characters.
+    Texts are masked and filled as a whole. Failed fills are masked and filled anew, up to four times, as part of their batch, of
+    about SLICE characters.
     """
-    seeds = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda v: F.xxhash64(F.col(row_id).cast("string"), v, F.lit(seed)))
-    rows = df.select(row_id, text, seeds.alias("_seeds"))
+    rows = seeded(df, row_id, text, n, seed)
 
     def some(batch: pd.DataFrame) -> pd.DataFrame:
-        texts = [x for x in batch[text] for _ in range(n + 1)]
-        own = np.concatenate([np.asarray(x, np.int64) for x in batch["_seeds"]])
-        out = ["" if i % (n + 1) else x for i, x in enumerate(texts)]
-        left = [i for i, x in enumerate(texts) if i % (n + 1) and x is not None]
-        for attempt in range(ATTEMPTS):
-            if not left:
-                break
-            tried = [masked(texts[i], np.random.default_rng([abs(int(own[i])), attempt]), **options) for i in left]
-            for i, one, raw in zip(left, tried, fill(tried), strict=True):
-                out[i] = filled(one, fills(raw))
-            left = [i for i in left if out[i] == ""]
+        out = []
+        for own, found in zip(batch[text], tries(list(batch[text]), list(batch["_seeds"]), fill, **options), strict=True):
+            out.append(own)
+            out += ["" if x is None else filled(*x[1:]) for x in found]
         return pd.DataFrame({row_id: batch[row_id].repeat(n + 1), "variant": np.tile(np.arange(n + 1, dtype=np.int32), len(batch)), text: out})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = np.cumsum([(n + 1) * len(x or "") for x in batch[text]])
-            begin = 0
-            while begin < len(batch):  # a few megabytes of variants at a time, whatever the batch
-                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLICE, side="right")))
+            for begin, end in slices(np.array([(n + 1) * len(x or "") for x in batch[text]], np.int64)):
                 yield some(batch.iloc[begin:end])
-                begin = end
 
     kinds = dict(df.dtypes)
     return rows.mapInPandas(run, f"`{row_id}` {kinds[row_id]}, variant int, `{text}` string")

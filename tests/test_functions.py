@@ -124,3 +124,21 @@ def test_longer_ngrams_are_looked_up_where_shorter_ones_are_shared(monkeypatch):
     monkeypatch.setattr(overlap.np, "searchsorted", lambda a, v, *x, **y: looked.append(np.size(v)) or search(a, v, *x, **y))
     assert overlap.bscore_by_hash(rest, [other]) == pytest.approx(overlap.bscore_of(rest, [other]), rel=1e-12)
     assert looked[0] == 900 and looked[1:] == [10, 9, 8, 7, 6, 5, 4, 3, 2, 1][: len(looked) - 1] and len(looked) > 9
+
+
+def test_whole_texts_are_masked():
+    """Masks lie all over a long text, as many as its words ask for, apart from each other; long texts take time in proportion."""
+    words = [f"w{i}" for i in range(100_000)]
+    out = perturb.masked(" ".join(words), np.random.default_rng(3)).split(" ")
+    at = [i for i, x in enumerate(out) if x.startswith("<extra_id_")]
+    assert [out[i] for i in at] == [f"<extra_id_{i}>" for i in range(7500)] and len(out) == 100_000 - 7500
+    assert min(b - a for a, b in zip(at, at[1:])) >= 2 and at[0] < 1000 and at[-1] > len(out) - 1000
+    assert [x for x in out if x[0] == "w"] == [x for x, keep in zip(words, _kept(out)) if keep]
+    assert perturb.filled(" ".join(out), ["some"] * 7500).split(" ").count("some") == 7500
+    dense = perturb.spans(1000, np.random.default_rng(3), share=9.0)  # as many as there is room for
+    assert 3 * 200 < 3 * len(dense) and min(b - a for a, b in zip(dense, dense[1:])) >= 3 and max(b - a for a, b in zip(dense, dense[1:])) < 6
+
+
+def _kept(out):
+    for x in out:
+        yield from (True,) if x[0] == "w" else (False, False)
