@@ -5,6 +5,8 @@ Option `provider`: where token scores come from; by default an n-gram model of t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators import statistics as S
 from ..plans.tables import spread, stored
 from ..providers.base import Provider, mask_filler
 from ..providers.ngram import NGramModel
+from ..providers.perturbed import PerturbedChunks
 from .registry import Detector, register
 
 
@@ -86,13 +89,16 @@ class PerturbationRatio(_ZeroShot):
     span, buffer, share, ceil, fill_model, fill_backend, and fill_options: top_p, most, batch_size and gpus of the filling model.
     """
 
+    def _own(self) -> dict:
+        return {k: self.options[k] for k in ("seed", "span", "buffer", "share", "ceil") if k in self.options}
+
+    def filler(self) -> Callable[[list[str]], list[str]]:
+        fill = self.options.get("fill")
+        return mask_filler(self.options.get("fill_model"), self.options.get("fill_backend", "hf"), **self.options.get("fill_options", {})) if fill is None else fill
+
     def variants(self, df: DataFrame) -> DataFrame:
         """(row_id, variant, text): the texts as variant 0 and their perturbations; to be used once, or stored."""
-        own = {k: self.options[k] for k in ("seed", "span", "buffer", "share", "ceil") if k in self.options}
-        fill = self.options.get("fill")
-        if fill is None:
-            fill = mask_filler(self.options.get("fill_model"), self.options.get("fill_backend", "hf"), **self.options.get("fill_options", {}))
-        return perturbed(spread(df), "row_id", "text", self.options.get("n_perturbations", 10), fill, **own)
+        return perturbed(spread(df), "row_id", "text", self.options.get("n_perturbations", 10), self.filler(), **self._own())
 
     def token_scores(self, provider: Provider, texts: DataFrame) -> DataFrame:
         if isinstance(provider, NGramModel):
@@ -100,7 +106,11 @@ class PerturbationRatio(_ZeroShot):
         return provider.token_scores(texts)
 
     def score(self, df: DataFrame) -> DataFrame:
-        provider, texts = self.options.get("provider") or self.options.get("counted") or NGramModel(df), self.variants(df)
+        provider = self.options.get("provider") or self.options.get("counted")
+        if provider is None:  # a model of the texts themselves
+            found = S.npr_of_sums(PerturbedChunks(spread(df), self.options.get("n_perturbations", 10), self.filler(), **self._own()).log_ranks())
+            return df.select("row_id").join(found.withColumnRenamed("npr", "score"), "row_id", "left")
+        texts = self.variants(df)
         if provider.packs:
             each = provider.packed_scores(stored(texts, "perturbed")).select("row_id", "variant", S.packed("log-rank").alias("lr"))
             return each.groupBy("row_id").agg(S.npr_of_log_ranks("lr").alias("score"))

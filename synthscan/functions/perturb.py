@@ -33,7 +33,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def drawn(seeds: np.ndarray, attempt: int, begin: int, size: int) -> np.ndarray:
     """Numbers begin .. begin + size of each seed's row for an attempt (splitmix64): a few operations for all of a text's variants."""
-    state = _mix(seeds.view(np.uint64) + np.uint64(attempt + 1) * np.uint64(0xD1342543DE82EF95))
+    state = _mix(seeds.view(np.uint64) + np.array([attempt + 1], np.uint64) * np.uint64(0xD1342543DE82EF95))
     return _mix(state[:, None] + np.arange(begin + 1, begin + size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

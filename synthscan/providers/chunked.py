@@ -364,9 +364,11 @@ class Chunks:
         if len(common):
             self._count_heavy()
 
+    def _heavy_pairs(self) -> DataFrame:
+        return self.chunks.mapInArrow(_asked(self.buckets, self.heavy, True), ASKED)
+
     def _count_heavy(self) -> None:
-        asked = self.chunks.mapInArrow(_asked(self.buckets, self.heavy, True), ASKED)
-        found = asked.groupBy("bucket").applyInArrow(_by_count, "ctx long, c long, same long").groupBy("ctx", "c").agg(F.sum("same").alias("same")).toPandas()
+        found = self._heavy_pairs().groupBy("bucket").applyInArrow(_by_count, "ctx long, c long, same long").groupBy("ctx", "c").agg(F.sum("same").alias("same")).toPandas()
         at, c, same = np.searchsorted(self.heavy.ctx, found["ctx"].to_numpy(np.int64)), found["c"].to_numpy(np.int64), found["same"].to_numpy(np.int64)
         every = np.arange(len(self.heavy.ctx))
         at, c, same = (np.concatenate(x) for x in ((at, every), (c, 0 * every), (same, 0 * every)))  # and the rank of pairs not seen

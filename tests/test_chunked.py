@@ -91,3 +91,42 @@ def test_drawn_tokens_by_chunks(spark, texts, monkeypatch, bucket):
             assert x == (pytest.approx(want[i], rel=1e-9) if i in want else (-99.0,))
     plan = model.binoculars(drawn=(0.8, 3))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def some_fill(masked):
+    """Pieces of none to three words, known and unknown, and sometimes too few."""
+    from synthscan.functions import perturb
+
+    pieces = ["", "w1 w2", "new", "NEW-er w3 w1", "the", "...", "w4"]
+    out = []
+    for t in masked:
+        n = perturb.n_masks(t)
+        out.append("".join(f"<extra_id_{i}> {pieces[(i + len(t)) % 7]} " for i in range(n)) + (f"<extra_id_{n}>" if len(t) % 5 else ""))
+    return out
+
+
+@pytest.mark.parametrize("bucket, unknown", [(chunked.BUCKET, 1 << 20), (64, 1)])
+def test_npr_without_perturbed_texts(spark, texts, monkeypatch, bucket, unknown):
+    """Log-ranks of whole texts' perturbations are those of the perturbed texts; these themselves are never written."""
+    from synthscan.detectors import get_detector
+    from synthscan.functions import perturb
+    from synthscan.providers import perturbed
+
+    long = " ".join(f"w{i * i % 97}, - {i}" for i in range(900))
+    odd = [(900, long), (901, None), (902, ""), (903, "W1"), (904, "a <extra_id_0> w1 <extra_id_1> " + "w2 w1 - w3 " * 30), (905, "İs k KW w1 " * 20), (906, "-- " * 60), (907, "w1  w2\nw3\tw1 " * 40)]
+    df = texts.unionByName(spark.createDataFrame(odd, "row_id long, text string"))
+    monkeypatch.setattr(chunked, "BUCKET", bucket)
+    monkeypatch.setattr(perturbed, "UNKNOWN", unknown)
+    for fill, options in ((some_fill, {"buffer": 0, "share": 0.5}), (perturb.repeat_fill, {"ceil": True, "span": 3})):
+        chunks = perturbed.PerturbedChunks(df, 4, fill, seed=2, **options)
+        got = {(r.row_id, r.variant): (r.n, r.log_ranks) for r in chunks.log_ranks().where("n > 0").collect()}
+        each = perturb.perturbed(df, "row_id", "text", 4, fill, seed=2, **options)
+        want = {(r.row_id, r.variant): (r.n, r.log_ranks) for r in NGramModel(df.coalesce(1)).variant_sums(each.coalesce(1)).where("n > 0").collect()}
+        assert set(got) == set(want) and {(900, 4), (904, 0), (905, 0), (907, 0)} <= set(got) and got[900, 4][0] > 1100
+        for i, x in want.items():
+            assert got[i] == pytest.approx(x, rel=1e-9, abs=1e-9)
+        assert bucket > 64 or len(chunks.heavy.ctx)
+    assert perturbed.PerturbedChunks(df.where("row_id = 902"), 2, some_fill).log_ranks().where("n = 0 AND log_ranks = 0").count() == 3
+    detector = get_detector("npr")(fill=perturb.repeat_fill, seed=1, n_perturbations=2)
+    monkeypatch.setattr(type(detector), "variants", None)
+    assert detector.score(df).where("score IS NOT NULL").count() > 140
