@@ -12,9 +12,10 @@ from ..functions import overlap as O
 from ..functions import text as X
 from ..functions.stopwords import english
 from ..operators.statistics import packed, sequence_score
-from ..plans.tables import shared_dir, spread, stored
+from ..plans.tables import removed, shared_dir, spread, stored
 from ..providers import base
-from ..providers.ngram import NGramModel
+from ..providers.ngram import OBSERVER
+from ..providers.sequences import own_sequence_scores
 from ..sources import cache
 from ..sources.sinks import cache_root
 from .registry import Detector, register
@@ -22,19 +23,23 @@ from .registry import Detector, register
 log = logging.getLogger(__name__)
 
 
-def _sliced(rows: DataFrame, key: str, commit: int) -> tuple[DataFrame, int]:
-    """rows in slices of about `commit` keys each, and their number. Slices follow the cache's folders and are folders of their
-    own, so each is read by itself and adds to its own folders only: neither reads nor files grow with slices times rows."""
-    rows = stored(rows, "missing")
-    n = rows.count()
+def _sliced(df: DataFrame, store: cache.Cache, key: str, prompt: str, least: int, commit: int) -> tuple[DataFrame, int, str]:
+    """The missing keys with their prompts in slices of about `commit` keys each, their number, and the folder they are in. Slices
+    follow the cache's folders and are folders of their own, so each is read by itself and adds to its own folders only: neither reads
+    nor files grow with slices times rows. Keys are counted first, without prompts, so these are moved once: equal keys meet in their
+    slice's files, of which there are enough for all cores."""
+    spark = df.sparkSession
+    n = store.misses(df.select(key), key, least).count()
     slices, folders = max(1, -(-n // commit)), 16**cache.DIGITS
     folder = F.conv(cache.folder(F.col(key)), 16, 10).cast("int")
     each = -(-slices // folders)  # slices of one folder, where there are more slices than folders
     number = F.floor(folder * F.lit(min(slices, folders)) / folders).cast("int") * each + F.pmod(F.xxhash64(key), F.lit(each)).cast("int")
-    path = f"{shared_dir(rows.sparkSession)}/slices-{uuid.uuid4().hex}"
-    numbered = rows.withColumn("slice", number)
-    numbered.repartition("slice").write.partitionBy("slice").parquet(path)
-    return rows.sparkSession.read.schema(numbered.schema).parquet(path), n
+    path = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(spark.sparkContext.defaultParallelism))
+    rows = store.absent(df.select(key, prompt), key, least).withColumn("slice", number).withColumn("part", part)
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice", "part").dropDuplicates(["slice", "part", key]).drop("part")
+    rows.write.partitionBy("slice").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), n, path
 
 
 def _filled(df: DataFrame, store: cache.Cache, key: str, prompt: str, generate, kind: str, least: int = 0, commit: int = 10_000, requests: int = 256) -> DataFrame:
@@ -44,14 +49,16 @@ def _filled(df: DataFrame, store: cache.Cache, key: str, prompt: str, generate,
     again for no more than the slice it was in. requests: how many may be under way at once over all tasks, for generators
     that limit their own (`in_flight`).
     """
-    missing, n = _sliced(store.misses(df, key, least).select(key, prompt), key, commit)
+    missing, n, path = _sliced(df, store, key, prompt, least, commit)
     own = getattr(generate, "in_flight", None)
     tasks = max(1, requests // own) if own and getattr(generate, "backend", None) == "openai" else None
     numbers = sorted(r[0] for r in missing.select("slice").distinct().collect()) if n else []
     for done, i in enumerate(numbers, 1):
         part = missing.where(F.col("slice") == i).select(key, prompt)
-        store.appended(base.generated(part if tasks else spread(part), key, prompt, generate, store.value, kind, tasks))
+        few = 2 * part._jdf.queryExecution().toRdd().getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+        store.appended(base.generated(spread(part) if few and not tasks else part, key, prompt, generate, store.value, kind, tasks))
         log.info("%s: slice %d of %d, %d keys generated in all", store.path, done, len(numbers), n)
+    removed(df.sparkSession, path)
     return store.looked_up(df, key, least)
 
 
@@ -94,8 +101,8 @@ class ReviseDetect(Detector):
         store = cache.revisions(df.sparkSession, o.get("cache_dir") or cache_root(df.sparkSession), name)
         rows = _filled(keyed, store, "hash", "text", generate, "string", **{x: o[x] for x in ("commit", "requests") if x in o})
         pairs = rows.select("row_id", X.or_original(F.col("revised"), F.col("text")).alias("source"), F.col("text").alias("target"))
-        provider = o.get("provider") or o.get("counted") or NGramModel(df)
-        if provider.packs:
+        provider = o.get("provider") or o.get("counted")
+        if provider and provider.packs:
             return provider.packed_sequence_scores(pairs).select("row_id", packed("revise-detect").alias("score"))
-        found = sequence_score(provider.sequence_scores(pairs))
+        found = sequence_score(provider.sequence_scores(pairs)) if provider else own_sequence_scores(pairs, OBSERVER)  # of a model of the texts themselves
         return df.select("row_id").join(found.withColumnRenamed("revise-detect", "score"), "row_id", "left")

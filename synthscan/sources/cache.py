@@ -37,8 +37,8 @@ class Cache:
     def table(self, of: DataFrame | None = None, key: str = "hash") -> DataFrame:
         """The last entry of each key; with `of`, a table of keys, only those in the folders that its keys lie in."""
         path, schema = f"{self.path}/gen-{self._generation()}", f"hash string, {self.value} {self.kind}, seq long, folder string"
-        if not exists(self.spark, path):
-            return self.spark.createDataFrame([], schema).select("hash", self.value)
+        if not exists(self.spark, path):  # known to be empty when it is planned: joins with it move nothing
+            return self.spark.range(1).where("false").selectExpr("CAST(NULL AS string) AS hash", f"CAST(NULL AS {self.kind}) AS {self.value}")
         rows = self.spark.read.schema(schema).parquet(path)
         if of is not None:
             asked = [r[0] for r in of.select(folder(F.col(key))).distinct().limit(16**DIGITS + 1).collect()]  # a row a folder
@@ -74,8 +74,12 @@ class Cache:
 
     def misses(self, df: DataFrame, key: str, least: int = 0, few: bool = False) -> DataFrame:
         """One row for each key of df that is missing."""
+        return self.absent(df, key, least, few).dropDuplicates([key])
+
+    def absent(self, df: DataFrame, key: str, least: int = 0, few: bool = False) -> DataFrame:
+        """The rows of df whose keys are missing."""
         hits = self._hits(df if few else None, key, least)
-        return df.join(hits.select(F.col("hash").alias("_hit")), F.col(key) == F.col("_hit"), "left_anti").dropDuplicates([key])
+        return df.join(hits.select(F.col("hash").alias("_hit")), F.col(key) == F.col("_hit"), "left_anti")
 
     def added(self, new: DataFrame, least: int = 0) -> None:
         """Append (hash, value) rows: absent keys, and with `least` those that have too few; the first of equal keys."""

@@ -130,3 +130,30 @@ def test_npr_without_perturbed_texts(spark, texts, monkeypatch, bucket, unknown)
     detector = get_detector("npr")(fill=perturb.repeat_fill, seed=1, n_perturbations=2)
     monkeypatch.setattr(type(detector), "variants", None)
     assert detector.score(df).where("score IS NOT NULL").count() > 140
+
+
+@pytest.mark.parametrize("bucket, chunk", [(chunked.BUCKET, chunked.CHUNK), (16, 1000)])
+def test_revised_texts_by_chunks(spark, texts, tmp_path, monkeypatch, bucket, chunk):
+    """The same scores as by joins, without a row for a word; slices of prompts are gone when all are generated."""
+    from pathlib import Path
+
+    from synthscan.detectors import get_detector
+    from synthscan.plans.tables import shared_dir
+
+    def revise(prompts):
+        return [" ".join(p.split()[::2]) + " new w1" if len(p) % 7 else "" for p in prompts]
+
+    monkeypatch.setattr(chunked, "BUCKET", bucket)
+    monkeypatch.setattr(chunked, "CHUNK", chunk)
+    df = texts.unionByName(spark.createDataFrame([(900, ""), (901, "..."), (902, "W1 w1, İs K"), (903, "W1 w1, İs K")], "row_id long, text string")).where("row_id <> 206")  # joins mix rows of one id
+    score = lambda name, **options: get_detector("revise-detect")(generate=revise, commit=40, cache_dir=f"{tmp_path}/{name}", **options).score(df)
+    before = set(Path(shared_dir(spark).removeprefix("file:")).iterdir())
+    found = score("a")
+    more = {x.name.split("-")[0] for x in set(Path(shared_dir(spark).removeprefix("file:")).iterdir()) - before if not x.name.endswith(".crc")}
+    assert more == {"sequences", "counts"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    got, want = ({r.row_id: r.score for r in x.collect()} for x in (found, score("b", counted=NGramModel(df))))
+    assert set(got) == set(want) and sum(x is not None for x in got.values()) > 140 and got[901] is None and got[902] == got[903]
+    for i, x in want.items():
+        assert got[i] == (pytest.approx(x, rel=1e-9) if x is not None else None), i
